@@ -12,6 +12,7 @@ the id and text columns are read. Memory: the automaton, and a cache of at most
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,7 @@ class Automaton:
         return total
 
 
-_made: dict[int, Automaton] = {}
+_made: dict[str, Automaton] = {}
 
 
 def counter(shared) -> Automaton:
@@ -105,7 +106,7 @@ class Shared:
 
     def __init__(self, spark: SparkSession, pieces: list[str]):
         self.broadcast = spark.sparkContext.broadcast(pieces)
-        self.id = hash(tuple(pieces[:64])) ^ len(pieces)
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self) -> list[str]:
