@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontamination", "sharding", "secrets", "licenses", "language", "vectors", "packing", "wordpieces", "chat")
+MODULES = ("decontamination", "sharding", "secrets", "licenses", "language", "vectors", "packing", "wordpieces", "jaccard", "chat")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
