@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tracklark.plans import merges, tracks  # noqa: F401
+from tracklark.plans.registry import ORACLES, QUERIES  # noqa: F401
