@@ -60,21 +60,21 @@ def branch_nodes(nodes: DataFrame, best: int = 1) -> DataFrame:
         held.select("node", "parent", "score").join(known, "parent", "left_anti").withColumn("parent", F.lit(None).cast(held.schema["node"].dataType))
     )
     # up: the node 2^j above, if there is one; score and steps: over this node and those passed.
-    jumps, path = materialize(links.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), "score", F.col("parent").isNull().alias("rooted")))
-    levels, paths = [jumps.where("up IS NOT NULL").select("node", "up")], [held_path, path]
-    # Nodes at all depths above a node exist, so a round that ends no path leaves cycles only.
-    open_before, open_now = -1, jumps.where("up IS NOT NULL").count()
+    jumps, path = materialize(links.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("steps"), "score"))
+    paths = [held_path, path]
+    ended, still = jumps.where("up IS NULL"), jumps.where("up IS NOT NULL")
+    levels = [still.select("node", "up")]
+    # Only nodes that have not reached their root go on. Nodes at all depths above a node exist, so a round that ends no
+    # path leaves cycles only.
+    open_before, open_now = -1, still.count()
     while open_now and open_now != open_before:
-        above = jumps.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("plus"), F.col("rooted").alias("ends"))
-        jumps, path = materialize(
-            jumps.join(above, "up", "left").select(
-                "node", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("score") + F.coalesce("plus", F.lit(0.0))).alias("score"), F.coalesce("ends", "rooted").alias("rooted")
-            )
-        )
+        above = ended.unionByName(still).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("score").alias("plus"))
+        jumps, path = materialize(still.join(above, "up").select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("score") + F.col("plus")).alias("score")))
         paths.append(path)
-        levels.append(jumps.where("up IS NOT NULL").select("node", "up"))
-        open_before, open_now = open_now, levels[-1].count()
-    leaves = jumps.where("rooted").join(held.select(F.col("parent").alias("node")), "node", "left_anti").join(held.select("tree", "node"), "node")
+        ended, still = ended.unionByName(jumps.where("up IS NULL")), jumps.where("up IS NOT NULL")
+        levels.append(still.select("node", "up"))
+        open_before, open_now = open_now, still.count()
+    leaves = ended.drop("up").join(held.select(F.col("parent").alias("node")), "node", "left_anti").join(held.select("tree", "node"), "node")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("steps")), F.desc("steps"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
     members = chosen.select("tree", F.col("node").alias("branch"), "rank", "steps", "node", F.lit(0).cast("long").alias("below"))
