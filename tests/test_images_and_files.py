@@ -93,7 +93,7 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "c"), ["v", "track_id"])
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["v", "track_id"]
     sinks.write_by_entity(df, str(tmp_path / "e"), "track_id")
-    sinks.write_by_entity(df.where("track_id = 1").withColumn("v", df.v + "0"), str(tmp_path / "e"), "track_id")
+    sinks.write_by_entity(df.where("track_id = 1").selectExpr("track_id", "concat(v, '0') AS v"), str(tmp_path / "e"), "track_id")
     assert spark.read.parquet(str(tmp_path / "e")).count() == 2
     sinks.write_json(df, str(tmp_path / "j"))
     assert tracks.read_sidecars(spark, str(tmp_path / "j"), schema="track_id int, v string").count() >= 1

@@ -160,7 +160,7 @@ def test_assignment_is_optimal():
 
     draw = np.random.default_rng(4)
     for _ in range(60):
-        n, m = sorted(draw.integers(1, 6, 2))
+        n, m = sorted(map(int, draw.integers(1, 6, 2)))
         cost = draw.integers(0, 9, (n, m)).astype(float)
         assert sum(cost[r, c] for r, c in assign(cost)) == min(sum(cost[r, c] for r, c in enumerate(p)) for p in permutations(range(m), n))
         assert len(assign(cost.T)) == n

@@ -172,4 +172,4 @@ def crowding(detections: DataFrame, by: tuple[str, ...] = ("movie", "frame")) ->
         return pd.DataFrame([(*keys, len(points), *((e.mean(), e.min(), e.std(ddof=1) if len(e) > 1 else 0.0) if len(e) else (None, None, None)))], columns=[*by, "points", "edge_mean", "edge_min", "edge_std"])
 
     rows = detections.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.groupBy(*by).applyInPandas(fold, rows.selectExpr(*by, "0L AS points", "0D AS edge_mean", "0D AS edge_min", "0D AS edge_std").schema)
+    return rows.groupBy(*by).applyInPandas(fold, rows.selectExpr(*by, "0L AS points", "CAST(NULL AS DOUBLE) AS edge_mean", "CAST(NULL AS DOUBLE) AS edge_min", "CAST(NULL AS DOUBLE) AS edge_std").schema)
