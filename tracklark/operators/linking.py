@@ -64,11 +64,17 @@ def linked(pdf: pd.DataFrame, reach: float, memory: int, least: int) -> pd.DataF
     return pdf
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """Groups dealt to as many tasks as a shuffle has: they are small in bytes but long to compute, so partitions must
+    not be merged by their size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def link(detections: DataFrame, reach: float, memory: int = 0, least: int = 1, by: tuple[str, ...] = ("movie", "channel")) -> DataFrame:
     """`detections` (by, frame, x, y) with track_no, by group."""
     rows = detections.select(*by, F.col("frame").cast("int").alias("frame"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     schema = rows.selectExpr("*", "0L AS track_no").schema
-    return rows.groupBy(*by).applyInPandas(lambda pdf: linked(pdf, reach, memory, least), schema)
+    return spread(rows, *by).groupBy(*by).applyInPandas(lambda pdf: linked(pdf, reach, memory, least), schema)
 
 
 def link_blocks(detections: DataFrame, reach: float, memory: int = 3, least_steps: int = 3, by: tuple[str, ...] = ("movie", "channel")) -> DataFrame:
@@ -120,7 +126,7 @@ def follow_reference(components: DataFrame, reference: DataFrame, step: float, r
                 out.append(own.iloc[[k]].assign(primary=bool(len(first))))
         return pd.concat(out)[[*by, "frame", "x", "y", "primary"]] if out else pdf.iloc[:0][[*by, "frame", "x", "y"]].assign(primary=pd.Series(dtype=bool))
 
-    return rows.groupBy(*by).applyInPandas(fold, rows.select(*by, "frame", "x", "y").selectExpr("*", "true AS primary").schema)
+    return spread(rows, *by).groupBy(*by).applyInPandas(fold, rows.select(*by, "frame", "x", "y").selectExpr("*", "true AS primary").schema)
 
 
 def seed_tracks(components: DataFrame, reach: float, frames: int = 5, by: tuple[str, ...] = ("movie", "channel")) -> DataFrame:
@@ -141,7 +147,7 @@ def seed_tracks(components: DataFrame, reach: float, frames: int = 5, by: tuple[
         return pd.DataFrame([(*keys, n, *p) for n, t in enumerate(tracks, 1) for p in t], columns=[*by, "seed", "frame", "x", "y"])
 
     rows = components.where(F.col("frame") <= frames).select(*by, F.col("frame").cast("int").alias("frame"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.groupBy(*by).applyInPandas(fold, rows.selectExpr(*by, "0 AS seed", "frame", "x", "y").schema)
+    return spread(rows, *by).groupBy(*by).applyInPandas(fold, rows.selectExpr(*by, "0 AS seed", "frame", "x", "y").schema)
 
 
 def crowding(detections: DataFrame, by: tuple[str, ...] = ("movie", "frame")) -> DataFrame:
@@ -172,4 +178,4 @@ def crowding(detections: DataFrame, by: tuple[str, ...] = ("movie", "frame")) ->
         return pd.DataFrame([(*keys, len(points), *((e.mean(), e.min(), e.std(ddof=1) if len(e) > 1 else 0.0) if len(e) else (None, None, None)))], columns=[*by, "points", "edge_mean", "edge_min", "edge_std"])
 
     rows = detections.select(*by, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return rows.groupBy(*by).applyInPandas(fold, rows.selectExpr(*by, "0L AS points", "CAST(NULL AS DOUBLE) AS edge_mean", "CAST(NULL AS DOUBLE) AS edge_min", "CAST(NULL AS DOUBLE) AS edge_std").schema)
+    return spread(rows, *by).groupBy(*by).applyInPandas(fold, rows.selectExpr(*by, "0L AS points", "CAST(NULL AS DOUBLE) AS edge_mean", "CAST(NULL AS DOUBLE) AS edge_min", "CAST(NULL AS DOUBLE) AS edge_std").schema)
