@@ -124,3 +124,22 @@ def test_windows_on_streams_equal_the_batch(spark, sf_dir, tmp_path):
         run = f(stream).writeStream.format("memory").queryName(f.__name__).outputMode(mode).option("checkpointLocation", f"{tmp_path}/{f.__name__}").trigger(availableNow=True).start()
         run.awaitTermination(120)
         assert spark.table(f.__name__).count() == f(rows).count()
+
+
+def test_profiles(spark):
+    from tracklark.operators import profiles
+
+    dim = spark.createDataFrame([("one", "TCYX", [(0, "nucleus", "N", ["405"]), (1, "green", "G", ["488", "GFP"])], ["abc"], ["x1", "x2"])], profiles.PROFILE)
+    crops = [("ABC_X2.tif", "one", "TCYX", 2, ["Em 405", "gfp"]), ("ABC_x2.tif", "one", "TYX", 2, ["405", "488"]), ("abc_x1", "one", "TCYX", 3, ["405", "488"]), ("abc_x1", "one", "TCYX", 2, ["488", "405"]), ("abc", "one", "TCYX", 2, ["405", "488"]), ("abc", "two", "TCYX", 2, None)]
+    got = [r.failure for r in profiles.validated(spark.createDataFrame(crops, profiles.CROP), dim).collect()]
+    assert sorted(map(str, got)) == sorted(["None", "axes", "channel count", "raw C0", "file tokens", "profile"])
+    assert profiles.channel_rows(dim).count() == 2
+
+
+def test_run_helpers(tmp_path):
+    from tracklark.operators import runs
+
+    (tmp_path / "log").write_text("a\nb\nc\n")
+    assert runs.tail(str(tmp_path / "log"), 2) == ["b", "c"] and runs.disk_left(str(tmp_path), 1)
+    once = runs.with_section("Report", "qc", "new")
+    assert runs.with_section(once, "qc", "newer").count("qc:start") == 1 and "newer" in runs.with_section(once, "qc", "newer")

@@ -108,3 +108,19 @@ def islands(points: DataFrame, by: tuple[str, ...], least_span: int) -> DataFram
     numbered = frames.withColumn("starts", starts).withColumn("block", F.sum("starts").over(w))
     blocks = numbered.groupBy(*by, "block").agg(F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"), F.sum("detections").alias("detections"))
     return blocks.where(F.col("last_frame") - F.col("first_frame") + 1 >= least_span)
+
+
+def step_sequences(kept: DataFrame, length: int = 29, by: tuple[str, ...] = TRACK) -> DataFrame:
+    """One row for each track from what `consecutive_steps` returns: `cartesian` (dx, dy), `polar` (size, signed angle to
+    the step before, 0 at first) and `combined` (both), each padded with zeros to `length`, and n_steps, below which an
+    entry is real."""
+    w = Window.partitionBy(*by).orderBy("step_no")
+    bx, by_ = F.lag("dx").over(w), F.lag("dy").over(w)
+    angle = F.coalesce(F.atan2(bx * F.col("dy") - by_ * F.col("dx"), bx * F.col("dx") + by_ * F.col("dy")), F.lit(0.0))
+    rows = kept.withColumn("angle", angle)
+    size = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
+    entry = F.struct("step_no", F.array(F.col("dx"), F.col("dy"), size, F.col("angle")).alias("v"))
+    lists = rows.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n_steps"), F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["v"]).alias("v"))
+    padded = F.concat("v", F.array_repeat(F.array_repeat(F.lit(0.0), 4), F.greatest(F.lit(0), F.lit(length) - F.col("n_steps"))))
+    take = lambda *at: F.transform(padded, lambda e: F.array(*[e[k].cast("float") for k in at]))
+    return lists.select(*by, "n_steps", take(0, 1).alias("cartesian"), take(2, 3).alias("polar"), take(0, 1, 2, 3).alias("combined"))

@@ -46,6 +46,20 @@ def consecutive_steps_last29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("track_id", "channel", "frame", "step_no", "dx", "dy"))
 
 
+_SEQUENCES = f"""{_LAST.replace(", round(dx, 4) AS dx, round(dy, 4) AS dy FROM r", ", dx, dy FROM r")}"""
+
+
+@query(
+    f"""SELECT track_id, channel, CAST(count(*) AS INTEGER) AS n_steps, round(sum(dx + dy), 2) AS cartesian_sum, round(sum(sqrt(dx * dx + dy * dy)), 2) AS size_sum, round(sum(angle), 2) AS angle_sum
+FROM (SELECT *, coalesce(atan2(lag(dx) OVER w * dy - lag(dy) OVER w * dx + 0.0, lag(dx) OVER w * dx + lag(dy) OVER w * dy + 0.0), 0) AS angle FROM ({_SEQUENCES}) WINDOW w AS (PARTITION BY track_id, channel ORDER BY step_no)) GROUP BY ALL"""
+)
+def step_representations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = ("track_id", "channel")
+    found = steps.step_sequences(steps.consecutive_steps(hourly(spark, sf_dir), by=by), by=by)
+    total = lambda c, *at: F.round(F.aggregate(c, F.lit(0.0), lambda t, e: t + sum((e[k] for k in at[1:]), e[at[0]])), 2)
+    return found.select(*by, "n_steps", total("combined", 0, 1).alias("cartesian_sum"), total("polar", 0).alias("size_sum"), total("polar", 1).alias("angle_sum"))
+
+
 def _acf(value: str, lags: tuple[int, ...]) -> str:
     cols = ", ".join(f"lead(c, {k}) OVER w AS c{k}" for k in lags)
     out = ", ".join(f"round(CASE WHEN count(*) >= 3 AND count(*) // 2 >= {k} THEN sum(c * c{k}) / nullif(sum(c * c), 0) END, 4) AS {value}_acf_lag{k}" for k in lags)
