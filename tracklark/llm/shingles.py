@@ -15,7 +15,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes of text worked on at a time; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 
 
