@@ -6,19 +6,22 @@ pair has to pass all three before it is verified:
 
 1. rarest words first (the least count among the shingle's words, in a sketch of fixed size over the whole corpus).
    Postings of these prefixes are grouped by token; sizes and positions are tested there.
-2. and 3. two orders by unrelated mixes of the tokens, tested on the two sets just before the exact count.
+2. an order by hash, tested first by counts: it is cut into ranges, in each of which two sets share no more tokens
+   than the smaller one has. Pairs go through this test before sets are sent, and from the second round on before
+   they are even listed. Then the prefixes themselves are tested.
+3. an order by another hash, whose prefixes are tested just before the exact count.
 
 Only connectivity is asked for, so pairs inside a component are not all listed. Texts with equal sets are one class.
-In each posting list the members pair with a few leaders at a time (first 1, then 4, 16, ... more), those whose token
+In each posting list the members pair with a few leaders at a time (first 1, then 16, 256, ... more), those whose token
 stands earliest; leaders and members that a chain of verified links already connects are not paired. Of the pairs of
-a round each member first tries the one it shares most lists with; the others follow only where they still join two
+the first round each member tries the one it shares most lists with; the others follow only where they still join two
 components. Lists are dropped once they lie within one component or every member has led, so no link between different
 components is missed and a group of n near copies costs about n verifications.
 
 Scale: whole texts are read four times and never shuffled; postings (three numbers) are shuffled once; the sets of
 pairs are shuffled for verification, split by leader and salt, so that a hot leader spreads over tasks. Exact copies
 in one task send their postings once. What is broadcast has a fixed size: the sketch (`SKETCH` counters) and a bit
-table of the wanted classes (2^25 bits at most; collisions cost time, not results). Intermediate tables go to the
+table of the wanted classes (2^23 bits; collisions cost time, not results). Intermediate tables go to the
 shared folder.
 
 Nulls: null texts and texts without words have an empty set and link with nothing. Null ids are ignored as component
@@ -37,12 +40,22 @@ from pyspark.sql import functions as F
 
 from tracklark.llm.components import roots
 from tracklark.llm.shingles import U, mix, set_number, sets_of, words_of
-from tracklark.session import discard, materialize, table
+from tracklark.session import discard, materialize, small_enough, table
 
 SKETCH = 1 << 20
 SEGMENT = 1 << 14
 #: Classes whose postings a task has sent are remembered up to this number.
 REMEMBERED = 1 << 17
+#: So many pairs at most are broadcast (24 bytes each) to meet their sets without a shuffle; more are joined.
+BROADCAST_PAIRS = 500_000
+#: Rows of texts whose sets are held at a time.
+ROWS = 1024
+#: Ranges that the second order is cut into for the test of counts.
+RANGES = 64
+#: The table of wanted classes has 2^BITS bits.
+BITS = 23
+#: Each round has so many times more leaders than the one before.
+MORE_LEADERS = 16
 #: Pairs of one leader are dealt to tasks so many at a time.
 LEADER_PAIRS = 512
 
@@ -52,6 +65,12 @@ def required(n):
     return (4 * n + 4) // 5
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def word_sketch(texts: DataFrame) -> np.ndarray:
     """Occurrences of words by the low bits of their numbers, over all texts."""
     import zlib
@@ -60,7 +79,7 @@ def word_sketch(texts: DataFrame) -> np.ndarray:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for _, words, _ in words_of(batch.column(0)):
-                total += np.bincount((words & U(SKETCH - 1)).astype(np.intp), minlength=SKETCH)
+                np.add.at(total, (words & U(SKETCH - 1)).astype(np.intp), 1)
         parts = range(0, SKETCH, SEGMENT)
         yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([zlib.compress(total[p : p + SEGMENT].tobytes(), 1) for p in parts])], names=["at", "counts"])
 
@@ -97,7 +116,7 @@ def postings(texts: DataFrame, sketch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list[np.ndarray]] = [[], [], [], []]
             for tokens, least in sets_of(batch.column(0), counts):
                 n = len(tokens)
@@ -139,16 +158,18 @@ def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]
 def led_pairs(lists: DataFrame, low: int, high: int) -> DataFrame:
     """Pairs (kind 0: x leads y) for leaders ranked low to high - 1 of each list, and lists (kind 1) that stay open.
 
-    lists: token, cls, n, pos, comp.
+    lists: token, cls, n, pos, comp, and after the first round ranges, which pairs are tested with at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cls, n, pos, comp in whole_lists(batches):
+        for token, cls, n, pos, comp, *more in whole_lists(batches):
             order = np.lexsort((cls, pos, token))
             token, cls, n, pos, comp = (c[order] for c in (token, cls, n, pos, comp))
+            more = [c[order] for c in more]
             # Copies of a class in one list hold the same position, so they are neighbours now.
             new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
             token, cls, n, pos, comp = (c[new] for c in (token, cls, n, pos, comp))
+            more = [c[new] for c in more]
             start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             size = np.diff(np.append(start, len(token)))
             mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
@@ -156,6 +177,7 @@ def led_pairs(lists: DataFrame, low: int, high: int) -> DataFrame:
             token, cls, n, pos, comp = (c[keep] for c in (token, cls, n, pos, comp))
             if not len(token):
                 continue
+            ranges = ranges_of([c[keep] for c in more][0]) if more else None
             start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             size = np.diff(np.append(start, len(token)))
             first = np.repeat(start, size)
@@ -169,13 +191,17 @@ def led_pairs(lists: DataFrame, low: int, high: int) -> DataFrame:
                 # This token, if it is the first in common, and all behind it.
                 rest = np.minimum(n[x] - pos[x], n[y] - pos[y]).astype(np.int64)
                 ok = (5 * small >= 4 * large) & (9 * rest >= 4 * (small + large))
-                pairs.append(np.stack([cls[x[ok]], cls[y[ok]]], axis=1))
+                x, y = x[ok], y[ok]
+                if ranges is not None:
+                    ok = may_link(ranges, x, y)
+                    x, y = x[ok], y[ok]
+                pairs.append(np.stack([cls[x], cls[y]], axis=1))
             pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int8)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32())], names=NAMES)
-            more = np.repeat(size > high + 1, size)
-            if more.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(more.sum(), np.int8)), pa.array(token[more]), pa.array(cls[more]), pa.array(n[more]), pa.array(pos[more])], names=NAMES)
+            stay = np.repeat(size > high + 1, size)
+            if stay.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(stay.sum(), np.int8)), pa.array(token[stay]), pa.array(cls[stay]), pa.array(n[stay]), pa.array(pos[stay])], names=NAMES)
 
     return lists.repartition("token").sortWithinPartitions("token").mapInArrow(run, "kind byte, x long, y long, n int, pos int")
 
@@ -183,14 +209,50 @@ def led_pairs(lists: DataFrame, low: int, high: int) -> DataFrame:
 NAMES = ["kind", "x", "y", "n", "pos"]
 
 
-def bit_table(classes: DataFrame) -> np.ndarray:
-    """A table of bits that holds all of `classes` (column cls); 2^20 to 2^25 bits by their number."""
-    bits = max(20, min(25, (16 * classes.count()).bit_length()))
+def range_counts(tokens: np.ndarray) -> bytes:
+    """How many tokens lie in each of `RANGES` equal ranges of the second order."""
+    counts = np.bincount((tokens >> U(64 - RANGES.bit_length() + 1)).astype(np.intp), minlength=RANGES)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def ranges_of(column) -> np.ndarray:
+    """Counts by ranges; those of large sets take four bytes each."""
+    if all(len(b) == RANGES for b in column):
+        return np.frombuffer(b"".join(column), np.uint8).reshape(-1, RANGES)
+    return np.stack([np.frombuffer(b, np.uint8 if len(b) == RANGES else np.uint32) for b in column])
+
+
+def may_link(ranges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows can share enough tokens: in each range at most the smaller of both counts."""
+    out = np.zeros(len(x), bool)
+    size = ranges.sum(axis=1, dtype=np.int64)
+    for k in range(0, len(x), 1 << 14):
+        a, b = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
+        out[k : k + (1 << 14)] = 9 * np.minimum(ranges[a], ranges[b]).sum(axis=1, dtype=np.int64) >= 4 * (size[a] + size[b])
+    return out
+
+
+def by_ranges(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """The pairs (a, b, lists) that their sets' counts by ranges leave possible. store: cls and ranges."""
+    both = pairs.join(store.select(F.col("cls").alias("a"), F.col("ranges").alias("ra")), "a").join(store.select(F.col("cls").alias("b"), F.col("ranges").alias("rb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            ranges = ranges_of([*batch.column(3).to_pylist(), *batch.column(4).to_pylist()])
+            keep = pa.array(may_link(ranges, np.arange(n), np.arange(n, 2 * n)) if n else np.zeros(0, bool))
+            yield batch.select([0, 1, 2]).filter(keep)
+
+    return both.select("a", "b", "lists", "ra", "rb").mapInArrow(run, "a long, b long, lists long")
+
+
+def bit_table(classes: DataFrame, bits: int = BITS) -> np.ndarray:
+    """A table of 2^bits bits that holds all of `classes` (column cls, repeats allowed)."""
     place = F.shiftrightunsigned("cls", 64 - bits)
     words = classes.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(cls, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    found = words.toPandas()
     out = np.zeros(1 << (bits - 6), np.int64)
-    for batch in words.toPandas().itertuples(index=False):
-        out[batch.word] = batch.bits
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return out.view(U)
 
 
@@ -200,7 +262,8 @@ def in_table(bits: np.ndarray, cls: np.ndarray) -> np.ndarray:
 
 
 def wanted_sets(texts: DataFrame, classes: DataFrame, as_text: bool) -> DataFrame:
-    """cls, and the text or the set (tokens as bytes) for rows whose class is in `classes`, or collides with one.
+    """cls, and the text and the counts by ranges, or the set (tokens as bytes), for rows whose class is in `classes`,
+    or collides with one.
 
     texts: text, or text and cls if known. Each task sends a class once while it remembers it.
     """
@@ -208,7 +271,7 @@ def wanted_sets(texts: DataFrame, classes: DataFrame, as_text: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             text = batch.column(0)
             if batch.num_columns == 2:
                 text = text.filter(pa.array(in_table(shared.value, batch.column(1).to_numpy())))
@@ -221,12 +284,13 @@ def wanted_sets(texts: DataFrame, classes: DataFrame, as_text: bool) -> DataFram
                         seen.clear()
                     seen.add(c)
                     out.append((k, c, s))
-            for a in range(0, len(out), 1024):
-                part = out[a : a + 1024]
-                value = text.take(pa.array([k for k, _, _ in part])) if as_text else pa.array([s.tobytes() for _, _, s in part], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([c for _, c, _ in part], pa.int64()), value], names=["cls", "value"])
+            if as_text:
+                value = [text.take(pa.array([k for k, _, _ in out], pa.int64())), pa.array([range_counts(s) for _, _, s in out], pa.binary())]
+            else:
+                value = [pa.array([s.tobytes() for _, _, s in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([c for _, c, _ in out], pa.int64()), *value], names=["cls", "value", "ranges"][: 1 + len(value)])
 
-    return texts.mapInArrow(run, "cls long, value string" if as_text else "cls long, value binary")
+    return texts.mapInArrow(run, "cls long, value string, ranges binary" if as_text else "cls long, value binary")
 
 
 def shares_prefix(a: np.ndarray, b: np.ndarray) -> bool:
@@ -250,12 +314,14 @@ def other_order(tokens: np.ndarray) -> np.ndarray:
 
 def verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
     """The pairs (a, b) that link. store: text and cls."""
-    classes = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-    sets = wanted_sets(store, classes, as_text=False)
     count = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / LEADER_PAIRS) + 1).cast("int").alias("salts"))
     dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"))
-    members = dealt.join(sets.withColumnRenamed("cls", "b"), "b").select("a", "salt", "b", "value")
-    leaders = count.join(sets.withColumnRenamed("cls", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "value")
+    # A class is sent to each of its leaders' tasks as a member, and as a leader (b is null) to each of its own tasks.
+    sent = dealt.select(F.col("b").alias("cls"), "a", "salt", "b").unionByName(count.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b")))
+    sets = wanted_sets(store, sent.select("cls"), as_text=False)
+    if small_enough(pairs, BROADCAST_PAIRS):
+        sent = F.broadcast(sent)
+    both = sets.join(sent, "cls").select("a", "salt", "b", "value").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead, tokens, other, last = None, None, None, None
@@ -272,8 +338,7 @@ def verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
-    both = members.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
 def class_roots(texts: DataFrame) -> DataFrame:
@@ -282,7 +347,7 @@ def class_roots(texts: DataFrame) -> DataFrame:
     sketch = spark.sparkContext.broadcast(word_sketch(texts))
     lists = postings(texts, sketch).withColumn("comp", F.col("cls"))
     low, high, found, paths = 0, 1, None, []
-    store = tried = edges = None
+    store = ranges = tried = edges = None
 
     def with_comp(pairs: DataFrame) -> DataFrame:
         """Only the pairs of different components."""
@@ -295,16 +360,18 @@ def class_roots(texts: DataFrame) -> DataFrame:
         led, path = materialize(led_pairs(lists, low, high))
         paths.append(path)
         pairs = led.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
-        pairs, path = materialize(pairs)
-        paths.append(path)
         if store is None:
-            classes = led.where("kind = 1").select(F.col("y").alias("cls")).union(pairs.select("a")).union(pairs.select("b")).distinct()
+            # All classes of later rounds are in this round's lists and pairs.
+            classes = led.select(F.when(F.col("kind") == 1, F.array("y")).otherwise(F.array("x", "y")).alias("c")).select(F.explode("c").alias("cls"))
             known, path = materialize(wanted_sets(texts, classes, as_text=True))
             paths.append(path)
-            store = known.select("value", "cls")
+            store, ranges = known.select("value", "cls"), known.select("cls", "ranges").dropDuplicates(["cls"])
+            pairs = by_ranges(pairs, ranges)
+        pairs, path = materialize(pairs)
+        paths.append(path)
         unordered = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b")
-        for turn in ("best", "rest"):
+        for turn in ("best", "rest") if low == 0 else ("rest",):
             todo = best if turn == "best" else pairs.select("a", "b")
             todo = with_comp(todo).withColumns({"low": unordered[0], "high": unordered[1]}).dropDuplicates(["low", "high"])
             if tried is not None:
@@ -321,11 +388,11 @@ def class_roots(texts: DataFrame) -> DataFrame:
         still = led.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("cls"), "n", "pos")
         if still.isEmpty():
             break
-        if found is None:
-            lists = still.withColumn("comp", F.col("cls"))
-        else:
+        lists = still.withColumn("comp", F.col("cls"))
+        if found is not None:
             lists = still.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp"))
-        low, high = high, high + 4 * (high - low)
+        lists = lists.join(ranges, "cls").select("token", "cls", "n", "pos", "comp", "ranges")
+        low, high = high, high + MORE_LEADERS * (high - low)
     out = found if found is not None else spark.createDataFrame([], "node long, root long")
     sketch.unpersist()
     discard(spark, *paths)
