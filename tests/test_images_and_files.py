@@ -5,6 +5,7 @@ import pytest
 
 from tracklark.functions import kernels as K
 from tracklark.operators import linking, pixels, quality
+from tracklark.plans.catalogue import QUERIES
 from tracklark.sources import binary, sinks, tracks
 from tracklark.streaming import events
 
@@ -39,6 +40,15 @@ def test_static_roi_is_one_component_and_needs_a_wide_dilation(spark):
         pixels.static_roi(anchor, support, 4)
 
 
+def test_static_roi_query_takes_all_tracks_and_frames(spark, tmp_path):
+    rows = [(u, k, float(v)) for k, (u, v) in enumerate([(3, 0), (250, 2), (250, 30), (3, 39), (70000, 20)], 1)]
+    spark.createDataFrame(rows, "user_id long, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    paths = {3: pixels.line(0, 1, 39, 4), 250: pixels.line(2, 2, 30, 3), 70000: [(20, 5)]}
+    want = {(u, y, x) for u, path in paths.items() for y in range(40) for x in range(40) if any(abs(y - a) + abs(x - b) <= 5 for a, b in path)}
+    got = QUERIES["static_roi"](spark, str(tmp_path)).collect()
+    assert {(r.img, r.y, r.x) for r in got} == want and len(got) == len(want)
+
+
 def test_merged_and_deduplicated_masks(spark):
     square = lambda obj, y0, x0, n: [(1, obj, y, x) for y in range(y0, y0 + n) for x in range(x0, x0 + n)]
     masks = spark.createDataFrame(square(1, 0, 0, 4) + square(2, 0, 5, 4) + square(3, 30, 30, 3), "fov long, obj long, y int, x int")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracklark.functions import kernels
 from tracklark.operators.graph import labels
+from tracklark.operators.linking import spread
 
 OBJECT = ("img",)
 
@@ -159,17 +160,22 @@ def line(y0: int, x0: int, y1: int, x1: int) -> list[tuple[int, int]]:
 
 
 def static_roi(points: DataFrame, support: DataFrame, rounds: int = 5, by: tuple[str, ...] = OBJECT) -> DataFrame:
-    """Pixels within `rounds` city blocks of the path through a track's points (y, x, by frame) that lie in the support."""
+    """Pixels within `rounds` city blocks of the path through a track's points (y, x, by frame) that lie in the support.
+
+    A support without the columns `by` is one plane that all tracks share. Tracks are dealt out once, by `by`: few bytes
+    in, but many pixels each.
+    """
     if rounds < 5:
         raise ValueError("a static ROI needs a dilation of 5 or more")
     w = Window.partitionBy(*by).orderBy("frame")
-    ends = points.select(*by, "frame", F.bround("y").cast("int").alias("y"), F.bround("x").cast("int").alias("x"))
+    ends = spread(points.select(*by, "frame", F.bround("y").cast("int").alias("y"), F.bround("x").cast("int").alias("x")), *by)
     ends = ends.withColumns({"y0": F.coalesce(F.lag("y").over(w), "y"), "x0": F.coalesce(F.lag("x").over(w), "x")})
     n = F.greatest(F.abs(F.col("y") - F.col("y0")), F.abs(F.col("x") - F.col("x0")), F.lit(1))
     cut = ends.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
     at = lambda a, b: F.bround(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")).cast("int")
     path = cut.select(*by, at("y0", "y").alias("y"), at("x0", "x").alias("x")).distinct()
-    return dilated(path, rounds, by).join(support.select(*by, "y", "x"), [*by, "y", "x"], "left_semi")
+    on = [*(c for c in by if c in support.columns), "y", "x"]
+    return dilated(path, rounds, by).join(support.select(*on), on, "left_semi")
 
 
 def projected(planes: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:

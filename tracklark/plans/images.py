@@ -163,9 +163,8 @@ def mask_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def static_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    track = table(spark, sf_dir, "events").where("user_id < 20").select(F.col("user_id").alias("img"), F.col("event_id").alias("frame"), (F.col("value") % 40).alias("y"), (F.col("event_id") % 37).cast("double").alias("x"))
-    support = P.scaffold(spark, 20, 40, 40).select(F.col("t").cast("long").alias("img"), "y", "x")
-    return P.static_roi(track.where("frame % 50 = 0"), support)
+    track = table(spark, sf_dir, "events").select(F.col("user_id").alias("img"), F.col("event_id").alias("frame"), (F.col("value") % 40).alias("y"), (F.col("event_id") % 37).cast("double").alias("x"))
+    return P.static_roi(track, P.scaffold(spark, 1, 40, 40).select("y", "x"))
 
 
 @query("SELECT CAST(t AS INTEGER) AS t, count(*) AS px, CAST(sum(y) AS BIGINT) AS ys, CAST(sum(x) AS BIGINT) AS xs FROM unnest(range(0, 3)) AS a(t), unnest(range(0, 40)) AS b(y), unnest(range(0, 30)) AS c(x) GROUP BY t")
