@@ -8,6 +8,8 @@ import pytest
 
 from tracklark.functions.assignment import assign
 from tracklark.operators import features, linking, matching, steps
+from tracklark.plans.catalogue import QUERIES
+from tracklark.plans.registry import hourly
 
 POINTS = "track_id long, frame int, x double, y double"
 
@@ -179,6 +181,33 @@ def test_delaunay_edges(spark):
     assert got[1].points == 4 and np.isclose(got[1].edge_min, 3.0) and got[2].edge_mean is None
 
 
+def plain_follow(spots, reference, step, reach):
+    out = []
+    for t in {r[0] for r in reference}:
+        own = {f: (x, y) for u, f, x, y in reference if u == t}
+        mean, last = np.mean(list(own.values()), axis=0), None
+        for f in sorted({s[0] for s in spots}):
+            near = [(np.hypot(x - own.get(f, mean)[0], y - own.get(f, mean)[1]), x, y) for g, x, y in sorted(spots) if g == f]
+            near = [s for s in near if s[0] <= reach]
+            moved = [(np.hypot(x - last[0], y - last[1]), x, y) for _, x, y in near] if last else []
+            if near:
+                first = bool(moved) and min(moved)[0] <= step
+                last = min(moved if first else near)[1:]
+                out.append((t, f, *last, first))
+    return sorted(out)
+
+
+def test_follow_reference_query_takes_all_tracks(spark, tmp_path):
+    draw = np.random.default_rng(6)
+    users = (3, 19, 20, 250, 70000)
+    rows = [(k, int(u), "click" if k % 3 else "view", float(draw.integers(0, 60)), '{"k": %d}' % draw.integers(0, 60), int(draw.integers(0, 40))) for k, u in enumerate(draw.choice(users, 400))]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string, h int").selectExpr("*", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, h) ts").drop("h")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    points = hourly(spark, str(tmp_path)).collect()
+    want = plain_follow([(r.frame, r.x, r.y) for r in points if r.channel == "view"], [(r.track_id, r.frame, r.x, r.y) for r in points if r.channel == "click"], 20.0, 30.0)
+    assert sorted(map(tuple, QUERIES["follow_reference"](spark, str(tmp_path)).collect())) == want and {r[0] for r in want} == set(users)
+
+
 # Matching
 
 

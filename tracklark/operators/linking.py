@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklark.functions.assignment import assign, clusters
+from tracklark.operators.spatial import within_radius
 
 
 @dataclass
@@ -102,29 +103,47 @@ def fixed_spot(components: DataFrame, spots: DataFrame, reach: float = 30.0) ->
     return pairs.withColumn("distance", distance).where(F.col("distance") < reach).groupBy("spot", "frame").agg(F.min_by(F.struct("x", "y", "distance"), F.struct("distance", "x", "y")).alias("best")).select("spot", "frame", "best.*")
 
 
+def near_reference(spots: DataFrame, reference: DataFrame, reach: float, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
+    """by, frame, x, y: for each track the spots (frame, x, y) within `reach` of its reference, in every frame with
+    spots. All tracks share the spots; a grid join on frame and place attaches them."""
+    mean = reference.groupBy(*by).agg(F.avg("rx").alias("mx"), F.avg("ry").alias("my"))
+    places = spots.select("frame").distinct().crossJoin(mean).join(reference, [*by, "frame"], "left")
+    places = places.select(*by, "frame", F.coalesce("rx", "mx").alias("x"), F.coalesce("ry", "my").alias("y"))
+    # The places are many more than the spots, so the spots are the side that is spread over cells.
+    pairs = within_radius(places, spots.select("frame", F.col("x").alias("rx"), F.col("y").alias("ry")), reach, ("frame",))
+    return pairs.select(*by, "frame", F.col("rx").alias("x"), F.col("ry").alias("y"))
+
+
 def follow_reference(components: DataFrame, reference: DataFrame, step: float, reach: float, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """For each track the chosen component of each frame: nearest to the last choice among those within `step` of it and
     within `reach` of the reference; else the nearest to the reference within `reach`; else none.
 
-    reference: by, frame, rx, ry, where missing frames take the reference's mean place. components: by, frame, x, y.
+    reference: by, frame, rx, ry, where missing frames take the reference's mean place. components: by, frame, x, y;
+    without the columns `by`, all tracks choose among the same components.
     """
+    if not set(by) <= set(components.columns):
+        # The fold decides what is in reach, so rounding in the join must not take a component away.
+        components = near_reference(components, reference, reach * (1 + 1e-9), by)
     mean = reference.groupBy(*by).agg(F.avg("rx").alias("mx"), F.avg("ry").alias("my"))
-    rows = components.join(mean, list(by)).join(reference, [*by, "frame"], "left")
+    rows = components.where("frame IS NOT NULL").join(mean, list(by)).join(reference, [*by, "frame"], "left")
     rows = rows.select(*by, "frame", "x", "y", F.coalesce("rx", "mx").alias("rx"), F.coalesce("ry", "my").alias("ry"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for _, own in pdf.sort_values(["frame", "x", "y"]).groupby("frame", sort=True):
-            xy = own[["x", "y"]].to_numpy(float)
-            away = np.hypot(*(xy - own[["rx", "ry"]].to_numpy(float)).T)
-            moved = np.hypot(*(xy - last).T) if last is not None else np.full(len(xy), np.inf)
-            first = np.flatnonzero((moved <= step) & (away <= reach))
-            other = np.flatnonzero(away <= reach)
-            if len(first) or len(other):
-                k = first[moved[first].argmin()] if len(first) else other[away[other].argmin()]
-                last = xy[k]
-                out.append(own.iloc[[k]].assign(primary=bool(len(first))))
-        return pd.concat(out)[[*by, "frame", "x", "y", "primary"]] if out else pdf.iloc[:0][[*by, "frame", "x", "y"]].assign(primary=pd.Series(dtype=bool))
+        pdf = pdf.sort_values(["frame", "x", "y"])
+        xy, frames = pdf[["x", "y"]].to_numpy(float), pdf.frame.to_numpy()
+        away = np.hypot(*(xy - pdf[["rx", "ry"]].to_numpy(float)).T)
+        edges = [0, *(np.flatnonzero(frames[1:] != frames[:-1]) + 1).tolist(), len(frames)]
+        chosen, primary, last = [], [], None
+        for a, b in zip(edges, edges[1:]):
+            near = a + np.flatnonzero(away[a:b] <= reach)
+            if not len(near):
+                continue
+            moved = np.hypot(*(xy[near] - last).T) if last is not None else np.full(len(near), np.inf)
+            k = moved.argmin()
+            primary.append(bool(moved[k] <= step))
+            chosen.append(near[k] if primary[-1] else near[away[near].argmin()])
+            last = xy[chosen[-1]]
+        return pdf.iloc[chosen][[*by, "frame", "x", "y"]].assign(primary=np.array(primary, bool))
 
     return spread(rows, *by).groupBy(*by).applyInPandas(fold, rows.select(*by, "frame", "x", "y").selectExpr("*", "true AS primary").schema)
 

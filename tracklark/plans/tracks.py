@@ -256,8 +256,8 @@ def seed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def follow_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hourly(spark, sf_dir).where("channel = 'click'")
-    reference = h.where("track_id < 20").select("track_id", "frame", F.col("x").alias("rx"), F.col("y").alias("ry"))
-    spots = _detections(spark, sf_dir).where("channel = 'view'").select("frame", "x", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("track_id"))
+    reference = h.select("track_id", "frame", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    spots = _detections(spark, sf_dir).where("channel = 'view'").select("frame", "x", "y")
     return linking.follow_reference(spots, reference, 20.0, 30.0)
 
 
