@@ -208,6 +208,15 @@ def test_follow_reference_query_takes_all_tracks(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["follow_reference"](spark, str(tmp_path)).collect())) == want and {r[0] for r in want} == set(users)
 
 
+def test_crowding_query_takes_all_detections(spark, tmp_path):
+    corners = [(0, 0), (30, 0), (0, 40)]
+    rows = [(8 * n, float(x), '{"k": %d}' % y, h) for h in (5, 60, 61, 700) for n, (x, y) in enumerate(corners)]
+    events = spark.createDataFrame(rows, "user_id long, value double, props string, h int").selectExpr("monotonically_increasing_id() event_id", "user_id", "'view' event_type", "value", "props", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, h) ts")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.frame: r for r in QUERIES["crowding"](spark, str(tmp_path)).collect()}
+    assert {f: (r.points, r.edge_mean, r.edge_min, r.edge_std) for f, r in got.items()} == dict.fromkeys((6, 61, 62, 701), (3, 40.0, 30.0, 10.0))
+
+
 # Matching
 
 

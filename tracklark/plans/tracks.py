@@ -273,7 +273,7 @@ def fixed_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def crowding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(linking.crowding(_detections(spark, sf_dir).where("frame <= 60"), ("movie", "channel")))
+    return rounded(linking.crowding(_detections(spark, sf_dir), ("movie", "channel", "frame")))
 
 
 @query(
