@@ -151,6 +151,19 @@ def test_search_equals_brute_force_with_ties_and_odd_rows(spark):
     assert vectors.top_k(frame.limit(0), frame.limit(0)).count() == 0 and vectors.top_k(frame, frame.where("vec_id = 5000")).count() == 0
 
 
+def test_search_query_leaves_out_vectors_that_are_not_finite(spark, tmp_path):
+    draw = np.random.default_rng(7)
+    rows = [(k, [float(x) for x in draw.normal(0, 1, 4)]) for k in range(60)]
+    nan, inf = float("nan"), float("inf")
+    odd = [(80, [nan] * 4), (100, [inf, 1.0, 1.0, 1.0]), (101, [inf] * 4), (102, [-inf] * 4), (103, [nan, 9.0, 9.0, 9.0]), (120, None), (104, [None, 9.0, 9.0, 9.0])]
+    spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(vectors.ORACLE).fetchall()
+    got = vectors.op6_vector_top_k(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and {r[0] for r in want} == {0, 20, 40}
+
+
 # Packing
 
 
