@@ -85,6 +85,16 @@ def test_removal(spark):
     assert [r.n_words for r in decontamination.contamination(docs, items.limit(0)).orderBy("doc_id").collect()] == [212, 12, 100, 0]
 
 
+def test_removal_looks_again_where_cutting_closes_a_gap(spark):
+    leak, other = "one two three four five six seven eight nine ten", " ".join(f"b{k}" for k in range(10))
+    rest = " ".join(f"w{k}" for k in range(200))
+    halves = f"{leak[:18]} {other} {leak[19:]}"
+    docs = spark.createDataFrame([(1, f"{rest} {halves} end", None, None, 0), (2, rest, None, None, 0)], DOCS)
+    items = spark.createDataFrame([(7, leak), (8, other)], ITEMS)
+    kept = {r.doc_id: r.text.split() for r in decontamination.remove(docs, items).collect()}
+    assert kept == {1: [*rest.split(), "end"], 2: rest.split()}
+
+
 # Sharding
 
 

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tracklark.llm.batches import per_row
 from tracklark.session import materialize, table
@@ -222,13 +222,10 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
     """`docs` without contamination.
 
     A document of which more than `most_coverage` of the words are hit goes. From the others, hit spans of more than
-    `most_words` words are cut; cutting may close a gap between the halves of another span of the same document, which
-    is not looked for again.
+    `most_words` words are cut. Cutting may close a gap between the halves of another span, so documents that were cut
+    are searched again, by the same rules, until nothing is cut.
     """
-    found = with_hits(docs, docs.columns, text_col, items, item_id, item_text, window)
-    n_hit = F.aggregate("hit", F.lit(0), lambda t, s: t + s["end"] - s["start"])
-    kept = found.where((n_hit == 0) | (n_hit <= most_coverage * F.col("n_words")))
-    place = docs.columns.index(text_col)
+    place, names = docs.columns.index(text_col), docs.columns
 
     def start():
         def row(row, hit, _, __):
@@ -236,12 +233,24 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
             spans = [(s["start"], s["end"]) for s in hit if s["end"] - s["start"] > most_words]
             if spans:
                 values[place] = cut(values[place], spans)
-            return tuple(values)
+            return tuple(values), bool(spans)
 
         return row
 
-    names = docs.columns
-    return per_row(kept, docs.schema, start)
+    kind = StructType([StructField("row", docs.schema), StructField("again", BooleanType())])
+    out, todo = None, docs
+    while True:
+        found = with_hits(todo, names, text_col, items, item_id, item_text, window)
+        n_hit = F.aggregate("hit", F.lit(0), lambda t, s: t + s["end"] - s["start"])
+        kept = per_row(found.where((n_hit == 0) | (n_hit <= most_coverage * F.col("n_words"))), kind, start)
+        if most_coverage > 0:
+            kept, _ = materialize(kept)
+        done = kept.where("NOT again").select("row.*")
+        out = done if out is None else out.union(done)
+        # With a limit of 0 no document with a hit is left to be cut.
+        todo = kept.where("again").select("row.*")
+        if most_coverage <= 0 or todo.isEmpty():
+            return out
 
 
 def op1_benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
