@@ -176,3 +176,9 @@ def test_token_query_with_the_real_vocabulary(spark, sf_dir):
     assert sorted((r.doc_id, r.n_words) for r in wordpieces.token_counts(odd, PIECES).collect()) == [(1, 0), (2, 0), (2, 1)]
     with pytest.raises(ValueError):
         wordpieces.token_counts(odd, PIECES, most_pieces=3)
+
+
+def test_a_notice_with_more_edits_before_the_best_one_is_found():
+    joined = "mozila publik license mozilla publik license"
+    found = {(joined[h.start : h.end], h.edits) for h in licenses.hits(joined) if h.notice == "mozilla public license"}
+    assert found == {("mozila publik license", 2), ("mozilla publik license", 1)}

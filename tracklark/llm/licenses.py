@@ -13,6 +13,7 @@ table an empty one. Only the id and text columns are read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -94,6 +95,18 @@ def windows(s: Searcher, joined: str) -> list[tuple[int, int]]:
     return merged
 
 
+def fuzzy(s: Searcher, joined: str, start: int, end: int) -> Iterator[regex.Match]:
+    """Non-overlapping matches between two places: the best of all, then those before and behind it."""
+    todo = [(start, end)]
+    while todo:
+        a, b = todo.pop()
+        m = s.pattern.search(joined, a, b) if b - a >= len(s.notice) - s.most else None
+        if m:
+            yield m
+            # A match begins behind a space, which belongs to neither side.
+            todo += [(a, m.start() - 1), (m.end(), b)]
+
+
 def hits(joined: str, notices: tuple[str, ...] = tuple(NOTICES)) -> list[Hit]:
     """All exact places of each notice, and the non-overlapping fuzzy ones between them."""
     out = []
@@ -112,10 +125,9 @@ def hits(joined: str, notices: tuple[str, ...] = tuple(NOTICES)) -> list[Hit]:
             out += [Hit(notice, p, end, 0) for p, end in exact]
             if s.most:
                 for p, end in [*exact, (b, b)]:
-                    if p - free >= len(notice) - s.most:
-                        for m in s.pattern.finditer(joined, free, p):
-                            if sum(m.fuzzy_counts) and (m.start() == 0 or joined[m.start() - 1] == " ") and (m.end() == len(joined) or joined[m.end()] == " "):
-                                out.append(Hit(notice, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    for m in fuzzy(s, joined, free, p):
+                        if sum(m.fuzzy_counts) and (m.start() == 0 or joined[m.start() - 1] == " ") and (m.end() == len(joined) or joined[m.end()] == " "):
+                            out.append(Hit(notice, m.start(), m.end(), sum(m.fuzzy_counts)))
                     free = end
     return out
 
