@@ -15,13 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir` if the session has it, else one made for tests."""
+    """The folder all executors share: `spark.checkpoint.dir` if the session has it, else the checkpoint folder in use.
+
+    Without either, a local session gets a temporary folder and any other session an error: executors of a cluster do
+    not see each other's disks.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracklark-"))
     return spark.sparkContext.getCheckpointDir()
 
