@@ -93,18 +93,72 @@ def test_one_document_of_each_group_stays(spark):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["4", "8", "9", "None"]
 
 
+def test_rows_that_repeat_an_id_stay_if_their_texts_are_others(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(60)) for c in "xy")
+    rows = [(3, one, "a"), (7, one, "b"), (7, two, "c"), (3, one, "d"), (3, one, "d"), (3, two.upper(), "e"), (9, "", "f"), (9, "", "f"), (8, two, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cls string").repartition(4)
+    kept = sorted((r.doc_id, plain_set(r.text) == plain_set(one), r.cls) for r in jaccard.deduplicate(docs).collect())
+    # One row of (3, one), the row (3, TWO) and both empty ones; (7, two) and (8, two) link to (3, TWO).
+    assert [k[:2] for k in kept] == [(3, False), (3, True), (9, False), (9, False)] and kept[1][2] in "ad"
+    plain = spark.createDataFrame([(3, one, "a"), (7, one, "b"), (7, two, "c")], "doc_id long, text string, cls string")
+    assert sorted((r.doc_id, r.cls) for r in jaccard.deduplicate(plain).collect()) == [(3, "a"), (7, "c")]
+
+
+def test_class_numbers_that_several_sets_share(spark):
+    rows = [(k, " ".join(f"{k // 3}w{j}" for j in range(30)) + (" end" if k % 3 else "")) for k in range(40)]
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), bits=3)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain_components(rows)
+
+
+def pairs_of(spark, lists, leaders, most):
+    """All pairs that rounds of led_pairs list, until no list is open."""
+    out, rounds = set(), 0
+    while True:
+        led = jaccard.led_pairs(lists, leaders, most).collect()
+        out |= {(r.x, r.y) for r in led if not r.kind}
+        rounds += 1
+        still = [(r.x, r.y, r.before, r.place, r.y, bytes([200] * jaccard.RANGES)) for r in led if r.kind]
+        if not still:
+            return out, rounds
+        lists, leaders = spark.createDataFrame(still, "token long, cls long, before long, place long, comp long, ranges binary"), leaders * 16
+
+
+@pytest.mark.parametrize("most", [jaccard.LIST_ROWS, 30])
+def test_lists_of_any_length_give_all_their_pairs(spark, most):
+    draw, kind = random.Random(4), "token long, cls long, before long, place long, comp long"
+    rows = []
+    for token, size in ((5, 2), (6, 16), (7, 17), (9, 40), (-3, 300)):
+        members = draw.sample(range(-(10**6), 10**6), size)
+        rows += [(token, c, k, 100 << 32 | 1, c) for k, c in enumerate(members)] + [(token, members[0], 0, 100 << 32 | 1, members[0])]
+    got, rounds = pairs_of(spark, spark.createDataFrame(rows, kind).repartition(3), 1, most)
+    by = {t: sorted({r[1] for r in rows if r[0] == t}) for t in {r[0] for r in rows}}
+    assert got == {(a, b) for own in by.values() for k, a in enumerate(own) for b in own[k + 1 :]} and rounds > 2
+    parts = [*jaccard.parts_of_lists(np.repeat([1, 2, 3], [5, 40000, 7]))]
+    assert [p.stop for p in parts][-1] == 40012 and all(p.stop in (5, 40005, 40012) for p in parts)
+
+
+def test_a_long_list_of_unlinked_members_streams():
+    """20,000 members that share a token, in batches: no more than a part is held."""
+    n = 20000
+    batch = lambda token, cls: pa.RecordBatch.from_arrays([pa.array(np.full(len(cls), token)), *(pa.array(cls) for _ in range(4))], names=list("abcde"))
+    batches = [batch(8, np.arange(k, min(k + 999, n))) for k in range(0, n, 999)]
+    parts = [*jaccard.sorted_lists(iter(batches), 2500)]
+    assert not any(done for done, _ in parts[:-1]) and max(len(c[0]) for _, c in parts) < 4000
+    assert np.concatenate([c[1] for _, c in parts]).tolist() == list(range(n))
+    more = [*jaccard.sorted_lists(iter([batch(7, np.arange(5)), *batches, batch(8, np.arange(n - 1, n + 2)), batch(9, np.arange(3))]), 2500)]
+    assert [len(c[0]) for done, c in more if done] == [5, 3] and sum(len(c[0]) for done, c in more if not done) == n + 2
+
+
 def test_numbers_of_words_do_not_depend_on_their_place():
     texts = ["", "a", None, "the Cat  sat\ton the mat and the cat sat on it", "the cat sat on the mat", "é ß", "x" * 5000]
-    one = [s.tolist() for s, _ in shingles.sets_of(pa.array(texts))]
+    one = [s.tolist() for s in shingles.sets_of(pa.array(texts))]
     for k, t in enumerate(texts):
-        assert next(iter(shingles.sets_of(pa.array([t]))))[0].tolist() == one[k]
+        assert next(iter(shingles.sets_of(pa.array([t])))).tolist() == one[k]
         assert len(one[k]) == len(plain_set(t))
-    assert [s.tolist() for s, _ in shingles.sets_of(pa.array(texts).slice(3, 3))] == one[3:6]
-    counts = np.zeros(1 << 10, np.uint32)
-    assert [s.tolist() for s, _ in shingles.sets_of(pa.array(texts), counts)] == one
+    assert [s.tolist() for s in shingles.sets_of(pa.array(texts).slice(3, 3))] == one[3:6]
     saved, shingles.CHUNK = shingles.CHUNK, 8
     try:
-        assert [s.tolist() for s, _ in shingles.sets_of(pa.array(texts))] == one
+        assert [s.tolist() for s in shingles.sets_of(pa.array(texts))] == one
     finally:
         shingles.CHUNK = saved
 
@@ -124,5 +178,5 @@ def test_component_roots(spark, seed):
         root[max(find(a), find(b))] = min(find(a), find(b))
     want = {x: find(x) for a, b in edges for x in (a, b) if find(x) != x or any(y != x and find(y) == x for y in root)}
     for one_task in (1000, 4):
-        got = {r.node: r.root for r in components.roots(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
+        got = {r.node: r.root for r in components.roots(spark.createDataFrame(edges, "a long, b long"), one_task)[0].collect()}
         assert got == want

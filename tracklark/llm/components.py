@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklark.llm.batches import mapped
 from tracklark.session import discard, materialize, small_enough
 
 #: A contracted graph of so many edges at most is finished by one task, which then holds some tens of megabytes.
@@ -37,8 +38,8 @@ def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["node", "root"])
 
 
-def roots(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """node and root of each node with an edge (a, b).
+def roots(edges: DataFrame, one_task: int = ONE_TASK) -> tuple[DataFrame, str]:
+    """node and root of each node with an edge (a, b), and the path of that table.
 
     Each round lets every node follow its smallest neighbour, if that is smaller, and contracts the graph to the nodes
     followed; ids are hashes, so the number of nodes falls by a constant factor in each round. Once `one_task` edges or
@@ -57,10 +58,10 @@ def roots(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         left, after = materialize(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         discard(spark, held)
         held = after
-    last = left.coalesce(1).mapInArrow(finished, "node long, root long")
-    out, _ = materialize(followed(lead, last.withColumnRenamed("root", "to")))
+    last = mapped(left.coalesce(1), finished, "node long, root long")
+    out, path = materialize(followed(lead, last.withColumnRenamed("root", "to")))
     discard(spark, held, *paths)
-    return out
+    return out, path
 
 
 def followed(lead: DataFrame | None, step: DataFrame) -> DataFrame:

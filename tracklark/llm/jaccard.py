@@ -1,28 +1,33 @@
 """N-gram Jaccard join with filters of several global token orders.
 
 Texts are sets of five-word shingles; two link if 5 * |intersection| >= 4 * |union|. If sets that link are sorted by
-any one order of all tokens, their prefixes of n - ceil(4n / 5) + 1 tokens share a token. Three orders are used and a
-pair has to pass all three before it is verified:
-
-1. rarest words first (the least count among the shingle's words, in a sketch of fixed size over the whole corpus).
-   Postings of these prefixes are grouped by token; sizes and positions are tested there.
-2. an order by hash, tested first by counts: it is cut into ranges, in each of which two sets share no more tokens
-   than the smaller one has. Pairs go through this test before sets are sent, and from the second round on before
-   they are even listed. Then the prefixes themselves are tested.
-3. an order by another hash, whose prefixes are tested just before the exact count.
-
-Only connectivity is asked for, so pairs inside a component are not all listed. Texts with equal sets are one class.
-In each posting list the members pair with a few leaders at a time (first 1, then 16, 256, ... more), those whose token
-stands earliest; leaders and members that a chain of verified links already connects are not paired. Of the pairs of
-the first round each member tries the one it shares most lists with; the others follow only where they still join two
-components. Lists are dropped once they lie within one component or every member has led, so no link between different
-components is missed and a group of n near copies costs about n verifications.
-
-Scale: whole texts are read four times and never shuffled; postings (three numbers) are shuffled once; the sets of
-pairs are shuffled for verification, split by leader and salt, so that a hot leader spreads over tasks. Exact copies
-in one task send their postings once. What is broadcast has a fixed size: the sketch (`SKETCH` counters) and a bit
-table of the wanted classes (2^23 bits; collisions cost time, not results). Intermediate tables go to the
-shared folder.
+any one order of all tokens, their prefixes of n - ceil(4n / 5) + 1 tokens share a token. Three orders are used. All
+put the tokens first that are rare in the corpus (by a sketch of shingle counts, so that passages which many texts
+repeat come last) and differ in how they order tokens as rare as each other. Candidates are intersected before any set
+is sent:
+
+1. Postings of the prefixes under the first order are grouped by token; sizes and positions are tested there.
+2. The pairs found meet their prefixes under the second and the third order and go unless they share a token of each.
+   They also go if counts by `RANGES` ranges of token numbers leave too small an overlap.
+3. The pairs left meet their sets for the exact count.
+
+Only connectivity is asked for, so pairs inside a component need not all be listed. Texts with equal sets are one
+class. A list of up to `SHORT_LIST` members gives all its pairs at once, each only in the list of the first token that
+both have (their tokens before it differ). In a longer list the members pair with a few leaders at a time (1, then 16,
+256, ... more), the same classes in all lists; leaders and members that verified links already connect are not paired,
+and later rounds test counts by ranges inside the list. Of the pairs of the first round each member tries the one it
+shares most lists with; the others follow only where they still join two components. Lists are dropped once they lie
+within one component or every member has led. So no link between different components is missed, and the pairs of a
+round are at most a fixed number for each posting. A list of any length streams by its leaders; it is never held.
+
+Scale: whole texts are read three times and not shuffled; postings (four numbers) are shuffled once. Classes that are in
+a pair or an open list after the first round are stored again, as texts with their filters' data; verification
+reads that store. Sets are sent for pairs only, dealt by leader and salt, so that a hot leader spreads over tasks. What
+is broadcast has a size bound: one byte for each of 2^SKETCH_BITS counters, and a bit table of the wanted classes (2^23
+to 2^27 bits; collisions cost time, not results). Intermediate tables go to the shared folder.
+
+Class numbers have 64 bits and are checked by 64 more: numbers that two different sets share are found in the table of
+all rows, sent to the tasks (some hundreds among 10^11 sets) and replaced by numbers from both.
 
 Nulls: null texts and texts without words have an empty set and link with nothing. Null ids are ignored as component
 ids. Repeated rows are rows of their own, in one class. An empty table gives an empty table. `deduplicate` passes
@@ -31,31 +36,36 @@ all columns through whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from tracklark.llm.batches import mapped, slices
 from tracklark.llm.components import roots
-from tracklark.llm.shingles import U, mix, set_number, sets_of, words_of
+from tracklark.llm.shingles import U, mix, set_numbers, sets_of
 from tracklark.session import discard, materialize, small_enough, table
 
-SKETCH = 1 << 20
-SEGMENT = 1 << 14
-#: Classes whose postings a task has sent are remembered up to this number.
-REMEMBERED = 1 << 17
+#: The sketch has 2^SKETCH_BITS counters and travels in segments.
+SKETCH_BITS, SEGMENT = 22, 1 << 16
+#: Classes that a task has sent are remembered up to this number.
+REMEMBERED = 1 << 16
 #: So many pairs at most are broadcast (24 bytes each) to meet their sets without a shuffle; more are joined.
 BROADCAST_PAIRS = 500_000
 #: Rows of texts whose sets are held at a time.
-ROWS = 1024
-#: Ranges that the second order is cut into for the test of counts.
+ROWS = 512
+#: Ranges that token numbers are cut into for the test of counts.
 RANGES = 64
-#: The table of wanted classes has 2^BITS bits.
-BITS = 23
-#: Each round has so many times more leaders than the one before.
-MORE_LEADERS = 16
+#: The table of wanted classes has 2^23 bits, or more for more classes, up to 2^27.
+LEAST_BITS, MOST_BITS = 23, 27
+#: Lists of so many members give all pairs in the first round.
+SHORT_LIST = 16
+#: Each round has so many times more leaders than the one before, up to a bound.
+MORE_LEADERS, MOST_LEADERS = 16, 4096
 #: Pairs of one leader are dealt to tasks so many at a time.
 LEADER_PAIRS = 512
 
@@ -65,152 +75,257 @@ def required(n):
     return (4 * n + 4) // 5
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS):
-            yield batch.slice(at, ROWS)
+def class_number(tokens: np.ndarray, bits: int, torn: frozenset) -> tuple[int, int]:
+    """A set's class and the number that checks it. torn: classes that stood for several sets."""
+    one, two = set_numbers(tokens)
+    if bits < 64:
+        one &= (1 << bits) - 1
+    return (one ^ two if one in torn else one), two
 
 
-def word_sketch(texts: DataFrame) -> np.ndarray:
-    """Occurrences of words by the low bits of their numbers, over all texts."""
-    import zlib
+def classed(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, cls and check (null without shingles) of each row; and, in rows with `at`, segments of the
+    counts of tokens by their highest bits, each class counted once in a task."""
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    names = ["doc_id", "n_shingles", "cls", "check", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for _, words, _ in words_of(batch.column(0)):
-                np.add.at(total, (words & U(SKETCH - 1)).astype(np.intp), 1)
-        parts = range(0, SKETCH, SEGMENT)
-        yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([zlib.compress(total[p : p + SEGMENT].tobytes(), 1) for p in parts])], names=["at", "counts"])
+        total, seen, held, size = np.zeros(1 << SKETCH_BITS, np.uint32), set(), [], 0
+        for batch in slices(batches, ROWS):
+            found = []
+            for s in sets_of(batch.column(1)):
+                if not len(s):
+                    found.append((0, None, None))
+                    continue
+                cls, check = class_number(s, bits, frozenset())
+                found.append((len(s), cls, check))
+                if check not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(check)
+                    held.append((s >> U(64 - SKETCH_BITS)).astype(np.uint32))
+                    size += len(s)
+            if size > 1 << 20:
+                count(total, held)
+                held, size = [], 0
+            n, cls, check = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(check, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
+        if held:
+            count(total, held)
+        for p in range(0, len(total), SEGMENT):
+            part = total[p : p + SEGMENT]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([p], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)])], names=names)
+
+    return mapped(narrow, run, "doc_id long, n_shingles long, cls long, check long, at int, counts binary")
+
+
+def count(total: np.ndarray, places: list[np.ndarray]) -> None:
+    at, n = np.unique(np.concatenate(places), return_counts=True)
+    total[at] += n.astype(np.uint32)
+
+
+def rarity(parts: DataFrame) -> np.ndarray:
+    """A byte for each counter of the sketch: 0 for counts that chance explains, then one more for each power of two.
+
+    parts: at and counts. Where the corpus is so large that all counters are full, tokens still stand out whose count
+    is above the spread of the mean.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(zlib.decompress(counts), np.int64)
-                sums[at] = sums[at] + own if at in sums else own
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["at", "counts"])
-
-    out = np.zeros(SKETCH, np.uint32)
-    parts = texts.mapInArrow(run, "at int, counts binary").repartition(16, "at").mapInArrow(add, "at int, counts binary")
-    for r in parts.collect():
-        out[r["at"] : r["at"] + SEGMENT] = np.minimum(np.frombuffer(zlib.decompress(r["counts"]), np.int64), (1 << 20) - 1)
-    return out
-
-
-def classed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles and cls (null without shingles) of each row."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+            for at, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(zlib.decompress(counts.as_buffer()), np.uint32)
+                if at not in sums:
+                    sums[at] = np.zeros(SEGMENT, np.int64)
+                sums[at] += own
+        for at, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["at", "counts"])
+
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    for r in mapped(parts.repartition(16, "at"), add, "at int, counts binary").toLocalIterator():
+        total[r["at"] : r["at"] + SEGMENT] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    mean = total.mean()
+    above = total - (mean + 4 * np.sqrt(mean))
+    return np.ceil(np.log2(np.maximum(above, 0) + 1)).astype(np.uint8)
+
+
+def prefix(tokens: np.ndarray, rare: np.ndarray, order: int) -> np.ndarray:
+    """The prefix of a set under an order, sorted by it."""
+    n = len(tokens)
+    length = n - required(n) + 1
+    key = (rare[(tokens >> U(64 - SKETCH_BITS)).astype(np.intp)].astype(U) << U(58)) | (mix(tokens + U(order * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(6))
+    first = np.argpartition(key, length - 1)[:length] if length < n else np.arange(n)
+    return tokens[first[np.argsort(key[first])]]
+
+
+def postings(texts: DataFrame, model) -> DataFrame:
+    """token, cls, before and place of the prefix of each set under the first order. before: the token before it;
+    place: the set's size and the token's position in one number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(len(s), set_number(s) if len(s) else None) for s, _ in sets_of(batch.column(1))]
-            n, cls = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64())], names=["doc_id", "n_shingles", "cls"])
-
-    return narrow.mapInArrow(run, "doc_id long, n_shingles long, cls long")
-
-
-def postings(texts: DataFrame, sketch) -> DataFrame:
-    """token, cls, n and pos of the prefix of each set under the first order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = sketch.value, set()
-        for batch in slices(batches):
+        (rare, bits, torn), seen = model.value, set()
+        for batch in slices(batches, ROWS):
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for tokens, least in sets_of(batch.column(0), counts):
+            for tokens in sets_of(batch.column(0)):
                 n = len(tokens)
-                if not n or (cls := set_number(tokens)) in seen:
+                if not n or (cls := class_number(tokens, bits, torn)[0]) in seen:
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(cls)
-                length = n - required(n) + 1
-                key = (least.astype(U) << U(44)) | (mix(tokens) >> U(20))
-                first = np.argpartition(key, length - 1)[:length] if length < n else np.arange(n)
-                first = first[np.argsort(key[first])]
-                for column, values in zip(out, (tokens[first].view(np.int64), np.full(length, cls), np.full(length, n, np.int32), np.arange(length, dtype=np.int32)), strict=True):
+                first = prefix(tokens, rare, 0).view(np.int64)
+                place = np.arange(len(first)) | n << 32
+                for column, values in zip(out, (first, np.full(len(first), cls), np.append(0, first[:-1]), place), strict=True):
                     column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["token", "cls", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["token", "cls", "before", "place"])
+
+    return mapped(texts, run, "token long, cls long, before long, place long")
 
-    return texts.mapInArrow(run, "token long, cls long, n int, pos int")
 
+NAMES = ["kind", "x", "y", "before", "place"]
+#: Rows of lists worked on at a time; a longer list streams by its leaders.
+LIST_ROWS = 1 << 15
 
-def whole_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by token, cut only between tokens."""
-    held: list[list[np.ndarray]] = []
+
+def sorted_lists(batches: Iterator[pa.RecordBatch], most: int = LIST_ROWS) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Rows sorted by token and class, without repeats, in parts: (True, columns of whole lists) or (False, columns of
+    a part of one list). Parts of one list follow each other; of a list no more than a part is held."""
+    held, last, long = None, None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        token, cls = columns[:2]
+        # A class is sent by every task that has a copy.
+        new = np.append(last != (token[0], cls[0]), (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
+        last = token[-1], cls[-1]
+        columns = [c[new] for c in columns]
+        if held is not None:
+            columns = [np.concatenate(c) for c in zip(held, columns, strict=True)]
+        if long is not None and len(columns[0]):
+            # The list that was cut goes on in front, if it does.
+            end = int(np.searchsorted(columns[0], long, "right"))
+            if end:
+                yield False, [c[:end] for c in columns]
+            long = long if end == len(columns[0]) else None
+            columns = [c[end:] for c in columns]
         token = columns[0]
-        cut = int(np.searchsorted(token, token[-1]))
-        if cut or (held and held[-1][0][-1] != token[0]):
-            done = [*held, [c[:cut] for c in columns]]
-            yield [np.concatenate(c) for c in zip(*done, strict=True)]
-            held = []
-        held.append([c[cut:] for c in columns])
-    if held:
-        yield [np.concatenate(c) for c in zip(*held, strict=True)]
-
-
-def led_pairs(lists: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs (kind 0: x leads y) for leaders ranked low to high - 1 of each list, and lists (kind 1) that stay open.
-
-    lists: token, cls, n, pos, comp, and after the first round ranges, which pairs are tested with at once.
+        cut = int(np.searchsorted(token, token[-1])) if len(token) else 0
+        if cut:
+            yield True, [c[:cut] for c in columns]
+        held = [c[cut:] for c in columns]
+        if len(held[0]) > most:
+            long = held[0][0]
+            yield False, held
+            held = None
+    if held is not None and len(held[0]):
+        yield True, held
+
+
+def led_pairs(lists: DataFrame, leaders: int, most: int = LIST_ROWS) -> DataFrame:
+    """Pairs (kind 0, x < y) of the first `leaders` members of each list with all members behind them, of short lists
+    all pairs; and the members (kind 1: token, class) that have not led yet, if a list stays open.
+
+    lists: token, cls, before, place, comp, and after the first round ranges, which pairs are tested with at once.
     """
+    first_round = len(lists.columns) == 5
+
+    def tested(cls, before, place, comp, ranges, x, y, skip) -> np.ndarray:
+        """The pairs (rows x, y) that may link. skip: those found in the list of an earlier token as well."""
+        ok = comp[x] != comp[y]
+        if skip is not None:
+            ok &= ~skip | (before[x] != before[y]) | (place[x] & 0xFFFFFFFF == 0) | (place[y] & 0xFFFFFFFF == 0)
+        x, y = x[ok], y[ok]
+        n, m, pos_n, pos_m = place[x] >> 32, place[y] >> 32, place[x] & 0xFFFFFFFF, place[y] & 0xFFFFFFFF
+        # This token, if it is the first in common, and all behind it.
+        ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.minimum(n - pos_n, m - pos_m) >= 4 * (n + m))
+        x, y = x[ok], y[ok]
+        if ranges is not None:
+            ok = may_link(ranges, x, y)
+            x, y = x[ok], y[ok]
+        return np.stack([cls[x], cls[y]], axis=1)
+
+    def whole(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, comp = columns[0], columns[4]
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(start, len(token)))
+        keep = np.repeat((size > 1) & (np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)), size)
+        if not keep.any():
+            return
+        token, cls, before, place, comp, *more = (c[keep] for c in columns)
+        ranges = ranges_of(more[0]) if more else None
+        start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        size = np.diff(np.append(start, len(token)))
+        first, long = np.repeat(start, size), np.repeat(size > SHORT_LIST, size)
+        rank = np.arange(len(token)) - first
+        pairs, held = [], 0
+        for r in range(min(max(leaders, SHORT_LIST), int(size.max()))):
+            y = np.flatnonzero(rank > r if r < leaders else (rank > r) & ~long)
+            # A leader of the first round ties its list together at once.
+            found = tested(cls, before, place, comp, ranges, first[y] + r, y, ~long[y] if first_round else np.ones(len(y), bool))
+            pairs.append(found)
+            held += len(found)
+            if held > LIST_ROWS:
+                yield pairs_out(pairs)
+                pairs, held = [], 0
+        if held:
+            yield pairs_out(pairs)
+        yield from open_out(long & (rank >= leaders), token, cls, before, place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, cls, n, pos, comp, *more in whole_lists(batches):
-            order = np.lexsort((cls, pos, token))
-            token, cls, n, pos, comp = (c[order] for c in (token, cls, n, pos, comp))
-            more = [c[order] for c in more]
-            # Copies of a class in one list hold the same position, so they are neighbours now.
-            new = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
-            token, cls, n, pos, comp = (c[new] for c in (token, cls, n, pos, comp))
-            more = [c[new] for c in more]
-            start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            size = np.diff(np.append(start, len(token)))
-            mixed = np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start)
-            keep = np.repeat((size > low + 1) & mixed, size)
-            token, cls, n, pos, comp = (c[keep] for c in (token, cls, n, pos, comp))
-            if not len(token):
+        lead: list[np.ndarray] = []
+        of = None
+        for done, columns in sorted_lists(batches, most):
+            if done:
+                for at in parts_of_lists(columns[0]):
+                    yield from whole([c[at] for c in columns])
                 continue
-            ranges = ranges_of([c[keep] for c in more][0]) if more else None
-            start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            size = np.diff(np.append(start, len(token)))
-            first = np.repeat(start, size)
-            rank = np.arange(len(token)) - first
-            pairs = []
-            for r in range(low, min(high, int(size.max()))):
-                y = np.flatnonzero(rank > r)
-                x = first[y] + r
-                y, x = y[comp[x] != comp[y]], x[comp[x] != comp[y]]
-                small, large = np.minimum(n[x], n[y]).astype(np.int64), np.maximum(n[x], n[y]).astype(np.int64)
-                # This token, if it is the first in common, and all behind it.
-                rest = np.minimum(n[x] - pos[x], n[y] - pos[y]).astype(np.int64)
-                ok = (5 * small >= 4 * large) & (9 * rest >= 4 * (small + large))
-                x, y = x[ok], y[ok]
-                if ranges is not None:
-                    ok = may_link(ranges, x, y)
-                    x, y = x[ok], y[ok]
-                pairs.append(np.stack([cls[x], cls[y]], axis=1))
-            pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(pairs), np.int8)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(len(pairs), pa.int32()), pa.nulls(len(pairs), pa.int32())], names=NAMES)
-            stay = np.repeat(size > high + 1, size)
-            if stay.any():
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(stay.sum(), np.int8)), pa.array(token[stay]), pa.array(cls[stay]), pa.array(n[stay]), pa.array(pos[stay])], names=NAMES)
-
-    return lists.repartition("token").sortWithinPartitions("token").mapInArrow(run, "kind byte, x long, y long, n int, pos int")
-
-
-NAMES = ["kind", "x", "y", "n", "pos"]
+            # Part of a long list: its leaders, held from its first parts, come before the rows.
+            if of != columns[0][0]:
+                of, lead = columns[0][0], [c[:0] for c in columns]
+            k, led = leaders - len(lead[0]), len(lead[0])
+            lead = [np.concatenate([a, b[: max(k, 0)]]) for a, b in zip(lead, columns, strict=True)]
+            both = [np.concatenate([a[:led], b]) for a, b in zip(lead, columns, strict=True)]
+            token, cls, before, place, comp, *more = both
+            ranges = ranges_of(more[0]) if more else None
+            rank = np.arange(len(token))
+            for r in range(len(lead[0])):
+                y = rank[max(r + 1, led) :]
+                found = tested(cls, before, place, comp, ranges, np.full(len(y), r), y, None if first_round else np.ones(len(y), bool))
+                if len(found):
+                    yield pairs_out([found])
+            yield from open_out(rank >= max(led, len(lead[0])), token, cls, before, place)
+
+    return mapped(lists.repartition("token").sortWithinPartitions("token", "cls"), run, "kind byte, x long, y long, before long, place long")
+
+
+def parts_of_lists(token: np.ndarray) -> Iterator[slice]:
+    """Parts of about LIST_ROWS rows that end between lists."""
+    at = 0
+    while at < len(token):
+        end = len(token)
+        if end - at > LIST_ROWS:
+            end = int(np.searchsorted(token, token[at + LIST_ROWS]))
+            end = end if end > at else int(np.searchsorted(token, token[at], "right"))
+        yield slice(at, end)
+        at = end
+
+
+def pairs_out(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.concatenate(pairs)
+    return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(both), np.int8)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.nulls(len(both), pa.int64()), pa.nulls(len(both), pa.int64())], names=NAMES)
+
+
+def open_out(stay: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if stay.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(stay.sum(), np.int8)), *(pa.array(c[stay]) for c in columns)], names=NAMES)
 
 
 def range_counts(tokens: np.ndarray) -> bytes:
-    """How many tokens lie in each of `RANGES` equal ranges of the second order."""
+    """How many tokens lie in each of `RANGES` equal ranges of token numbers."""
     counts = np.bincount((tokens >> U(64 - RANGES.bit_length() + 1)).astype(np.intp), minlength=RANGES)
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
@@ -232,193 +347,264 @@ def may_link(ranges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_ranges(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """The pairs (a, b, lists) that their sets' counts by ranges leave possible. store: cls and ranges."""
-    both = pairs.join(store.select(F.col("cls").alias("a"), F.col("ranges").alias("ra")), "a").join(store.select(F.col("cls").alias("b"), F.col("ranges").alias("rb")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            ranges = ranges_of([*batch.column(3).to_pylist(), *batch.column(4).to_pylist()])
-            keep = pa.array(may_link(ranges, np.arange(n), np.arange(n, 2 * n)) if n else np.zeros(0, bool))
-            yield batch.select([0, 1, 2]).filter(keep)
-
-    return both.select("a", "b", "lists", "ra", "rb").mapInArrow(run, "a long, b long, lists long")
-
-
-def bit_table(classes: DataFrame, bits: int = BITS) -> np.ndarray:
-    """A table of 2^bits bits that holds all of `classes` (column cls, repeats allowed)."""
-    place = F.shiftrightunsigned("cls", 64 - bits)
-    words = classes.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(cls, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    found = words.toPandas()
+def bit_table(numbers: DataFrame, bits: int) -> np.ndarray:
+    """A table of 2^bits bits that holds all of `numbers` (one long column, repeats allowed)."""
+    col = numbers.columns[0]
+    place = F.shiftrightunsigned(col, 64 - bits)
+    words = numbers.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{col}`, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << (bits - 6), np.int64)
-    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["bits"]
     return out.view(U)
 
 
-def in_table(bits: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    place = cls.view(U) >> U(64 - (len(bits).bit_length() - 1) - 6)
-    return (bits[(place >> U(6)).astype(np.intp)] >> (place & U(63))) & U(1) != 0
-
+def fitting_bits(rows: int) -> int:
+    """Eight bits for each row, within the bounds."""
+    return min(max((8 * rows).bit_length(), LEAST_BITS), MOST_BITS)
 
-def wanted_sets(texts: DataFrame, classes: DataFrame, as_text: bool) -> DataFrame:
-    """cls, and the text and the counts by ranges, or the set (tokens as bytes), for rows whose class is in `classes`,
-    or collides with one.
 
-    texts: text, or text and cls if known. Each task sends a class once while it remembers it.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(bit_table(classes))
+def in_table(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    place = numbers.view(U) >> U(64 - (len(bits).bit_length() - 1) - 6)
+    return (bits[(place >> U(6)).astype(np.intp)] >> (place & U(63))) & U(1) != 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in slices(batches):
-            text = batch.column(0)
-            if batch.num_columns == 2:
-                text = text.filter(pa.array(in_table(shared.value, batch.column(1).to_numpy())))
-            found = [(k, set_number(s), s) for k, (s, _) in enumerate(sets_of(text)) if len(s)]
-            hit = in_table(shared.value, np.array([c for _, c, _ in found], np.int64)) if found else []
-            out = []
-            for (k, c, s), yes in zip(found, hit, strict=True):
-                if yes and c not in seen:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(c)
-                    out.append((k, c, s))
-            if as_text:
-                value = [text.take(pa.array([k for k, _, _ in out], pa.int64())), pa.array([range_counts(s) for _, _, s in out], pa.binary())]
-            else:
-                value = [pa.array([s.tobytes() for _, _, s in out], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([c for _, c, _ in out], pa.int64()), *value], names=["cls", "value", "ranges"][: 1 + len(value)])
 
-    return texts.mapInArrow(run, "cls long, value string, ranges binary" if as_text else "cls long, value binary")
+#: What the store holds of a class: its text, counts by ranges, and two prefixes (32 bits of each token, sorted).
+STORE = "cls long, text string, ranges binary, second binary, third binary"
 
 
-def shares_prefix(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets, sorted by an order, share a token of their prefixes."""
-    return len(np.intersect1d(a[: len(a) - required(len(a)) + 1], b[: len(b) - required(len(b)) + 1], assume_unique=True)) > 0
+def stored(texts: DataFrame, classes: DataFrame, model) -> DataFrame:
+    """The store of the classes wanted and of those that collide with them in the bit table. Each task sends a class
+    once while it remembers it."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(bit_table(classes, fitting_bits(classes.count())))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (rare, bits, torn), seen = model.value, set()
+        short = lambda t: np.sort((t >> U(32)).astype(np.uint32)).tobytes()
+        for batch in slices(batches, ROWS):
+            out = []
+            for k, s in enumerate(sets_of(batch.column(0))):
+                if not len(s) or (cls := class_number(s, bits, torn)[0]) in seen or not in_table(shared.value, np.array([cls]))[0]:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(cls)
+                out.append((k, cls, range_counts(s), short(prefix(s, rare, 1)), short(prefix(s, rare, 2))))
+            if out:
+                k, cls, *rest = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), batch.column(0).take(pa.array(k, pa.int64())), *(pa.array(x, pa.binary()) for x in rest)], names=["cls", "text", "ranges", "second", "third"])
 
-def links(a: np.ndarray, b: np.ndarray, a_other: np.ndarray) -> bool:
-    """Whether two sets (rising tokens) link: two prefix filters, then the exact count."""
-    if not shares_prefix(a, b) or not shares_prefix(a_other, other_order(b)):
-        return False
-    at = np.searchsorted(a, b)
-    at[at == len(a)] = 0
-    return 9 * int((a[at] == b).sum()) >= 4 * (len(a) + len(b))
+    return mapped(texts, run, STORE)
 
 
-def other_order(tokens: np.ndarray) -> np.ndarray:
-    """The tokens' mixes in rising order: the third order."""
-    return np.sort(mix(tokens + U(0xA5A5A5A5A5A5A5A5)))
+def dealt(pairs: DataFrame) -> DataFrame:
+    """Where classes go so that pairs (a, b) meet: cls, a, salt, b. A class goes to each of its leaders' tasks as a
+    member, and as a leader (b is null) to each of its own."""
+    leaders = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / LEADER_PAIRS) + 1).cast("int").alias("salts"))
+    members = pairs.join(leaders, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"), "b")
+    return members.unionByName(leaders.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b")))
 
 
-def verified(pairs: DataFrame, store: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link. store: text and cls."""
-    count = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / LEADER_PAIRS) + 1).cast("int").alias("salts"))
-    dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts").cast("long")).cast("int").alias("salt"))
-    # A class is sent to each of its leaders' tasks as a member, and as a leader (b is null) to each of its own tasks.
-    sent = dealt.select(F.col("b").alias("cls"), "a", "salt", "b").unionByName(count.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b")))
-    sets = wanted_sets(store, sent.select("cls"), as_text=False)
+def met(pairs: DataFrame, store: DataFrame, ready, test) -> DataFrame:
+    """The pairs (a, b) for which test(ready(row of a), row of b) holds. store: cls, then the columns of the rows."""
+    sent = dealt(pairs)
     if small_enough(pairs, BROADCAST_PAIRS):
         sent = F.broadcast(sent)
-    both = sets.join(sent, "cls").select("a", "salt", "b", "value").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    rest = store.columns[1:]
+    both = store.join(sent, "cls").select("a", "salt", "b", *rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, tokens, other, last = None, None, None, None
-        for batch in batches:
+        lead, own, last = None, None, None
+        for batch in slices(batches):
             out = []
-            for a, b, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for a, b, *row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), *(c.to_pylist() for c in batch.columns[3:]), strict=True):
                 if b is None:
                     if a != lead:
-                        lead, tokens = a, np.frombuffer(value.as_buffer(), U).copy()
-                        other, last = other_order(tokens), None
+                        lead, own, last = a, ready(row), None
                 elif a == lead and b != last:
                     last = b
-                    if links(tokens, np.frombuffer(value.as_buffer(), U), other):
+                    if test(own, row):
                         out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+            if out:
+                x, y = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return mapped(both, run, "a long, b long")
+
+
+def candidates(pairs: DataFrame, store: DataFrame) -> DataFrame:
+    """The pairs that share a prefix token under the second and the third order as well and may link by ranges."""
+
+    def ready(row):
+        ranges, *prefixes = row
+        counts = ranges_of([ranges])[0].astype(np.int64)
+        return counts, counts.sum(), *(np.frombuffer(p, np.uint32) for p in prefixes)
+
+    def test(own, row):
+        counts, size, *prefixes = own
+        others = ranges_of([row[0]])[0]
+        if 9 * int(np.minimum(counts, others).sum()) < 4 * (int(size) + int(others.sum(dtype=np.int64))):
+            return False
+        return all(shares(p, np.frombuffer(q, np.uint32)) for p, q in zip(prefixes, row[1:], strict=True))
+
+    return met(pairs, store.select("cls", "ranges", "second", "third"), ready, test)
+
+
+def shares(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted arrays have an element in common."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return bool((a[at] == b).any())
+
 
-    return both.mapInArrow(run, "a long, b long")
+def links(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets (rising tokens) link."""
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    return 9 * int((a[at] == b).sum()) >= 4 * (len(a) + len(b))
+
+
+def verified(pairs: DataFrame, store: DataFrame, model) -> DataFrame:
+    """The pairs (a, b) that link."""
+    spark = pairs.sparkSession
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
+    shared = spark.sparkContext.broadcast(bit_table(wanted, fitting_bits(2 * pairs.count())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, ROWS):
+            part = batch.filter(pa.array(in_table(shared.value, batch.column(0).to_numpy())))
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets_of(part.column(1))], pa.binary())], names=["cls", "tokens"])
+
+    sets = mapped(store.select("cls", "text"), run, "cls long, tokens binary")
+    return met(pairs, sets, lambda row: np.frombuffer(row[0], U), lambda own, row: links(own, np.frombuffer(row[0], U)))
 
 
-def class_roots(texts: DataFrame) -> DataFrame:
-    """node and root of the classes that link with others, over all rows of `texts` (one column)."""
+def class_roots(texts: DataFrame, rare: np.ndarray, bits: int = 64, torn: frozenset = frozenset()) -> tuple[DataFrame, list[str]]:
+    """node and root of the classes that link with others, over all rows of `texts` (one column); and its paths."""
     spark = texts.sparkSession
-    sketch = spark.sparkContext.broadcast(word_sketch(texts))
-    lists = postings(texts, sketch).withColumn("comp", F.col("cls"))
-    low, high, found, paths = 0, 1, None, []
-    store = ranges = tried = edges = None
+    model = spark.sparkContext.broadcast((rare, bits, torn))
+    lists = postings(texts, model).withColumn("comp", F.col("cls"))
+    leaders, found, kept, paths = 1, None, [], []
+    store = tried = edges = None
+
+    def held(df: DataFrame) -> DataFrame:
+        done, path = materialize(df)
+        paths.append(path)
+        return done
 
     def with_comp(pairs: DataFrame) -> DataFrame:
         """Only the pairs of different components."""
         if found is None:
             return pairs
         own = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        return pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).drop("a_root", "b_root")
+        return pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
     while True:
-        led, path = materialize(led_pairs(lists, low, high))
-        paths.append(path)
-        pairs = led.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("lists"))
+        led = held(led_pairs(lists, leaders))
+        pairs = held(led.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("lists")))
         if store is None:
             # All classes of later rounds are in this round's lists and pairs.
-            classes = led.select(F.when(F.col("kind") == 1, F.array("y")).otherwise(F.array("x", "y")).alias("c")).select(F.explode("c").alias("cls"))
-            known, path = materialize(wanted_sets(texts, classes, as_text=True))
-            paths.append(path)
-            store, ranges = known.select("value", "cls"), known.select("cls", "ranges").dropDuplicates(["cls"])
-            pairs = by_ranges(pairs, ranges)
-        pairs, path = materialize(pairs)
-        paths.append(path)
-        unordered = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b")
-        for turn in ("best", "rest") if low == 0 else ("rest",):
-            todo = best if turn == "best" else pairs.select("a", "b")
-            todo = with_comp(todo).withColumns({"low": unordered[0], "high": unordered[1]}).dropDuplicates(["low", "high"])
-            if tried is not None:
-                todo = todo.join(tried, ["low", "high"], "left_anti")
-            todo, path = materialize(todo)
-            paths.append(path)
-            tried = todo.select("low", "high") if tried is None else tried.unionByName(todo.select("low", "high"))
+            classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(led.where("kind = 1").select(F.col("y").alias("cls")))
+            store = held(stored(texts, held(classes.distinct()), model))
+        else:
+            pairs = held(pairs.join(tried, ["a", "b"], "left_anti"))
+        passed = held(candidates(pairs, store).join(pairs, ["a", "b"]))
+        best = held(passed.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b"))
+        for turn in ("best", "rest"):
+            todo = held(with_comp(best if turn == "best" else passed.select("a", "b").join(best, ["a", "b"], "left_anti")))
             if todo.isEmpty():
                 continue
-            new, path = materialize(verified(todo.select("a", "b"), store))
-            paths.append(path)
+            new = held(verified(todo, store, model))
             edges = new if edges is None else edges.unionByName(new)
-            found = roots(edges)
-        still = led.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("cls"), "n", "pos")
+            found, path = roots(edges)
+            kept.append(path)
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        still = led.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("cls"), "before", "place")
         if still.isEmpty():
             break
         lists = still.withColumn("comp", F.col("cls"))
         if found is not None:
-            lists = still.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "n", "pos", F.coalesce("root", "cls").alias("comp"))
-        lists = lists.join(ranges, "cls").select("token", "cls", "n", "pos", "comp", "ranges")
-        low, high = high, high + MORE_LEADERS * (high - low)
+            lists = still.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "before", "place", F.coalesce("root", "cls").alias("comp"))
+        ranges = store.groupBy("cls").agg(F.min("ranges").alias("ranges"))
+        lists = lists.join(ranges, "cls").select("token", "cls", "before", "place", "comp", "ranges")
+        leaders = min(MORE_LEADERS * leaders, MOST_LEADERS)
     out = found if found is not None else spark.createDataFrame([], "node long, root long")
-    sketch.unpersist()
-    discard(spark, *paths)
-    return out
+    discard(spark, *paths, *kept[:-1])
+    return out, kept[-1:]
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
-    rows, _ = materialize(classed(docs, id_col, text_col))
-    linked = class_roots(docs.select(F.col(text_col).alias("text")))
+    return grouped(docs, id_col, text_col, bits)[0].select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> tuple[DataFrame, frozenset]:
+    """doc_id, n_shingles, cls, root and component_id (both null if the row is alone; component_id also if no row of
+    its component has an id); and the class numbers that stood for several sets."""
+    spark = docs.sparkSession
+    both, _ = materialize(classed(docs, id_col, text_col, bits))
+    rare = rarity(both.where("at IS NOT NULL").select("at", "counts"))
+    rows = both.where("at IS NULL").drop("at", "counts")
+    torn = frozenset(r[0] for r in rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("cls").collect())
+    if torn:
+        several = spark.createDataFrame([(c,) for c in torn], "cls long").withColumn("torn", F.lit(True))
+        rows = rows.join(F.broadcast(several), "cls", "left").withColumn("cls", F.when(F.col("torn"), F.col("cls").bitwiseXOR(F.col("check"))).otherwise(F.col("cls")))
+    rows = rows.select("doc_id", "n_shingles", "cls")
+    linked, paths = class_roots(docs.select(F.col(text_col).alias("text")), rare, bits, torn)
     least = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     joined = least.join(linked.withColumnRenamed("node", "cls"), "cls")
     by_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(by_root, "root").select("cls", "component_id").unionByName(
-        least.where("copies > 1").join(linked.select(F.col("node").alias("cls")), "cls", "left_anti").select("cls", F.col("least").alias("component_id"))
-    )
+    alone = least.where("copies > 1").join(linked.select(F.col("node").alias("cls")), "cls", "left_anti")
+    named = joined.join(by_root, "root").select("cls", "root", "component_id").unionByName(alone.select("cls", F.col("cls").alias("root"), F.col("least").alias("component_id")))
     named, _ = materialize(named)
-    return rows.join(named, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    discard(spark, *paths)
+    return rows.join(named, "cls", "left"), torn
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all columns. Rows that repeat its id, and rows
-    without an id, stay."""
-    found = components(docs, id_col, text_col)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    """One row of each group of rows that links connect, with all columns; rows without shingles or without an id all
+    stay.
+
+    The row with the smallest id stays; of several rows of that id with the same shingles the one with the smallest
+    hash of its columns. A row is known by its id and its class, so rows that repeat an id stay if their texts are
+    others. Only the texts of ids of which some row goes are shuffled.
+    """
+    spark = docs.sparkSession
+    found, torn = grouped(docs, id_col, text_col)
+    rows, held = materialize(found.where("root IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "cls", "root").agg(F.count(F.lit(1)).alias("rows")))
+    stays = rows.groupBy("root").agg(F.min(F.struct("doc_id", "cls")).alias("first")).select("first.doc_id", "first.cls", F.lit(True).alias("stays"))
+    marked, _ = materialize(rows.join(stays, ["doc_id", "cls"], "left").select("doc_id", "cls", "rows", F.col("stays").isNull().alias("goes")).where("goes OR rows > 1"))
+    ids = marked.select(F.xxhash64("doc_id").alias("id"))
+    shared = spark.sparkContext.broadcast(bit_table(ids, fitting_bits(ids.count())))
+    place, schema = docs.columns.index(text_col), docs.schema
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text_col}`"].alias("text"), docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.xxhash64(docs[f"`{id_col}`"].cast("long")).alias("id"))
+    kind = StructType([StructField("row", schema), *StructType.fromDDL("doc_id long, cls long")])
+
+    def possible(batch: pa.RecordBatch) -> np.ndarray:
+        return in_table(shared.value, batch.column(3).to_numpy()) & batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+
+    def surely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose id is not in the table, and those without an id or shingles."""
+        for batch in slices(batches):
+            maybe = possible(batch)
+            if maybe.any():
+                empty = [not len(s) for s in sets_of(batch.column(1).filter(pa.array(maybe)))]
+                maybe[np.flatnonzero(maybe)[empty]] = False
+            yield pa.RecordBatch.from_struct_array(batch.column(0).filter(pa.array(~maybe)))
+
+    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            part = batch.filter(pa.array(possible(batch)))
+            cls = [class_number(s, 64, torn)[0] if len(s) else None for s in sets_of(part.column(1))]
+            part = pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(cls, pa.int64())], names=["row", "doc_id", "cls"])
+            yield part.filter(pa.array([c is not None for c in cls], pa.bool_()))
+
+    one = mapped(keyed, perhaps, kind).groupBy("doc_id", "cls").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    goes = marked.where("goes").select("doc_id", "cls")
+    kept = one.join(goes, ["doc_id", "cls"], "left_anti").select("row.*")
+    discard(spark, held)
+    return mapped(keyed, surely, schema).unionByName(kept)
 
 
 def op9_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,13 @@
 
 Text bytes are lower-cased (A to Z), words stand between white space (\\x20, \\x09 to \\x0D). A word's number is a
 polynomial over its bytes, got for all words of a chunk from one running sum; a shingle's number mixes those of its
-words. Two different shingles share a number with a chance of 2^-64, and so do two different sets.
+words. Two different shingles share a number with a chance of 2^-64; sets are told apart by two such numbers.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ PLACE = mix(np.arange(300, 300 + WORDS + 1, dtype=U) * U(STEP)) | U(1)
 SHORT = PLACE[WORDS] * np.arange(WORDS, dtype=U)
 
 
-@cache
+@lru_cache(2)
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the powers 0 to size - 1 modulo 2^64, and their inverses."""
     one = lambda base: np.concatenate([[U(1)], np.full(size - 1, base, U)]).cumprod(dtype=U)
@@ -81,30 +81,24 @@ def words_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
-def sets_of(column: pa.Array, counts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
-    """For each row its distinct shingles in rising order, and with `counts` the least count of each one's words."""
+def sets_of(column: pa.Array) -> Iterator[np.ndarray]:
+    """For each row its distinct shingles in rising order."""
     for _, words, at in words_of(column):
-        often = counts[(words & U(len(counts) - 1)).astype(np.intp)] if counts is not None else None
         n = len(words) - WORDS + 1
         many = mix(sum(words[k : k + n] * PLACE[k] for k in range(WORDS))) if n > 0 else np.zeros(0, U)
-        least = np.minimum.reduce([often[k : k + n] for k in range(WORDS)]) if often is not None and n > 0 else None
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a >= WORDS:
-                own = many[a : b - WORDS + 1]
-                if often is None:
-                    own = np.sort(own)
-                    yield own[np.append(True, own[1:] != own[:-1])], None
-                else:
-                    found, first = np.unique(own, return_index=True)
-                    yield found, least[a : b - WORDS + 1][first]
+                own = np.sort(many[a : b - WORDS + 1])
+                yield own[np.append(True, own[1:] != own[:-1])]
             elif b > a:
-                whole = mix((words[a:b] * PLACE[: b - a]).sum(dtype=U, keepdims=True) + SHORT[b - a])
-                yield whole, (often[a:b].min(keepdims=True) if often is not None else None)
+                yield mix((words[a:b] * PLACE[: b - a]).sum(dtype=U, keepdims=True) + SHORT[b - a])
             else:
-                yield np.zeros(0, U), (np.zeros(0, np.uint32) if often is not None else None)
+                yield np.zeros(0, U)
 
 
-def set_number(tokens: np.ndarray) -> int:
-    """A signed 64-bit number of a set."""
-    total = mix(tokens ^ U(STEP)).sum(dtype=U, keepdims=True) + U(len(tokens) * BASE % (1 << 64))
-    return int(mix(total).view(np.int64)[0])
+def set_numbers(tokens: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit numbers of a set."""
+    spread = mix(tokens ^ U(STEP))
+    total = np.array([spread.sum(dtype=U), (spread * (spread >> U(32) | U(1))).sum(dtype=U)]) + U(len(tokens) * BASE % (1 << 64))
+    one, two = mix(total).view(np.int64).tolist()
+    return one, two
