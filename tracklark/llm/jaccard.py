@@ -13,10 +13,10 @@ is sent:
 
 Only connectivity is asked for, so pairs inside a component need not all be listed. Texts with equal sets are one
 class. A list of up to `SHORT_LIST` members gives all its pairs at once, each only in the list of the first token that
-both have (their tokens before it differ). In a longer list the members pair with a few leaders at a time (1, then 16,
-256, ... more), the same classes in all lists; leaders and members that verified links already connect are not paired,
-and later rounds test counts by ranges inside the list. Of the pairs of the first round each member tries the one it
-shares most lists with; the others follow only where they still join two components. Lists are dropped once they lie
+both have (their tokens before it differ). In a longer list the members pair with a few leaders at a time (1, then 64,
+then 4096 more), the same classes in all lists; leaders and members that verified links already connect are not paired,
+and later rounds test counts by ranges inside the list. Of the pairs of the first round each member tries the first of its
+leaders; the others follow only where they still join two components. Lists are dropped once they lie
 within one component or every member has led. So no link between different components is missed, and the pairs of a
 round are at most a fixed number for each posting. A list of any length streams by its leaders; it is never held.
 
@@ -41,14 +41,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tracklark.llm.batches import mapped, slices
 from tracklark.llm.components import roots
 from tracklark.llm.shingles import U, mix, set_numbers, sets_of
-from tracklark.session import discard, materialize, small_enough, table
+from tracklark.session import discard, materialize, table
 
 #: The sketch has 2^SKETCH_BITS counters and travels in segments.
 SKETCH_BITS, SEGMENT = 22, 1 << 16
@@ -65,7 +65,7 @@ LEAST_BITS, MOST_BITS = 23, 27
 #: Lists of so many members give all pairs in the first round.
 SHORT_LIST = 16
 #: Each round has so many times more leaders than the one before, up to a bound.
-MORE_LEADERS, MOST_LEADERS = 16, 4096
+MORE_LEADERS, MOST_LEADERS = 64, 4096
 #: Pairs of one leader are dealt to tasks so many at a time.
 LEADER_PAIRS = 512
 
@@ -144,8 +144,9 @@ def rarity(parts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["at", "counts"])
 
     total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in mapped(parts.repartition(16, "at"), add, "at int, counts binary").toLocalIterator():
-        total[r["at"] : r["at"] + SEGMENT] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    found = mapped(parts.repartition(16, "at"), add, "at int, counts binary").toArrow()
+    for at, counts in zip(found["at"].to_pylist(), found["counts"].to_pylist(), strict=True):
+        total[at : at + SEGMENT] = np.frombuffer(zlib.decompress(counts), np.int64)
     mean = total.mean()
     above = total - (mean + 4 * np.sqrt(mean))
     return np.ceil(np.log2(np.maximum(above, 0) + 1)).astype(np.uint8)
@@ -353,8 +354,8 @@ def bit_table(numbers: DataFrame, bits: int) -> np.ndarray:
     place = F.shiftrightunsigned(col, 64 - bits)
     words = numbers.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{col}`, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(1 << (bits - 6), np.int64)
-    for r in words.toLocalIterator():
-        out[r["word"]] = r["bits"]
+    found = words.toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(U)
 
 
@@ -405,10 +406,11 @@ def dealt(pairs: DataFrame) -> DataFrame:
     return members.unionByName(leaders.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b")))
 
 
-def met(pairs: DataFrame, store: DataFrame, ready, test) -> DataFrame:
-    """The pairs (a, b) for which test(ready(row of a), row of b) holds. store: cls, then the columns of the rows."""
+def met(pairs: DataFrame, store: DataFrame, n: int, ready, test) -> DataFrame:
+    """The pairs (a, b), n in number, for which test(ready(row of a), row of b) holds. store: cls, then the columns of
+    the rows."""
     sent = dealt(pairs)
-    if small_enough(pairs, BROADCAST_PAIRS):
+    if n <= BROADCAST_PAIRS:
         sent = F.broadcast(sent)
     rest = store.columns[1:]
     both = store.join(sent, "cls").select("a", "salt", "b", *rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -432,7 +434,7 @@ def met(pairs: DataFrame, store: DataFrame, ready, test) -> DataFrame:
     return mapped(both, run, "a long, b long")
 
 
-def candidates(pairs: DataFrame, store: DataFrame) -> DataFrame:
+def candidates(pairs: DataFrame, store: DataFrame, n: int) -> DataFrame:
     """The pairs that share a prefix token under the second and the third order as well and may link by ranges."""
 
     def ready(row):
@@ -447,7 +449,7 @@ def candidates(pairs: DataFrame, store: DataFrame) -> DataFrame:
             return False
         return all(shares(p, np.frombuffer(q, np.uint32)) for p, q in zip(prefixes, row[1:], strict=True))
 
-    return met(pairs, store.select("cls", "ranges", "second", "third"), ready, test)
+    return met(pairs, store.select("cls", "ranges", "second", "third"), n, ready, test)
 
 
 def shares(a: np.ndarray, b: np.ndarray) -> bool:
@@ -464,11 +466,11 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * int((a[at] == b).sum()) >= 4 * (len(a) + len(b))
 
 
-def verified(pairs: DataFrame, store: DataFrame, model) -> DataFrame:
+def verified(pairs: DataFrame, store: DataFrame, model, n: int) -> DataFrame:
     """The pairs (a, b) that link."""
     spark = pairs.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
-    shared = spark.sparkContext.broadcast(bit_table(wanted, fitting_bits(2 * pairs.count())))
+    shared = spark.sparkContext.broadcast(bit_table(wanted, fitting_bits(2 * n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, ROWS):
@@ -477,7 +479,7 @@ def verified(pairs: DataFrame, store: DataFrame, model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in sets_of(part.column(1))], pa.binary())], names=["cls", "tokens"])
 
     sets = mapped(store.select("cls", "text"), run, "cls long, tokens binary")
-    return met(pairs, sets, lambda row: np.frombuffer(row[0], U), lambda own, row: links(own, np.frombuffer(row[0], U)))
+    return met(pairs, sets, n, lambda row: np.frombuffer(row[0], U), lambda own, row: links(own, np.frombuffer(row[0], U)))
 
 
 def class_roots(texts: DataFrame, rare: np.ndarray, bits: int = 64, torn: frozenset = frozenset()) -> tuple[DataFrame, list[str]]:
@@ -486,7 +488,7 @@ def class_roots(texts: DataFrame, rare: np.ndarray, bits: int = 64, torn: frozen
     model = spark.sparkContext.broadcast((rare, bits, torn))
     lists = postings(texts, model).withColumn("comp", F.col("cls"))
     leaders, found, kept, paths = 1, None, [], []
-    store = tried = edges = None
+    store = tried = edges = ranges = None
 
     def held(df: DataFrame) -> DataFrame:
         done, path = materialize(df)
@@ -500,33 +502,40 @@ def class_roots(texts: DataFrame, rare: np.ndarray, bits: int = 64, torn: frozen
         own = lambda side: found.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
         return pairs.join(own("a"), "a", "left").join(own("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
 
+    def link(pairs: DataFrame) -> None:
+        """Verify pairs and join the components that they connect."""
+        nonlocal edges, found
+        if n := pairs.count():
+            new = held(verified(pairs, store, model, n))
+            edges = new if edges is None else edges.unionByName(new)
+            found, path = roots(edges)
+            kept.append(path)
+
     while True:
         led = held(led_pairs(lists, leaders))
-        pairs = held(led.where("kind = 0").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("lists")))
+        pairs = led.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        pairs = held(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if store is None:
             # All classes of later rounds are in this round's lists and pairs.
             classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(led.where("kind = 1").select(F.col("y").alias("cls")))
             store = held(stored(texts, held(classes.distinct()), model))
-        else:
-            pairs = held(pairs.join(tried, ["a", "b"], "left_anti"))
-        passed = held(candidates(pairs, store).join(pairs, ["a", "b"]))
-        best = held(passed.groupBy("b").agg(F.max_by("a", F.struct("lists", "a")).alias("a")).select("a", "b"))
-        for turn in ("best", "rest"):
-            todo = held(with_comp(best if turn == "best" else passed.select("a", "b").join(best, ["a", "b"], "left_anti")))
-            if todo.isEmpty():
-                continue
-            new = held(verified(todo, store, model))
-            edges = new if edges is None else edges.unionByName(new)
-            found, path = roots(edges)
-            kept.append(path)
-        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        if n := pairs.count():
+            passed = candidates(pairs, store, n)
+            if tried is None:
+                passed = held(passed.withColumn("first", F.min("a").over(Window.partitionBy("b"))))
+                link(passed.where("a = first").select("a", "b"))
+                link(held(with_comp(passed.where("a <> first").select("a", "b"))))
+            else:
+                link(held(passed))
+            tried = pairs if tried is None else tried.unionByName(pairs)
         still = led.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("cls"), "before", "place")
         if still.isEmpty():
             break
         lists = still.withColumn("comp", F.col("cls"))
         if found is not None:
             lists = still.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", "before", "place", F.coalesce("root", "cls").alias("comp"))
-        ranges = store.groupBy("cls").agg(F.min("ranges").alias("ranges"))
+        if ranges is None:
+            ranges = held(store.groupBy("cls").agg(F.min("ranges").alias("ranges")))
         lists = lists.join(ranges, "cls").select("token", "cls", "before", "place", "comp", "ranges")
         leaders = min(MORE_LEADERS * leaders, MOST_LEADERS)
     out = found if found is not None else spark.createDataFrame([], "node long, root long")
