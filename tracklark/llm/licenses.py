@@ -3,8 +3,10 @@
 Each text becomes lower-cased words joined by single spaces. A notice that may differ in k edits is cut into k + 1
 pieces; by the pigeonhole principle one piece stands unchanged in every occurrence within k edits, so exact finds of
 the pieces give all candidate windows. In each window the `regex` library's bounded-error matching verifies the edits
-(insertions, deletions and substitutions of code points) between word boundaries. Exact places are windows verified
-with no edit. Everything happens inside one text, so nothing is shuffled.
+(insertions, deletions and substitutions of code points) between word boundaries. Exact places are all reported; fuzzy
+ones do not overlap them or each other, and every place within the bound of edits overlaps one that is reported.
+Windows have a bounded length, so the time is in proportion to a text's length. Everything happens inside one text, so
+nothing is shuffled.
 
 Nulls: a null text counts as empty: no words, no labels, score 0. Repeated rows give repeated results and an empty
 table an empty one. Only the id and text columns are read.
@@ -13,8 +15,9 @@ table an empty one. Only the id and text columns are read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from typing import NamedTuple
 
 import regex
@@ -44,6 +47,7 @@ NOTICES = BASE | {
 #: One edit is allowed for so many code points of a notice, up to MOST_EDITS.
 CODE_POINTS_PER_EDIT, MOST_EDITS = 8, 3
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SPACE = re.compile(" ")
 
 
 class Hit(NamedTuple):
@@ -78,60 +82,72 @@ def lowered(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def windows(s: Searcher, joined: str) -> list[tuple[int, int]]:
-    """Merged parts of the joined words that can hold an occurrence."""
+def seeds(s: Searcher, joined: str) -> list[tuple[int, int]]:
+    """The parts of the joined words around each exact find of a piece that can hold an occurrence, by start."""
     found = []
     for offset, piece in s.pieces:
         p = joined.find(piece)
         while p >= 0:
             found.append((max(0, p - offset - s.most), min(len(joined), p - offset + len(s.notice) + s.most)))
             p = joined.find(piece, p + 1)
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
-
-
-def fuzzy(s: Searcher, joined: str, start: int, end: int) -> Iterator[regex.Match]:
-    """Non-overlapping matches between two places: the best of all, then those before and behind it."""
-    todo = [(start, end)]
-    while todo:
-        a, b = todo.pop()
-        m = s.pattern.search(joined, a, b) if b - a >= len(s.notice) - s.most else None
-        if m:
-            yield m
-            # A match begins behind a space, which belongs to neither side.
-            todo += [(a, m.start() - 1), (m.end(), b)]
+    return sorted(set(found))
+
+
+@lru_cache(1 << 14)
+def best_match(notice: str, part: str) -> tuple[int, int, int] | None:
+    """Start, end and edits of the match with the fewest edits in a short part."""
+    m = searcher(notice).pattern.search(part)
+    return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
+
+
+def fuzzy(s: Searcher, joined: str, exact: list[int]) -> Iterator[Hit]:
+    """Matches with edits, left to right, that overlap neither each other nor the exact places.
+
+    A part is too short for two matches that do not overlap, so every place within the bound of edits overlaps a match.
+    """
+    free, k = 0, 0
+    # Signs that no word holds stand for what is cut off a word at an end of a part; no match can take them all in.
+    cut = "\0" * (s.most + 2)
+    for a, b in seeds(s, joined):
+        while k < len(exact) and exact[k] + len(s.notice) <= a:
+            k += 1
+        a = max(a, free)
+        for j in range(k, len(exact) + 1):
+            # The free parts between exact places, each without the space at its end.
+            end = min(b, exact[j] - 1) if j < len(exact) else b
+            if end - a >= len(s.notice) - s.most:
+                before = cut if a and joined[a - 1] != " " else ""
+                m = best_match(s.notice, before + joined[a:end] + (cut if end < len(joined) and joined[end] != " " else ""))
+                if m:
+                    p, q = a + m[0] - len(before), a + m[1] - len(before)
+                    yield Hit(s.notice, p, q, m[2])
+                    free = a = max(free, q)
+            if j == len(exact) or exact[j] >= b:
+                break
+            free = a = max(free, exact[j] + len(s.notice))
 
 
 def hits(joined: str, notices: tuple[str, ...] = tuple(NOTICES)) -> list[Hit]:
     """All exact places of each notice, and the non-overlapping fuzzy ones between them."""
     out = []
     for notice in notices:
-        s = searcher(notice)
-        for a, b in windows(s, joined):
-            # Context of one code point on each side keeps the word boundaries right inside the slice.
-            a, b = max(0, a - 1), min(len(joined), b + 1)
-            free, p = a, joined.find(notice, a, b)
-            exact = []
-            while p >= 0:
-                end = p + len(notice)
-                if (p == 0 or joined[p - 1] == " ") and (end == len(joined) or joined[end] == " "):
-                    exact.append((p, end))
-                p = joined.find(notice, p + 1, b)
-            out += [Hit(notice, p, end, 0) for p, end in exact]
-            if s.most:
-                for p, end in [*exact, (b, b)]:
-                    for m in fuzzy(s, joined, free, p):
-                        if sum(m.fuzzy_counts) and (m.start() == 0 or joined[m.start() - 1] == " ") and (m.end() == len(joined) or joined[m.end()] == " "):
-                            out.append(Hit(notice, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    free = end
+        s, exact, p = searcher(notice), [], joined.find(notice)
+        while p >= 0:
+            end = p + len(notice)
+            if (p == 0 or joined[p - 1] == " ") and (end == len(joined) or joined[end] == " "):
+                exact.append(p)
+            p = joined.find(notice, p + 1)
+        out += [Hit(notice, p, p + len(notice), 0) for p in exact]
+        if s.most:
+            out += fuzzy(s, joined, exact)
     return out
 
 
+def word_starts(joined: str) -> list[int]:
+    """Where the words begin."""
+    return [0, *(m.end() for m in SPACE.finditer(joined))]
+
+
 def found(text: str | None) -> tuple[list[str], str, list[Hit]]:
     """The words, the joined words and the hits of a text."""
     words = WORD.findall(lowered(text)) if text else []
@@ -149,10 +165,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             _, joined, there = found(text)
             if not there:
                 return doc_id, []
-            at = [m.span() for m in WORD.finditer(text if text.isascii() and text.islower() else lowered(text))]
-            word = lambda p: joined.count(" ", 0, p)
+            at, starts = [m.span() for m in WORD.finditer(lowered(text))], word_starts(joined)
+            word = lambda p: bisect_right(starts, p) - 1
             return doc_id, [
-                {"label": NOTICES[h.notice], "notice": h.notice, "start": at[word(h.start)][0], "end": at[word(h.end)][1], "edits": h.edits}
+                {"label": NOTICES[h.notice], "notice": h.notice, "start": at[word(h.start)][0], "end": at[word(h.end - 1)][1], "edits": h.edits}
                 for h in sorted(there, key=lambda h: (h.start, h.end, h.notice))
             ]
 
@@ -169,7 +185,8 @@ def op4_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         def row(doc_id, text):
             words, joined, there = found(text)
             base = [h for h in there if h.notice in BASE and not h.edits]
-            places = [joined.count(" ", 0, h.start) for h in base]
+            starts = word_starts(joined) if base else []
+            places = [bisect_left(starts, h.start) for h in base]
             labels = lambda some: ",".join(sorted({NOTICES[h.notice] for h in some}))
             score = max((1 - h.edits / len(h.notice) for h in there), default=0.0)
             return doc_id, len(words), len(base), min(places, default=None), max(places, default=None), labels(base), labels(there), score
