@@ -52,11 +52,14 @@ def test_weak_parts_are_reported_only_together():
     assert secrets.find("login: bob" + " " * 300 + "password: hunter2")[1] == []
 
 
+ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+""")
+
+
 def plain_links(text, reach):
     """All pairs within each block."""
     base, short = secrets.base_spans(text)
     weak = [("weak_secret", s.start, s.end) for s in short] + [tuple(s) for s in secrets.mixed_tokens(text)]
-    weak += [("weak_id", *m.span()) for m in secrets.WEAK_ID.finditer(text)] + [("endpoint", *m.span()) for m in secrets.ENDPOINT.finditer(text)]
+    weak += [("weak_id", *m.span()) for m in secrets.WEAK_ID.finditer(text)] + [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
     parts = [tuple(s) for s in base] + [w for w in weak if w[1:] not in {tuple(s)[1:] for s in base}]
     cuts = [m.start() for m in secrets.BLOCK_END.finditer(text)]
     role = {"assign": "s", "hex": "s", "weak_secret": "s", "access": "i", "weak_id": "i", "endpoint": "e"}
@@ -182,3 +185,53 @@ def test_a_notice_with_more_edits_before_the_best_one_is_found():
     joined = "mozila publik license mozilla publik license"
     found = {(joined[h.start : h.end], h.edits) for h in licenses.hits(joined) if h.notice == "mozilla public license"}
     assert found == {("mozila publik license", 2), ("mozilla publik license", 1)}
+
+
+def test_every_place_within_the_bound_overlaps_a_hit():
+    """Against all word-bounded parts of texts that crowd exact, fuzzy and broken notices."""
+    draw = random.Random(9)
+    for _ in range(250):
+        notice = draw.choice(["mit license", "apache license", "gnu general public license", "bsd license"])
+        most, parts = licenses.searcher(notice).most, []
+        for _ in range(draw.randint(1, 5)):
+            text = list(notice)
+            for _ in range(draw.randint(0, most + 1)):
+                text[draw.randrange(len(text))] = draw.choice(["q", "", "zz", " "])
+            parts += ["".join(text), *draw.choices(["x", "license", "mit", "gnu general"], k=draw.randint(0, 2))]
+        joined = " ".join(" ".join(parts).split())
+        found = [h for h in licenses.hits(joined) if h.notice == notice]
+        edges = [k for k in range(len(joined) + 1) if k in (0, len(joined)) or joined[k] == " " or joined[k - 1] == " "]
+        for a in edges:
+            for b in edges:
+                if abs(b - a - len(notice)) <= most and joined[a:b].strip() == joined[a:b] and edits(joined[a:b], notice) <= most:
+                    assert any(h.start < b and a < h.end for h in found), (joined, joined[a:b])
+        fuzzy = sorted((h.start, h.end) for h in found if h.edits)
+        exact = [(h.start, h.end) for h in found if not h.edits]
+        assert all(b <= c for (_, b), (c, _) in zip(fuzzy, fuzzy[1:])) and not any(a < d and c < b for a, b in fuzzy for c, d in exact)
+        for h in found:
+            assert h.edits >= edits(joined[h.start : h.end], notice) and (h.start == 0 or joined[h.start - 1] == " ") and (h.end == len(joined) or joined[h.end] == " ")
+
+
+def test_endpoints_equal_the_regular_expression():
+    draw = random.Random(10)
+    for _ in range(3000):
+        text = "".join(draw.choices(["a", "1", "+", "://", "://", " ", '"', "x.y", "é", "/"], k=draw.randint(0, 14)))
+        assert [(s.start, s.end) for s in secrets.endpoints(text)] == [m.span() for m in ENDPOINT.finditer(text)], text
+
+
+@pytest.mark.parametrize("unit", ["a", "a.", "://", "x ", "password ", "login: bob token=abc ", "Aa1", "secret=\n\n", "http://h/ "])
+def test_secrets_of_hostile_texts_take_time_in_proportion(unit):
+    import time
+
+    began = time.time()
+    secrets.find("http://h.org/x " + unit * (500_000 // len(unit)) + " ://")
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("unit", ["mit licens ", "mit license ", "gnu general public licens ", "license ", "m"])
+def test_licenses_of_hostile_texts_take_time_in_proportion(unit):
+    import time
+
+    began = time.time()
+    licenses.found(unit * (500_000 // len(unit)))
+    assert time.time() - began < 5

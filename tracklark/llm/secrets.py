@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +50,10 @@ WEAK_ID = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 WEAK_ID_WORDS = ("access", "client", "account", "user", "login")
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x00-\x20"'<>]+""")
+# An endpoint is a scheme, "://" and a body; it is searched from "://", as schemes can be long.
+BODY = re.compile(r"""://([^\x00-\x20"'<>]*)""")
+LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+SCHEME_SIGNS = LETTERS | frozenset("0123456789+.-")
 BLOCK_END = re.compile(r"\n[\x20\t\r]*\n")
 ORDER = {kind: k for k, kind in enumerate(KINDS + WEAK)}
 
@@ -96,26 +99,51 @@ def mixed_tokens(text: str) -> list[Span]:
     return out
 
 
-def near(spans: list[Span], others: list[tuple[int, int]], starts: list[int], longest: int, reach: int) -> list[bool]:
-    """For each span, whether one of `others`, sorted by start, stands within `reach` of it and isn't itself."""
+def endpoints(text: str) -> list[Span]:
+    """Schemes with their bodies, leftmost and non-overlapping."""
+    out, free, at = [], 0, text.find("://")
+    while at >= 0:
+        start = None
+        k = at
+        while k > free and text[k - 1] in SCHEME_SIGNS:
+            k -= 1
+            if text[k] in LETTERS:
+                start = k
+        end = at + 3 if start is None else BODY.match(text, at).end()
+        if end > at + 3:
+            out.append(Span("endpoint", start, end))
+            free = end
+        else:
+            free = at + 3
+        at = text.find("://", free)
+    return out
+
+
+def near(spans: list[Span], others: list[tuple[int, int]], starts: list[int], ends: list[tuple[int, int]], reach: int) -> list[bool]:
+    """For each span, whether one of `others`, sorted by start, stands within `reach` of it and isn't itself.
+
+    ends: for each of the others, the two rightmost ends up to it, as numbers of the others.
+    """
     found = []
     for s in spans:
-        k, hit = bisect_left(starts, s.start - reach - longest), False
-        while k < len(others) and others[k][0] <= s.end + reach:
-            if others[k][1] >= s.start - reach and others[k] != (s.start, s.end):
-                hit = True
-                break
-            k += 1
-        found.append(hit)
+        k = bisect_right(starts, s.end + reach) - 1
+        found.append(k >= 0 and any(j >= 0 and others[j][1] >= s.start - reach and others[j] != (s.start, s.end) for j in ends[k]))
     return found
 
 
 def linked(parts: dict[str, list[Span]], reach: int) -> list[Span]:
     """The weak candidates of one scope whose complementary parts are near."""
 
-    def side(spans: list[Span]) -> tuple[list[tuple[int, int]], list[int], int]:
+    def side(spans: list[Span]) -> tuple[list[tuple[int, int]], list[int], list[tuple[int, int]]]:
         others = sorted({(s.start, s.end) for s in spans})
-        return others, [a for a, _ in others], max((b - a for a, b in others), default=0)
+        ends, one, two = [], -1, -1
+        for k, (_, end) in enumerate(others):
+            if one < 0 or end > others[one][1]:
+                one, two = k, one
+            elif two < 0 or end > others[two][1]:
+                two = k
+            ends.append((one, two))
+        return others, [a for a, _ in others], ends
 
     secrets, ids = side(parts["secret"]), side(parts["id"])
     by_secret = lambda x: near(x, *secrets, reach)
@@ -136,7 +164,7 @@ def find(text: str | None, reach: int = 200) -> tuple[list[Span], list[Span]]:
     weak_secret = [Span("weak_secret", s.start, s.end) for s in short] + mixed_tokens(text)
     low = text.lower() if ":" in text or "=" in text else ""
     weak_id = [Span("weak_id", *m.span()) for m in WEAK_ID.finditer(text)] if low and any(w in low for w in WEAK_ID_WORDS) else []
-    ends = [Span("endpoint", *m.span()) for m in ENDPOINT.finditer(text)] if "://" in text else []
+    ends = endpoints(text)
     taken = {(s.start, s.end) for s in base}
     weak = [s for s in weak_secret + weak_id + ends if (s.start, s.end) not in taken]
     if not weak:
