@@ -1,14 +1,20 @@
 """Exact top-k inner-product search with vector-approximation files.
 
-The index keeps, beside each exact vector, its approximation: one byte for each component, the number of the quantile
+The index is a Parquet table of rows, their approximations and their exact vectors in columns of their own, so a scan
+of approximations reads nothing else. An approximation has one byte for each component, the number of the quantile
 cell the component lies in. Cells come from a bounded sample (`SAMPLE` vectors, the smallest hashes of the ids), with
 the outermost edges at the true least and greatest component of all rows, so every row is indexed and every cell has
-finite edges. A search scans approximations first: for a query, the edges of a row's cells give an upper bound of its
-score. Exact vectors are then read in order of falling bounds until the kth best score is above all bounds left.
+finite edges.
+
+A search scans the approximations: the edges of a row's cells give a lower and an upper bound of its score for each
+query. Each task drops rows whose upper bound is below the kth lower bound that it has seen, and what the tasks leave is
+cut once more by the kth lower bound of all. Exact vectors are then read in order of falling upper bounds: those of the
+`FIRST` x k best bounds first, whose kth score tells which of the others can still be among the best; only these follow.
 
 Scale: queries come to the driver in blocks of `QUERY_BLOCK`, of which one at a time is broadcast; each block scans all
-rows once, and only the best k of each task for each query are shuffled and ranked. So the work is one pass over the
-rows for each block of stated queries, and results of blocks are written to the shared folder.
+approximations once. Only row numbers and bounds are shuffled and ranked, and exact vectors only where rows are left
+over (joined by row number; on large tables Spark filters the vectors by a Bloom filter of the rows first). Results of
+blocks are written to the shared folder.
 
 Nulls: vectors that are null, or hold a null or non-finite component, take no part, and so do rows with a null id.
 Vectors of another length than the query's are no candidates for it; an empty vector scores 0 with other empty ones.
@@ -27,11 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklark.session import materialize, table
+from tracklark.llm.batches import mapped, slices
+from tracklark.session import discard, materialize, table
 
 CELLS = 64
 SAMPLE = 2048
 QUERY_BLOCK = 4096
+#: Queries whose bounds for some rows are held at a time.
+QUERIES_AT_ONCE = 256
+#: Exact vectors are read for so many times k of the highest bounds first.
+FIRST = 2
 #: Exact in double precision while all sums stay below this.
 EXACT = float(1 << 53)
 
@@ -58,24 +69,30 @@ def cell_edges(rows: DataFrame, cells: int = CELLS) -> dict[int, np.ndarray]:
     return out
 
 
-def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cells: int = CELLS) -> tuple[DataFrame, dict[int, np.ndarray]]:
-    """The vector-approximation file: vec_id, v, and cells (a byte for each component); and the cells' edges."""
+def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cells: int = CELLS) -> tuple[DataFrame, dict[int, np.ndarray], str]:
+    """The vector-approximation file: row (a number), size, cells (a byte for each component), vec_id and v; the cells'
+    edges; and where the file is."""
     rows = usable(vectors, id_col, vector_col)
     edges = cell_edges(rows, cells)
     shared = vectors.sparkSession.sparkContext.broadcast(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks: list[bytes | None] = [None] * batch.num_rows
+        for batch in slices(batches):
+            marks: list[bytes] = [b""] * batch.num_rows
+            size = np.zeros(batch.num_rows, np.int32)
             for d, at, v in by_length(batch.column(1)):
+                size[at] = d
                 if d:
                     own = shared.value[d]
                     code = np.stack([np.searchsorted(own[k, 1:-1], v[:, k], "right") for k in range(d)], axis=1).astype(np.uint8)
                     for p, row in zip(at, code, strict=True):
                         marks[p] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.binary())], names=["vec_id", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(marks, pa.binary()), batch.column(0), batch.column(1)], names=["size", "cells", "vec_id", "v"])
 
-    return rows.mapInArrow(run, "vec_id long, v array<double>, cells binary"), edges
+    marked = mapped(rows, run, "size int, cells binary, vec_id long, v array<double>")
+    done, path = materialize(marked.select(F.monotonically_increasing_id().alias("row"), "*"))
+    shared.destroy()
+    return done, edges, path
 
 
 def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -88,45 +105,44 @@ def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield int(d), at, flat[first[at][:, None] + np.arange(d)]
 
 
-class Best:
-    """The best k of each query of one vector length so far: scores falling, ids rising within ties."""
+class Bounds:
+    """The rows of one task that can be among the best k of each query of one vector length, by their approximations."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, edges: np.ndarray | None, k: int):
-        self.ids, self.vectors, self.edges, self.k = ids, vectors, edges, k
+    def __init__(self, vectors: np.ndarray, edges: np.ndarray | None, k: int):
+        self.edges, self.k = edges, k
         self.plus, self.minus = np.maximum(vectors, 0), np.minimum(vectors, 0)
-        self.found: list[list[tuple]] = [[] for _ in ids]
-        self.least = np.full(len(ids), -np.inf)
-        self.own = [True] * len(ids)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray, code: np.ndarray | None) -> None:
-        if code is None:
-            bounds = np.zeros((len(self.ids), len(ids)))
-        else:
-            k = np.arange(vectors.shape[1])
-            bounds = self.plus @ self.edges[k, code + 1].T + self.minus @ self.edges[k, code].T
-        # Sums of doubles that are no integers round; bounds get the slack that this can take.
-        bounds += 1e-12 * (np.abs(bounds) + 1)
-        for q in np.flatnonzero((bounds >= self.least[:, None]).any(axis=1)):
-            some = np.flatnonzero(bounds[q] >= self.least[q])
-            some = some[np.argsort(-bounds[q][some], kind="stable")]
-            self.read(q, some, bounds[q], ids, vectors)
-
-    def read(self, q: int, some: np.ndarray, bound: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Exact vectors by falling bounds, in steps that double, until no bound left reaches the kth score."""
-        at, step = 0, 2 * self.k
-        while at < len(some) and bound[some[at]] >= self.least[q]:
-            part = some[at : at + step]
-            found = list(zip((-exact(vectors[part], self.vectors[q])).tolist(), ids[part].tolist(), strict=True))
-            if self.own[q]:
-                for p, (_, name) in zip(part, found, strict=True):
-                    if name == self.ids[q] and (vectors[p] == self.vectors[q]).all():
-                        found.remove((_, name))
-                        self.own[q] = False
-                        break
-            self.found[q] = sorted(self.found[q] + found)[: self.k]
-            if len(self.found[q]) == self.k:
-                self.least[q] = -self.found[q][-1][0]
-            at, step = at + step, 2 * step
+        self.lows = np.full((len(vectors), k), -np.inf)
+        self.found: list[np.ndarray] = []
+        self.held, self.kept = 0, 1 << 18
+
+    def add(self, rows: np.ndarray, code: np.ndarray | None) -> None:
+        if code is not None:
+            k = np.arange(code.shape[1])
+            left, right = self.edges[k, code].T, self.edges[k, code + 1].T
+        for q in range(0, len(self.lows), QUERIES_AT_ONCE):
+            own = slice(q, q + QUERIES_AT_ONCE)
+            if code is None:
+                low = high = np.zeros((len(self.lows[own]), len(rows)))
+            else:
+                low = self.plus[own] @ left + self.minus[own] @ right
+                high = self.plus[own] @ right + self.minus[own] @ left
+                # Sums of doubles that are no integers round; bounds get the slack that this can take.
+                low -= 1e-12 * (np.abs(low) + 1)
+                high += 1e-12 * (np.abs(high) + 1)
+            both = np.hstack([self.lows[own], low])
+            self.lows[own] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+            n, at = np.nonzero(high >= self.lows[own].min(axis=1)[:, None])
+            self.found.append(np.rec.fromarrays([n + q, rows[at], low[n, at], high[n, at]], names="n,row,low,high"))
+            self.held += len(n)
+            if self.held > self.kept:
+                self.prune()
+
+    def prune(self) -> None:
+        """Drop what later rows have ruled out."""
+        both = np.concatenate(self.found)
+        self.found = [both[both["high"] >= self.lows.min(axis=1)[both["n"]]]]
+        self.held = len(self.found[0])
+        self.kept = max(self.kept, 2 * self.held)
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -142,49 +158,90 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     A query whose row is among `vectors` is recognised by its id and vector; one such row is left out.
     """
     spark = vectors.sparkSession
-    rows, edges = index(vectors, id_col, vector_col, cells)
+    file, edges, path = index(vectors, id_col, vector_col, cells)
     todo = usable(queries, id_col, vector_col).toLocalIterator()
     parts = []
     while block := list(islice(todo, query_block)):
-        sets = defaultdict(list)
-        for n, r in enumerate(block):
-            sets[len(r.v)].append((n, r.vec_id, r.v))
-        shared = spark.sparkContext.broadcast((dict(sets), edges))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sets, edges = shared.value
-            best = {d: Best(np.array([x[1] for x in own], np.int64), np.array([x[2] for x in own], float).reshape(-1, d), edges.get(d), k) for d, own in sets.items()}
-            for batch in batches:
-                ids, marks = batch.column(0).to_numpy(), batch.column(2)
-                for d, at, v in by_length(batch.column(1)):
-                    for a in range(0, len(at) if d in best else 0, 2048):
-                        p = at[a : a + 2048]
-                        code = np.frombuffer(b"".join(marks.take(pa.array(p)).to_pylist()), np.uint8).reshape(-1, d).astype(np.intp) if d else None
-                        best[d].add(ids[p], v[a : a + 2048], code)
-            for d, one in best.items():
-                # Rows are made for some queries at a time.
-                for a in range(0, len(one.ids), 512):
-                    out = [(sets[d][q][0], one.ids[q], r[1], -r[0]) for q in range(a, min(a + 512, len(one.ids))) for r in one.found[q]]
-                    if out:
-                        n, query, name, score = zip(*out, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(n, pa.int32()), pa.array(query, pa.int64()), pa.array(name, pa.int64()), pa.array(map(float, score), pa.float64())], names=["n", "query_id", "vec_id", "score"])
-
-        found = rows.mapInArrow(run, "n int, query_id long, vec_id long, score double")
-        rank = F.row_number().over(Window.partitionBy("n", "query_id").orderBy(F.desc("score"), "vec_id"))
-        ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
-        parts.append((ranked.select("query_id", "rank", "vec_id", "score"), shared))
-        if len(block) == query_block or len(parts) > 1:
-            done, _ = materialize(parts[-1][0])
-            shared.destroy()
-            parts[-1] = (done, None)
+        parts.append(searched(file, edges, [(r.vec_id, np.array(r.v, float)) for r in block], k))
+    discard(spark, path)
     if not parts:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    out = parts[0][0]
-    for more, _ in parts[1:]:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
+def searched(file: DataFrame, edges: dict[int, np.ndarray], block: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
+    """The best k for each query of a block."""
+    spark = file.sparkSession
+    shared = spark.sparkContext.broadcast((block, edges))
+    # One more than k, since the query's own row is left out at the end.
+    most = k + 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, edges = shared.value
+        sets = defaultdict(list)
+        for n, (_, v) in enumerate(block):
+            sets[len(v)].append(n)
+        bounds = {d: Bounds(np.stack([block[n][1] for n in own]), edges.get(d), most) for d, own in sets.items()}
+        for batch in batches:
+            rows, size, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            for d in np.unique(size):
+                at = np.flatnonzero(size == d)
+                for a in range(0, len(at) if d in bounds else 0, 2048):
+                    p = at[a : a + 2048]
+                    code = np.frombuffer(b"".join(marks.take(pa.array(p)).to_pylist()), np.uint8).reshape(-1, d).astype(np.intp) if d else None
+                    bounds[d].add(rows[p], code)
+        for d, one in bounds.items():
+            if one.found:
+                one.prune()
+                found = one.found[0]
+                names = np.array(sets[d], np.int32)
+                for a in range(0, len(found), 1 << 16):
+                    part = found[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[part["n"]]), *(pa.array(part[c].copy()) for c in ("row", "low", "high"))], names=["n", "row", "low", "high"])
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, _ = shared.value
+        for batch in slices(batches):
+            n, names = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            query, score, own = np.zeros(len(n), np.int64), np.zeros(len(n)), np.zeros(len(n), bool)
+            for _, at, v in by_length(batch.column(2)):
+                for q in np.unique(n[at]):
+                    name, vector = block[q]
+                    p = np.flatnonzero(n[at] == q)
+                    query[at[p]], score[at[p]] = name, exact(v[p], vector).astype(float)
+                    own[at[p]] = (names[at[p]] == name) & (v[p] == vector).all(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(query), batch.column(1), pa.array(score), pa.array(own)], names=["n", "query_id", "vec_id", "score", "own"])
+
+    def kth(df: DataFrame, column: str) -> DataFrame:
+        """n and the kth highest value, for the queries that have so many."""
+        rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc(column)))
+        return df.select("n", column, rank.alias("at")).where(F.col("at") == most).select("n", F.col(column).alias("least"))
+
+    def read(some: DataFrame) -> DataFrame:
+        """Exact scores of (n, row)."""
+        both = some.select("n", "row").join(file.select("row", "vec_id", "v"), "row").select("n", "vec_id", "v")
+        return mapped(both, scores, "n int, query_id long, vec_id long, score double, own boolean")
+
+    seen, seen_path = materialize(mapped(file.select("row", "size", "cells"), scan, "n int, row long, low double, high double"))
+    left = seen.join(kth(seen, "low"), "n", "left").where("least IS NULL OR high >= least").drop("least")
+    order = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("high"), "row"))
+    left, left_path = materialize(left.withColumn("at", order))
+    first, first_path = materialize(read(left.where(F.col("at") <= FIRST * most)))
+    rest = left.where(F.col("at") > FIRST * most).join(kth(first, "score"), "n").where("high >= least")
+    more, more_path = materialize(read(rest))
+    both = first.unionByName(more)
+    own = F.row_number().over(Window.partitionBy("n", "own").orderBy("vec_id"))
+    both = both.withColumn("again", own).where("NOT own OR again > 1")
+    rank = F.row_number().over(Window.partitionBy("n", "query_id").orderBy(F.desc("score"), "vec_id"))
+    out, _ = materialize(both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    discard(spark, seen_path, left_path, first_path, more_path)
+    shared.destroy()
+    return out
+
+
 def op6_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of all integer vectors for each query row."""
     # floor() gives whole numbers for NaN and infinities too, so rows that take no part go before it.
