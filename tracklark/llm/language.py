@@ -6,8 +6,10 @@ a bounded sample of labelled rows. A text gets the language of the centroid with
 its distance to it is far beyond what texts of its length have in the sample.
 
 Fitting: document frequencies cover all learnable rows and are summed from one small row for each task and bucket. The
-k-means sample holds at most `SAMPLE` rows, the smallest hashes of the id of each language, so no language is
-left out; it is the only thing that comes to the driver beside one number for each of the `BUCKETS` buckets.
+k-means sample holds `SAMPLE` rows at most, but `CENTROIDS` of each language, so no language is left out: those with
+the smallest hashes of id and text of each language, repeated rows once. Each language's count gives a hash that about
+twice the rows wanted are below, so a frequent language is cut before it is ranked. The sample is the only thing that
+comes to the driver beside one number for each of the `BUCKETS` buckets.
 Prediction reads each whole text once, without a shuffle; the model broadcast is `BUCKETS` floats for each centroid,
 and at most `MOST_LANGUAGES` languages are accepted.
 
@@ -30,12 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracklark.llm.batches import per_row
+from tracklark.llm.batches import mapped, per_row, slices
 from tracklark.session import table
 
 BUCKETS, CENTROIDS, SAMPLE, MOST_LANGUAGES = 1 << 12, 4, 3200, 400
-#: Texts with fewer n-grams than this are never rejected for their distance.
-LEAST_GRAMS = 200
 #: A text is rejected below this share of the cosine that all but `ODD` of the sample texts of its length reach.
 SLACK, ODD = 0.6, 0.02
 UNKNOWN = "und"
@@ -91,7 +91,7 @@ class Model(NamedTuple):
         scores = self.centroids @ self.vector(found)
         best = int(scores.argmax())
         score = min(max(float(scores[best]), 0.0), 1.0)
-        return self.langs[best], score, bool(len(found) >= LEAST_GRAMS and score < self.least[size_class(len(found))])
+        return self.langs[best], score, bool(score < self.least[size_class(len(found))])
 
 
 def size_class(n: int) -> int:
@@ -103,7 +103,7 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS + 1, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 if (found := grams(text)) is not None:
                     df[np.unique(found) if len(found) < BUCKETS else np.flatnonzero(np.bincount(found, minlength=BUCKETS))] += 1
@@ -113,39 +113,45 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["bucket", "df"])
 
     out = np.zeros(BUCKETS + 1, np.int64)
-    for r in texts.mapInArrow(run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
+    for r in mapped(texts, run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         out[r.bucket] = r.df
     return out[:BUCKETS], int(out[BUCKETS])
 
 
 def sample_vectors(rows: DataFrame) -> Iterator[tuple[str, np.ndarray, int]]:
     """Label, counts by bucket and number of n-grams of the sampled rows; the counts are made on executors."""
-    langs = sorted(r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not langs:
+    if not counts:
         return
-    each = max(CENTROIDS, SAMPLE // len(langs))
-    order = Window.partitionBy("lang").orderBy("mixed", "doc_id")
-    chosen = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("mixed")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
-    most = chosen.groupBy("lang").agg(F.max(F.struct("mixed", "doc_id")).alias("last"))
-    bound = {r["lang"]: r["last"]["mixed"] for r in most.collect()}
-    within = F.lit(False)
-    for lang, last in bound.items():
-        within = within | ((F.col("lang") == lang) & (F.xxhash64("doc_id") <= last))
+    each = max(CENTROIDS, SAMPLE // len(counts))
+    mixed = F.xxhash64("doc_id", "text")
+
+    def below(bounds: dict[str, int]):
+        out = F.lit(False)
+        for lang, last in bounds.items():
+            out = out | ((F.col("lang") == lang) & (mixed <= last))
+        return out
+
+    bounds = {lang: min(int((2 * each + 64) / n * 2**64) - 2**63, 2**63 - 1) for lang, n in counts.items()}
+    few = rows.where(below(bounds)).select("lang", mixed.alias("mixed")).distinct()
+    chosen = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mixed"))).where(F.col("rank") <= each)
+    within = below({r["lang"]: r["last"] for r in chosen.groupBy("lang").agg(F.max("mixed").alias("last")).collect()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(lang, g) for lang, g in zip(batch.column(0).to_pylist(), map(grams, batch.column(1).to_pylist()), strict=True) if g is not None]
+        for batch in slices(batches):
+            out = [(lang, m, g) for lang, m, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(grams, batch.column(2).to_pylist()), strict=True) if g is not None]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _ in out], pa.string()), pa.array([np.bincount(g, minlength=BUCKETS).astype(np.int32).tobytes() for _, g in out], pa.binary()), pa.array([len(g) for _, g in out], pa.int64())],
-                names=["lang", "counts", "n"],
+                [pa.array([x for x, _, _ in out], pa.string()), pa.array([m for _, m, _ in out], pa.int64()), pa.array([np.bincount(g, minlength=BUCKETS).astype(np.int32).tobytes() for *_, g in out], pa.binary()), pa.array([len(g) for *_, g in out], pa.int64())],
+                names=["lang", "mixed", "counts", "n"],
             )
 
-    taken = dict.fromkeys(langs, 0)
-    for r in rows.where(within).select("lang", "text").mapInArrow(run, "lang string, counts binary, n long").toLocalIterator():
-        taken[r["lang"]] += 1
-        if taken[r["lang"]] <= 2 * each:
+    taken = set()
+    for r in mapped(rows.where(within).select("lang", mixed.alias("mixed"), "text"), run, "lang string, mixed long, counts binary, n long").toLocalIterator():
+        # Rows of one hash repeat each other.
+        if (r["lang"], r["mixed"]) not in taken:
+            taken.add((r["lang"], r["mixed"]))
             yield r["lang"], np.frombuffer(r["counts"], np.int32), r["n"]
 
 
@@ -206,10 +212,10 @@ def keep_known(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = shared.value.predict
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([not predict(t)[2] for t in batch.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def held_out(id_col: str = "doc_id"):
