@@ -137,6 +137,73 @@ def test_language_accuracy_and_rejection(spark):
     assert {r.lang_pred for r in language.predicted(frame, empty).collect()} == {"und"}
 
 
+def test_predictions_equal_a_plain_nearest_centroid(spark):
+    """Weights, k-means and cosines by loops over dictionaries, with the n-grams' buckets from the library."""
+    draw = random.Random(21)
+    words = {"aa": ["lorem", "ipsum", "dolor", "sit"], "bb": ["der", "die", "das", "und", "Straße"], "cc": ["один", "два", "три"]}
+    rows = [(k, " ".join(draw.choices(words[lang], k=draw.randint(1, 30))), lang if k % 11 else None, None, 0) for k, lang in enumerate(draw.choices(list(words), k=150))]
+    rows += [rows[3], rows[3], (None, "der die das", "bb", None, 0), (500, None, "aa", None, 0), (501, "", "aa", None, 0), (502, "12", "cc", None, 0), (503, "lorem " * 20000, "aa", None, 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    model = language.fit(docs, centroids=2)
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.lang_pred, round(r.score, 5)) for r in language.predicted(docs, model).collect())
+
+    counts = {}
+    for n, r in enumerate(rows):
+        g = language.grams(r[1])
+        if g is not None:
+            counts[n] = {b: int((g == b).sum()) for b in set(g.tolist())} if len(g) < 10**4 else dict(zip(*(x.tolist() for x in np.unique(g, return_counts=True)), strict=True))
+    learned = [n for n in counts if rows[n][2] is not None]
+    df = {}
+    for n in learned:
+        for b in counts[n]:
+            df[b] = df.get(b, 0) + 1
+    idf = lambda b: np.log((len(learned) + 1) / (df.get(b, 0) + 1)) + 1
+
+    def unit(c):
+        v = {b: np.log1p(x) * idf(b) for b, x in c.items()}
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {b: x / size for b, x in v.items()}
+
+    dot = lambda u, v: sum(x * v.get(b, 0.0) for b, x in u.items())
+
+    def mean(vs):
+        out = {}
+        for v in vs:
+            for b, x in v.items():
+                out[b] = out.get(b, 0.0) + x / len(vs)
+        return out
+
+    def scaled(v):
+        size = sum(x * x for x in v.values()) ** 0.5
+        return {b: x / size for b, x in v.items()}
+
+    centroids = []
+    for lang in sorted(words):
+        seen, vs = set(), []
+        for n in learned:
+            if rows[n][2] == lang and (rows[n][0], rows[n][1]) not in seen:
+                seen.add((rows[n][0], rows[n][1]))
+                vs.append(unit(counts[n]))
+        middle = mean(vs)
+        picked = [max(vs, key=lambda v: dot(v, middle))]
+        picked.append(min(vs, key=lambda v: dot(v, picked[0])))
+        for _ in range(12):
+            own = [max((0, 1), key=lambda j: dot(v, picked[j])) for v in vs]
+            picked = [scaled(mean([v for v, j in zip(vs, own) if j == c])) if c in own else picked[c] for c in (0, 1)]
+        centroids += [(lang, c) for c in picked]
+    want = []
+    for n, r in enumerate(rows):
+        if n in counts:
+            v = unit(counts[n])
+            score, lang = max(((dot(v, c), lang) for lang, c in centroids), key=lambda x: x[0])
+            want.append((r[0] is None, r[0] or 0, lang, round(score, 5)))
+        else:
+            want.append((r[0] is None, r[0] or 0, "und", 0.0))
+    want.sort()
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert max(abs(g[3] - w[3]) for g, w in zip(got, want)) < 2e-3
+
+
 # Search
 
 
@@ -202,6 +269,51 @@ def test_joint_lengths_are_no_dearer_than_any_one_length():
         assert sum(used) == sum(sizes)
 
 
+def plain_best_fit(sizes, floor, lengths, cost):
+    """Each size, longest first, into the open bin with the least room that holds it, by looking at all bins."""
+    bins = []
+    for size in sorted(sizes, reverse=True):
+        fits = [b for b in bins if b[0] - b[1] >= size]
+        if fits:
+            min(fits, key=lambda b: b[0] - b[1])[1] += size
+        else:
+            bins.append([min((x for x in lengths if x >= max(size, floor)), key=lambda x: (cost(x) / x, x)), size])
+    return sorted(min(x for x in lengths if x >= used) for _, used in bins)
+
+
+def cheapest(sizes, lengths, cost):
+    """The least price of all ways to put sizes into bins."""
+    best = [float("inf")]
+
+    def place(k, bins):
+        if k == len(sizes):
+            best[0] = min(best[0], sum(cost(min(x for x in lengths if x >= b)) for b in bins))
+            return
+        for j in {b: j for j, b in enumerate(bins)}.values():
+            if bins[j] + sizes[k] <= lengths[-1]:
+                place(k + 1, [*bins[:j], bins[j] + sizes[k], *bins[j + 1 :]])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_equals_a_plain_best_fit_and_is_near_the_cheapest():
+    draw, lengths = random.Random(31), (8, 16, 32)
+    cost = lambda n: 2 + n + n * n / 64
+    ratios = []
+    for _ in range(60):
+        sizes = [draw.randint(0, 32) for _ in range(draw.randint(1, 7))]
+        bins, used, fitted = packing.pack(sizes, lengths, cost)
+        plain = min((sum(map(cost, own)), f, own) for f in lengths for own in [plain_best_fit(sizes, f, lengths, cost)])
+        assert sum(map(cost, fitted)) == plain[0] and sorted(fitted) == plain[2]
+        assert used == [sum(s for s, b in zip(sizes, bins) if b == k) for k in range(len(used))]
+        least = cheapest(sizes, lengths, cost)
+        assert least <= plain[0]
+        ratios.append(plain[0] / least)
+    assert max(ratios) < 1.6 and sum(ratios) / len(ratios) < 1.1
+
+
 def test_packing_query_covers_all_documents(spark, sf_dir):
     got = packing.op7_variable_bins(spark, sf_dir).toPandas()
     texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
@@ -256,6 +368,13 @@ def test_branches_of_reply_trees(spark):
     assert chat.formatted(chat.branch_nodes(frame.limit(0))).count() == 0
 
 
+def test_text_ids_do_not_clash_with_missing_ones(spark):
+    rows = [(None, 1, "user", "null"), ("", 1, "user", "empty"), ("", 2, "assistant", "more"), ("-", 1, "user", "dash"), ("=", 1, "user", "sign"), (None, 2, "assistant", "null too")]
+    frame = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = sorted(((r.tree, r.depth, r.text) for r in chat.branch_nodes(chat.conversation_nodes(frame)).collect()), key=str)
+    assert got == sorted(((c, t, x) for c, t, _, x in rows), key=str)
+
+
 def test_chat_plan_has_no_python(spark, sf_dir):
     plan = chat.op10_chat_branches(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and hashlib

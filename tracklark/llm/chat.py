@@ -117,7 +117,9 @@ def conversation_nodes(rows: DataFrame) -> DataFrame:
     """Rows of (conv_id, turn, role, text) as reply trees without branches: each turn answers the one before it."""
     order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     counted = rows.select(F.col("conv_id").alias("tree"), "turn", "role", "text").withColumn("k", F.row_number().over(order))
-    node = lambda k: F.concat_ws("/", F.coalesce(F.col("tree").cast("string"), F.lit("")), k.cast("string"))
+    # A null tree has a mark that no other tree's name starts with.
+    name = F.coalesce(F.concat(F.lit("="), F.col("tree").cast("string")), F.lit("-"))
+    node = lambda k: F.concat_ws("/", name, k.cast("string"))
     return counted.select("tree", node(F.col("k")).alias("node"), F.when(F.col("k") > 1, node(F.col("k") - 1)).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 

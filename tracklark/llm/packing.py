@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tracklark.llm.batches import per_row
+from tracklark.llm.batches import mapped, per_row
 from tracklark.session import table
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
@@ -116,7 +116,7 @@ def best_fit(docs: DataFrame, length_col: str = "n_tokens", id_col: str = "doc_i
         if held:
             yield from packed(held)
 
-    return narrow.mapInArrow(run, kind)
+    return mapped(narrow, run, kind)
 
 
 def with_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ node knows the node reached when no edge fits (its failure link) and how many pi
 mark are word-initial and others continue a word. A code point that no piece holds counts as its UTF-8 bytes.
 
 Nulls: a null text has no words and no tokens. Repeated rows give repeated results, an empty table an empty one. Only
-the id and text columns are read. Memory: the automaton, and a cache of at most `CACHED` words for each task.
+the id and text columns are read. Memory: the automaton, and for each task a cache of at most `CACHED` words of up to `LONGEST_CACHED` code points.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from tracklark.llm.batches import per_row
 from tracklark.session import table
 
 MARK = "▁"
-CACHED = 1 << 17
+CACHED, LONGEST_CACHED = 1 << 17, 40
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -130,7 +130,9 @@ def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
                 if n is None:
                     if len(known) >= CACHED:
                         known.clear()
-                    n = known[w] = count(w)
+                    n = count(w)
+                    if len(w) <= LONGEST_CACHED:
+                        known[w] = n
                 total += n
             return doc_id, len(words), total
 
