@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklark.operators.quality import first_failure
+from tracklark.session import materialize
+
 
 def renamed(df: DataFrame, keys: tuple[str, ...], taken: list[str], suffix: str) -> DataFrame:
     """Columns of `df` that `taken` also has get a suffix, keys excepted."""
@@ -120,3 +123,50 @@ def after_key(rows: DataFrame, key: str, start_after: str | None, most: int | No
 def round_robin(rows: DataFrame, order: str, groups: int) -> DataFrame:
     """Deals the rows of a small dimension to `groups` workers in turn."""
     return rows.withColumn("worker", F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(groups)))
+
+
+def without_empty(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have at least one of the columns (NaN counts as missing)."""
+    return df.dropna("all", subset=columns)
+
+
+def with_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
+    return df.where(F.startswith(F.col(column), F.lit(prefix)))
+
+
+def model_columns(df: DataFrame, wanted: list[str], leaky: list[str]) -> tuple[list[str], list[str]]:
+    """The wanted columns without the leaky ones, and the leaky ones present; an error that names those missing."""
+    if missing := [c for c in wanted if c not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return [c for c in wanted if c not in leaky], [c for c in leaky if c in df.columns]
+
+
+def first_lookup(rows: DataFrame, dimension: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Adds the dimension's first value by `order` for each key, null without one."""
+    first = dimension.groupBy(key).agg(F.min_by(value, order).alias(value))
+    return rows.join(first, key, "left")
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "ordinal", parts: int | None = None) -> DataFrame:
+    """Adds each row's place (from 1) in an order over all rows, without a task that sees them all.
+
+    Rows are dealt to tasks by ranges of the order and written once to the shared folder; a small table of rows for each
+    range gives what comes before it.
+    """
+    ranged = rows.repartitionByRange(*((parts,) if parts else ()), *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    held, _ = materialize(ranged)
+    sizes = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n"))
+    found = held.join(F.broadcast(before.drop("_n")), "_part")
+    return found.withColumn(name, F.col("_before") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_before", "_first")
+
+
+def dry_run(units: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """Adds whether each unit of work would be taken, and the first rule that speaks against it."""
+    return units.withColumn("reason", first_failure(rules)).withColumn("accepted", F.col("reason").isNull())
+
+
+def running_summary(runs: DataFrame, by: tuple[str, ...], order: tuple[str, ...], failed: Column) -> DataFrame:
+    """The summary after each completion: how many units are done and how many failed so far."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return runs.withColumns({"done": F.count(F.lit(1)).over(w), "failures": F.count_if(failed).over(w)})
