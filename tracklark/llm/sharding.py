@@ -4,10 +4,10 @@ Rows of each source are shuffled by a seeded hash and ranked; rank r of n gets t
 rows in order of fractional rank are then a mixture in the sources' proportions wherever one cuts, and equal cuts give
 shards whose row counts differ by one at most (law `rows`).
 
-Scale: ranks within a source and ranks over all rows are both found by buckets of about `BUCKET_ROWS` rows: rows are
-numbered inside their bucket, and the rows of the buckets before come from a small table of counts. So a source that
-holds a third of all rows spreads over many tasks, and no task sorts more than some buckets. Only ids, sources, sizes
-and checksums are shuffled, never texts; the fractional ranks are written to the shared folder once.
+Scale: both ranks are places in an order over all rows, found by range partitions: rows are dealt to tasks by ranges of
+the whole key, sorted there, and a small table of the ranges' sizes gives what comes before. The key ends with a number
+of the row, so a source, an id or a text that holds a third of all rows spreads over many tasks, and rows without an id
+as well. Only ids, sources, sizes and checksums are shuffled, never texts; they are written to the shared folder.
 
 Nulls: rows of a null source form a source of their own; a null text has size 1 and checksum 0; rows with a null id
 are shuffled like any other. Ties of the hash are broken by id, checksum and size, so repeated rows differ in nothing
@@ -18,47 +18,40 @@ from __future__ import annotations
 
 from math import ceil
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklark.operators.tables import numbered
 from tracklark.session import materialize, table
 
-BUCKET_ROWS = 4096
+#: Rows sorted by one task, about, and so many tasks at most.
+BUCKET_ROWS, MOST_TASKS = 1 << 16, 1 << 15
 
 
 def interleave(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row."""
-    n = docs.count()
-    buckets = max(1, ceil(n / bucket_rows))
+    spark = docs.sparkSession
     mixed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
-    keyed = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("stratum"),
-        mixed.alias("mixed"),
-        F.floor(F.conv(F.substring(mixed, 1, 8), 16, 10).cast("long") * buckets / F.lit(1 << 32)).alias("bucket"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"),
-        F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+    keyed, _ = materialize(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")).alias("stratum"),
+            mixed.alias("mixed"),
+            (F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1).alias("size"),
+            F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+            F.monotonically_increasing_id().alias("tie"),
+        )
     )
-    counts = keyed.groupBy("stratum", "bucket").agg(F.count(F.lit(1)).alias("rows"))
-    below = Window.partitionBy("stratum").orderBy("bucket")
-    counts = counts.select(
-        "stratum",
-        "bucket",
-        (F.sum("rows").over(below) - F.col("rows")).alias("before"),
-        F.sum("rows").over(Window.partitionBy("stratum")).alias("in_all"),
-    )
-    inside = Window.partitionBy("stratum", "bucket").orderBy("mixed", "doc_id", "text_crc32", "size")
-    ranked = keyed.withColumn("rank", F.row_number().over(inside)).join(counts, ["stratum", "bucket"])
-    part = (2 * (F.col("before") + F.col("rank")) - 1) / (2 * F.col("in_all"))
-    placed, _ = materialize(ranked.select("doc_id", "stratum", "mixed", "size", "text_crc32", part.alias("part"), F.floor(part * buckets).alias("slice")))
-    slices = placed.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"))
-    slices = slices.select("slice", (F.sum("rows").over(Window.orderBy("slice")) - F.col("rows")).alias("before"))
-    inside = Window.partitionBy("slice").orderBy("part", "stratum", "mixed", "doc_id", "text_crc32", "size")
-    at = F.col("before") + F.col("rank") - F.lit(1).cast("long")
+    n = keyed.count()
+    parts = min(MOST_TASKS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(n / bucket_rows)))
+    key = ("stratum", "mixed", "doc_id", "text_crc32", "size", "tie")
+    ranked = numbered(keyed, *key, name="place", parts=parts)
+    strata = ranked.groupBy("stratum").agg(F.count(F.lit(1)).alias("in_all"), F.min("place").alias("first"))
+    part = (2 * (F.col("place") - F.col("first") + 1) - 1) / (2 * F.col("in_all"))
+    placed = numbered(ranked.join(strata, "stratum").select(*key, part.alias("part")), "part", *key, name="place", parts=parts)
+    at = F.col("place") - 1
     return (
-        placed.withColumn("rank", F.row_number().over(inside))
-        .join(slices, "slice")
-        .withColumn("shard", F.expr(f"cast((before + rank - 1) * {shards}L div {max(n, 1)}L as int)"))
+        placed.withColumn("shard", F.expr(f"cast((place - 1) * {shards}L div {max(n, 1)}L as int)"))
         .select("doc_id", "size", "text_crc32", "shard", (at - F.expr(f"(shard * {n}L + {shards - 1}L) div {shards}L")).alias("slot"))
     )
 
