@@ -6,8 +6,10 @@ tracked. A match of `window` words or more ends an occurrence of an item's windo
 not empty, counts when all of it occurs.
 
 Scale: documents are never shuffled. Items come to the driver a block at a time, at most `BLOCK_WORDS` words each, and
-every block's automaton goes over the documents in its own pass that adds to what the passes before found; the rows are
-written out to the shared folder after every `PASSES` passes. A longer item is cut into pieces that overlap by a window.
+every block's automaton goes over the documents in its own pass that adds to what the passes before found. With more
+than one block a bit table of all windows' numbers (2^23 to 2^27 bits) goes first, in one pass: only documents that hold
+a window in the table, a superset of those that hold an item's window, are written out and searched by the automata. A
+longer item is cut into pieces that overlap by a window.
 
 Nulls: a null text has no words; items without words or with a null id are left out. Repeated documents give repeated
 rows; repeated item ids count once. No items: nothing is hit. Columns besides the id and text pass through `remove`
@@ -18,18 +20,23 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tracklark.llm.batches import per_row
+from tracklark.llm.jaccard import fitting_bits, in_table
+from tracklark.llm.shingles import U, mix
 from tracklark.session import materialize, table
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
-PASSES = 4
+PASSES = 2
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
 
@@ -171,11 +178,18 @@ FOUND = "hit array<struct<start:int,end:int>>, items array<string>, n_words long
 def with_hits(docs: DataFrame, keep: list[str], text_col: str, items: DataFrame, item_id: str, item_text: str, window: int, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Each row as (row: its columns named in `keep`, hit, items, n_words)."""
     spark = docs.sparkSession
+    found = lambda: blocks(items, item_id, item_text, window, block_words)
+    several = len([*islice(found(), 2)]) > 1
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     kind = StructType([*rows.schema, *StructType.fromDDL(FOUND)])
     done = rows.withColumns({"hit": F.lit(None).cast("array<struct<start:int,end:int>>"), "items": F.lit(None).cast("array<string>"), "n_words": F.lit(None).cast("long")})
+    clean = None
+    if several:
+        marked, _ = materialize(suspects(rows, found(), window))
+        clean = marked.where("NOT suspect").select("row", "hit", "items", "n_words")
+        done = marked.where("suspect").drop("suspect")
     k = 0
-    for k, block in enumerate(blocks(items, item_id, item_text, window, block_words), 1):
+    for k, block in enumerate(found(), 1):
         shared = spark.sparkContext.broadcast(block)
 
         def start(key=uuid.uuid4().hex, shared=shared):
@@ -193,11 +207,54 @@ def with_hits(docs: DataFrame, keep: list[str], text_col: str, items: DataFrame,
             return row
 
         done = per_row(done, kind, start)
-        if not k % PASSES:
+        if several and not k % PASSES:
             done, _ = materialize(done)
     if not k:
         done = per_row(done, kind, lambda: lambda row, text, *_: (row, text, [], [], len(words_of(text))))
-    return done.drop("text")
+    done = done.drop("text")
+    return done if clean is None else done.unionByName(clean)
+
+
+def suspects(rows: DataFrame, found: Iterator[list[tuple[str, list[bytes]]]], window: int) -> DataFrame:
+    """The rows (row, text) ready for the passes, and whether they hold a window that can be an item's."""
+    lengths, numbers = set(), []
+    for block in found:
+        for _, words in block:
+            lengths.add(min(len(words), window))
+            numbers.append(window_numbers(word_numbers(words), min(len(words), window)))
+    every = np.concatenate(numbers)
+    bits = fitting_bits(len(every))
+    table = np.zeros(1 << (bits - 6), U)
+    place = every >> U(64 - bits)
+    np.bitwise_or.at(table, (place >> U(6)).astype(np.intp), U(1) << (place & U(63)))
+    shared = rows.sparkSession.sparkContext.broadcast((table, sorted(lengths)))
+
+    def start():
+        table, lengths = shared.value
+
+        def row(row, text):
+            words = words_of(text)
+            own = word_numbers(words)
+            held = any(in_table(table, window_numbers(own, m).view(np.int64)).any() for m in lengths if m <= len(words))
+            return row, text if held else None, [], [], len(words), held
+
+        return row
+
+    return per_row(rows, StructType([*rows.schema, *StructType.fromDDL(FOUND), StructField("suspect", BooleanType())]), start)
+
+
+def word_numbers(words: list[bytes]) -> np.ndarray:
+    """A number for each word; equal words have equal ones."""
+    return np.array([zlib.crc32(w) << 32 | zlib.adler32(w) for w in words], U)
+
+
+def window_numbers(numbers: np.ndarray, length: int) -> np.ndarray:
+    """A number for each run of so many words."""
+    n = len(numbers) - length + 1
+    total = np.zeros(max(n, 0), U)
+    for k in range(length):
+        total = mix(total + numbers[k : k + n]) if n > 0 else total
+    return total
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
