@@ -38,6 +38,8 @@ from tracklark.session import table
 BUCKETS, CENTROIDS, SAMPLE, MOST_LANGUAGES = 1 << 12, 4, 3200, 400
 #: A text is rejected below this share of the cosine that all but `ODD` of the sample texts of its length reach.
 SLACK, ODD = 0.6, 0.02
+#: So many sample texts of a size tell the bound for that size.
+TOLD = 32
 UNKNOWN = "und"
 
 
@@ -186,10 +188,12 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         langs += [lang] * len(c)
         for score, (_, size) in zip((v @ c.T).max(axis=1), by[lang], strict=True):
             reached[size_class(size)].append(score)
-    # Longer texts are nearer to their centroids, so a size without samples takes the bound of the next shorter one.
+    # A few texts tell no quantile, so a size with too few of them takes the bound of the next shorter one; and as
+    # longer texts are nearer to their centroids, no size has a higher bound than a longer one.
     least = np.zeros(64)
     for k in range(1, 64):
-        least[k] = SLACK * np.quantile(reached[k], ODD) if reached[k] else least[k - 1]
+        least[k] = SLACK * np.quantile(reached[k], ODD) if len(reached[k]) >= TOLD else least[k - 1]
+    least = np.minimum.accumulate(least[::-1])[::-1]
     return model._replace(centroids=np.vstack(found).astype(np.float32) if found else model.centroids, langs=langs, least=least)
 
 
