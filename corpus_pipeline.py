@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracklark.llm import decontamination, jaccard, language, packing, secrets
-from tracklark.session import materialize, table
+from tracklark.session import discard, materialize, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`."""
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir))
+        docs, path = materialize(stage(spark, docs, sf_dir))
+        discard(spark, *held)
+        held = [path]
     return docs

@@ -19,7 +19,7 @@ def test_kernels():
     assert K.distance(K.fill_holes(mask))[4, 4] == 3 and np.isinf(K.distance(np.ones((2, 2), bool))).all()
     two = np.zeros((5, 9), bool)
     two[1:4, 0:3] = two[1:4, 5:9] = True
-    assert K.label(two)[1] == 2 and set(np.unique(K.watershed_halves(two))) == {0, 1, 2}
+    assert K.label(two)[1] == 2 and [m.sum() for m in K.split_at_waist(two, 0.5, 2)] == [9, 12]
     image = np.random.default_rng(1).normal(0, 1, (32, 40))
     assert np.allclose(K.shift(image, K.moved(image, 3, -2)), (-3, 2), atol=0.2)
     gy, gx = np.mgrid[0:7, 0:7]
@@ -153,3 +153,97 @@ def test_run_helpers(tmp_path):
     assert runs.tail(str(tmp_path / "log"), 2) == ["b", "c"] and runs.disk_left(str(tmp_path), 1)
     once = runs.with_section("Report", "qc", "new")
     assert runs.with_section(once, "qc", "newer").count("qc:start") == 1 and "newer" in runs.with_section(once, "qc", "newer")
+
+
+def test_floods_and_splits():
+    gy, gx = np.mgrid[0:30, 0:60]
+    bell = ((gy - 15) ** 2 + (gx - 18) ** 2 < 120) | ((gy - 15) ** 2 + (gx - 40) ** 2 < 160)
+    halves = K.split_at_waist(bell, 1.0, 6)
+    assert len(halves) == 2 and not (halves[0] & halves[1]).any() and (halves[0] | halves[1] == bell).all()
+    # The cut runs through the waist, so each disc stays in one part.
+    assert {bool(h[15, 18]) + 2 * bool(h[15, 40]) for h in halves} == {1, 2}
+    assert len(K.split_at_waist(bell, 1.0, 6, least=200)) == 2 and K.split_at_waist(bell, 1.0, 6, least=450)[0].sum() == bell.sum()
+    disc = (gy - 15) ** 2 + (gx - 30) ** 2 < 100
+    assert len(K.split_at_waist(disc, 1.0, 25)) == 1
+    height = np.array([[3.0, 1.0, 2.0], [3.0, 1.0, 2.0]])
+    assert K.flood(height, [(0, 0), (0, 2)], np.ones((2, 3), bool)).tolist() == [[1, 2, 2], [1, 2, 2]] or K.flood(height, [(0, 0), (0, 2)], np.ones((2, 3), bool))[:, 0].tolist() == [1, 1]
+
+
+def test_large_clusters_split_alone():
+    """A large component that parts at a higher level is split although a small one stands on the same rows."""
+    image = np.full((40, 60), 100.0)
+    image[10:30, 20:50] = 160.0
+    image[12:28, 22:33] = image[12:28, 38:49] = 420.0
+    image[14:19, 3:8] = 300.0
+    region = np.ones(image.shape, bool)
+    found = K.split_clusters(image, region, 0.3, 200, 10, (1.0, 1.5, 2.0))
+    assert sorted((round(y), round(x)) for y, x, _ in found) == [(16, 5), (20, 27), (20, 43)] and {k for *_, k in found} == {0.3, 1.0}
+    assert len(K.split_clusters(image, region, 0.3, 10**6)) == 2
+    # Nothing but fill at the border, and centres out of the region, are left out.
+    image[:, :4] = 5.0
+    assert not K.valid_mask(image)[:, :4].any() and K.valid_mask(image)[:, 8:].all()
+    region[:, 20:] = False
+    assert [x for _, x, _ in K.split_clusters(image, region, 0.3, 200)] == [pytest.approx(5.5, abs=1)]
+
+
+def test_mask_lookups_and_listings(spark, tmp_path):
+    import json
+
+    from tracklark.sources import masks
+
+    folder = tmp_path / "all nd2 files" / "exp 1"
+    folder.mkdir(parents=True)
+    for name in ("a_1.tif", "a_mask_1.tif", "b_2.tif", "c_mask_9.tif", "a_1_metadata.json"):
+        (folder / name).write_text("{}")
+    files = masks.paths(spark, str(tmp_path))
+    assert files.count() == 5
+    found = {r.stem: r for r in masks.mask_files(files).collect()}
+    assert found["a"].nd2_set == "all nd2 files" and found["a"].experiment == "exp 1" and found["a"].metadata.endswith("a_1_metadata.json") and found["c"].metadata is None
+    crops = files.where("file LIKE '%/a_1.tif' OR file LIKE '%/b_2.tif'")
+    side = spark.createDataFrame([(f"file:{folder}/b_2_metadata.json", None, "c_mask_9.tif", None, None)], "file string, path string, relative_path string, stem string, crop_index int")
+    side = side.withColumn("file", side.file)
+    root = files.first().file.split("/all nd2")[0]
+    side = spark.createDataFrame([(f"{root}/all nd2 files/exp 1/b_2_metadata.json", None, "c_mask_9.tif", None, None)], side.schema)
+    got = {r.file.rsplit("/", 1)[1]: (r.mask.rsplit("/", 1)[1], r.source) for r in masks.masks_of_crops(crops, files, side).collect()}
+    assert got == {"a_1.tif": ("a_mask_1.tif", 3), "b_2.tif": ("c_mask_9.tif", 1)} and json
+    with pytest.raises(Exception, match="no mask for"):
+        masks.masks_of_crops(crops, files, side.limit(0), fail=True).collect()
+
+
+def test_model_columns_and_grids(spark):
+    from tracklark.operators import model, tables
+
+    df = spark.createDataFrame([(1, 2.0, 3.0)], "a int, b double, c double")
+    assert tables.model_columns(df, ["a", "b", "c"], ["c", "d"]) == (["a", "b"], ["c"])
+    with pytest.raises(ValueError, match="x, y"):
+        tables.model_columns(df, ["a", "x", "y"], [])
+    grid = model.elastic_grid()
+    assert len(grid) == 60 and min(g["regParam"] for g in grid) == pytest.approx(1e-4) and max(g["regParam"] for g in grid) == pytest.approx(10)
+    assert len(model.forest_grid()) == 8 and model.forest_grid() == model.forest_grid()
+    rows = spark.range(5000).withColumnRenamed("id", "group")
+    share = model.inner_holdout(rows, "group").where("is_validation").count() / 5000
+    assert 0.07 < share < 0.13
+
+
+def test_gates_and_levels_of_stacks(spark):
+    gy, gx = np.mgrid[0:24, 0:24]
+    image = 100 * np.exp(-((gy - 7) ** 2 + (gx - 7) ** 2) / 4) + 80 * np.exp(-((gy - 16) ** 2 + (gx - 16) ** 2) / 4)
+    gate = (gx < 12).astype(np.uint8)
+    rows = [(1, t, 24, 24, (image * (2 if t == 1 else 1)).astype("<f8").tobytes(), gate.tobytes()) for t in (1, 2)]
+    planes = spark.createDataFrame(rows, "stack_id long, t int, h int, w int, px binary, gate binary")
+    assert sorted((r.t, round(r.y), round(r.x)) for r in pixels.spots(planes.drop("gate")).collect()) == [(1, 7, 7), (1, 16, 16), (2, 7, 7), (2, 16, 16)]
+    assert sorted((r.t, round(r.y), round(r.x)) for r in pixels.spots(planes).collect()) == [(1, 7, 7), (2, 7, 7)]
+    clean = K.bandpass(2 * image, 1.0, 2)
+    level = pixels.first_levels(planes).first().level
+    assert level == pytest.approx(clean[clean > 0].mean() + 0.5 * clean[clean > 0].std(ddof=1))
+    high = pixels.spots(planes.drop("gate").selectExpr("*", "1e9 AS level")).count()
+    assert high == 0
+
+
+def test_tracks_of_both_formats_and_pixels(spark, tmp_path):
+    (tmp_path / "G_loci1_traj2.csv").write_bytes(b"\xef\xbb\xbfframe,x_nm,y_nm\r\n1,216.0,108.0\r\n2.0,1,2\r\n")
+    (tmp_path / "R_loci3_traj4.csv").write_text("id,frame,x,y,sigma,intensity,offset,bkgstd,uncertainty\n1,5,10,20,1.5,300,0,0,7\n")
+    got = sorted(tuple(r)[1:] for r in tracks.read_mixed_tracks(spark, str(tmp_path)).select("file", "channel", "locus", "number", "frame", "x", "y", "sigma", "uncertainty").collect())
+    assert got == [("G", 1, 2, 1, 216.0, 108.0, None, None), ("G", 1, 2, 2, 1.0, 2.0, None, None), ("R", 3, 4, 5, 10.0, 20.0, 1.5, 7.0)]
+    first = tracks.in_pixels(tracks.read_mixed_tracks(spark, str(tmp_path)).where("frame = 1"), 108.0).first()
+    assert (first.x, first.y) == (1.0, 0.0)

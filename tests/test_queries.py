@@ -1,4 +1,4 @@
-"""Every query with SQL against that SQL, and the others for a stable schema."""
+"""Every query with SQL against that SQL, and all others run to their end."""
 
 import duckdb
 import pytest
@@ -6,7 +6,6 @@ import pytest
 from tracklark.plans.catalogue import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"all_track_features", "detect_spots", "elastic_net_r2", "follow_reference"}
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +29,10 @@ def test_query_equals_sql(spark, con, sf_dir, name):
     assert shown(got.select(*columns).collect()) == shown(rows)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).columns
+    got = QUERIES[name](spark, sf_dir)
+    assert got.columns and len(got.collect()) > 0
 
 
 @pytest.mark.parametrize("name", ["radius_neighbours", "rect_overlap_pairs", "fixed_spot", "shared_frame_distance", "mask_overlaps", "distance_to_edge"])

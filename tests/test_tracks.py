@@ -248,3 +248,62 @@ def test_link_radius(spark):
 
     assert spark.range(1).select(E.ceil_to(F.lit(2.7268931949549495), 0.05)).first()[0] == pytest.approx(2.75)
     assert [r[0] for r in spark.createDataFrame([("\\u00b5m",), ("Microns",), ("µm",), ("nm",)], "u string").select(E.unit_text(F.col("u"))).collect()] == ["um", "um", "um", "nm"]
+
+
+def least_cost(old, new, reach):
+    """The least sum of squares over all matchings, where a lost track costs the reach squared."""
+    if not old:
+        return 0.0
+    first, rest = old[0], old[1:]
+    out = reach**2 + least_cost(rest, new, reach)
+    for k, p in enumerate(new):
+        d = (first[0] - p[0]) ** 2 + (first[1] - p[1]) ** 2
+        if d < reach**2:
+            out = min(out, d + least_cost(rest, new[:k] + new[k + 1 :], reach))
+    return out
+
+
+def test_links_of_small_frames_cost_the_least():
+    import numpy as np
+
+    from tracklark.operators.linking import Linker
+
+    draw = np.random.default_rng(5)
+    for _ in range(60):
+        linker = Linker(2.0, 0)
+        before = draw.uniform(-3, 3, (draw.integers(0, 6), 2))
+        after = draw.uniform(-3, 3, (draw.integers(0, 6), 2))
+        linker.step(1, before)
+        names = linker.step(2, after)
+        cost = sum(((before[n] - p) ** 2).sum() for n, p in zip(names, after) if n < len(before))
+        cost += 4.0 * (len(before) - sum(n < len(before) for n in names))
+        assert abs(cost - least_cost(before.tolist(), after.tolist(), 2.0)) < 1e-9
+        assert len(set(names)) == len(names)
+
+
+def test_near_pairs_equal_all_pairs_and_large_parts_are_refused():
+    import numpy as np
+
+    from tracklark.operators.linking import Linker, near_pairs
+
+    draw = np.random.default_rng(6)
+    for _ in range(50):
+        a, b = draw.normal(0, 5, (draw.integers(1, 40), 2)), draw.normal(0, 5, (draw.integers(1, 40), 2))
+        r, c, square = near_pairs(a, b, 1.5)
+        every = ((a[:, None] - b[None]) ** 2).sum(axis=2)
+        assert sorted(zip(r.tolist(), c.tolist())) == [tuple(x) for x in np.argwhere(every < 1.5**2).tolist()] and np.allclose(square, every[r, c])
+    linker = Linker(1.0, 0, 50)
+    linker.step(1, np.zeros((8, 2)))
+    with pytest.raises(ValueError, match="smaller reach"):
+        linker.step(2, np.full((8, 2), 0.1))
+
+
+def test_tracks_are_numbered_on_over_cuts(spark):
+    from tracklark.operators import linking
+
+    rows = [(1, "c", f, float(f), 0.0) for f in (1, 2, 3, 10, 11, 12)] + [(1, "c", f, 50.0, 50.0) for f in (2, 3, 10)] + [(2, "c", 1, 0.0, 0.0)]
+    det = spark.createDataFrame(rows, "movie int, channel string, frame int, x double, y double")
+    got = {(r.movie, r.frame, r.x): r.track_no for r in linking.link(det, 5.0, memory=2).collect()}
+    assert len(got) == 10 and got[1, 1, 1.0] == got[1, 3, 3.0] == 1 and got[1, 2, 50.0] == got[1, 3, 50.0] == 2
+    assert sorted({got[1, 10, 10.0], got[1, 10, 50.0]}) == [3, 4] and got[2, 1, 0.0] == 1
+    assert {r.track_no for r in linking.link(det, 60.0, memory=6).where("x < 20 AND movie = 1").collect()} == {1}

@@ -36,21 +36,3 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
             row_of[column] = row_of[before] if before >= 0 else row
             column = before
     return sorted((int(r), c) for c, r in enumerate(row_of) if r >= 0)
-
-
-def clusters(bonds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Rows and columns of the connected parts of a boolean bond matrix."""
-    rows_left = bonds.any(axis=1)
-    out = []
-    while rows_left.any():
-        rows = np.zeros(len(bonds), bool)
-        rows[rows_left.argmax()] = True
-        while True:
-            columns = bonds[rows].any(axis=0)
-            more = bonds[:, columns].any(axis=1)
-            if (more == rows).all():
-                break
-            rows = more
-        out.append((np.flatnonzero(rows), np.flatnonzero(columns)))
-        rows_left &= ~rows
-    return out

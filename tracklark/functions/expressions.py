@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unit texts by their length in micrometres, and channel words in the order they are looked for.
-MICROMETRES = {"um": 1.0, "µm": 1.0, "μm": 1.0, "micron": 1.0, "microns": 1.0, "nm": 0.001, "cm": 10_000.0}
+# Channel words in the order they are looked for, and patterns in metadata texts.
 CHANNELS = (("green", "G"), ("red", "R"), ("purple", "P"))
+INTERVAL, PLANE, EXPOSURE = r"finterval=([0-9.eE+\-]+)", r"Plane #\d+:", r"Exposure:\s*([0-9.]+)\s*(ms|s)\b"
 
 
 def link_radius_um(frame_interval: Column, gap: Column, diffusion: Column, exponent: Column, coverage: Column, error_um: Column) -> Column:
@@ -59,3 +59,41 @@ def channel_letter(name: Column) -> Column:
 def matched(text: Column, pattern: str, group: int = 1) -> Column:
     """A regular expression's group, null without a match."""
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+
+
+def frame_interval(text: Column) -> Column:
+    """Seconds between frames from a description; null if it names none or none that is positive."""
+    found = matched(text, INTERVAL).try_cast("double")
+    return F.when(found > 0, found)
+
+
+def exposures_ms(text: Column, channels: int) -> Column:
+    """An array of the exposure of each of the first planes that a description lists, in milliseconds; null where a
+    plane names none."""
+    blocks = F.slice(F.split(F.coalesce(text, F.lit("")), PLANE), 2, channels)
+    number = lambda b: matched(b, EXPOSURE).try_cast("double") * F.when(matched(b, EXPOSURE, 2) == "s", 1000.0).otherwise(1.0)
+    return F.transform(F.sequence(F.lit(1), F.lit(channels)), lambda k: number(F.try_element_at(blocks, k)))
+
+
+def json_or(text: Column, path: str, default: Column) -> Column:
+    """A value of a JSON text by its path, else the default."""
+    return F.coalesce(F.get_json_object(text, path), default)
+
+
+def elapsed_seconds(start: Column, end: Column) -> Column:
+    return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / F.lit(1_000_000)
+
+
+def iso_text(at: Column) -> Column:
+    """Date and time to the second, as ISO text."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def half_even(column: Column, places: int = 0) -> Column:
+    """Rounded, halves to the even digit."""
+    return F.bround(column, places)
+
+
+def number_in(text: Column, pattern: str) -> Column:
+    """A number in a name, to sort by; null without one."""
+    return matched(text, pattern).try_cast("long")

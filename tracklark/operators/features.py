@@ -238,6 +238,5 @@ def all_features(points: DataFrame, frame_interval: float = 1.0, by: tuple[str,
 
 
 def rounded(column: str | Column, places: int = 4) -> Column:
-    return F.round(F.col(column) if isinstance(column, str) else column, places)
-
-
+    """Rounded for a feature table: halves go to the even digit."""
+    return F.bround(F.col(column) if isinstance(column, str) else column, places)

@@ -6,6 +6,7 @@ many of them run side by side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -13,18 +14,69 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklark.functions.assignment import assign, clusters
+from tracklark.functions.assignment import assign
 from tracklark.operators.spatial import within_radius
+from tracklark.session import materialize
+
+
+def near_pairs(old: np.ndarray, points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of old and new points nearer than `reach`, and their squared distances, by cells of that size."""
+    low = np.minimum(old.min(axis=0), points.min(axis=0)) - 2 * reach
+    cell = lambda p: np.floor((p - low) / reach).astype(np.int64)
+    width = int(max(cell(old)[:, 1].max(), cell(points)[:, 1].max())) + 3
+    code = lambda c: c[:, 0] * width + c[:, 1]
+    order = np.argsort(code(cell(points)), kind="stable")
+    codes = code(cell(points))[order]
+    rows, columns = [], []
+    for dy in (-1, 0, 1):
+        # The three cells of a row of cells follow each other.
+        at = code(cell(old)) + dy * width
+        first, last = np.searchsorted(codes, at - 1), np.searchsorted(codes, at + 1, "right")
+        size = last - first
+        rows.append(np.repeat(np.arange(len(old)), size))
+        columns.append(order[np.repeat(first - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())])
+    r, c = np.concatenate(rows), np.concatenate(columns)
+    square = ((old[r] - points[c]) ** 2).sum(axis=1)
+    near = square < reach**2
+    return r[near], c[near], square[near]
+
+
+def bonded(r: np.ndarray, c: np.ndarray, square: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows, columns and squared distances (infinite where too far) of each connected part of the pairs."""
+    if not len(r):
+        return
+    root = np.arange(r.max() + 1)
+    while True:
+        # The least root of a row passes over its columns to the rows that share them.
+        low = np.full(c.max() + 1, len(root))
+        np.minimum.at(low, c, root[r])
+        after = root.copy()
+        np.minimum.at(after, r, low[c])
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    for name in np.unique(root[r]):
+        own = root[r] == name
+        rows, i = np.unique(r[own], return_inverse=True)
+        columns, j = np.unique(c[own], return_inverse=True)
+        if len(rows) * len(columns) > most:
+            raise ValueError(f"{len(rows)} tracks and {len(columns)} points within reach of each other are too many; take a smaller reach")
+        part = np.full((len(rows), len(columns)), np.inf)
+        part[i, j] = square[own]
+        yield rows, columns, part
 
 
 @dataclass
 class Linker:
     """Frame by frame linking: of all matchings between open tracks and new points nearer than `reach`, the one with
     the least sum of squared distances, where each lost track costs `reach` squared. A track ends once it is missing
-    for more than `memory` frames."""
+    for more than `memory` frames. Candidates come from cells of the reach's size; a part of the bonds with more than
+    `most_bonds` pairs of tracks and points is refused, as it only comes of too large a reach."""
 
     reach: float
     memory: int = 0
+    most_bonds: int = 4_000_000
     last: dict[int, tuple[int, float, float]] = field(default_factory=dict)
     made: int = 0
 
@@ -35,10 +87,8 @@ class Linker:
         out = np.full(len(points), -1)
         if names and len(points):
             old = np.array([self.last[t][1:] for t in names])
-            square = ((old[:, None] - points[None]) ** 2).sum(axis=2)
             most = self.reach**2
-            for rows, columns in clusters(square < most):
-                part = square[np.ix_(rows, columns)]
+            for rows, columns, part in bonded(*near_pairs(old, points, self.reach), self.most_bonds):
                 # Beside the points each track may be lost; too distant pairs cost more than losing both.
                 lost = np.full((len(rows), len(rows)), most)
                 cost = np.hstack([np.where(part < most, part, 4 * most * (len(rows) + 1)), lost])
@@ -72,10 +122,23 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
 
 
 def link(detections: DataFrame, reach: float, memory: int = 0, least: int = 1, by: tuple[str, ...] = ("movie", "channel")) -> DataFrame:
-    """`detections` (by, frame, x, y) with track_no, by group."""
+    """`detections` (by, frame, x, y) with track_no, by group.
+
+    No track crosses more than `memory` frames without detections, so groups are cut there and their parts are linked
+    side by side; a small table of each part's number of tracks makes the numbers run on.
+    """
     rows = detections.select(*by, F.col("frame").cast("int").alias("frame"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    schema = rows.selectExpr("*", "0L AS track_no").schema
-    return spread(rows, *by).groupBy(*by).applyInPandas(lambda pdf: linked(pdf, reach, memory, least), schema)
+    order = Window.partitionBy(*by).orderBy("frame")
+    frames = rows.select(*by, "frame").distinct()
+    starts = F.when(F.col("frame") - F.lag("frame").over(order) <= memory + 1, 0).otherwise(1)
+    cut = frames.withColumn("starts", starts).withColumn("cut", F.sum("starts").over(order)).drop("starts")
+    parts = rows.join(cut, [*by, "frame"])
+    found = spread(parts, *by, "cut").groupBy(*by, "cut").applyInPandas(lambda pdf: linked(pdf, reach, memory, least), parts.selectExpr("*", "0L AS track_no").schema)
+    found, _ = materialize(found)
+    made = found.groupBy(*by, "cut").agg(F.max("track_no").alias("made"))
+    before = F.coalesce(F.sum("made").over(Window.partitionBy(*by).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = found.join(made.withColumn("before", before).drop("made"), [*by, "cut"])
+    return numbered.select(*by, "frame", "x", "y", (F.col("track_no") + F.col("before")).alias("track_no"))
 
 
 def link_blocks(detections: DataFrame, reach: float, memory: int = 3, least_steps: int = 3, by: tuple[str, ...] = ("movie", "channel")) -> DataFrame:

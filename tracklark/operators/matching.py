@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklark.functions.assignment import assign
+from tracklark.functions.expressions import number_in
+from tracklark.operators.regions import with_inside
+from tracklark.operators.steps import steps
 
 # Shared frames needed, the largest mean distance, and the latest first frame of the red channel.
 MIN_SHARED, MAX_MEAN_NM, RED, RED_LATEST_START, MAX_SEED_UM, NO_PAIR = 5, 2000.0, "R", 3, 3.0, 1e9
@@ -42,9 +45,10 @@ def greedy_matches(scores: DataFrame) -> DataFrame:
     return scores.groupBy("channel").applyInPandas(fold, scores.schema)
 
 
-def match_decisions(refs: DataFrame, cands: DataFrame, max_mean: float = MAX_MEAN_NM, red: str = RED, latest: int = RED_LATEST_START) -> DataFrame:
-    """One row for each reference track with its match and status. A rejected pair still uses up its candidate."""
-    chosen = greedy_matches(shared_frame_scores(refs, cands))
+def match_decisions(refs: DataFrame, cands: DataFrame, max_mean: float = MAX_MEAN_NM, red: str = RED, latest: int = RED_LATEST_START, written: DataFrame | None = None, least: int = MIN_SHARED) -> DataFrame:
+    """One row for each reference track with its match and status. A rejected pair still uses up its candidate. With
+    `written` (channel, ref: what has an output file), accepted pairs without one are `accepted_missing_file`."""
+    chosen = greedy_matches(shared_frame_scores(refs, cands, least))
     first = cands.groupBy("channel", "cand").agg(F.min("frame").alias("cand_first"))
     rows = refs.select("channel", "ref").distinct().join(chosen, ["channel", "ref"], "left").join(first, ["channel", "cand"], "left")
     status = (
@@ -53,7 +57,11 @@ def match_decisions(refs: DataFrame, cands: DataFrame, max_mean: float = MAX_MEA
         .when((F.col("channel") == red) & (F.col("cand_first") > latest), "rejected_red_late_start")
         .otherwise("saved")
     )
-    return rows.select("channel", "ref", "cand", F.coalesce("shared", F.lit(0)).alias("shared"), "mean_distance", status.alias("status"))
+    rows = rows.withColumn("status", status)
+    if written is not None:
+        rows = rows.join(written.select("channel", "ref").distinct().withColumn("written", F.lit(True)), ["channel", "ref"], "left")
+        rows = rows.withColumn("status", F.when((F.col("status") == "saved") & F.col("written").isNull(), "accepted_missing_file").otherwise(F.col("status")))
+    return rows.select("channel", "ref", "cand", F.coalesce("shared", F.lit(0)).alias("shared"), "mean_distance", "status")
 
 
 def optimal_matches(scores: DataFrame, most: float = MAX_SEED_UM) -> DataFrame:
@@ -69,7 +77,7 @@ def optimal_matches(scores: DataFrame, most: float = MAX_SEED_UM) -> DataFrame:
     return scores.groupBy("channel").applyInPandas(solve, scores.schema)
 
 
-def candidate_audit(steps: DataFrame, inside: str | None = None, by: tuple[str, ...] = ("channel", "cand")) -> DataFrame:
+def candidate_audit(moved: DataFrame, inside: str | None = None, by: tuple[str, ...] = ("channel", "cand")) -> DataFrame:
     """Measures of each candidate from what `steps` returns; `inside` names a boolean column of points inside the ROI."""
     span = F.max("frame") - F.min("frame") + 1
     measures = {
@@ -84,7 +92,26 @@ def candidate_audit(steps: DataFrame, inside: str | None = None, by: tuple[str,
     }
     if inside:
         measures["inside_fraction"] = F.avg(F.col(inside).cast("double"))
-    return steps.groupBy(*by).agg(*[c.alias(n) for n, c in measures.items()])
+    return moved.groupBy(*by).agg(*[c.alias(n) for n, c in measures.items()])
+
+
+def profile_audit(points: DataFrame, roi: DataFrame, profile: DataFrame, pixel_nm: float, by: tuple[str, ...] = ("allele", "channel", "cand"), roi_by: tuple[str, ...] = ("allele",)) -> DataFrame:
+    """The whole audit of candidates in nanometres: what the profile (a small dimension by channel) says of the channel,
+    the candidate's number and file, and the measures, with steps in pixels and the share of points in the static ROI.
+
+    points: by, file, frame, x_nm, y_nm; roi: roi_by, y, x. Pixel coordinates start at 0, so one is taken off.
+    """
+    pixel = lambda c: F.col(c) / pixel_nm - 1.0
+    placed = with_inside(points.withColumns({"x": pixel("x_nm"), "y": pixel("y_nm")}), roi, roi_by)
+    files = points.groupBy(*by).agg(F.min("file").alias("file"))
+    found = candidate_audit(steps(placed, by), "inside", by).join(files, list(by)).join(F.broadcast(profile), "channel", "left")
+    return found.withColumn("number", F.coalesce(number_in(F.col("file"), r"traj(\d+)"), F.lit(0).cast("long")))
+
+
+def with_emphasis(cands: DataFrame, chosen: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Adds whether a candidate is among the chosen ones."""
+    flag = chosen.select(*by).distinct().withColumn("emphasis", F.lit(True))
+    return cands.join(flag, list(by), "left").withColumn("emphasis", F.coalesce("emphasis", F.lit(False)))
 
 
 def longest(audit: DataFrame, by: tuple[str, ...] = ("channel",)) -> DataFrame:

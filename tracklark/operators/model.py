@@ -35,6 +35,23 @@ def fold_of(group: Column, folds: int, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), group.cast("string")), F.lit(folds)).cast("int")
 
 
+def inner_holdout(train: DataFrame, group: str, share: float = 0.1, seed: int = 7) -> DataFrame:
+    """Adds is_validation, the same for all rows of a group: what early stopping or a choice of parameters looks at."""
+    return hash_split(train, group, share, seed).withColumnRenamed("is_test", "is_validation")
+
+
+def elastic_grid() -> list[dict]:
+    """20 strengths from 1e-4 to 10, evenly in logarithm, for each of three mixtures."""
+    return [{"regParam": float(10 ** (-4 + 5 * k / 19)), "elasticNetParam": e} for k in range(20) for e in (0.1, 0.5, 0.9)]
+
+
+def forest_grid(configurations: int = 8, seed: int = 42) -> list[dict]:
+    """Random configurations of a forest; unlimited depth is 30, the most that Spark grows."""
+    draw = np.random.RandomState(seed)
+    pick = lambda some: some[draw.randint(len(some))]
+    return [{"numTrees": pick([100, 200]), "maxDepth": pick([30, 5, 10, 20]), "minInstancesPerNode": pick([1, 2, 3, 5]), "featureSubsetStrategy": pick(["sqrt", "log2", "0.5", "0.75"])} for _ in range(configurations)]
+
+
 def metrics(rows: DataFrame, truth: str, guess: str, by: tuple[str, ...] = ()) -> DataFrame:
     """r2, rmse, mae, both over the truth's range, and correlation over rows that have both values; null below two rows,
     and r2 and correlation null without variation."""

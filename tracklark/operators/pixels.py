@@ -70,7 +70,8 @@ def morphology(mask: DataFrame, um_per_px: float = 1.0, by: tuple[str, ...] = OB
             "major_axis": 4 * F.sqrt(large),
             "minor_axis": 4 * F.sqrt(small),
             "eccentricity": F.sqrt(F.greatest(F.lit(0.0), 1 - F.try_divide(small, large))),
-            "orientation_deg": F.degrees(F.atan2(2 * F.col("mxy"), F.col("mxx") - F.col("myy")) / 2),
+            # Rounded, as the sign of a difference that is only noise would turn the axis by a right angle.
+            "orientation_deg": F.degrees(F.atan2(2 * F.round("mxy", 9) + 0.0, F.round(F.col("mxx") - F.col("myy"), 9))) / 2,
         }
     ).drop("mxx", "myy", "mxy")
 
@@ -113,11 +114,15 @@ def components(mask: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:
 
 
 def edge_distance(mask: DataFrame, background: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:
-    """Distance of each mask pixel to the nearest background pixel. Nearest background pixels border the mask or the
-    mask's box, so only background next to a mask pixel is joined."""
-    ring = shifted(mask, offsets(1), by).join(background.select(*by, "y", "x"), [*by, "y", "x"], "left_semi").select(*by, F.col("y").alias("by"), F.col("x").alias("bx"))
-    dy, dx = F.col("y") - F.col("by"), F.col("x") - F.col("bx")
-    return mask.select(*by, "y", "x").join(ring, list(by)).groupBy(*by, "y", "x").agg(F.sqrt(F.min(dy * dy + dx * dx)).alias("distance"))
+    """Distance of each mask pixel to the nearest background pixel, in two passes: along columns by windows, then along
+    rows, where a pixel meets its row only. Mask and background together have to cover the object's box."""
+    flat = mask.select(*by, "y", "x", F.lit(None).cast("int").alias("at")).unionByName(background.select(*by, "y", "x", F.col("y").cast("int").alias("at")))
+    column = Window.partitionBy(*by, "x").orderBy("y")
+    above = F.last("at", True).over(column.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    below = F.first("at", True).over(column.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    away = flat.select(*by, "y", F.col("x").alias("bx"), F.least(F.col("y") - above, below - F.col("y")).alias("dy")).where("dy IS NOT NULL")
+    dx = F.col("x") - F.col("bx")
+    return mask.select(*by, "y", "x").join(away, [*by, "y"]).groupBy(*by, "y", "x").agg(F.sqrt(F.min(dx * dx + F.col("dy") * F.col("dy"))).alias("distance"))
 
 
 def locus_distances(loci: DataFrame, mask: DataFrame, background: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:
@@ -186,10 +191,13 @@ def projected(planes: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:
     return flat.join(ends, list(by)).withColumn("u8", F.floor(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(share, F.lit(0.0))))).cast("int")).drop("low", "high")
 
 
-def scaffold(spark, frames: int, height: int, width: int, value: int = 1) -> DataFrame:
-    """A synthetic stack in which every pixel has one value."""
+def scaffold(spark, frames: int, height: int, width: int, value: int = 1, zeros: tuple[int, int] | None = None) -> DataFrame:
+    """A synthetic stack in which every pixel has one value, but for a grid of zeros (margin, spacing) if there is one."""
+    at = lambda c, n: (F.col(c) >= zeros[0]) & (F.col(c) < max(zeros[0], n - zeros[0])) & ((F.col(c) - zeros[0]) % zeros[1] == 0)
     whole = spark.range(frames * height * width).withColumn("place", F.col("id") % (height * width))
-    return whole.select(F.floor(F.col("id") / (height * width)).cast("int").alias("t"), F.floor(F.col("place") / width).cast("int").alias("y"), (F.col("place") % width).cast("int").alias("x"), F.lit(value).alias("v"))
+    return whole.select(F.floor(F.col("id") / (height * width)).cast("int").alias("t"), F.floor(F.col("place") / width).cast("int").alias("y"), (F.col("place") % width).cast("int").alias("x")).withColumn(
+        "v", F.when(at("y", height) & at("x", width), 0).otherwise(value) if zeros else F.lit(value)
+    )
 
 
 def overlaps(masks: DataFrame, by: tuple[str, ...] = ("fov",)) -> DataFrame:
@@ -260,35 +268,57 @@ def merged_masks(masks: DataFrame, most_area: int, near: int = 2, least_solidity
     return rows.groupBy(*by).applyInPandas(fold, rows.schema)
 
 
-def per_plane(planes: DataFrame, kernel: Callable[[np.ndarray], list[tuple]], schema: str, keys: tuple[str, ...] = ("stack_id", "t")) -> DataFrame:
-    """Apply a numpy kernel to each plane (keys, h, w, px: little-endian doubles); planes stream through in batches."""
+def per_plane(planes: DataFrame, kernel: Callable[..., list[tuple]], schema: str, keys: tuple[str, ...] = ("stack_id", "t"), extra: tuple[str, ...] = ()) -> DataFrame:
+    """Apply a numpy kernel to each plane (keys, h, w, px: little-endian doubles) and what its columns `extra` hold;
+    planes stream through in batches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            rows = [(*(getattr(r, k) for k in keys), *found) for r in batch.itertuples() for found in kernel(np.frombuffer(r.px, "<f8").reshape(r.h, r.w))]
+            rows = [(*(getattr(r, k) for k in keys), *found) for r in batch.itertuples() for found in kernel(np.frombuffer(r.px, "<f8").reshape(r.h, r.w), *(getattr(r, c) for c in extra))]
             yield pd.DataFrame(rows, columns=[*keys, *names])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in planes.select(*keys).schema)
-    return planes.select(*keys, "h", "w", "px").mapInPandas(run, f"{kinds}, {schema}")
+    return planes.select(*keys, "h", "w", "px", *extra).mapInPandas(run, f"{kinds}, {schema}")
 
 
-def spots(planes: DataFrame, noise: float = 1.0, size: int = 2, threshold: float | None = None) -> DataFrame:
-    """Sub-pixel spots of each plane: band-pass, peaks above the threshold (by default mean plus half a deviation of the
-    filtered values that aren't zero), fitted centres and the sum of the window."""
+def first_levels(planes: DataFrame, noise: float = 1.0, size: int = 2) -> DataFrame:
+    """stack_id and level: mean plus half a deviation of the values above zero of each stack's first filtered plane."""
 
     def kernel(image: np.ndarray) -> list[tuple]:
         clean = kernels.bandpass(image, noise, size)
         lit = clean[clean > 0]
-        level = threshold if threshold is not None else (lit.mean() + 0.5 * lit.std() if len(lit) else np.inf)
+        return [(float(lit.mean() + 0.5 * lit.std(ddof=1)) if len(lit) > 1 else None,)]
+
+    first = planes.groupBy("stack_id").agg(F.min_by(F.struct("t", "h", "w", "px"), "t").alias("p")).select("stack_id", "p.*")
+    return per_plane(first, kernel, "level double").drop("t")
+
+
+def spots(planes: DataFrame, noise: float = 1.0, size: int = 2, threshold: float | None = None) -> DataFrame:
+    """Sub-pixel spots of each plane: band-pass, peaks above the threshold, fitted centres and the sum of the window.
+
+    Without a threshold a plane's column `level` counts, if there is one (see `first_levels`), else mean plus half a
+    deviation of its filtered values that aren't zero. With a column `gate` (a byte for each pixel) only peaks on pixels
+    that aren't 0 count.
+    """
+    extra = tuple(c for c in ("level", "gate") if c in planes.columns)
+
+    def kernel(image: np.ndarray, *more) -> list[tuple]:
+        own = dict(zip(extra, more, strict=True))
+        clean = kernels.bandpass(image, noise, size)
+        lit = clean[clean > 0]
+        level = threshold if threshold is not None else own.get("level") if "level" in own else (lit.mean() + 0.5 * lit.std() if len(lit) else np.inf)
+        if level is None or np.isnan(level):
+            return []
+        region = np.frombuffer(own["gate"], np.uint8).reshape(image.shape) > 0 if own.get("gate") is not None else None
         out = []
-        for y, x in kernels.peaks(clean, level, size):
+        for y, x in kernels.peaks(clean, level, size, region):
             window = image[y - size : y + size + 1, x - size : x + size + 1]
             cy, cx, fitted = kernels.centre(window)
             out.append((y - size + cy, x - size + cx, float(clean[y - size : y + size + 1, x - size : x + size + 1].sum()), fitted))
         return out
 
-    return per_plane(planes, kernel, "y double, x double, mass double, fitted boolean")
+    return per_plane(planes, kernel, "y double, x double, mass double, fitted boolean", extra=extra)
 
 
 def nuclei(planes: DataFrame) -> DataFrame:
@@ -314,3 +344,30 @@ def drift(planes: DataFrame, reference: np.ndarray, upsample: int = 20) -> DataF
         return [(dy, dx, None if flat else float(np.corrcoef(fixed.ravel(), reference.ravel())[0, 1]))]
 
     return per_plane(planes, kernel, "shift_y double, shift_x double, correlation double")
+
+
+def bright_spots(planes: DataFrame, base: float = 1.0, large: int = 120, least: int = 10) -> DataFrame:
+    """Bright components of each plane, large ones split at higher levels. Their centres have to lie in the plane's
+    nucleus, if it has one."""
+
+    def kernel(image: np.ndarray) -> list[tuple]:
+        region = kernels.nucleus(image)
+        return kernels.split_clusters(image, np.ones(image.shape, bool) if region is None else region, base, large, least)
+
+    return per_plane(planes, kernel, "y double, x double, level double")
+
+
+def split_masks(masks: DataFrame, sigma: float = 2.0, apart: int = 10, least: int = 1, least_circularity: float = 0.0, by: tuple[str, ...] = ("fov", "obj")) -> DataFrame:
+    """Pixels of each object with the number of the part they belong to after a split at its waist (1 if there is none)."""
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        y, x = pdf.y.to_numpy() - pdf.y.min(), pdf.x.to_numpy() - pdf.x.min()
+        mask = np.zeros((y.max() + 1, x.max() + 1), bool)
+        mask[y, x] = True
+        part = np.zeros(mask.shape, int)
+        for k, own in enumerate(kernels.split_at_waist(mask, sigma, apart, least, least_circularity), 1):
+            part[own] = k
+        return pdf.assign(part=part[y, x])
+
+    rows = masks.select(*by, "y", "x")
+    return rows.groupBy(*by).applyInPandas(cut, rows.selectExpr("*", "0 AS part").schema)

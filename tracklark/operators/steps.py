@@ -124,3 +124,20 @@ def step_sequences(kept: DataFrame, length: int = 29, by: tuple[str, ...] = TRAC
     padded = F.concat("v", F.array_repeat(F.array_repeat(F.lit(0.0), 4), F.greatest(F.lit(0), F.lit(length) - F.col("n_steps"))))
     take = lambda *at: F.transform(padded, lambda e: F.array(*[e[k].cast("float") for k in at]))
     return lists.select(*by, "n_steps", take(0, 1).alias("cartesian"), take(2, 3).alias("polar"), take(0, 1, 2, 3).alias("combined"))
+
+
+def summary(points: DataFrame, by: tuple[str, ...] = TRACK) -> DataFrame:
+    """For each track its points, first and last frame and place, and the net and largest displacement from its start."""
+    w = Window.partitionBy(*by).orderBy("frame")
+    dx, dy = F.col("x") - F.first("x").over(w), F.col("y") - F.first("y").over(w)
+    return points.withColumn("away", F.sqrt(dx * dx + dy * dy)).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("points"),
+        F.min("frame").alias("frame_start"),
+        F.max("frame").alias("frame_end"),
+        F.min_by("x", "frame").alias("start_x"),
+        F.min_by("y", "frame").alias("start_y"),
+        F.max_by("x", "frame").alias("end_x"),
+        F.max_by("y", "frame").alias("end_y"),
+        F.max_by("away", "frame").alias("net_displacement"),
+        F.max("away").alias("max_displacement"),
+    )

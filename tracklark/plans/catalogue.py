@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tracklark.plans import images, merges, tracks  # noqa: F401
+from tracklark.plans import audits, images, merges, regions, tracks  # noqa: F401
 from tracklark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import pi
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,15 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planes of 24 x 24 pixels: the image enlarged three times, values above zero."""
-    from struct import pack
 
-    big = F.udf(lambda e: pack("<576d", *(max(0.0, e[(k // 24) // 3 * 8 + (k % 24) // 3]) * 1000 for k in range(576))), "binary")
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("stack_id"), (F.col("vec_id") % 10).cast("int").alias("t"), F.lit(24).alias("h"), F.lit(24).alias("w"), big("embedding").alias("px"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = batch.column(1).flatten().to_numpy().astype(float).reshape(-1, 8, 8)
+            big = np.maximum(small, 0).repeat(3, axis=1).repeat(3, axis=2) * 1000
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.astype("<f8").tobytes() for p in big], pa.binary())], names=["stack_id", "px"])
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "stack_id long, px binary")
+    return rows.select("stack_id", (F.col("stack_id") % 10).cast("int").alias("t"), F.lit(24).alias("h"), F.lit(24).alias("w"), "px")
 
 
 IMAGES = "i AS (SELECT vec_id AS img, CAST(k // 8 AS INTEGER) AS y, CAST(k % 8 AS INTEGER) AS x, floor(CAST(embedding[k + 1] AS DOUBLE) * 1000) AS v FROM embeddings, unnest(range(0, 64)) AS t(k))"
@@ -151,7 +158,13 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images(spark, sf_dir).where("v > 90").select(F.floor(F.col("img") / 5).alias("fov"), (F.col("img") % 5).alias("obj"), "y", "x")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_MASKS}, n AS (SELECT fov, obj, count(*) AS size FROM k GROUP BY ALL), s AS (SELECT a.fov, a.obj AS a, b.obj AS b, count(*) AS shared FROM k a JOIN k b ON a.fov = b.fov AND a.y = b.y AND a.x = b.x AND a.obj <> b.obj GROUP BY ALL),
+v AS (SELECT s.fov, a, list(b) AS rivals FROM s JOIN n p ON p.fov = s.fov AND p.obj = a JOIN n q ON q.fov = s.fov AND q.obj = b WHERE shared / (p.size + q.size - shared) > 0.1 OR shared / least(p.size, q.size) > 0.3 GROUP BY ALL),
+o AS (SELECT n.*, coalesce(rivals, []) AS rivals, row_number() OVER (PARTITION BY n.fov ORDER BY size DESC, obj) AS place FROM n LEFT JOIN v ON v.fov = n.fov AND v.a = n.obj),
+g AS (SELECT DISTINCT fov, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS kept FROM o UNION ALL SELECT o.fov, o.place, CASE WHEN list_has_any(kept, rivals) THEN kept ELSE list_append(kept, obj) END FROM g JOIN o ON o.fov = g.fov AND o.place = g.place + 1)
+SELECT n.fov, n.obj, n.size FROM n JOIN (SELECT fov, arg_max(kept, place) AS kept FROM g GROUP BY fov) w ON w.fov = n.fov AND list_contains(kept, n.obj)"""
+)
 def mask_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.deduplicated_masks(_objects(spark, sf_dir), 0.1, 0.3)
 
@@ -172,6 +185,17 @@ def scaffold_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.scaffold(spark, 3, 40, 30).groupBy("t").agg(F.count(F.lit(1)).alias("px"), F.sum("y").alias("ys"), F.sum("x").alias("xs"))
 
 
+@query("SELECT CAST(t AS INTEGER) AS t, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, CASE WHEN y BETWEEN 8 AND 31 AND x BETWEEN 8 AND 21 AND (y - 8) % 4 = 0 AND (x - 8) % 4 = 0 THEN 0 ELSE 1000 END AS v FROM unnest(range(0, 3)) AS a(t), unnest(range(0, 40)) AS b(y), unnest(range(0, 30)) AS c(x)")
+def scaffold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.scaffold(spark, 3, 40, 30, 1000, (8, 4))
+
+
+@query()
+def stack_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = planes(spark, sf_dir).withColumn("stack_id", F.floor(F.col("stack_id") / 10))
+    return rounded(P.spots(rows.join(P.first_levels(rows), "stack_id")))
+
+
 @query()
 def detect_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.spots(planes(spark, sf_dir)))
@@ -182,6 +206,17 @@ def detect_nuclei(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.nuclei(planes(spark, sf_dir)))
 
 
+@query()
+def bright_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(P.bright_spots(planes(spark, sf_dir), 1.0, 60))
+
+
+@query()
+def split_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = images(spark, sf_dir).where("v > 20").select(F.floor(F.col("img") / 5).alias("fov"), (F.col("img") % 5).alias("obj"), "y", "x")
+    return P.split_masks(whole, 1.0, 2)
+
+
 @query()
 def register_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = planes(spark, sf_dir)

@@ -302,8 +302,8 @@ def overlap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT s_suppkey, printf('cell_%03d', row_number() OVER (ORDER BY s_nationkey, s_acctbal, s_suppkey)) AS cell_id FROM supplier")
 def spatial_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.orderBy("s_nationkey", "s_acctbal", "s_suppkey")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.format_string("cell_%03d", F.row_number().over(order)).alias("cell_id"))
+    found = tables.numbered(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal"), "s_nationkey", "s_acctbal", "s_suppkey")
+    return found.select("s_suppkey", F.format_string("cell_%03d", "ordinal").alias("cell_id"))
 
 
 @query("SELECT n_nationkey, s_suppkey, k::INTEGER AS place FROM (SELECT n_nationkey, s_suppkey, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE k <= 5")

@@ -212,10 +212,21 @@ def shared_frame_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(matching.shared_frame_scores(*_sides(spark, sf_dir), least=2))
 
 
-@query()
+_GREEDY = f"""WITH RECURSIVE {_SCORES.replace("HAVING count(*) >= 2", "HAVING count(*) >= 1")}, o AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY mean_distance, ref, cand) AS k FROM z),
+g AS (SELECT DISTINCT channel, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS refs, CAST([] AS BIGINT[]) AS cands FROM o
+  UNION ALL SELECT o.channel, o.k, CASE WHEN list_contains(refs, ref) OR list_contains(cands, cand) THEN refs ELSE list_append(refs, ref) END, CASE WHEN list_contains(refs, ref) OR list_contains(cands, cand) THEN cands ELSE list_append(cands, cand) END
+  FROM g JOIN o ON o.channel = g.channel AND o.k = g.k + 1),
+m AS (SELECT channel, unnest(refs) AS ref, unnest(cands) AS cand FROM (SELECT channel, arg_max(refs, k) AS refs, arg_max(cands, k) AS cands FROM g GROUP BY channel)),
+s AS (SELECT channel, track_id, min(frame) AS first_frame FROM h GROUP BY ALL)
+SELECT r.channel, r.ref, m.cand, coalesce(shared, 0) AS shared, round(mean_distance, 4) AS mean_distance, CASE WHEN m.cand IS NULL THEN 'no_match' WHEN mean_distance > 60 THEN 'rejected_distance'
+  WHEN r.channel = 'error' AND first_frame > 100 THEN 'rejected_red_late_start' WHEN r.ref % 20 = 0 THEN 'accepted_missing_file' ELSE 'saved' END AS status
+FROM (SELECT DISTINCT channel, track_id AS ref FROM h WHERE track_id % 10 = 0) r LEFT JOIN m USING (channel, ref) LEFT JOIN z USING (channel, ref, cand) LEFT JOIN s ON s.channel = r.channel AND s.track_id = m.cand"""
+
+
+@query(_GREEDY)
 def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, cands = _sides(spark, sf_dir)
-    return rounded(matching.match_decisions(refs, cands, red="error"))
+    return rounded(matching.match_decisions(refs, cands, 60.0, "error", 100, refs.where("ref % 20 <> 0"), 1))
 
 
 @query()
@@ -253,7 +264,18 @@ def seed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.seed_tracks(_detections(spark, sf_dir), 40.0, frames=40)
 
 
-@query()
+_FOLLOW = f"""WITH RECURSIVE {HOURLY}, sp AS (SELECT frame, x, y FROM h WHERE channel = 'view'), rf AS (SELECT track_id, frame, x AS rx, y AS ry FROM h WHERE channel = 'click'), mn AS (SELECT track_id, avg(rx) AS mx, avg(ry) AS my FROM rf GROUP BY ALL),
+pl AS (SELECT mn.track_id, f.frame, coalesce(rx, mx) AS rx, coalesce(ry, my) AS ry FROM (SELECT DISTINCT frame FROM sp) f CROSS JOIN mn LEFT JOIN rf ON rf.track_id = mn.track_id AND rf.frame = f.frame),
+cd AS (SELECT track_id, frame, x, y, sqrt(pow(x - rx, 2) + pow(y - ry, 2)) AS away FROM pl JOIN sp USING (frame) WHERE sqrt(pow(x - rx, 2) + pow(y - ry, 2)) <= 30),
+ls AS (SELECT track_id, frame, list(struct_pack(x := x, y := y, away := away) ORDER BY x, y) AS c, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS k FROM cd GROUP BY track_id, frame),
+r AS (SELECT DISTINCT track_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS INTEGER) AS frame, CAST(NULL AS DOUBLE) AS x, CAST(NULL AS DOUBLE) AS y, false AS "primary" FROM ls
+  UNION ALL SELECT track_id, k, frame, pick.x, pick.y, near FROM (SELECT track_id, k, frame, near, CASE WHEN near THEN list_filter(c, lambda e: sqrt(pow(e.x - lx, 2) + pow(e.y - ly, 2)) = m)[1] ELSE list_filter(c, lambda e: e.away = a)[1] END AS pick
+    FROM (SELECT *, coalesce(m <= 20, false) AS near FROM (SELECT ls.*, r.x AS lx, r.y AS ly, list_min(list_transform(c, lambda e: sqrt(pow(e.x - r.x, 2) + pow(e.y - r.y, 2)))) AS m, list_min(list_transform(c, lambda e: e.away)) AS a
+      FROM r JOIN ls ON ls.track_id = r.track_id AND ls.k = r.k + 1))))
+SELECT track_id, frame, x, y, "primary" FROM r WHERE k > 0"""
+
+
+@query(_FOLLOW)
 def follow_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hourly(spark, sf_dir).where("channel = 'click'")
     reference = h.select("track_id", "frame", F.col("x").alias("rx"), F.col("y").alias("ry"))

@@ -32,11 +32,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Spark's setting to delete the shuffle files of a query at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write `df` as a Parquet table in the shared folder and read it back, which cuts the lineage; also its path."""
+    """Write `df` as a Parquet table in the shared folder and read it back, which cuts the lineage; also its path.
+
+    The table is all that is read later, so the shuffle files of the write go at once, not when the driver happens to
+    collect its garbage.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(TIDY)
+        else:
+            spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -53,6 +53,22 @@ def read_any_tracks(spark: SparkSession, three_columns: list[str], nine_columns:
     return out
 
 
+def read_mixed_tracks(spark: SparkSession, *paths: str) -> DataFrame:
+    """Both formats, told apart by the number of columns of each line; the columns of `read_localisations`."""
+    lines = spark.read.text(list(paths)).select(path().alias("file"), F.split(F.regexp_replace("value", "[\\r\\uFEFF]", ""), ",").alias("c"))
+    number = lambda k: F.try_element_at("c", F.lit(k)).try_cast("double")
+    nine = F.size("c") >= 9
+    pick = lambda three, many: F.when(nine, number(many)).otherwise(number(three))
+    only = lambda k: F.when(nine, number(k))
+    rows = lines.where((F.size("c") == 3) | nine).select("file", pick(1, 2).cast("int").alias("frame"), pick(2, 3).alias("x"), pick(3, 4).alias("y"), only(5).alias("sigma"), only(6).alias("intensity"), only(9).alias("uncertainty"))
+    return rows.where("frame IS NOT NULL").withColumns(keys(F.col("file")))
+
+
+def in_pixels(points: DataFrame, pixel_nm: float, origin: float = 1.0) -> DataFrame:
+    """x and y in pixels. `origin` is the coordinate of the first pixel's centre in the file, which becomes 0."""
+    return points.withColumns({c: F.col(c) / pixel_nm - origin for c in ("x", "y")})
+
+
 def preferred_files(files: DataFrame) -> DataFrame:
     """Of files (file) that describe the same channel and locus in a folder, the cleaned one, else the pipeline's, else any."""
     rank = F.when(F.col("file").endswith("_cleaned.csv"), 0).when(F.col("file").contains("_traj_"), 1).otherwise(2)
