@@ -19,7 +19,7 @@ def test_kernels():
     assert K.distance(K.fill_holes(mask))[4, 4] == 3 and np.isinf(K.distance(np.ones((2, 2), bool))).all()
     two = np.zeros((5, 9), bool)
     two[1:4, 0:3] = two[1:4, 5:9] = True
-    assert K.label(two)[1] == 2 and [m.sum() for m in K.split_at_waist(two, 0.5, 2)] == [9, 12]
+    assert K.label(two)[1] == 2 and sorted(m.sum() for m in K.split_at_waist(two, 0.5, 2)) == [9, 12]
     image = np.random.default_rng(1).normal(0, 1, (32, 40))
     assert np.allclose(K.shift(image, K.moved(image, 3, -2)), (-3, 2), atol=0.2)
     gy, gx = np.mgrid[0:7, 0:7]
@@ -171,7 +171,7 @@ def test_floods_and_splits():
 
 def test_large_clusters_split_alone():
     """A large component that parts at a higher level is split although a small one stands on the same rows."""
-    image = np.full((40, 60), 100.0)
+    image = np.full((80, 100), 100.0)
     image[10:30, 20:50] = 160.0
     image[12:28, 22:33] = image[12:28, 38:49] = 420.0
     image[14:19, 3:8] = 300.0
