@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tracklark.llm.batches import mapped, slices
 from tracklark.session import discard, materialize, table
 
-CELLS = 64
+CELLS = 256
 SAMPLE = 2048
 QUERY_BLOCK = 4096
 #: Queries whose bounds for some rows are held at a time.
@@ -121,22 +121,35 @@ class Bounds:
             left, right = self.edges[k, code].T, self.edges[k, code + 1].T
         for q in range(0, len(self.lows), QUERIES_AT_ONCE):
             own = slice(q, q + QUERIES_AT_ONCE)
+            plus, minus, least = self.plus[own], self.minus[own], self.lows[own].min(axis=1)
+            # Sums of doubles that are no integers round; bounds get the slack that this can take.
+            high = np.zeros((len(least), len(rows))) if code is None else plus @ right + minus @ left
+            high += 1e-12 * (np.abs(high) + 1)
+            # Only rows that can be among the best need their lower bound.
+            n, at = np.nonzero(high >= least[:, None])
             if code is None:
-                low = high = np.zeros((len(self.lows[own]), len(rows)))
+                low = np.zeros(len(n))
+            elif 8 * len(n) > high.size:
+                low = (plus @ left + minus @ right)[n, at]
             else:
-                low = self.plus[own] @ left + self.minus[own] @ right
-                high = self.plus[own] @ right + self.minus[own] @ left
-                # Sums of doubles that are no integers round; bounds get the slack that this can take.
-                low -= 1e-12 * (np.abs(low) + 1)
-                high += 1e-12 * (np.abs(high) + 1)
-            both = np.hstack([self.lows[own], low])
-            self.lows[own] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
-            n, at = np.nonzero(high >= self.lows[own].min(axis=1)[:, None])
-            self.found.append(np.rec.fromarrays([n + q, rows[at], low[n, at], high[n, at]], names="n,row,low,high"))
+                low = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", plus[a], left.T[b]) + np.einsum("ij,ij->i", minus[a], right.T[b]) for a, b in zip(np.array_split(n, len(n) // 8192 + 1), np.array_split(at, len(n) // 8192 + 1), strict=True))])
+            low -= 1e-12 * (np.abs(low) + 1)
+            self.raise_least(q, n, low)
+            keep = high[n, at] >= self.lows[own].min(axis=1)[n]
+            n, at, low = n[keep], at[keep], low[keep]
+            self.found.append(np.rec.fromarrays([n + q, rows[at], low, high[n, at]], names="n,row,low,high"))
             self.held += len(n)
             if self.held > self.kept:
                 self.prune()
 
+    def raise_least(self, first: int, n: np.ndarray, low: np.ndarray) -> None:
+        """Take lower bounds of queries (first + n, rising) into their k best ones."""
+        start = np.flatnonzero(np.append(True, n[1:] != n[:-1])) if len(n) else []
+        for a, b in zip(start, [*start[1:], len(n)], strict=True):
+            own = self.lows[first + n[a]]
+            both = np.concatenate([own, low[a:b]])
+            self.lows[first + n[a]] = np.partition(both, len(both) - self.k)[-self.k :]
+
     def prune(self) -> None:
         """Drop what later rows have ruled out."""
         both = np.concatenate(self.found)
