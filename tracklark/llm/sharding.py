@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklark.operators.tables import numbered
-from tracklark.session import materialize, table
+from tracklark.session import materialize, small_enough, table
 
 #: Rows sorted by one task, about, and so many tasks at most.
 BUCKET_ROWS, MOST_TASKS = 1 << 16, 1 << 15
+#: Sources whose counts are broadcast; of more they are joined.
+MOST_SENT = 10_000
 
 
 def interleave(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -47,6 +49,8 @@ def interleave(docs: DataFrame, shards: int = 8, seed: int = 17, id_col: str = "
     key = ("stratum", "mixed", "doc_id", "text_crc32", "size", "tie")
     ranked = numbered(keyed, *key, name="place", parts=parts)
     strata = ranked.groupBy("stratum").agg(F.count(F.lit(1)).alias("in_all"), F.min("place").alias("first"))
+    if small_enough(strata, MOST_SENT):
+        strata = F.broadcast(strata)
     part = (2 * (F.col("place") - F.col("first") + 1) - 1) / (2 * F.col("in_all"))
     placed = numbered(ranked.join(strata, "stratum").select(*key, part.alias("part")), "part", *key, name="place", parts=parts)
     at = F.col("place") - 1
