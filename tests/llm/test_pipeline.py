@@ -48,3 +48,26 @@ def test_run_and_empty_documents(spark, sf_dir, tmp_path):
     odd = [(1, None, None, None, None), (None, "", "en", "s", 0), (2, "a b", "en", "s", 3), (2, "a b", "en", "s", 3)]
     spark.createDataFrame(odd, DOCS).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= {1, 2, None}
+
+
+def test_repeated_ids_and_columns_with_names_of_its_own(spark, sf_dir, tmp_path):
+    """Rows that share an id but no text all stay, whatever the other columns are called."""
+    first = spark.read.parquet(f"{sf_dir}/documents.parquet").where("length(text) > 400").dropDuplicates(["text"])
+    texts = [r.text for r in first.select("text").orderBy("text").limit(24).collect()]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, cls long, hit string, id int, suspect string, items string, again boolean, stays string"
+    rows = [(k // 2, t, "en", "s", len(t), f"r{k}", k, "h", k, "x", None, None, f"s{k}") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, kind).repartition(3)
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, sf_dir)
+        assert kept.columns == docs.columns
+    got = kept.collect()
+    single = {c for c, _, k in plain_components([(n, t) for n, t in enumerate(texts)]) if c == k}
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()
+    windows = {tuple(w[p : p + 10]) for w in (decontamination.words_of(r.text.encode()) for r in items) for p in range(len(w) - 9)}
+    words = [decontamination.words_of(t.encode()) for t in texts]
+    clean = {n for n, w in enumerate(words) if not any(tuple(w[k : k + 10]) in windows for k in range(len(w)))}
+    assert {int(r.stays[1:]) for r in got} == single & clean and all(r.row == f"r{r.cls}" and r.doc_id == r.cls // 2 for r in got)
+    assert len({r.doc_id for r in got}) < len(got)
+    stage = corpus_pipeline.STAGES[-1][1]
+    assert stage(spark, kept, sf_dir).where("piece = 0").count() == len(got)
