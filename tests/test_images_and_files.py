@@ -247,3 +247,13 @@ def test_tracks_of_both_formats_and_pixels(spark, tmp_path):
     assert got == [("G", 1, 2, 1, 216.0, 108.0, None, None), ("G", 1, 2, 2, 1.0, 2.0, None, None), ("R", 3, 4, 5, 10.0, 20.0, 1.5, 7.0)]
     first = tracks.in_pixels(tracks.read_mixed_tracks(spark, str(tmp_path)).where("frame = 1"), 108.0).first()
     assert (first.x, first.y) == (1.0, 0.0)
+
+
+def test_rois_of_several_components_are_refused(spark):
+    from tracklark.operators import regions
+
+    rows = [(1, 0, 0), (1, 0, 1), (1, 1, 1), (2, 5, 5)]
+    whole = spark.createDataFrame(rows, "img int, y int, x int")
+    assert sorted(map(tuple, regions.require_connected(whole).collect())) == rows
+    with pytest.raises(Exception, match="several components: 2"):
+        regions.require_connected(whole.union(spark.createDataFrame([(2, 7, 5)], whole.schema))).collect()

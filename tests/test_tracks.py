@@ -307,3 +307,9 @@ def test_tracks_are_numbered_on_over_cuts(spark):
     assert len(got) == 10 and got[1, 1, 1.0] == got[1, 3, 3.0] == 1 and got[1, 2, 50.0] == got[1, 3, 50.0] == 2
     assert sorted({got[1, 10, 10.0], got[1, 10, 50.0]}) == [3, 4] and got[2, 1, 0.0] == 1
     assert {r.track_no for r in linking.link(det, 60.0, memory=6).where("x < 20 AND movie = 1").collect()} == {1}
+
+
+def test_a_lost_particle_is_found_again_if_it_is_remembered():
+    five = [(3.6, 5.0, 0), (15.1, 22.6, 0), (4.1, 5.5, 1), (15.9, 20.7, 2), (6.2, 4.3, 2)]
+    tracks = lambda memory: sorted(g.frame.tolist() for _, g in linked(five, 5, memory).groupby("track_no"))
+    assert tracks(2) == [[0, 1, 2], [0, 2]] and tracks(0) == [[0], [0, 1, 2], [2]]

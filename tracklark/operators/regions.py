@@ -1,7 +1,7 @@
 """Points, loci and objects against masks: membership, border rules, crops, valid pixels, signal clusters.
 
-Masks are pixel rows (object columns, y, x); a frame without a mask has no rows. Nothing here leaves the plan: places meet
-masks in equi-joins on the rounded place, and boxes are exploded to their pixels before they meet the image.
+Masks are pixel rows (object columns, y, x); a frame without a mask has no rows. Only labels and hulls leave the plan:
+places meet masks in equi-joins on the rounded place, and boxes are exploded to their pixels before they meet the image.
 """
 
 from __future__ import annotations
@@ -158,3 +158,10 @@ def one_component(mask: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:
     """For each object the number of its components and whether it is one, as a static ROI has to be."""
     named = components(mask, by)
     return named.groupBy(*by).agg(F.count_distinct("cy", "cx").alias("components")).withColumn("connected", F.col("components") == 1)
+
+
+def require_connected(mask: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:
+    """`mask`, or an error once a row is read whose object has several components."""
+    found = one_component(mask, by)
+    text = F.concat(F.lit("several components: "), F.concat_ws(", ", *[F.col(c).cast("string") for c in by]))
+    return mask.join(found, list(by)).where(F.when(F.col("connected"), F.lit(True)).otherwise(F.raise_error(text))).select(*mask.columns)
