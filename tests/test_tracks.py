@@ -281,13 +281,14 @@ def test_links_of_small_frames_cost_the_least():
         assert len(set(names)) == len(names)
 
 
-def test_near_pairs_equal_all_pairs_and_large_parts_are_refused():
+def test_near_pairs_equal_all_pairs_and_large_parts_are_refused(monkeypatch):
     import numpy as np
 
     from tracklark.operators.linking import Linker, near_pairs
 
     draw = np.random.default_rng(6)
-    for _ in range(50):
+    for few in (0, 10**6) * 25:
+        monkeypatch.setattr(linking, "FEW_PAIRS", few)
         a, b = draw.normal(0, 5, (draw.integers(1, 40), 2)), draw.normal(0, 5, (draw.integers(1, 40), 2))
         r, c, square = near_pairs(a, b, 1.5)
         every = ((a[:, None] - b[None]) ** 2).sum(axis=2)

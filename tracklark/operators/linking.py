@@ -19,8 +19,17 @@ from tracklark.operators.spatial import within_radius
 from tracklark.session import materialize
 
 
+#: Up to so many pairs of points are compared without cells.
+FEW_PAIRS = 40_000
+
+
 def near_pairs(old: np.ndarray, points: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers of old and new points nearer than `reach`, and their squared distances, by cells of that size."""
+    """Numbers of old and new points nearer than `reach`, and their squared distances: of a few points from all pairs, else
+    by cells of that size."""
+    if len(old) * len(points) <= FEW_PAIRS:
+        square = ((old[:, None] - points[None]) ** 2).sum(axis=2)
+        r, c = np.nonzero(square < reach**2)
+        return r, c, square[r, c]
     low = np.minimum(old.min(axis=0), points.min(axis=0)) - 2 * reach
     cell = lambda p: np.floor((p - low) / reach).astype(np.int64)
     width = int(max(cell(old)[:, 1].max(), cell(points)[:, 1].max())) + 3
@@ -121,17 +130,23 @@ def spread(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+#: Detections of a part, about.
+PART = 20_000
+
+
 def link(detections: DataFrame, reach: float, memory: int = 0, least: int = 1, by: tuple[str, ...] = ("movie", "channel")) -> DataFrame:
     """`detections` (by, frame, x, y) with track_no, by group.
 
-    No track crosses more than `memory` frames without detections, so groups are cut there and their parts are linked
-    side by side; a small table of each part's number of tracks makes the numbers run on.
+    No track crosses more than `memory` frames without detections, so groups are cut there, once a part has `PART`
+    detections, and their parts are linked side by side; a small table of each part's number of tracks makes the numbers
+    run on.
     """
     rows = detections.select(*by, F.col("frame").cast("int").alias("frame"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     order = Window.partitionBy(*by).orderBy("frame")
-    frames = rows.select(*by, "frame").distinct()
-    starts = F.when(F.col("frame") - F.lag("frame").over(order) <= memory + 1, 0).otherwise(1)
-    cut = frames.withColumn("starts", starts).withColumn("cut", F.sum("starts").over(order)).drop("starts")
+    frames = rows.groupBy(*by, "frame").agg(F.count(F.lit(1)).alias("n"))
+    begins = F.lag("frame").over(order).isNull() | (F.col("frame") - F.lag("frame").over(order) > memory + 1)
+    before = F.sum("n").over(order) - F.col("n")
+    cut = frames.withColumn("at", F.when(begins, F.floor(before / PART))).select(*by, "frame", F.last("at", True).over(order).alias("cut"))
     parts = rows.join(cut, [*by, "frame"])
     found = spread(parts, *by, "cut").groupBy(*by, "cut").applyInPandas(lambda pdf: linked(pdf, reach, memory, least), parts.selectExpr("*", "0L AS track_no").schema)
     found, _ = materialize(found)
