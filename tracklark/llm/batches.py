@@ -36,8 +36,17 @@ def give_back() -> None:
         pass
 
 
+#: Spark's setting for the bytes of a batch that it sends to Python, and the bound for it here.
+SENT, MOST_SENT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """`df.mapInArrow(run, schema)` that gives memory back at the end of each task."""
+    """`df.mapInArrow(run, schema)` that gives memory back at the end of each task.
+
+    The session sends batches of at most `MOST_SENT` bytes from then on: both sides hold a batch as a whole, and a count
+    of rows is no bound where texts are long.
+    """
+    df.sparkSession.conf.set(SENT, str(MOST_SENT))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
