@@ -240,17 +240,22 @@ def searched(file: DataFrame, edges: dict[int, np.ndarray], block: list[tuple[in
 
     seen, seen_path = materialize(mapped(file.select("row", "size", "cells"), scan, "n int, row long, low double, high double"))
     left = seen.join(kth(seen, "low"), "n", "left").where("least IS NULL OR high >= least").drop("least")
+    left, left_path = materialize(left)
     order = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("high"), "row"))
-    left, left_path = materialize(left.withColumn("at", order))
-    first, first_path = materialize(read(left.where(F.col("at") <= FIRST * most)))
-    rest = left.where(F.col("at") > FIRST * most).join(kth(first, "score"), "n").where("high >= least")
+    highest, highest_path = materialize(left.withColumn("at", order).where(F.col("at") <= FIRST * most))
+    first, first_path = materialize(read(highest))
+    # The rows behind those, in the same order, that their bound still lets in.
+    place = F.struct((-F.col("high")).alias("low"), "row")
+    last = highest.groupBy("n").agg(F.max(place).alias("last"))
+    rest = left.join(last, "n").where(place > F.col("last")).join(kth(first, "score"), "n").where("high >= least")
     more, more_path = materialize(read(rest))
-    both = first.unionByName(more)
-    own = F.row_number().over(Window.partitionBy("n", "own").orderBy("vec_id"))
-    both = both.withColumn("again", own).where("NOT own OR again > 1")
-    rank = F.row_number().over(Window.partitionBy("n", "query_id").orderBy(F.desc("score"), "vec_id"))
-    out, _ = materialize(both.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
-    discard(spark, seen_path, left_path, first_path, more_path)
+    # One more than k are ranked, of which the first own row goes.
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "vec_id"))
+    top = first.unionByName(more).withColumn("at", rank).where(F.col("at") <= most)
+    top = top.withColumn("mine", F.min(F.when(F.col("own"), F.col("at"))).over(Window.partitionBy("n"))).where("mine IS NULL OR at <> mine")
+    top = top.withColumn("rank", F.col("at") - F.coalesce((F.col("at") > F.col("mine")).cast("int"), F.lit(0)))
+    out, _ = materialize(top.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+    discard(spark, seen_path, left_path, highest_path, first_path, more_path)
     shared.destroy()
     return out
 
