@@ -37,7 +37,8 @@ all columns through whatever their names.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -83,9 +84,9 @@ def class_number(tokens: np.ndarray, bits: int, torn: frozenset) -> tuple[int, i
     return (one ^ two if one in torn else one), two
 
 
-def classed(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
+def classed(docs: DataFrame, id_col: str, text_col: str, bits: int = 64, sketch: bool = True) -> DataFrame:
     """doc_id, n_shingles, cls and check (null without shingles) of each row; and, in rows with `at`, segments of the
-    counts of tokens by their highest bits, each class counted once in a task."""
+    counts of tokens by their highest bits, each class counted once in a task (none without `sketch`)."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "n_shingles", "cls", "check", "at", "counts"]
 
@@ -99,7 +100,7 @@ def classed(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> Data
                     continue
                 cls, check = class_number(s, bits, frozenset())
                 found.append((len(s), cls, check))
-                if check not in seen:
+                if sketch and check not in seen:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(check)
@@ -466,7 +467,22 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return 9 * int((a[at] == b).sum()) >= 4 * (len(a) + len(b))
 
 
-def verified(pairs: DataFrame, store: DataFrame, model, n: int) -> DataFrame:
+class Method(NamedTuple):
+    """How candidates are found, for `class_roots`: the rows of the first lists, the store of classes that are in pairs
+    or open lists (cls, text, ranges and more), the pairs that pass what the store tells of them, and the exact test.
+    sketch: whether the lists need counts of tokens."""
+
+    postings: Callable
+    stored: Callable
+    candidates: Callable
+    links: Callable
+    sketch: bool = True
+
+
+PREFIXES = Method(postings, stored, candidates, links)
+
+
+def verified(pairs: DataFrame, store: DataFrame, n: int, links: Callable = links) -> DataFrame:
     """The pairs (a, b) that link."""
     spark = pairs.sparkSession
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls"))
@@ -482,11 +498,11 @@ def verified(pairs: DataFrame, store: DataFrame, model, n: int) -> DataFrame:
     return met(pairs, sets, n, lambda row: np.frombuffer(row[0], U), lambda own, row: links(own, np.frombuffer(row[0], U)))
 
 
-def class_roots(texts: DataFrame, rare: np.ndarray, bits: int = 64, torn: frozenset = frozenset()) -> tuple[DataFrame, list[str]]:
+def class_roots(texts: DataFrame, rare: np.ndarray | None, bits: int = 64, torn: frozenset = frozenset(), method: Method = PREFIXES) -> tuple[DataFrame, list[str]]:
     """node and root of the classes that link with others, over all rows of `texts` (one column); and its paths."""
     spark = texts.sparkSession
     model = spark.sparkContext.broadcast((rare, bits, torn))
-    lists = postings(texts, model).withColumn("comp", F.col("cls"))
+    lists = method.postings(texts, model).withColumn("comp", F.col("cls"))
     leaders, found, kept, paths = 1, None, [], []
     store = tried = edges = ranges = None
 
@@ -506,7 +522,7 @@ def class_roots(texts: DataFrame, rare: np.ndarray, bits: int = 64, torn: frozen
         """Verify pairs and join the components that they connect."""
         nonlocal edges, found
         if n := pairs.count():
-            new = held(verified(pairs, store, model, n))
+            new = held(verified(pairs, store, n, method.links))
             edges = new if edges is None else edges.unionByName(new)
             found, path = roots(edges)
             kept.append(path)
@@ -518,9 +534,9 @@ def class_roots(texts: DataFrame, rare: np.ndarray, bits: int = 64, torn: frozen
         if store is None:
             # All classes of later rounds are in this round's lists and pairs.
             classes = pairs.select(F.explode(F.array("a", "b")).alias("cls")).unionByName(led.where("kind = 1").select(F.col("y").alias("cls")))
-            store = held(stored(texts, held(classes.distinct()), model))
+            store = held(method.stored(texts, held(classes.distinct()), model))
         if n := pairs.count():
-            passed = candidates(pairs, store, n)
+            passed = method.candidates(pairs, store, n)
             if tried is None:
                 passed = held(passed.withColumn("first", F.min("a").over(Window.partitionBy("b"))))
                 link(passed.where("a = first").select("a", "b"))
@@ -540,27 +556,28 @@ def class_roots(texts: DataFrame, rare: np.ndarray, bits: int = 64, torn: frozen
         leaders = min(MORE_LEADERS * leaders, MOST_LEADERS)
     out = found if found is not None else spark.createDataFrame([], "node long, root long")
     discard(spark, *paths, *kept[:-1])
+    model.destroy()
     return out, kept[-1:]
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 64, method: Method = PREFIXES) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
-    return grouped(docs, id_col, text_col, bits)[0].select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return grouped(docs, id_col, text_col, bits, method)[0].select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def grouped(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> tuple[DataFrame, frozenset]:
+def grouped(docs: DataFrame, id_col: str, text_col: str, bits: int = 64, method: Method = PREFIXES) -> tuple[DataFrame, frozenset]:
     """doc_id, n_shingles, cls, root and component_id (both null if the row is alone; component_id also if no row of
     its component has an id); and the class numbers that stood for several sets."""
     spark = docs.sparkSession
-    both, _ = materialize(classed(docs, id_col, text_col, bits))
-    rare = rarity(both.where("at IS NOT NULL").select("at", "counts"))
+    both, _ = materialize(classed(docs, id_col, text_col, bits, method.sketch))
+    rare = rarity(both.where("at IS NOT NULL").select("at", "counts")) if method.sketch else None
     rows = both.where("at IS NULL").drop("at", "counts")
     torn = frozenset(r[0] for r in rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("cls").collect())
     if torn:
         several = spark.createDataFrame([(c,) for c in torn], "cls long").withColumn("torn", F.lit(True))
         rows = rows.join(F.broadcast(several), "cls", "left").withColumn("cls", F.when(F.col("torn"), F.col("cls").bitwiseXOR(F.col("check"))).otherwise(F.col("cls")))
     rows = rows.select("doc_id", "n_shingles", "cls")
-    linked, paths = class_roots(docs.select(F.col(text_col).alias("text")), rare, bits, torn)
+    linked, paths = class_roots(docs.select(F.col(text_col).alias("text")), rare, bits, torn, method)
     least = rows.where("cls IS NOT NULL").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     joined = least.join(linked.withColumnRenamed("node", "cls"), "cls")
     by_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -571,7 +588,7 @@ def grouped(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> tupl
     return rows.join(named, "cls", "left"), torn
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", method: Method = PREFIXES) -> DataFrame:
     """One row of each group of rows that links connect, with all columns; rows without shingles or without an id all
     stay.
 
@@ -580,7 +597,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     others. Only the texts of ids of which some row goes are shuffled.
     """
     spark = docs.sparkSession
-    found, torn = grouped(docs, id_col, text_col)
+    found, torn = grouped(docs, id_col, text_col, method=method)
     rows, held = materialize(found.where("root IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "cls", "root").agg(F.count(F.lit(1)).alias("rows")))
     stays = rows.groupBy("root").agg(F.min(F.struct("doc_id", "cls")).alias("first")).select("first.doc_id", "first.cls", F.lit(True).alias("stays"))
     marked, _ = materialize(rows.join(stays, ["doc_id", "cls"], "left").select("doc_id", "cls", "rows", F.col("stays").isNull().alias("goes")).where("goes OR rows > 1"))

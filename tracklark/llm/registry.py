@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("decontamination", "sharding", "secrets", "licenses", "language", "vectors", "packing", "wordpieces", "jaccard", "chat", "codes", "ranked")
+MODULES = ("decontamination", "sharding", "secrets", "licenses", "language", "vectors", "packing", "wordpieces", "jaccard", "chat", "codes", "ranked", "minhash")
 
 QUERIES: dict = {}
 ORACLES: dict = {}
