@@ -204,6 +204,31 @@ def test_predictions_equal_a_plain_nearest_centroid(spark):
     assert max(abs(g[3] - w[3]) for g, w in zip(got, want)) < 2e-3
 
 
+def test_no_language_is_lost_to_repeats_and_models_do_not_depend_on_partitions(spark, monkeypatch):
+    """20,000 equal rows of one language, digits that are no text, and a hot language beside a rare one."""
+    draw = random.Random(22)
+    rows = [(1, "lorem ipsum dolor", "xx", None, 0)] * 20000 + [(k, "".join(draw.choice("0123456789 ") for _ in range(12)), "zz", None, 0) for k in range(5000)]
+    rows += [(k, " ".join(draw.choice(["der", "die", "das", "und"]) for _ in range(12)), "yy", None, 0) for k in range(200)] + [(k, "uno dos tres quattro", "zz", None, 0) for k in (7001, 7002)]
+    rows += [(k, " ".join(draw.choice(["один", "два", "три"]) for _ in range(6)), "hot", None, 0) for k in range(9000)]
+    docs = spark.createDataFrame(rows, DOCS)
+    sent, models = [], []
+    plain = language.sample_vectors
+
+    def counted(*a):
+        sent.append(plain(*a))
+        return sent[-1]
+
+    monkeypatch.setattr(language, "sample_vectors", counted)
+    for partitions in (1, 7):
+        models.append(language.fit(docs.repartition(partitions)))
+    one, seven = models
+    assert sorted(set(one.langs)) == ["hot", "xx", "yy", "zz"] and one.langs == seven.langs
+    assert (one.centroids == seven.centroids).all() and (one.least == seven.least).all() and (one.idf == seven.idf).all()
+    assert [len([x for x in s if x[0] == "xx"]) for s in sent] == [1, 1] and all(len(s) <= language.SAMPLE for s in sent)
+    assert language.keep_known(docs.where("lang = 'xx'"), one).count() == 20000
+    assert {r.lang_pred for r in language.predicted(docs.where("doc_id >= 7001 AND lang = 'zz'"), one).collect()} == {"zz"}
+
+
 # Search
 
 

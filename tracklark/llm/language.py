@@ -5,11 +5,12 @@ other signs as one space), scaled to length 1. Each language has up to `CENTROID
 a bounded sample of labelled rows. A text gets the language of the centroid with the highest cosine and is rejected if
 its distance to it is far beyond what texts of its length have in the sample.
 
-Fitting: document frequencies cover all learnable rows and are summed from one small row for each task and bucket. The
-k-means sample holds `SAMPLE` rows at most, but `CENTROIDS` of each language, so no language is left out: those with
-the smallest hashes of id and text of each language, repeated rows once. Each language's count gives a hash that about
-twice the rows wanted are below, so a frequent language is cut before it is ranked. The sample is the only thing that
-comes to the driver beside one number for each of the `BUCKETS` buckets.
+Fitting reads the texts twice. The first pass counts document frequencies over all learnable rows and keeps, in each
+task, the smallest distinct hashes of id and text of each language, as many as the sample could take: at most `SAMPLE`
+in all, but `CENTROIDS` of each language, so no language is left out, however often rows repeat. These hashes are merged
+and cut again, first within `SALTS` parts of a language. The second pass counts the n-grams of the rows chosen, once for
+each hash and task; repeats are merged by a shuffle, so the driver gets each row of the sample once, besides one number
+for each of the `BUCKETS` buckets. The driver sorts the sample by hash, so a model doesn't depend on partitions.
 Prediction reads each whole text once, without a shuffle; the model broadcast is `BUCKETS` floats for each centroid,
 and at most `MOST_LANGUAGES` languages are accepted.
 
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tracklark.llm.batches import mapped, per_row, slices
-from tracklark.session import table
+from tracklark.session import discard, materialize, table
 
 BUCKETS, CENTROIDS, SAMPLE, MOST_LANGUAGES = 1 << 12, 4, 3200, 400
 #: A text is rejected below this share of the cosine that all but `ODD` of the sample texts of its length reach.
 SLACK, ODD = 0.6, 0.02
 #: So many sample texts of a size tell the bound for that size.
 TOLD = 32
+#: Hashes of a language are ranked within so many parts first.
+SALTS = 32
 UNKNOWN = "und"
 
 
@@ -100,61 +103,79 @@ def size_class(n: int) -> int:
     return min(n.bit_length(), 63)
 
 
-def frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many texts each bucket occurs, and the number of texts."""
+def surveyed(rows: DataFrame) -> DataFrame:
+    """bucket and df: in how many texts of a task each bucket occurs (at `BUCKETS`, the number of texts); and, in rows
+    without a bucket, lang and mixed: the smallest distinct hashes of each language, as many as the sample can take.
+
+    rows: lang, mixed, text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(BUCKETS + 1, np.int64), 0
+        df, n, least = np.zeros(BUCKETS + 1, np.int64), 0, {}
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                if (found := grams(text)) is not None:
-                    df[np.unique(found) if len(found) < BUCKETS else np.flatnonzero(np.bincount(found, minlength=BUCKETS))] += 1
-                    n += 1
+            for lang, mixed, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (found := grams(text)) is None:
+                    continue
+                df[np.unique(found) if len(found) < BUCKETS else np.flatnonzero(np.bincount(found, minlength=BUCKETS))] += 1
+                n += 1
+                least.setdefault(lang, set()).add(mixed)
+                # All rows have at least the languages of this task, so more of one are never wanted.
+                if len(least[lang]) > 2 * (most := wanted(len(least))):
+                    least[lang] = set(sorted(least[lang])[:most])
         df[BUCKETS] = n
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["bucket", "df"])
+        both = [(lang, m) for lang, own in least.items() for m in sorted(own)[: wanted(len(least))]]
+        none = pa.nulls(len(both), pa.int32()), pa.nulls(len(both), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64()), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.int64())], names=["bucket", "df", "lang", "mixed"])
+        yield pa.RecordBatch.from_arrays([*none, pa.array([x for x, _ in both], pa.string()), pa.array([m for _, m in both], pa.int64())], names=["bucket", "df", "lang", "mixed"])
+
+    return mapped(rows, run, "bucket int, df long, lang string, mixed long")
+
 
+def wanted(languages: int) -> int:
+    """Rows of the sample for each language."""
+    return max(CENTROIDS, SAMPLE // max(languages, 1))
+
+
+def frequencies(survey: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each bucket occurs, and the number of texts."""
     out = np.zeros(BUCKETS + 1, np.int64)
-    for r in mapped(texts, run, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
+    for r in survey.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("df").alias("df")).collect():
         out[r.bucket] = r.df
     return out[:BUCKETS], int(out[BUCKETS])
 
 
-def sample_vectors(rows: DataFrame) -> Iterator[tuple[str, np.ndarray, int]]:
-    """Label, counts by bucket and number of n-grams of the sampled rows; the counts are made on executors."""
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
+def sample_vectors(rows: DataFrame, survey: DataFrame) -> list[tuple[str, np.ndarray, int]]:
+    """Label, counts by bucket and number of n-grams of the sampled rows, in order of label and hash; the counts are made
+    on executors."""
+    hashes = survey.where("bucket IS NULL").select("lang", "mixed")
+    languages = hashes.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()
+    if languages > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return
-    each = max(CENTROIDS, SAMPLE // len(counts))
-    mixed = F.xxhash64("doc_id", "text")
-
-    def below(bounds: dict[str, int]):
-        out = F.lit(False)
-        for lang, last in bounds.items():
-            out = out | ((F.col("lang") == lang) & (mixed <= last))
-        return out
-
-    bounds = {lang: min(int((2 * each + 64) / n * 2**64) - 2**63, 2**63 - 1) for lang, n in counts.items()}
-    few = rows.where(below(bounds)).select("lang", mixed.alias("mixed")).distinct()
-    chosen = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mixed"))).where(F.col("rank") <= each)
-    within = below({r["lang"]: r["last"] for r in chosen.groupBy("lang").agg(F.max("mixed").alias("last")).collect()})
+    if not languages:
+        return []
+    chosen = hashes.distinct().withColumn("salt", F.pmod("mixed", F.lit(SALTS)))
+    for by in (["lang", "salt"], ["lang"]):
+        chosen = chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("mixed"))).where(F.col("rank") <= wanted(languages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken = set()
         for batch in slices(batches):
-            out = [(lang, m, g) for lang, m, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(grams, batch.column(2).to_pylist()), strict=True) if g is not None]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, _, _ in out], pa.string()), pa.array([m for _, m, _ in out], pa.int64()), pa.array([np.bincount(g, minlength=BUCKETS).astype(np.int32).tobytes() for *_, g in out], pa.binary()), pa.array([len(g) for *_, g in out], pa.int64())],
-                names=["lang", "mixed", "counts", "n"],
-            )
-
-    taken = set()
-    for r in mapped(rows.where(within).select("lang", mixed.alias("mixed"), "text"), run, "lang string, mixed long, counts binary, n long").toLocalIterator():
-        # Rows of one hash repeat each other.
-        if (r["lang"], r["mixed"]) not in taken:
-            taken.add((r["lang"], r["mixed"]))
-            yield r["lang"], np.frombuffer(r["counts"], np.int32), r["n"]
+            out = []
+            for lang, mixed, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # Rows of one hash repeat each other.
+                if (lang, mixed) not in taken:
+                    taken.add((lang, mixed))
+                    g = grams(text)
+                    out.append((lang, mixed, np.bincount(g, minlength=BUCKETS).astype(np.int32).tobytes(), len(g)))
+            if out:
+                lang, mixed, counts, n = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(mixed, pa.int64()), pa.array(counts, pa.binary()), pa.array(n, pa.int64())], names=["lang", "mixed", "counts", "n"])
+
+    picked = rows.join(F.broadcast(chosen.select("lang", "mixed")), ["lang", "mixed"]).select("lang", "mixed", "text")
+    once = mapped(picked, run, "lang string, mixed long, counts binary, n long").groupBy("lang", "mixed").agg(F.min(F.struct("n", "counts")).alias("of"))
+    found = sorted(once.select("lang", "mixed", "of.n", "of.counts").collect(), key=lambda r: (r["lang"], r["mixed"]))
+    return [(r["lang"], np.frombuffer(r["counts"], np.int32), r["n"]) for r in found]
 
 
 def spherical_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -173,13 +194,16 @@ def spherical_means(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", centroids: int = CENTROIDS) -> Model:
     """A model of the rows that have a text and a label."""
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    df, n = frequencies(rows.select("text"))
+    rows = rows.select("lang", F.xxhash64("doc_id", "text").alias("mixed"), "text")
+    survey, held = materialize(surveyed(rows))
+    df, n = frequencies(survey)
     idf = (np.log((n + 1) / (df + 1)) + 1).astype(np.float32)
     model = Model(idf, np.zeros((0, BUCKETS), np.float32), [], np.zeros(64))
     by: dict[str, list[tuple[np.ndarray, int]]] = {}
-    for lang, counts, size in sample_vectors(rows):
+    for lang, counts, size in sample_vectors(rows, survey):
         v = np.log1p(counts).astype(np.float32) * idf
         by.setdefault(lang, []).append((v / np.linalg.norm(v), size))
+    discard(labelled.sparkSession, held)
     found, langs, reached = [], [], [[] for _ in range(64)]
     for lang in sorted(by):
         v = np.stack([x for x, _ in by[lang]])
