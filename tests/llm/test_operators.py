@@ -253,6 +253,24 @@ def test_search_equals_brute_force_with_ties_and_odd_rows(spark):
     assert vectors.top_k(frame.limit(0), frame.limit(0)).count() == 0 and vectors.top_k(frame, frame.where("vec_id = 5000")).count() == 0
 
 
+def test_equal_vectors_leave_few_candidates(spark, monkeypatch):
+    rows = [(k, [3.0, -1.0, 2.0]) for k in range(8000)] + [(9000 + k, [2.0, 2.0, float(k)]) for k in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    file, edges, _ = vectors.index(frame)
+    few, _ = vectors.told_apart(file, 6)
+    assert sorted(r.vec_id for r in few.select("vec_id").collect()) == [0, 1, 2, 3, 4, 5, 9000, 9001, 9002]
+    queries = [(r[0], np.array(r[1])) for r in rows[::20]]
+    shared = spark.sparkContext.broadcast((queries, edges))
+    assert vectors.scanned(few, shared, 6).count() <= len(queries) * 2 * 6
+    # What a task holds is bounded, and what it passes on early is the same.
+    draw = np.random.default_rng(9)
+    near = spark.createDataFrame([(k, [float(x) for x in draw.integers(90, 93, 8)]) for k in range(600)], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(vectors, "HELD", 100)
+    got = vectors.top_k(near, near.where("vec_id % 5 = 0"), 7).collect()
+    both = near.orderBy("vec_id").collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, int(r.score)) for r in got) == plain_top([r.vec_id for r in both], [r.embedding for r in both], 7)
+
+
 def test_search_query_leaves_out_vectors_that_are_not_finite(spark, tmp_path):
     draw = np.random.default_rng(7)
     rows = [(k, [float(x) for x in draw.normal(0, 1, 4)]) for k in range(60)]

@@ -11,6 +11,10 @@ query. Each task drops rows whose upper bound is below the kth lower bound that
 cut once more by the kth lower bound of all. Exact vectors are then read in order of falling upper bounds: those of the
 `FIRST` x k best bounds first, whose kth score tells which of the others can still be among the best; only these follow.
 
+Of rows with equal vectors, which no bound tells apart, only the k + 1 smallest ids can be results (one may be the
+query's own row), so the others leave the file before the search. A task passes on what it has found whenever that is
+more than `HELD` candidates after pruning.
+
 Scale: queries come to the driver in blocks of `QUERY_BLOCK`, of which one at a time is broadcast; each block scans all
 approximations once. Only row numbers and bounds are shuffled and ranked, and exact vectors only where rows are left
 over (joined by row number; on large tables Spark filters the vectors by a Bloom filter of the rows first). Results of
@@ -43,6 +47,12 @@ QUERY_BLOCK = 4096
 QUERIES_AT_ONCE = 256
 #: Exact vectors are read for so many times k of the highest bounds first.
 FIRST = 2
+#: Rows whose bounds are worked out at a time.
+ROWS_AT_ONCE = 512
+#: A task holds so many candidates (32 bytes each) at most, and those of one part of a batch.
+HELD = 1 << 18
+#: Rows with equal vectors are ranked within so many parts first.
+SALTS = 32
 #: Exact in double precision while all sums stay below this.
 EXACT = float(1 << 53)
 
@@ -70,8 +80,8 @@ def cell_edges(rows: DataFrame, cells: int = CELLS) -> dict[int, np.ndarray]:
 
 
 def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cells: int = CELLS) -> tuple[DataFrame, dict[int, np.ndarray], str]:
-    """The vector-approximation file: row (a number), size, cells (a byte for each component), vec_id and v; the cells'
-    edges; and where the file is."""
+    """The vector-approximation file: row (a number), mark (equal for equal vectors), size, cells (a byte for each
+    component), vec_id and v; the cells' edges; and where the file is."""
     rows = usable(vectors, id_col, vector_col)
     edges = cell_edges(rows, cells)
     shared = vectors.sparkSession.sparkContext.broadcast(edges)
@@ -90,11 +100,23 @@ def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(marks, pa.binary()), batch.column(0), batch.column(1)], names=["size", "cells", "vec_id", "v"])
 
     marked = mapped(rows, run, "size int, cells binary, vec_id long, v array<double>")
-    done, path = materialize(marked.select(F.monotonically_increasing_id().alias("row"), "*"))
+    done, path = materialize(marked.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("v").alias("mark"), "*"))
     shared.destroy()
     return done, edges, path
 
 
+def told_apart(file: DataFrame, most: int) -> tuple[DataFrame, str | None]:
+    """The file without rows that at least `most` rows of the same vector and smaller ids stand before; and where it is,
+    if it was written anew."""
+    many = file.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("mark")
+    if many.isEmpty():
+        return file, None
+    few = file.join(many, "mark", "left_semi").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    for by in (["mark", "v", "salt"], ["mark", "v"]):
+        few = few.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("vec_id", "row"))).where(F.col("at") <= most)
+    return materialize(file.join(many, "mark", "left_anti").unionByName(few.select(*file.columns)))
+
+
 def by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, places, vectors) for each vector length of a list column without nulls."""
     size = np.diff(column.offsets.to_numpy())
@@ -113,7 +135,7 @@ class Bounds:
         self.plus, self.minus = np.maximum(vectors, 0), np.minimum(vectors, 0)
         self.lows = np.full((len(vectors), k), -np.inf)
         self.found: list[np.ndarray] = []
-        self.held, self.kept = 0, 1 << 18
+        self.held = 0
 
     def add(self, rows: np.ndarray, code: np.ndarray | None) -> None:
         if code is not None:
@@ -139,8 +161,6 @@ class Bounds:
             n, at, low = n[keep], at[keep], low[keep]
             self.found.append(np.rec.fromarrays([n + q, rows[at], low, high[n, at]], names="n,row,low,high"))
             self.held += len(n)
-            if self.held > self.kept:
-                self.prune()
 
     def raise_least(self, first: int, n: np.ndarray, low: np.ndarray) -> None:
         """Take lower bounds of queries (first + n, rising) into their k best ones."""
@@ -155,7 +175,15 @@ class Bounds:
         both = np.concatenate(self.found)
         self.found = [both[both["high"] >= self.lows.min(axis=1)[both["n"]]]]
         self.held = len(self.found[0])
-        self.kept = max(self.kept, 2 * self.held)
+
+    def taken(self, most: int) -> np.ndarray | None:
+        """What was found so far, if more than `most` of it is left after pruning; it is forgotten then."""
+        if self.held > most:
+            self.prune()
+        if self.held <= most:
+            return None
+        out, self.found, self.held = self.found[0], [], 0
+        return out
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -173,10 +201,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     spark = vectors.sparkSession
     file, edges, path = index(vectors, id_col, vector_col, cells)
     todo = usable(queries, id_col, vector_col).toLocalIterator()
+    file, other = told_apart(file, k + 1)
     parts = []
     while block := list(islice(todo, query_block)):
         parts.append(searched(file, edges, [(r.vec_id, np.array(r.v, float)) for r in block], k))
-    discard(spark, path)
+    discard(spark, path, *([other] if other else []))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     out = parts[0]
@@ -185,35 +214,47 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     return out
 
 
-def searched(file: DataFrame, edges: dict[int, np.ndarray], block: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
-    """The best k for each query of a block."""
-    spark = file.sparkSession
-    shared = spark.sparkContext.broadcast((block, edges))
-    # One more than k, since the query's own row is left out at the end.
-    most = k + 1
+def scanned(file: DataFrame, shared, most: int, held: int | None = None) -> DataFrame:
+    """n (a query of the block), row, low and high of the rows that each task leaves for each query, by bounds of the
+    score. shared: the broadcast (block, edges)."""
+    held = held or HELD
+
+    def out(found: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(found), 1 << 16):
+            part = found[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[part["n"]]), *(pa.array(part[c].copy()) for c in ("row", "low", "high"))], names=["n", "row", "low", "high"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, edges = shared.value
         sets = defaultdict(list)
         for n, (_, v) in enumerate(block):
             sets[len(v)].append(n)
+        names = {d: np.array(own, np.int32) for d, own in sets.items()}
         bounds = {d: Bounds(np.stack([block[n][1] for n in own]), edges.get(d), most) for d, own in sets.items()}
         for batch in batches:
             rows, size, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             for d in np.unique(size):
                 at = np.flatnonzero(size == d)
-                for a in range(0, len(at) if d in bounds else 0, 2048):
-                    p = at[a : a + 2048]
+                for a in range(0, len(at) if d in bounds else 0, ROWS_AT_ONCE):
+                    p = at[a : a + ROWS_AT_ONCE]
                     code = np.frombuffer(b"".join(marks.take(pa.array(p)).to_pylist()), np.uint8).reshape(-1, d).astype(np.intp) if d else None
                     bounds[d].add(rows[p], code)
+                    if (full := bounds[d].taken(held)) is not None:
+                        yield from out(full, names[d])
         for d, one in bounds.items():
             if one.found:
                 one.prune()
-                found = one.found[0]
-                names = np.array(sets[d], np.int32)
-                for a in range(0, len(found), 1 << 16):
-                    part = found[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[part["n"]]), *(pa.array(part[c].copy()) for c in ("row", "low", "high"))], names=["n", "row", "low", "high"])
+                yield from out(one.found[0], names[d])
+
+    return mapped(file.select("row", "size", "cells"), scan, "n int, row long, low double, high double")
+
+
+def searched(file: DataFrame, edges: dict[int, np.ndarray], block: list[tuple[int, np.ndarray]], k: int) -> DataFrame:
+    """The best k for each query of a block."""
+    spark = file.sparkSession
+    shared = spark.sparkContext.broadcast((block, edges))
+    # One more than k, since the query's own row is left out at the end.
+    most = k + 1
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, _ = shared.value
@@ -228,34 +269,29 @@ def searched(file: DataFrame, edges: dict[int, np.ndarray], block: list[tuple[in
                     own[at[p]] = (names[at[p]] == name) & (v[p] == vector).all(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(query), batch.column(1), pa.array(score), pa.array(own)], names=["n", "query_id", "vec_id", "score", "own"])
 
-    def kth(df: DataFrame, column: str) -> DataFrame:
-        """n and the kth highest value, for the queries that have so many."""
-        rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc(column)))
-        return df.select("n", column, rank.alias("at")).where(F.col("at") == most).select("n", F.col(column).alias("least"))
+    def ranks(*order):
+        return F.row_number().over(Window.partitionBy("n").orderBy(*order))
 
     def read(some: DataFrame) -> DataFrame:
         """Exact scores of (n, row)."""
         both = some.select("n", "row").join(file.select("row", "vec_id", "v"), "row").select("n", "vec_id", "v")
         return mapped(both, scores, "n int, query_id long, vec_id long, score double, own boolean")
 
-    seen, seen_path = materialize(mapped(file.select("row", "size", "cells"), scan, "n int, row long, low double, high double"))
-    left = seen.join(kth(seen, "low"), "n", "left").where("least IS NULL OR high >= least").drop("least")
-    left, left_path = materialize(left)
-    order = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("high"), "row"))
-    highest, highest_path = materialize(left.withColumn("at", order).where(F.col("at") <= FIRST * most))
-    first, first_path = materialize(read(highest))
-    # The rows behind those, in the same order, that their bound still lets in.
-    place = F.struct((-F.col("high")).alias("low"), "row")
-    last = highest.groupBy("n").agg(F.max(place).alias("last"))
-    rest = left.join(last, "n").where(place > F.col("last")).join(kth(first, "score"), "n").where("high >= least")
-    more, more_path = materialize(read(rest))
+    seen, seen_path = materialize(scanned(file, shared, most))
+    # The kth lower bound of all tasks cuts once more; at is a row's place in the order of reading.
+    lows = seen.select("n", "low", ranks(F.desc("low")).alias("at")).where(F.col("at") == most).select("n", F.col("low").alias("least"))
+    left = seen.join(lows, "n", "left").where("least IS NULL OR high >= least").drop("least")
+    left, left_path = materialize(left.withColumn("at", ranks(F.desc("high"), "row")))
+    first, first_path = materialize(read(left.where(F.col("at") <= FIRST * most)))
+    # The rows behind those that their bound still lets in.
+    kth = first.select("n", "score", ranks(F.desc("score")).alias("at")).where(F.col("at") == most).select("n", F.col("score").alias("least"))
+    rest = left.where(F.col("at") > FIRST * most).join(kth, "n").where("high >= least")
     # One more than k are ranked, of which the first own row goes.
-    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "vec_id"))
-    top = first.unionByName(more).withColumn("at", rank).where(F.col("at") <= most)
+    top = first.unionByName(read(rest)).withColumn("at", ranks(F.desc("score"), "vec_id")).where(F.col("at") <= most)
     top = top.withColumn("mine", F.min(F.when(F.col("own"), F.col("at"))).over(Window.partitionBy("n"))).where("mine IS NULL OR at <> mine")
     top = top.withColumn("rank", F.col("at") - F.coalesce((F.col("at") > F.col("mine")).cast("int"), F.lit(0)))
     out, _ = materialize(top.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
-    discard(spark, seen_path, left_path, highest_path, first_path, more_path)
+    discard(spark, seen_path, left_path, first_path)
     shared.destroy()
     return out
 
