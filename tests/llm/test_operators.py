@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import weakref
 import zlib
 
 import duckdb
@@ -73,6 +74,37 @@ def test_small_blocks_of_items_find_the_same(spark):
         assert ({k for s in r.hit for k in range(s.start, s.end)}, set(r["items"])) == (hit, ids) and r.n_words == len(split(r.row.text))
 
 
+class Block(list):
+    """A list that can be watched, and is sent as a plain one."""
+
+    __hash__, __eq__ = object.__hash__, object.__eq__
+
+    def __reduce__(self):
+        return list, ([*self],)
+
+
+def test_the_driver_holds_one_block_and_reads_items_twice(spark, monkeypatch):
+    plain, alive, most, readings = decontamination.blocks, weakref.WeakSet(), [0], []
+
+    def watched(*a):
+        readings.append(1)
+        for block in plain(*a):
+            most[0] = max(most[0], len(alive) + 1)
+            own = Block(block)
+            alive.add(own)
+            del block
+            yield own
+            del own
+
+    monkeypatch.setattr(decontamination, "blocks", watched)
+    items = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(14))) for k in range(30)], ITEMS)
+    docs = spark.createDataFrame([(k, f"before i{k}w1 " + " ".join(f"i{k}w{j}" for j in range(2, 14)), None, None, 0) for k in range(0, 60, 3)], DOCS)
+    found = decontamination.with_hits(docs, ["doc_id"], "text", items, "item_id", "text", 10, block_words=40).select("row.doc_id", "items").collect()
+    assert sorted((r.doc_id, r["items"]) for r in found) == [(k, [str(k)] if k < 30 else []) for k in range(0, 60, 3)]
+    # The generator still has its own when the next is asked for.
+    assert len(readings) == 2 and most[0] <= 2
+
+
 def test_removal(spark):
     leak = "one two three four five six seven eight nine ten eleven twelve"
     rest = " ".join(f"w{k}" for k in range(100))

@@ -6,10 +6,11 @@ tracked. A match of `window` words or more ends an occurrence of an item's windo
 not empty, counts when all of it occurs.
 
 Scale: documents are never shuffled. Items come to the driver a block at a time, at most `BLOCK_WORDS` words each, and
-every block's automaton goes over the documents in its own pass that adds to what the passes before found. With more
-than one block a bit table of all windows' numbers (2^23 to 2^27 bits) goes first, in one pass: only documents that hold
-a window in the table, a superset of those that hold an item's window, are written out and searched by the automata. A
-longer item is cut into pieces that overlap by a window.
+every block's automaton goes over the documents in its own pass that adds to what the passes before found. Where
+the items' bytes don't rule out a second block, a bit table of all windows' numbers (2^23 to 2^27 bits, filled block by
+block) goes first, in one pass: only documents that hold a window in the table, a superset of those that hold an item's
+window, are written out and searched by the automata. A longer item is cut into pieces that overlap by a window. Items
+are read twice at most.
 
 Nulls: a null text has no words; items without words or with a null id are left out. Repeated documents give repeated
 rows; repeated item ids count once. No items: nothing is hit. Columns besides the id and text pass through `remove`
@@ -22,7 +23,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +32,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from tracklark.llm.batches import per_row
 from tracklark.llm.jaccard import fitting_bits, in_table
 from tracklark.llm.shingles import U, mix
-from tracklark.session import materialize, table
+from tracklark.session import discard, materialize, table
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -179,18 +179,22 @@ def with_hits(docs: DataFrame, keep: list[str], text_col: str, items: DataFrame,
     """Each row as (row: its columns named in `keep`, hit, items, n_words)."""
     spark = docs.sparkSession
     found = lambda: blocks(items, item_id, item_text, window, block_words)
-    several = len([*islice(found(), 2)]) > 1
+    # Two bytes make a word at most; a piece repeats less than a window of the one before.
+    words = items.agg(F.sum(F.octet_length(F.col(item_text).cast("binary")) / 2 + 1)).first()[0] or 0
+    several = words > block_words
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in keep]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     kind = StructType([*rows.schema, *StructType.fromDDL(FOUND)])
     done = rows.withColumns({"hit": F.lit(None).cast("array<struct<start:int,end:int>>"), "items": F.lit(None).cast("array<string>"), "n_words": F.lit(None).cast("long")})
     clean = None
     if several:
-        marked, _ = materialize(suspects(rows, found(), window))
+        marked, _ = materialize(suspects(rows, found(), window, fitting_bits(2 * int(words))))
         clean = marked.where("NOT suspect").select("row", "hit", "items", "n_words")
         done = marked.where("suspect").drop("suspect")
-    k = 0
-    for k, block in enumerate(found(), 1):
-        shared = spark.sparkContext.broadcast(block)
+    k, sent, held = 0, [], []
+    for block in found():
+        k, shared = k + 1, spark.sparkContext.broadcast(block)
+        sent.append(shared)
+        del block  # the driver holds no more than the next one
 
         def start(key=uuid.uuid4().hex, shared=shared):
             auto = automaton(key, shared, window)
@@ -208,25 +212,26 @@ def with_hits(docs: DataFrame, keep: list[str], text_col: str, items: DataFrame,
 
         done = per_row(done, kind, start)
         if several and not k % PASSES:
-            done, _ = materialize(done)
+            done, path = materialize(done)
+            for one in sent:
+                one.destroy()
+            discard(spark, *held)
+            sent, held = [], [path]
     if not k:
         done = per_row(done, kind, lambda: lambda row, text, *_: (row, text, [], [], len(words_of(text))))
     done = done.drop("text")
     return done if clean is None else done.unionByName(clean)
 
 
-def suspects(rows: DataFrame, found: Iterator[list[tuple[str, list[bytes]]]], window: int) -> DataFrame:
+def suspects(rows: DataFrame, found: Iterator[list[tuple[str, list[bytes]]]], window: int, bits: int) -> DataFrame:
     """The rows (row, text) ready for the passes, and whether they hold a window that can be an item's."""
-    lengths, numbers = set(), []
+    lengths, table = set(), np.zeros(1 << (bits - 6), U)
     for block in found:
         for _, words in block:
             lengths.add(min(len(words), window))
-            numbers.append(window_numbers(word_numbers(words), min(len(words), window)))
-    every = np.concatenate(numbers)
-    bits = fitting_bits(len(every))
-    table = np.zeros(1 << (bits - 6), U)
-    place = every >> U(64 - bits)
-    np.bitwise_or.at(table, (place >> U(6)).astype(np.intp), U(1) << (place & U(63)))
+            place = window_numbers(word_numbers(words), min(len(words), window)) >> U(64 - bits)
+            np.bitwise_or.at(table, (place >> U(6)).astype(np.intp), U(1) << (place & U(63)))
+        del block, words
     shared = rows.sparkSession.sparkContext.broadcast((table, sorted(lengths)))
 
     def start():
