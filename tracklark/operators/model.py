@@ -101,7 +101,8 @@ def normalised(train: DataFrame, rows: DataFrame, columns: list[str]) -> DataFra
 
 def fitted(train: DataFrame, test: DataFrame, features: list[str], target: str, kind: str = "elastic_net", grid: list[dict] | None = None, fold: str | None = None, seed: int = 42) -> DataFrame:
     """Test rows with column `prediction`: median imputation, standard scaling and an elastic net or random forest whose
-    parameters a grouped cross-validation picks from `grid`. Rows without a target take no part."""
+    parameters a grouped cross-validation picks from `grid`. Rows without a target take no part; without rows to learn from
+    there are no predictions."""
     from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -120,6 +121,8 @@ def fitted(train: DataFrame, test: DataFrame, features: list[str], target: str,
     flow = Pipeline(stages=stages)
     maps = [{learner.getParam(k): v for k, v in one.items()} for one in grid]
     rows = train.where(known)
+    if rows.isEmpty():
+        return test.where("false").withColumn("prediction", F.lit(None).cast("double"))
     if len(maps) == 1:
         model = flow.fit(rows, maps[0])
     else:

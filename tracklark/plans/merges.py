@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklark.functions import expressions as E
-from tracklark.operators import model, quality, spatial, tables
+from tracklark.operators import model, quality, regression, spatial, tables
 from tracklark.operators.graph import labels
 from tracklark.plans.registry import query, rounded
 from tracklark.session import table
@@ -253,12 +253,69 @@ def _modelled(spark: SparkSession, sf_dir: str, kind: str, grid: list[dict]) ->
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", F.col("l_extendedprice").alias("price"))  # noqa: E741
     rows = model.hash_split(l, "l_orderkey").withColumn("fold", model.fold_of(F.col("l_orderkey"), 5))
     done = model.fitted(rows.where("NOT is_test"), rows.where("is_test"), ["l_quantity", "l_discount", "l_tax"], "price", kind, grid, "fold")
-    return rounded(model.metrics(done, "price", "prediction"))
+    return rounded(model.metrics(done, "price", "prediction").where("n > 0"))
 
 
-@query()
+_DEAL = """SELECT g.k, list_transform(load, lambda x, i: CASE WHEN i = list_position(load, list_min(load)) THEN x + n ELSE x END), CAST(list_position(load, list_min(load)) - 1 AS INTEGER)"""
+
+
+@query(
+    f"""WITH RECURSIVE g AS (SELECT user_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, user_id DESC) AS k FROM events GROUP BY user_id),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST(NULL AS INTEGER) AS fold UNION ALL {_DEAL} FROM r JOIN g ON g.k = r.k + 1)
+SELECT user_id, n, fold FROM r JOIN g USING (k)"""
+)
+def balanced_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regression.balanced_folds(table(spark, sf_dir, "events"), "user_id")
+
+
+_SOFT = lambda pull: f"sign({pull}) * greatest(abs({pull}) - alpha * ratio, 0) / (1 + alpha * (1 - ratio))"
+_NET = f"""WITH RECURSIVE l AS (SELECT l_suppkey AS s, CAST(l_quantity AS DOUBLE) AS a, CAST(l_discount AS DOUBLE) AS b, CASE WHEN l_linenumber < 6 THEN CAST(l_tax AS DOUBLE) END AS c, CAST(l_extendedprice AS DOUBLE) AS y FROM lineitem),
+g AS (SELECT s, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, s DESC) AS k FROM l WHERE s % 5 <> 0 GROUP BY s),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([0, 0, 0, 0, 0] AS BIGINT[]) AS load, CAST(NULL AS INTEGER) AS fold UNION ALL {_DEAL} FROM r JOIN g ON g.k = r.k + 1),
+tr AS MATERIALIZED (SELECT l.*, fold FROM l JOIN g USING (s) JOIN r USING (k)),
+z AS (SELECT CAST(z AS INTEGER) AS z FROM unnest(range(-1, 5)) AS t(z)),
+md AS MATERIALIZED (SELECT z, median(a) AS da, median(b) AS db, median(c) AS dc FROM z JOIN tr ON fold <> z GROUP BY z),
+im AS MATERIALIZED (SELECT md.*, fold, coalesce(a, da) AS a, coalesce(b, db) AS b, coalesce(c, dc) AS c, y FROM tr, md),
+st AS MATERIALIZED (SELECT z, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc, avg(y) AS my FROM im WHERE fold <> z GROUP BY z),
+nm AS MATERIALIZED (SELECT z, fold, (a - ma) / sa AS x1, (b - mb) / sb AS x2, (c - mc) / sc AS x3, y - my AS v FROM im JOIN st USING (z)),
+gm AS MATERIALIZED (SELECT z, avg(x1 * x2) AS g12, avg(x1 * x3) AS g13, avg(x2 * x3) AS g23, avg(x1 * v) AS q1, avg(x2 * v) AS q2, avg(x3 * v) AS q3 FROM nm WHERE fold <> z GROUP BY z),
+cd AS (SELECT gm.*, pow(10.0, -4 + 5 * i / 19) AS alpha, ratio, 0 AS k, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2, CAST(0 AS DOUBLE) AS w3 FROM gm, unnest(range(0, 20)) AS t(i), unnest([CAST(0.1 AS DOUBLE), 0.5, 0.9]) AS u(ratio)
+  UNION ALL SELECT * EXCLUDE (w3), {_SOFT("(q3 - g13 * w1 - g23 * w2)")} FROM (SELECT * EXCLUDE (w2, w3), {_SOFT("(q2 - g12 * w1 - g23 * w3)")} AS w2, w3 FROM (
+    SELECT z, g12, g13, g23, q1, q2, q3, alpha, ratio, k + 1 AS k, {_SOFT("(q1 - g12 * w2 - g13 * w3)")} AS w1, w2, w3 FROM cd WHERE k < 60))),
+fi AS MATERIALIZED (SELECT * FROM cd WHERE k = 60),
+sr AS (SELECT z, alpha, ratio, 1 - sum(pow(v - w1 * x1 - w2 * x2 - w3 * x3, 2)) / (var_pop(v) * count(*)) AS r2 FROM fi JOIN nm USING (z) WHERE fold = z GROUP BY ALL),
+av AS MATERIALIZED (SELECT alpha, ratio, avg(r2) AS r2 FROM sr GROUP BY ALL),
+be AS (SELECT fi.* FROM fi JOIN (SELECT alpha, ratio FROM av ORDER BY round(r2, 9) DESC, alpha, ratio LIMIT 1) USING (alpha, ratio) WHERE z = -1),
+te AS (SELECT alpha, ratio, y AS truth, my + w1 * (coalesce(a, da) - ma) / sa + w2 * (coalesce(b, db) - mb) / sb + w3 * (coalesce(c, dc) - mc) / sc AS guess FROM l, be, md, st WHERE s % 5 = 0 AND md.z = -1 AND st.z = -1)"""
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices with three features, one with missing values, in groups by supplier."""
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", number("l_quantity"), number("l_discount"), F.when(F.col("l_linenumber") < 6, F.col("l_tax").cast("double")).alias("l_tax"), F.col("l_extendedprice").cast("double").alias("price"))
+
+
+def _net(spark: SparkSession, sf_dir: str) -> regression.ElasticNet | None:
+    train = regression.with_folds(_suppliers(spark, sf_dir).where("l_suppkey % 5 <> 0"), "l_suppkey")
+    return regression.cross_validated(train, ["l_quantity", "l_discount", "l_tax"], "price")
+
+
+@query(f"{_NET} SELECT round(alpha, 6) AS alpha, ratio, round(r2, 6) AS r2 FROM av")
+def elastic_net_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    net = _net(spark, sf_dir)
+    return spark.createDataFrame([(round(a, 6), r, round(s, 6)) for a, r, s in net.scores] if net else [], "alpha double, ratio double, r2 double")
+
+
+@query(
+    f"""{_NET} SELECT round(any_value(alpha), 4) AS alpha, any_value(ratio) AS ratio, count(*) AS n, round(1 - sum(pow(truth - guess, 2)) / (var_pop(truth) * count(*)), 4) AS r2, round(sqrt(avg(pow(truth - guess, 2))), 4) AS rmse,
+  round(avg(abs(truth - guess)), 4) AS mae, round(sqrt(avg(pow(truth - guess, 2))) / (max(truth) - min(truth)), 4) AS nrmse, round(avg(abs(truth - guess)) / (max(truth) - min(truth)), 4) AS nmae, round(corr(truth, guess), 4) AS corr FROM te"""
+)
 def elastic_net_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _modelled(spark, sf_dir, "elastic_net", [{"regParam": r, "elasticNetParam": 0.5} for r in (0.01, 1.0)])
+    net = _net(spark, sf_dir)
+    tested = _suppliers(spark, sf_dir).where("l_suppkey % 5 = 0")
+    # Without a net there is nothing to score.
+    found = model.metrics(net.predicted(tested), "price", "prediction") if net else model.metrics(tested.where("false"), "price", "price").where("n > 0")
+    return rounded(found.select(F.lit(net.alpha if net else None).cast("double").alias("alpha"), F.lit(net.ratio if net else None).cast("double").alias("ratio"), "*"))
 
 
 @query()
