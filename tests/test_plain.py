@@ -67,6 +67,81 @@ def test_optimal_matches_query_takes_the_least_total(spark):
         assert {(r.ref, r.cand) for r in got if r.channel == c} == {(i, j) for i, j in enumerate(best) if cost[i, j] <= 3.0}
 
 
+def test_sparse_assignment_equals_the_dense_one():
+    from tracklark.functions.assignment import assign, assign_sparse
+
+    draw = np.random.default_rng(18)
+    for _ in range(400):
+        n, m = draw.integers(1, 9, 2)
+        known = draw.random((n, m)) < draw.choice([0.2, 0.5, 1.0])
+        cost = np.where(known, draw.integers(0, 6, (n, m)) if draw.random() < 0.5 else draw.uniform(0, 10, (n, m)), 1e6)
+        want = [(i, j) for i, j in assign(cost) if known[i, j]]
+        rows, columns = np.nonzero(known)
+        own = cost[rows, columns].tolist()
+        found = assign_sparse(rows.tolist(), columns.tolist(), own)
+        pairs = [(rows[k], columns[k]) for k in found]
+        assert len({r for r, _ in pairs}) == len({c for _, c in pairs}) == len(pairs) == len(want)
+        assert abs(sum(own[k] for k in found) - sum(cost[i, j] for i, j in want)) < 1e-9
+
+
+def test_a_long_chain_is_solved_on_lists():
+    from tracklark.functions.assignment import assign_sparse
+
+    # A ladder of 20,000 rows; a dense matrix would hold 4 * 10^8 costs.
+    n = 20_000
+    rows = [k for k in range(n) for _ in range(2)]
+    columns = [c for k in range(n) for c in (k, min(k + 1, n - 1))]
+    found = assign_sparse(rows, columns, [1.0 + (k % 7) * 0.01 for k in range(2 * n)])
+    assert len(found) == n
+
+
+SCORED = "channel string, ref int, cand int, shared int, mean_distance double"
+
+
+def test_greedy_rounds_equal_the_sorted_fold(spark):
+    from tracklark.operators.matching import greedy_matches
+
+    draw = np.random.default_rng(10)
+    rows = [(c, int(r), int(k), 5, float(draw.integers(0, 12))) for c in ("a", "b", "c", None) for r in range(25) for k in range(30) if draw.random() < 0.4]
+    # A chain in which one pair decides the next.
+    rows += [("chain", (k + 1) // 2, k // 2, 1, float(k)) for k in range(12)]
+    rows += [("a", 90, None, 1, 0.0), ("a", 91, 91, 1, None), ("d", 1, 1, 2, 3.0), ("d", 1, 1, 9, 2.0)]
+    got = greedy_matches(spark.createDataFrame(rows, SCORED).repartition(5))
+    assert got.columns == ["channel", "ref", "cand", "shared", "mean_distance"]
+    want, used = set(), set()
+    for row in sorted((r for r in rows if None not in r), key=lambda r: (r[0], r[4], r[1], r[2])):
+        if (row[0], "r", row[1]) not in used and (row[0], "c", row[2]) not in used:
+            used |= {(row[0], "r", row[1]), (row[0], "c", row[2])}
+            want.add(row)
+    assert {tuple(r) for r in got.collect()} == want
+    assert greedy_matches(spark.createDataFrame([], SCORED)).count() == 0
+
+
+def test_one_channel_of_many_scores(spark):
+    from tracklark.operators.matching import greedy_matches, optimal_matches
+
+    draw = np.random.default_rng(11)
+    pairs = {(int(r), int(r + draw.integers(-8, 9))) for r in draw.integers(0, 20_000, 150_000)}
+    rows = [("one", r, c, 5, float(draw.uniform(0, 100))) for r, c in sorted(pairs)]
+    assert len(rows) >= 100_000
+    frame = spark.createDataFrame(rows, SCORED)
+    refs, cands, want = set(), set(), set()
+    for _, r, c, _, _ in sorted(rows, key=lambda x: (x[4], x[1], x[2])):
+        if r not in refs and c not in cands:
+            refs.add(r)
+            cands.add(c)
+            want.add((r, c))
+    assert {(r.ref, r.cand) for r in greedy_matches(frame).select("ref", "cand").collect()} == want
+    # Islands of 20 refs, as components of the optimal matching.
+    some = frame.where("abs(ref % 40 - 10) < 10 AND abs(cand % 40 - 10) < 10 AND floor(ref / 40) = floor(cand / 40)")
+    found = optimal_matches(some, 1e9)
+    assert found.columns == frame.columns
+    got = found.collect()
+    assert len({r.ref for r in got}) == len({r.cand for r in got}) == len(got) > 4000
+    with pytest.raises(Exception, match="more than 3"):
+        optimal_matches(some, 1e9, most_scores=3).collect()
+
+
 def plain_components(mask):
     """Four-neighbour components by flooding, in raster order."""
     seen, out = set(), []

@@ -35,7 +35,7 @@ def test_query_runs(spark, sf_dir, name):
     assert got.columns and got.collect() is not None
 
 
-@pytest.mark.parametrize("name", ["radius_neighbours", "rect_overlap_pairs", "fixed_spot", "shared_frame_distance", "mask_overlaps", "distance_to_edge"])
+@pytest.mark.parametrize("name", ["radius_neighbours", "rect_overlap_pairs", "fixed_spot", "shared_frame_distance", "mask_overlaps", "distance_to_edge", "follow_reference"])
 def test_range_joins_are_equi_joins(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
@@ -52,3 +52,8 @@ def test_features_of_one_track_need_one_shuffle(spark, sf_dir):
     points = spark.createDataFrame([(1, 1, 0.0, 0.0)], "track_id long, frame int, x double, y double")
     plan = features.basic(points)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_greedy_matching_runs_no_python(spark, sf_dir):
+    plan = QUERIES["match_decisions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan and "Python" not in plan and "Arrow" not in plan

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 
 
@@ -36,3 +38,58 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
             row_of[column] = row_of[before] if before >= 0 else row
             column = before
     return sorted((int(r), c) for c, r in enumerate(row_of) if r >= 0)
+
+
+def assign_sparse(rows: list[int], columns: list[int], cost: list[float]) -> list[int]:
+    """Of the pairs (row, column, cost), numbered from 0, places of a one-to-one choice with as many pairs as possible
+    and of those the least total cost. Memory is in proportion to the pairs.
+
+    Rows are placed one after another by the shortest augmenting path over lists of pairs. Each row also has a place of
+    its own that costs more than all pairs together: a row that ends there stays alone.
+    """
+    if not rows:
+        return []
+    n, m = max(rows) + 1, max(columns) + 1
+    at: list[list[int]] = [[] for _ in range(n)]
+    for k, r in enumerate(rows):
+        at[r].append(k)
+    least = min(cost)
+    cost = [c - least for c in cost]  # the number of pairs is settled first, so a constant changes nothing
+    alone = sum(cost) + 1.0
+    # Columns from m on are the rows' own places. pair: of each column the pair taken, -1 if free, -2 if a row's own.
+    pair, row_of, column_of = [-1] * (m + n), [-1] * (m + n), [-1] * n
+    row_price, column_price = [0.0] * n, [0.0] * (m + n)
+    for row in range(n):
+        far, via, done = {}, {}, {}
+        heap: list[tuple[float, int]] = []
+        r, base, last = row, 0.0, -1
+        while True:
+            for k in (*at[r], -2):
+                c, price = (m + r, alone) if k == -2 else (columns[k], cost[k])
+                if c in done:
+                    continue
+                through = base + price - row_price[r] - column_price[c]
+                if through < far.get(c, float("inf")):
+                    far[c], via[c] = through, (r, k)
+                    heappush(heap, (through, c))
+            while True:
+                base, last = heappop(heap)
+                if last not in done and base == far[last]:
+                    break
+            done[last] = base
+            if row_of[last] < 0:
+                break
+            r = row_of[last]
+        row_price[row] += base
+        for c, d in done.items():
+            if c != last:
+                row_price[row_of[c]] += base - d
+            column_price[c] -= base - d
+        while True:
+            r, k = via[last]
+            before = column_of[r]
+            row_of[last], pair[last], column_of[r] = r, k, last
+            if r == row:
+                break
+            last = before
+    return [k for k in pair if k >= 0]

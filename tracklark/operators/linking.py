@@ -183,13 +183,19 @@ def fixed_spot(components: DataFrame, spots: DataFrame, reach: float = 30.0) ->
 
 def near_reference(spots: DataFrame, reference: DataFrame, reach: float, by: tuple[str, ...] = ("track_id",)) -> DataFrame:
     """by, frame, x, y: for each track the spots (frame, x, y) within `reach` of its reference, in every frame with
-    spots. All tracks share the spots; a grid join on frame and place attaches them."""
-    mean = reference.groupBy(*by).agg(F.avg("rx").alias("mx"), F.avg("ry").alias("my"))
-    places = spots.select("frame").distinct().crossJoin(mean).join(reference, [*by, "frame"], "left")
-    places = places.select(*by, "frame", F.coalesce("rx", "mx").alias("x"), F.coalesce("ry", "my").alias("y"))
-    # The places are many more than the spots, so the spots are the side that is spread over cells.
-    pairs = within_radius(places, spots.select("frame", F.col("x").alias("rx"), F.col("y").alias("ry")), reach, ("frame",))
-    return pairs.select(*by, "frame", F.col("rx").alias("x"), F.col("ry").alias("y"))
+    spots. All tracks share the spots.
+
+    The reference is its own place in the frames that have one, else the mean place. Own places meet the spots on frame
+    and grid cell, mean places on the cell alone, and frames with a place of their own are taken off the latter: a frame
+    and a track meet only where a spot is near. Of repeated places of a frame each counts.
+    """
+    found = spots.where("frame IS NOT NULL").select("frame", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    known = reference.where("frame IS NOT NULL AND rx IS NOT NULL AND ry IS NOT NULL")
+    own = within_radius(known.select(*by, "frame", F.col("rx").alias("x"), F.col("ry").alias("y")), found, reach, ("frame",))
+    mean = reference.groupBy(*by).agg(F.avg("rx").alias("x"), F.avg("ry").alias("y"))
+    else_mean = within_radius(mean, found, reach).join(known.select(*by, "frame"), [*by, "frame"], "left_anti")
+    pairs = [p.select(*by, "frame", F.col("rx").alias("x"), F.col("ry").alias("y")) for p in (own, else_mean)]
+    return pairs[0].unionByName(pairs[1])
 
 
 def follow_reference(components: DataFrame, reference: DataFrame, step: float, reach: float, by: tuple[str, ...] = ("track_id",)) -> DataFrame:

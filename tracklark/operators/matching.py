@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tracklark.functions.assignment import assign
+from tracklark.functions.assignment import assign_sparse
 from tracklark.functions.expressions import number_in
+from tracklark.operators.graph import labels
 from tracklark.operators.regions import with_inside
 from tracklark.operators.steps import steps
+from tracklark.session import discard, materialize, small_enough
 
 # Shared frames needed, the largest mean distance, and the latest first frame of the red channel.
-MIN_SHARED, MAX_MEAN_NM, RED, RED_LATEST_START, MAX_SEED_UM, NO_PAIR = 5, 2000.0, "R", 3, 3.0, 1e9
+MIN_SHARED, MAX_MEAN_NM, RED, RED_LATEST_START, MAX_SEED_UM = 5, 2000.0, "R", 3, 3.0
+#: Scores of a component that one task solves, some 200 bytes each.
+MOST_SCORES = 5_000_000
+#: So many rows of a profile at most are broadcast.
+FEW_CHANNELS = 100_000
 
 
 def shared_frame_scores(refs: DataFrame, cands: DataFrame, least: int = MIN_SHARED) -> DataFrame:
@@ -29,20 +35,39 @@ def shared_frame_scores(refs: DataFrame, cands: DataFrame, least: int = MIN_SHAR
 
 
 def greedy_matches(scores: DataFrame) -> DataFrame:
-    """One-to-one pairs of each channel, nearest first (ties by ref, then cand). The fold is sequential, so the scores
-    of one channel, not the tracks, go to one grouped call."""
+    """One-to-one pairs of each channel, nearest first (ties by ref, then cand), as a fold over the sorted pairs has them.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        refs, cands, keep = set(), set(), []
-        for row in pdf.sort_values(["mean_distance", "ref", "cand"]).itertuples():
-            ok = row.ref not in refs and row.cand not in cands
-            if ok:
-                refs.add(row.ref)
-                cands.add(row.cand)
-                keep.append(row.Index)
-        return pdf.loc[keep]
-
-    return scores.groupBy("channel").applyInPandas(fold, scores.schema)
+    In each round the pairs that are first for both their sides are taken, and all other pairs of those sides go: no pair
+    before them can touch either side, so the fold takes them too. Rounds are aggregates and joins by side, so a channel
+    is spread over all tasks; usually a constant share of the pairs is decided in each. Rounds are written to the shared
+    folder. Repeated pairs of one distance count once; nulls in any column are left out.
+    """
+    spark, names = scores.sparkSession, scores.columns
+    first = F.min(F.struct("mean_distance", "ref", "cand")).alias("first")
+    sides = (["channel", "ref"], ["channel", "cand"])
+    left, held = materialize(scores.dropna(subset=["channel", "ref", "cand", "mean_distance"]))
+    taken, done = None, []
+    while True:
+        firsts = [left.groupBy(*by).agg(first).select("channel", "first.ref", "first.cand") for by in sides]
+        won, path = materialize(firsts[0].intersect(firsts[1]))
+        done.append(path)
+        if won.isEmpty():
+            break
+        taken = won if taken is None else taken.unionByName(won)
+        rest = left
+        for by in sides:
+            rest = rest.join(won.select(*by), by, "left_anti")
+        left, path = materialize(rest)
+        discard(spark, held)
+        held = path
+    discard(spark, held)
+    if taken is None:
+        return scores.limit(0)
+    # A pair that is repeated keeps its least distance.
+    kept = scores.join(taken, ["channel", "ref", "cand"]).groupBy("channel", "ref", "cand").agg(F.min_by(F.struct(*names), "mean_distance").alias("row"))
+    out, _ = materialize(kept.select("row.*").select(*names))
+    discard(spark, *done)
+    return out
 
 
 def match_decisions(refs: DataFrame, cands: DataFrame, max_mean: float = MAX_MEAN_NM, red: str = RED, latest: int = RED_LATEST_START, written: DataFrame | None = None, least: int = MIN_SHARED) -> DataFrame:
@@ -64,17 +89,30 @@ def match_decisions(refs: DataFrame, cands: DataFrame, max_mean: float = MAX_MEA
     return rows.select("channel", "ref", "cand", F.coalesce("shared", F.lit(0)).alias("shared"), "mean_distance", "status")
 
 
-def optimal_matches(scores: DataFrame, most: float = MAX_SEED_UM) -> DataFrame:
-    """One-to-one pairs of each channel with the least total distance; pairs beyond `most` are rejected afterwards."""
+def optimal_matches(scores: DataFrame, most: float = MAX_SEED_UM, most_scores: int = MOST_SCORES) -> DataFrame:
+    """One-to-one pairs of each channel: as many as possible, and of those the least total distance; pairs beyond `most`
+    are rejected afterwards. Nulls in any column are left out, and of repeated pairs the nearest counts.
+
+    What one part of the score graph takes does not touch the others, so each connected component is solved for itself,
+    on lists of its scores. A task holds a component; one of more than `most_scores` scores is refused.
+    """
+    pairs = scores.dropna(subset=["channel", "ref", "cand", "mean_distance"]).withColumns({"a": F.xxhash64(F.lit("ref"), "channel", "ref"), "b": F.xxhash64(F.lit("cand"), "channel", "cand")})
+    pairs, _ = materialize(pairs)
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    part = labels(nodes, pairs.select("a", "b")).select(F.col("node").alias("a"), "label")
+    kind, names = StructType([*scores.schema]), scores.columns
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        refs, cands = sorted(pdf.ref.unique()), sorted(pdf.cand.unique())
-        cost = np.full((len(refs), len(cands)), NO_PAIR)
-        cost[[refs.index(r) for r in pdf.ref], [cands.index(c) for c in pdf.cand]] = pdf.mean_distance
-        found = {(refs[i], cands[j]) for i, j in assign(cost)}
-        return pdf[[(r, c) in found and d <= most for r, c, d in zip(pdf.ref, pdf.cand, pdf.mean_distance, strict=True)]]
+        if len(pdf) > most_scores:
+            raise ValueError(f"a component has {len(pdf)} scores, more than {most_scores}")
+        pdf = pdf.sort_values(["channel", "ref", "cand", "mean_distance"]).drop_duplicates(["channel", "ref", "cand"])
+        # Two channels share a component only if hashes of their sides are equal, so sides are named by both.
+        refs, cands = (pdf.groupby(["channel", side], sort=True).ngroup().to_numpy() for side in ("ref", "cand"))
+        found = assign_sparse(refs.tolist(), cands.tolist(), pdf.mean_distance.tolist())
+        chosen = pdf.iloc[found]
+        return chosen[chosen.mean_distance <= most][names]
 
-    return scores.groupBy("channel").applyInPandas(solve, scores.schema)
+    return pairs.join(part, "a").select("label", *names).groupBy("label").applyInPandas(solve, kind)
 
 
 def candidate_audit(moved: DataFrame, inside: str | None = None, by: tuple[str, ...] = ("channel", "cand")) -> DataFrame:
@@ -104,7 +142,7 @@ def profile_audit(points: DataFrame, roi: DataFrame, profile: DataFrame, pixel_n
     pixel = lambda c: F.col(c) / pixel_nm - 1.0
     placed = with_inside(points.withColumns({"x": pixel("x_nm"), "y": pixel("y_nm")}), roi, roi_by)
     files = points.groupBy(*by).agg(F.min("file").alias("file"))
-    found = candidate_audit(steps(placed, by), "inside", by).join(files, list(by)).join(F.broadcast(profile), "channel", "left")
+    found = candidate_audit(steps(placed, by), "inside", by).join(files, list(by)).join(F.broadcast(profile) if small_enough(profile, FEW_CHANNELS) else profile, "channel", "left")
     return found.withColumn("number", F.coalesce(number_in(F.col("file"), r"traj(\d+)"), F.lit(0).cast("long")))
 
 
