@@ -1,5 +1,7 @@
 """Features, linking and matching against plain versions and known cases."""
 
+import time
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -7,6 +9,7 @@ import pandas as pd
 import pytest
 
 from tracklark.functions.assignment import assign
+from tracklark.functions.delaunay import delaunay_edges
 from tracklark.operators import features, linking, matching, steps
 from tracklark.plans.catalogue import QUERIES
 from tracklark.plans.registry import hourly
@@ -181,6 +184,58 @@ def test_delaunay_edges(spark):
     assert got[1].points == 4 and np.isclose(got[1].edge_min, 3.0) and got[2].edge_mean is None
 
 
+def plain_edges(points):
+    """Edges through whose ends some empty circle goes, by bounds of its centre along their bisector, in fractions."""
+    points = [(Fraction(x), Fraction(y)) for x, y in points.tolist()]
+    out = set()
+    for (i, (ax, ay)), (j, (bx, by)) in combinations(enumerate(points), 2):
+        low, high, free = None, None, True
+        for k, (x, y) in enumerate(points):
+            if k not in (i, j):
+                px, py = x - (ax + bx) / 2, y - (ay + by) / 2
+                side, beyond = px * (ay - by) + py * (bx - ax), px * px + py * py - ((bx - ax) ** 2 + (by - ay) ** 2) / 4
+                if side > 0:
+                    high = beyond / side if high is None else min(high, beyond / side)
+                elif side < 0:
+                    low = beyond / side if low is None else max(low, beyond / side)
+                else:
+                    free &= beyond > 0
+        if free and (low is None or high is None or low <= high):
+            out.add((i, j))
+    return out
+
+
+def test_triangulations_equal_the_empty_circles():
+    draw = np.random.default_rng(12)
+    for n in range(250):
+        size = int(draw.integers(2, 25))
+        kinds = [draw.integers(0, 5, (size, 2)), draw.normal(size=(size, 2)), np.stack([draw.integers(0, 9, size), np.zeros(size)], axis=1), draw.integers(0, 4, (size, 2)) * 1e-9 + 7e8, draw.integers(0, 3, (size, 2)) * 0.1]
+        points = np.unique(kinds[n % 5].astype(float), axis=0)
+        draw.shuffle(points)
+        assert {tuple(e) for e in delaunay_edges(points).tolist()} == plain_edges(points)
+
+
+def test_many_points_of_one_frame(spark):
+    draw = np.random.default_rng(13)
+    points = draw.uniform(0, 1000, (20_000, 2))
+    began = time.time()
+    edges = delaunay_edges(points)
+    assert time.time() - began < 10 * max(1, 0.2 + spin()) and 2 * len(points) < len(edges) < 3 * len(points)
+    frame = spark.createDataFrame([(1, 1, float(x), float(y)) for x, y in points[:500]] + [(1, 2, 0.0, 0.0), (1, 2, 0.0, 0.0), (1, 2, None, 1.0), (1, 3, None, None)], "movie long, frame long, x double, y double")
+    got = {r.frame: r for r in linking.crowding(frame, reach=30.0).collect()}
+    e = delaunay_edges(points[:500])
+    mean = np.unique(np.round(np.hypot(*(points[e[:, 0]] - points[e[:, 1]]).T), 9)).mean()
+    assert got[1].edge_mean == pytest.approx(mean) and got[1].density_index == pytest.approx(60 / mean) and got[1].warning == "reach beyond half the mean distance"
+    assert (got[2].points, got[2].density_index, got[2].warning) == (1, None, "fewer than three points") and set(got) == {1, 2}
+
+
+def spin():
+    """How much slower than usual this machine is."""
+    began = time.thread_time()
+    sum(range(5_000_000))
+    return (time.thread_time() - began) / 0.1
+
+
 def plain_follow(spots, reference, step, reach):
     out = []
     for t in {r[0] for r in reference}:

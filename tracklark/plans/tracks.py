@@ -293,9 +293,21 @@ def fixed_spot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(linking.fixed_spot(hourly(spark, sf_dir).select("frame", "x", "y"), spots))
 
 
-@query()
+_CROWDING = f"""WITH {HOURLY}, d AS (SELECT DISTINCT track_id % 8 AS movie, channel, frame, x, y FROM h),
+n AS (SELECT movie, channel, frame, count(*) AS points FROM d GROUP BY ALL),
+ab AS (SELECT a.movie, a.channel, a.frame, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM d a JOIN d b USING (movie, channel, frame) WHERE (a.x, a.y) < (b.x, b.y)),
+c AS (SELECT ab.*, (d.x - (ax + bx) / 2) * (ay - by_) + (d.y - (ay + by_) / 2) * (bx - ax) AS side, pow(d.x - (ax + bx) / 2, 2) + pow(d.y - (ay + by_) / 2, 2) - (pow(bx - ax, 2) + pow(by_ - ay, 2)) / 4 AS beyond
+  FROM ab JOIN d USING (movie, channel, frame) WHERE (d.x, d.y) <> (ax, ay) AND (d.x, d.y) <> (bx, by_)),
+e AS (SELECT movie, channel, frame, round(sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)), 9) AS len FROM c GROUP BY movie, channel, frame, ax, ay, bx, by_
+  HAVING NOT coalesce(bool_or(abs(side) < 1e-12 AND beyond < 0), false) AND coalesce(max(beyond / (2 * side)) FILTER (side < -1e-12), '-inf') <= coalesce(min(beyond / (2 * side)) FILTER (side > 1e-12), 'inf')),
+s AS (SELECT movie, channel, frame, avg(len) AS m, min(len) AS lo, coalesce(stddev_samp(len), 0) AS sd FROM (SELECT DISTINCT * FROM e) GROUP BY ALL)
+SELECT n.*, round(m, 4) AS edge_mean, round(lo, 4) AS edge_min, round(sd, 4) AS edge_std, round(25 / (m / 2), 4) AS density_index,
+  CASE WHEN points < 3 THEN 'fewer than three points' WHEN 25 > m / 2 THEN 'reach beyond half the mean distance' END AS warning FROM n LEFT JOIN s USING (movie, channel, frame)"""
+
+
+@query(_CROWDING)
 def crowding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(linking.crowding(_detections(spark, sf_dir), ("movie", "channel", "frame")))
+    return rounded(linking.crowding(_detections(spark, sf_dir), ("movie", "channel", "frame"), 25.0))
 
 
 @query(
