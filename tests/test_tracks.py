@@ -91,6 +91,43 @@ def test_spectra_and_wavelets_equal_numpy(tracks):
                 assert np.allclose([bank[t].energy_approx, bank[t].energy_detail], plain_wavelet(v))
 
 
+def test_one_row_of_features_equals_its_parts(spark, tracks):
+    odd = spark.createDataFrame([(60, 1, 1.0, 2.0), (61, 1, 0.0, 0.0), (61, 5, 3.0, 4.0), (62, 2, None, 1.0)] + [(63, f, float(f % 3), float(f % 3)) for f in range(1, 20)], POINTS)
+    whole = tracks.union(odd).repartition(5)
+    got = rows(features.all_features(whole, 0.5))
+    moved = steps.with_angles(steps.steps(whole))
+    parts = [features.basic(whole), features.turning(whole), features.hulls(whole), features.vector_autocorrelation(whole), features.decays(whole)]
+    named = lambda df, prefix: df.select("track_id", *[df[c].alias(f"{prefix}{c}") for c in df.columns if c != "track_id"])
+    parts += [named(features.autocorrelation(moved, "step", (1,)), "speed_acf_"), named(features.autocorrelation(moved, "angle", (1, 2)), "angle_acf_")]
+    parts += [named(f, f"{v}_") for v in ("step", "angle") for f in (features.welch(moved, v, 2.0), features.wavelet(moved, v))]
+    assert set(got) == {r.track_id for r in whole.select("track_id").distinct().collect()}
+    for part in parts:
+        found = rows(part)
+        for t, own in got.items():
+            for c in part.columns[1:]:
+                want = found[t][c] if t in found else None
+                if c.endswith(("centroid", "peak_frequency")) and own[c.split("_")[0] + "_total_power"] is not None and own[c.split("_")[0] + "_total_power"] < 1e-9:
+                    continue  # the shape of rounding noise
+                assert (own[c] is None) == (want is None) and (want is None or own[c] == pytest.approx(want, rel=1e-6, abs=1e-9)), (t, c)
+
+
+def test_hulls_are_cut_before_the_shuffle(spark):
+    draw = np.random.default_rng(14)
+    points = draw.normal(size=(30_000, 2))
+    ring = [(float(np.cos(a)) * 9, float(np.sin(a)) * 9) for a in np.linspace(0, 2 * np.pi, 700, endpoint=False)]
+    frame = spark.createDataFrame([(7, k, float(x), float(y)) for k, (x, y) in enumerate([*points.tolist(), *ring])] + [(8, 1, None, 1.0)], POINTS).repartition(4)
+    assert features.partial_hulls(frame.where("frame < 30000")).count() < 400
+    got = rows(features.hulls(frame))
+    assert got[7].hull_area == pytest.approx(features.hull_area(np.array(ring))) and got[8].hull_area is None
+
+
+def test_the_feature_row_shuffles_points_once(spark):
+    frame = spark.createDataFrame([(1, 1, 0.0, 0.0)], POINTS)
+    plan = features.all_features(frame)._jdf.queryExecution().executedPlan().toString()
+    # One of the points and one of the hulls' corners.
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_hulls_and_fits(tracks):
     got = rows(features.hulls(tracks))
     assert got[50].hull_area is None and got[51].hull_area is None

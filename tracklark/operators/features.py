@@ -7,6 +7,7 @@ from math import pi, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,11 +126,11 @@ def wavelet(series: DataFrame, value: str, by: tuple[str, ...] = TRACK) -> DataF
     return sums.withColumn("energy_total", F.col("energy_approx") + F.col("energy_detail"))
 
 
-def hull_area(xy: np.ndarray) -> float | None:
-    """Area of the convex hull; none below 3 points or if all lie on a line."""
-    points = sorted(set(map(tuple, xy.tolist())))
+def hull_ring(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The corners of the convex hull, anticlockwise; of fewer than three points those points, sorted."""
+    points = sorted(set(points))
     if len(points) < 3:
-        return None
+        return points
 
     def half(some) -> list[tuple[float, float]]:
         out: list[tuple[float, float]] = []
@@ -139,21 +140,82 @@ def hull_area(xy: np.ndarray) -> float | None:
             out.append(p)
         return out[:-1]
 
-    ring = half(points) + half(reversed(points))
+    return half(points) + half(reversed(points))
+
+
+def hull_area(xy: np.ndarray) -> float | None:
+    """Area of the convex hull; none below 3 points or if all lie on a line."""
+    ring = hull_ring([*map(tuple, xy.tolist())])
+    if len(ring) < 3:
+        return None
     area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) / 2
     return area if area > 0 else None
 
 
-def hulls(points: DataFrame, by: tuple[str, ...] = TRACK) -> DataFrame:
-    """The convex hull area of each track. A hull is no sum over rows, so whole tracks go to numpy."""
+#: A track's points are cut down to their hull whenever a task holds so many, and a task passes on all hulls whenever it
+#: holds so many points.
+CUT_AT, HELD_POINTS = 256, 500_000
+
+
+def partial_hulls(points: DataFrame, by: tuple[str, ...] = TRACK) -> DataFrame:
+    """Of each track and task the corners of its points' hull, before any shuffle. A hull of hulls is the hull of all."""
+    rows = points.select(F.struct(*by).alias("key"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=["x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: dict[tuple, int] = {}
+        held: list[list[tuple[float, float]]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            rings = [*map(hull_ring, held)]
+            xs, ys = ([p[k] for ring in rings for p in ring] for k in (0, 1))
+            at = pa.array(np.repeat(np.arange(len(rings)), [len(r) for r in rings]))
+            return pa.RecordBatch.from_arrays([pa.array([dict(zip(by, k, strict=True)) for k in names], kind).take(at), pa.array(xs, pa.float64()), pa.array(ys, pa.float64())], names=["key", "x", "y"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for key, *p in zip(zip(*(c.to_pylist() for c in batch.column(0).flatten()), strict=True), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n = names.setdefault(key, len(held))
+                if n == len(held):
+                    held.append([])
+                own = held[n]
+                own.append(tuple(p))
+                size += 1
+                # Never a ring that is mostly corners again and again.
+                if len(own) >= CUT_AT and not len(own) & (len(own) - 1):
+                    size -= len(own)
+                    held[n] = own = hull_ring(own)
+                    size += len(own)
+            if size > HELD_POINTS:
+                yield out()
+                names, held, size = {}, [], 0
+        if held:
+            yield out()
+
+    return rows.mapInArrow(run, rows.schema).select("key.*", "x", "y")
+
+
+def corner_lists(points: DataFrame, by: tuple[str, ...] = TRACK) -> DataFrame:
+    """xy: of each track with a place, the corners of the hulls that tasks sent."""
+    return partial_hulls(points, by).groupBy(*by).agg(F.collect_list(F.struct("x", "y")).alias("xy"))
+
+
+def area_of(xy: str) -> Column:
+    """The area of the hull of a list of places; null without one."""
 
     @F.pandas_udf("double")
     def area(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([hull_area(np.stack([x, y], axis=1)) if len(x) else None for x, y in zip(xs, ys, strict=True)], dtype=float).astype(object).where(lambda s: s.notna(), None)
+        return pd.Series([hull_area(np.stack([x, y], axis=1)) if x is not None and len(x) else None for x, y in zip(xs, ys, strict=True)], dtype=float)
 
-    lists = points.groupBy(*by).agg(F.collect_list(F.struct("x", "y")).alias("xy"))
-    found = lists.select(*by, area("xy.x", "xy.y").alias("hull_area"))
-    return found.withColumn("hull_area", F.when(~F.isnan("hull_area"), F.col("hull_area")))
+    found = area(f"{xy}.x", f"{xy}.y")
+    return F.when(~F.isnan(found), found)
+
+
+def hulls(points: DataFrame, by: tuple[str, ...] = TRACK) -> DataFrame:
+    """The convex hull area of each track: tasks send the hulls of what they have, and the hull of those goes to numpy.
+    Points without a place are left out; a track without any has none."""
+    every = points.select(*by).distinct()
+    return every.join(corner_lists(points, by), list(by), "left").select(*by, area_of("xy").alias("hull_area"))
 
 
 def size_normalised(features: DataFrame, area: str = "area") -> DataFrame:
@@ -202,39 +264,123 @@ def acf(v: np.ndarray) -> np.ndarray:
     return np.array([v[:-k] @ v[k:] / own for k in range(1, len(v) // 2 + 1)]) if own else np.zeros(0)
 
 
+def fits_of(dx: np.ndarray, dy: np.ndarray, step: np.ndarray, angle: np.ndarray) -> tuple[float | None, ...]:
+    """Decay lengths of the autocorrelations of step and angle, and the persistence length."""
+    fitted = [decay_fit(np.arange(1, len(a) + 1.0), a, 2.0) if len(a) >= 3 else None for a in map(acf, (step, angle))]
+    unit = np.stack([dx, dy], axis=1)[step > 0] / step[step > 0, None]
+    turn = np.array([(unit[:-k] * unit[k:]).sum(axis=1).mean() for k in range(1, len(unit) // 2 + 1)]) if len(unit) >= 3 else np.zeros(0)
+    mean = step.mean() if len(step) else 0.0
+    return (*fitted, decay_fit(np.arange(1, len(turn) + 1) * mean, turn, mean) if len(turn) >= 3 and mean else None)
+
+
+def spectrum_of(v: np.ndarray, rate: float = 1.0, segment: int = 8) -> tuple[float | None, ...]:
+    """What `welch` returns, of one series."""
+    if len(v) < 4:
+        return None, None, None
+    m = min(len(v), segment)
+    parts = np.lib.stride_tricks.sliding_window_view(v, m)[:: m - m // 2]
+    hann = 0.5 - 0.5 * np.cos(2 * pi * np.arange(m) / m)
+    p = np.abs(np.fft.rfft((parts - parts.mean(axis=1, keepdims=True)) * hann, axis=1)) ** 2 / (rate * (hann @ hann))
+    p[:, 1 : m // 2 + m % 2] *= 2
+    p, f = p.mean(axis=0), np.arange(m // 2 + 1) * rate / m
+    total = float(p.sum())
+    return float((p[1:] + p[:-1]).sum() / 2 * rate / m), float(f[np.round(p, 6).argmax()]), float(f @ p) / total if total else None
+
+
+def bank_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One level of the filter bank, with half-point symmetric borders."""
+    wide = np.pad(v, 3, mode="symmetric")
+    low, high = (np.convolve(wide, taps)[4 : len(v) + 6 : 2] for taps in (LOW, HIGH))
+    return low, high
+
+
+def energies_of(v: np.ndarray) -> tuple[float | None, ...]:
+    """What `wavelet` returns, of one series."""
+    if len(v) < 6:
+        return None, None, None
+    low, high = bank_of(v)
+    detail = float(high @ high)
+    if len(v) >= 12:
+        low, high = bank_of(low)
+        detail += float(high @ high)
+    return float(low @ low), detail, float(low @ low) + detail
+
+
+FITS = ("speed_tau", "angle_tau", "persistence")
+SPECTRA = tuple(f"{v}_{c}" for v in ("step", "angle") for c in ("total_power", "peak_frequency", "spectral_centroid", "energy_approx", "energy_detail", "energy_total"))
+
+
+def of_series(kind: tuple[str, ...], row) -> Column:
+    """A function of lists of (frame, dx, dy, step, angle) in rising order: row(dx, dy, step, angle) gives `kind`."""
+
+    @F.pandas_udf(", ".join(f"{c} double" for c in kind))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            get = lambda rows, k: np.array([r[k] for r in rows if r[k] is not None], float)
+            yield pd.DataFrame([row(*(get(rows, k) for k in ("dx", "dy", "step", "angle"))) for rows in batch], columns=list(kind), dtype=float)
+
+    return run
+
+
 def decays(points: DataFrame, by: tuple[str, ...] = TRACK) -> DataFrame:
     """Decay lengths of the autocorrelations of speed and angle, and the persistence length (fits, so grouped numpy)."""
     moved = with_angles(steps(points, by), by).where("dx IS NOT NULL").select(*by, "frame", "dx", "dy", "step", "angle")
     lists = moved.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("frame", "dx", "dy", "step", "angle"))).alias("s"))
-
-    @F.pandas_udf("speed_tau double, angle_tau double, persistence double")
-    def fits(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for rows in batch:
-                get = lambda k: np.array([r[k] for r in rows if r[k] is not None], float)  # noqa: B023, E731
-                step, angle = get("step"), get("angle")
-                fitted = [decay_fit(np.arange(1, len(a) + 1.0), a, 2.0) if len(a) >= 3 else None for a in map(acf, (step, angle))]
-                unit = np.stack([get("dx"), get("dy")], axis=1)[step > 0] / step[step > 0, None]
-                turn = np.array([(unit[:-k] * unit[k:]).sum(axis=1).mean() for k in range(1, len(unit) // 2 + 1)]) if len(unit) >= 3 else np.zeros(0)
-                mean = step.mean() if len(step) else 0.0
-                out.append((*fitted, decay_fit(np.arange(1, len(turn) + 1) * mean, turn, mean) if len(turn) >= 3 and mean else None))
-            yield pd.DataFrame(out, columns=["speed_tau", "angle_tau", "persistence"], dtype=float)
-
-    return lists.select(*by, fits("s").alias("f")).select(*by, *[F.when(~F.isnan(f"f.{c}"), F.col(f"f.{c}")).alias(c) for c in ("speed_tau", "angle_tau", "persistence")])
+    return lists.select(*by, of_series(FITS, fits_of)("s").alias("f")).select(*by, *[F.when(~F.isnan(f"f.{c}"), F.col(f"f.{c}")).alias(c) for c in FITS])
 
 
 def all_features(points: DataFrame, frame_interval: float = 1.0, by: tuple[str, ...] = TRACK) -> DataFrame:
-    """Every feature of each track in one row."""
+    """Every feature of each track in one row.
+
+    One shuffle by track feeds all of it: windows over the ordered rows make steps, angles and products of neighbours,
+    and one aggregate sums them and lists the steps, of which Python makes spectra, wavelets and fits, many tracks in a
+    batch. Hulls are shuffled as corners. A task holds the steps of one track in its aggregate.
+    """
+    rate, keys = 1 / frame_interval, ", ".join(f"`{c}`" for c in by)
+    ordered = f"OVER (PARTITION BY {keys} ORDER BY frame)"
+    every = Window.partitionBy(*by)
     moved = with_angles(steps(points, by), by)
-    name = lambda df, prefix: df.select(*by, *[F.col(c).alias(f"{prefix}{c}") for c in df.columns if c not in by])
-    out = basic(points, by)
-    parts = [turning(points, by), hulls(points, by), vector_autocorrelation(points, by), decays(points, by), name(autocorrelation(moved, "step", (1,), by), "speed_acf_"), name(autocorrelation(moved, "angle", (1, 2), by), "angle_acf_")]
-    for value in ("step", "angle"):
-        parts += [name(welch(moved, value, 1 / frame_interval, by), f"{value}_"), name(wavelet(moved, value, by), f"{value}_")]
-    for part in parts:
-        out = out.join(part, list(by), "left")
-    return out
+    moved = moved.withColumns({"ux": F.when(F.col("step") > 0, F.col("dx") / F.col("step")), "uy": F.when(F.col("step") > 0, F.col("dy") / F.col("step"))})
+    moved = moved.withColumns({"cs": F.col("step") - F.avg("step").over(every), "ca": F.col("angle") - F.avg("angle").over(every)})
+    next_one = lambda c, k: F.col(c) * F.expr(f"lead({c}, {k}) IGNORE NULLS {ordered}")
+    moved = moved.withColumns({"dot": next_one("ux", 1) + next_one("uy", 1), "cs1": next_one("cs", 1), "ca1": next_one("ca", 1), "ca2": next_one("ca", 2)})
+    ends = F.struct("x", "y")
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    sums = {
+        "n_frames": F.count(F.lit(1)), "x_variance": F.var_samp("x"), "y_variance": F.var_samp("y"), "radius_of_gyration": F.sqrt(F.var_pop("x") + F.var_pop("y")), "mean_step": F.avg("step"), "max_step": F.max("step"),
+        "step_variance": F.var_samp("step"), "path_length": F.coalesce(F.sum("step"), F.lit(0.0)), "head": F.min_by(ends, "frame"), "tail": F.max_by(ends, "frame"),
+        "angle_mean": F.avg("angle"), "angle_variance": F.var_samp("angle"), "angle_median": F.median("angle"),
+        "units": F.count("ux"), "dots": F.avg("dot"), "steps": F.count("cs"), "angles": F.count("ca"), "step_own": square("cs"), "angle_own": square("ca"), "step_1": F.sum("cs1"), "angle_1": F.sum("ca1"), "angle_2": F.sum("ca2"),
+        "s": F.array_sort(F.collect_list(F.when(F.col("dx").isNotNull(), F.struct("frame", "dx", "dy", "step", "angle")))),
+    }
+    found = moved.groupBy(*by).agg(*[c.alias(n) for n, c in sums.items()])
+    dx, dy = F.col("tail.x") - F.col("head.x"), F.col("tail.y") - F.col("head.y")
+    found = found.withColumn("net_displacement", F.when(F.col("n_frames") > 1, F.sqrt(dx * dx + dy * dy)))
+    share = lambda n, own, part, lag: F.when((F.col(n) >= 3) & (F.floor(F.col(n) / 2) >= lag) & (F.col(own) > 0), F.try_divide(F.col(part), F.col(own)))
+
+    def row(dx, dy, step, angle):
+        return (*fits_of(dx, dy, step, angle), *(x for v in (step, angle) for x in (*spectrum_of(v, rate), *energies_of(v))))
+
+    names = (*FITS, *SPECTRA)
+    # Joined first: both sides are dealt by track here, which Python's results are not known to be.
+    found = found.join(corner_lists(points, by), list(by), "left").withColumns({"f": of_series(names, row)("s"), "hull_area": area_of("xy")})
+    of = {c: F.when(~F.isnan(f"f.{c}"), F.col(f"f.{c}")) for c in names}
+    basic_ones = ("n_frames", "x_variance", "y_variance", "radius_of_gyration", "mean_step", "max_step", "step_variance", "path_length", "net_displacement")
+    return found.select(
+        *by,
+        *basic_ones,
+        F.when(F.col("path_length") > 0, F.col("net_displacement") / F.col("path_length")).alias("straightness"),
+        "angle_mean",
+        "angle_variance",
+        "angle_median",
+        F.when(F.col("units") >= 3, F.col("dots")).alias("vector_acf_lag1"),
+        *[of[c].alias(c) for c in FITS],
+        share("steps", "step_own", "step_1", 1).alias("speed_acf_lag1"),
+        share("angles", "angle_own", "angle_1", 1).alias("angle_acf_lag1"),
+        share("angles", "angle_own", "angle_2", 2).alias("angle_acf_lag2"),
+        *[of[c].alias(c) for c in SPECTRA],
+        "hull_area",
+    )
 
 
 def rounded(column: str | Column, places: int = 4) -> Column:

@@ -12,19 +12,23 @@ from tracklark.operators import features, linking, matching, steps
 from tracklark.plans.registry import ANGLES, HOURLY, POINTS, STEPS, hourly, points, query, rounded
 
 
-@query(
-    f"""WITH {STEPS} SELECT track_id, count(*) AS n_frames, round(var_samp(x), 4) AS x_variance, round(var_samp(y), 4) AS y_variance,
+_BASIC = f"""WITH {STEPS} SELECT track_id, count(*) AS n_frames, round(var_samp(x), 4) AS x_variance, round(var_samp(y), 4) AS y_variance,
   round(sqrt(var_pop(x) + var_pop(y)), 4) AS radius_of_gyration, round(avg(step), 4) AS mean_step, round(max(step), 4) AS max_step,
   round(var_samp(step), 4) AS step_variance, round(coalesce(sum(step), 0), 4) AS path_length,
   round(CASE WHEN count(*) > 1 THEN sqrt(pow(arg_max(x, frame) - arg_min(x, frame), 2) + pow(arg_max(y, frame) - arg_min(y, frame), 2)) END, 4) AS net_displacement,
   round(CASE WHEN count(*) > 1 THEN sqrt(pow(arg_max(x, frame) - arg_min(x, frame), 2) + pow(arg_max(y, frame) - arg_min(y, frame), 2)) END / nullif(sum(step), 0), 4) AS straightness
 FROM s GROUP BY track_id"""
-)
+
+
+@query(_BASIC)
 def track_basic_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.basic(points(spark, sf_dir)))
 
 
-@query(f"WITH {ANGLES} SELECT track_id, round(avg(angle), 4) AS angle_mean, round(var_samp(angle), 4) AS angle_variance, round(median(angle), 4) AS angle_median FROM a GROUP BY track_id")
+_TURNING = (f"WITH {ANGLES} SELECT track_id, round(avg(angle), 4) AS angle_mean, round(var_samp(angle), 4) AS angle_variance, round(median(angle), 4) AS angle_median FROM a GROUP BY track_id")
+
+
+@query(_TURNING)
 def turning_angle_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.turning(points(spark, sf_dir)))
 
@@ -67,7 +71,10 @@ def _acf(value: str, lags: tuple[int, ...]) -> str:
   WINDOW w AS (PARTITION BY track_id ORDER BY frame)) AS o GROUP BY track_id"""
 
 
-@query(f"WITH {ANGLES}, one AS ({_acf('step', (1,))}), two AS ({_acf('angle', (1, 2))}) SELECT track_id, step_acf_lag1, angle_acf_lag1, angle_acf_lag2 FROM one FULL JOIN two USING (track_id)")
+_ACF = (f"WITH {ANGLES}, one AS ({_acf('step', (1,))}), two AS ({_acf('angle', (1, 2))}) SELECT track_id, step_acf_lag1, angle_acf_lag1, angle_acf_lag2 FROM one FULL JOIN two USING (track_id)")
+
+
+@query(_ACF)
 def autocorr_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = steps.with_angles(steps.steps(points(spark, sf_dir)))
     speed = features.autocorrelation(moved, "step", (1,)).select("track_id", F.col("lag1").alias("step_acf_lag1"))
@@ -75,16 +82,21 @@ def autocorr_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(speed.join(angle, "track_id", "full"))
 
 
-@query(
-    f"""WITH {STEPS}, u AS (SELECT track_id, frame, dx / step AS ux, dy / step AS uy FROM s WHERE step > 0),
+_VECTOR = f"""WITH {STEPS}, u AS (SELECT track_id, frame, dx / step AS ux, dy / step AS uy FROM s WHERE step > 0),
 v AS (SELECT track_id, ux * lag(ux) OVER w + uy * lag(uy) OVER w AS dot FROM u WINDOW w AS (PARTITION BY track_id ORDER BY frame))
 SELECT track_id, round(CASE WHEN count(*) >= 3 THEN avg(dot) END, 4) AS vector_acf_lag1 FROM v GROUP BY track_id"""
-)
+
+
+@query(_VECTOR)
 def vector_autocorr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.vector_autocorrelation(points(spark, sf_dir)))
 
 
-_WELCH = f"""WITH {STEPS}, k AS (SELECT track_id, step AS v, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS k, count(*) OVER (PARTITION BY track_id) AS n FROM s WHERE step IS NOT NULL),
+def _series(value: str) -> str:
+    return f"k AS (SELECT track_id, {value} AS v, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS k, count(*) OVER (PARTITION BY track_id) AS n FROM a WHERE {value} IS NOT NULL)"
+
+
+_WELCH = f"""WITH {ANGLES}, {_series("step")},
 z AS (SELECT *, least(n, 8) AS m, least(n, 8) - least(n, 8) // 2 AS hop FROM k WHERE n >= 4),
 g AS (SELECT z.*, seg, k - seg * hop AS j FROM z, unnest(range(0, (n - m) // hop + 1)) AS t(seg) WHERE k >= seg * hop AND k < seg * hop + m),
 w AS (SELECT *, 0.5 - 0.5 * cos({2 * pi!r} * j / m) AS hann, v - avg(v) OVER (PARTITION BY track_id, seg) AS c FROM g),
@@ -106,7 +118,7 @@ def _bank(source: str, name: str) -> str:
     FROM (SELECT DISTINCT track_id, n FROM {source}), unnest(range(0, (n + 3) // 2)) AS a(o), unnest(range(0, 4)) AS b(t)) AS r JOIN {source} AS i ON i.track_id = r.track_id AND i.k = r.src) GROUP BY track_id, n, o)"""
 
 
-_WAVELET = f"""WITH {STEPS}, k AS (SELECT track_id, step AS v, row_number() OVER (PARTITION BY track_id ORDER BY frame) - 1 AS k, count(*) OVER (PARTITION BY track_id) AS n FROM s WHERE step IS NOT NULL),
+_WAVELET = f"""WITH {ANGLES}, {_series("step")},
 z AS (SELECT * FROM k WHERE n >= 6), {_bank("z", "one")}, y AS (SELECT track_id, o AS k, low AS v, (n + 3) // 2 AS n FROM one WHERE n >= 12), {_bank("y", "two")},
 e AS (SELECT track_id, CASE WHEN n < 12 THEN low * low END AS a, high * high AS d FROM one UNION ALL SELECT track_id, low * low, high * high FROM two)
 SELECT track_id, round(sum(a), 4) AS energy_approx, round(sum(d), 4) AS energy_detail, round(sum(a) + sum(d), 4) AS energy_total FROM e GROUP BY track_id"""
@@ -145,6 +157,21 @@ def decay_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.decays(points(spark, sf_dir)))
 
 
+def _named(sql: str, value: str, *columns: str) -> str:
+    return f"SELECT track_id, {', '.join(f'{c} AS {value}_{c}' for c in columns)} FROM ({sql.replace(_series('step'), _series(value))})"
+
+
+_PARTS = [
+    _BASIC, _TURNING, f"WITH {_HULL} SELECT track_id, round(hull_area, 4) AS hull_area FROM hull", _VECTOR, _ACF.replace("SELECT track_id, step_acf_lag1,", "SELECT track_id, step_acf_lag1 AS speed_acf_lag1,"),
+    *[_named(sql, v, *columns) for v in ("step", "angle") for sql, columns in ((_WELCH, ("total_power", "peak_frequency", "spectral_centroid")), (_WAVELET, ("energy_approx", "energy_detail", "energy_total")))],
+]
+
+
+@query(f"SELECT * FROM ({_PARTS[0]}) " + " ".join(f"LEFT JOIN ({p}) USING (track_id)" for p in _PARTS[1:]))
+def track_feature_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.all_features(points(spark, sf_dir)).drop(*features.FITS))
+
+
 @query()
 def all_track_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.all_features(points(spark, sf_dir)))
