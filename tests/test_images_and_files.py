@@ -49,6 +49,40 @@ def test_static_roi_query_takes_all_tracks_and_frames(spark, tmp_path):
     assert {(r.img, r.y, r.x) for r in got} == want and len(got) == len(want)
 
 
+def test_a_static_roi_in_two_pieces_is_refused(spark):
+    anchor = spark.createDataFrame([(1, 1, 5.0, 5.0), (1, 2, 5.0, 30.0), (2, 1, 5.0, 5.0)], "img long, frame int, y double, x double")
+    support = spark.createDataFrame([(y, x) for y in range(12) for x in range(40) if x not in range(14, 18)], "y int, x int")
+    with pytest.raises(Exception, match="several components: 1"):
+        pixels.static_roi(anchor, support).collect()
+    free = pixels.static_roi(anchor, support, connected=False)
+    assert {r.img for r in free.collect()} == {1, 2} and pixels.static_roi(anchor.where("img = 2"), support).count() == free.where("img = 2").count()
+
+
+def test_image_queries_without_images_or_with_gaps(spark, tmp_path, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(20)
+    whole = [(r.vec_id, r.embedding, r.label) for r in e.collect()]
+    odd = [(9000, None, 1), (9001, [None] + [1.0] * 63, 1), (9002, [1.0] * 7, 1), (9003, [], None)]
+    names = ["detect_spots", "detect_nuclei", "bright_spots", "register_drift", "stack_spots"]
+    for name, rows in (("none", []), ("odd", whole + odd), ("whole", whole)):
+        spark.createDataFrame(rows, e.schema).write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+    for q in names:
+        assert QUERIES[q](spark, f"{tmp_path}/none").count() == 0
+        assert sorted(map(str, QUERIES[q](spark, f"{tmp_path}/odd").collect())) == sorted(map(str, QUERIES[q](spark, f"{tmp_path}/whole").collect()))
+
+
+def test_batch_reports(spark):
+    from pyspark.sql import functions as F
+
+    from tracklark.operators import tables
+
+    rows = [("a", 2, "complete", 5.0, 10.0, "2024-01-02", True), ("a", 1, "failed", 7.0, 0.0, "2024-01-03", None), ("a", 3, "running", 9.0, -1.0, "", False), ("a", 0, "failed", 1.0, 4.0, None, True), ("b", 9, "queued", None, None, None, None)]
+    got = {r.fov: r for r in tables.full_roll_up(spark.createDataFrame(rows, "fov string, unit int, state string, value double, duration double, finished string, bad boolean"), ("fov",), "unit", "state", "value", "duration", "finished", F.col("bad")).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.cells, a.complete, a.failed, a.running, a.flagged, a.value_sum, a.median_duration, a.total_duration, a.last_finished) == (4, 1, 2, 1, 2, 5.0, 7.0, 14.0, "2024-01-03")
+    assert (a.failed_units, a.running_units, a.counts) == ([0, 1], [3], {"complete": 1, "failed": 2, "running": 1})
+    assert (b.cells, b.complete, b.value_sum, b.median_duration, b.total_duration, b.last_finished, b.failed_units, b.counts) == (1, 0, 0.0, 0.0, 0.0, "", [], {"queued": 1})
+
+
 def test_merged_and_deduplicated_masks(spark):
     square = lambda obj, y0, x0, n: [(1, obj, y, x) for y in range(y0, y0 + n) for x in range(x0, x0 + n)]
     masks = spark.createDataFrame(square(1, 0, 0, 4) + square(2, 0, 5, 4) + square(3, 30, 30, 3), "fov long, obj long, y int, x int")

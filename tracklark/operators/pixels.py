@@ -168,12 +168,15 @@ def line(y0: int, x0: int, y1: int, x1: int) -> list[tuple[int, int]]:
     return [(round(y0 + (y1 - y0) * k / n), round(x0 + (x1 - x0) * k / n)) for k in range(n + 1)]
 
 
-def static_roi(points: DataFrame, support: DataFrame, rounds: int = 5, by: tuple[str, ...] = OBJECT) -> DataFrame:
+def static_roi(points: DataFrame, support: DataFrame, rounds: int = 5, by: tuple[str, ...] = OBJECT, connected: bool = True) -> DataFrame:
     """Pixels within `rounds` city blocks of the path through a track's points (y, x, by frame) that lie in the support.
+    A ROI that the support cuts into several components is an error once it is read, unless `connected` is false.
 
     A support without the columns `by` is one plane that all tracks share. Tracks are dealt out once, by `by`: few bytes
     in, but many pixels each.
     """
+    from tracklark.operators.regions import require_connected
+
     if rounds < 5:
         raise ValueError("a static ROI needs a dilation of 5 or more")
     w = Window.partitionBy(*by).orderBy("frame")
@@ -184,7 +187,8 @@ def static_roi(points: DataFrame, support: DataFrame, rounds: int = 5, by: tuple
     at = lambda a, b: F.bround(F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / F.col("n")).cast("int")
     path = cut.select(*by, at("y0", "y").alias("y"), at("x0", "x").alias("x")).distinct()
     on = [*(c for c in by if c in support.columns), "y", "x"]
-    return dilated(path, rounds, by).join(support.select(*on), on, "left_semi")
+    roi = dilated(path, rounds, by).join(support.select(*on), on, "left_semi")
+    return require_connected(roi, by) if connected else roi
 
 
 def projected(planes: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:

@@ -59,6 +59,28 @@ def roll_up(rows: DataFrame, by: tuple[str, ...], complete: Column, value: str,
     )
 
 
+def full_roll_up(rows: DataFrame, by: tuple[str, ...], unit: str, status: str, value: str, duration: str, finished: str, flagged: Column) -> DataFrame:
+    """What a batch report says of each group: `roll_up` for the status `complete`, and the counts and sorted lists of
+    failed and running units, how many units are flagged (bad quality), the sum of positive durations to one decimal, the
+    latest text of `finished` that isn't empty ('' if none), and a map of all statuses.
+
+    The lists are as long as a group has such units; all else is summed before the shuffle.
+    """
+    is_ = lambda name: F.col(status) == name
+    listed = lambda name: F.array_sort(F.collect_list(F.when(is_(name), F.col(unit))))
+    more = rows.groupBy(*by).agg(
+        F.count_if(is_("failed")).alias("failed"),
+        F.count_if(is_("running")).alias("running"),
+        F.count_if(F.coalesce(flagged, F.lit(False))).alias("flagged"),
+        F.round(F.coalesce(F.sum(F.when(F.col(duration) > 0, F.col(duration))), F.lit(0.0)), 1).alias("total_duration"),
+        F.coalesce(F.max(F.nullif(F.col(finished), F.lit(""))), F.lit("")).alias("last_finished"),
+        listed("failed").alias("failed_units"),
+        listed("running").alias("running_units"),
+    )
+    out = roll_up(rows, by, is_("complete"), value, duration).join(more, list(by))
+    return out.join(status_counts(rows, by, status), list(by))
+
+
 def mean_and_spread(rows: DataFrame, by: tuple[str, ...], metrics: tuple[str, ...], sample: bool = True) -> DataFrame:
     """Mean and deviation (of a sample or of the population) of each metric."""
     spread = F.stddev_samp if sample else F.stddev_pop

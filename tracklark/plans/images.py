@@ -22,7 +22,8 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Planes of 24 x 24 pixels: the image enlarged three times, values above zero."""
+    """Planes of 24 x 24 pixels: the image enlarged three times, values above zero. Images without all their pixels are
+    left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -30,7 +31,8 @@ def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
             big = np.maximum(small, 0).repeat(3, axis=1).repeat(3, axis=2) * 1000
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.astype("<f8").tobytes() for p in big], pa.binary())], names=["stack_id", "px"])
 
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(run, "stack_id long, px binary")
+    whole = (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull())
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(whole).mapInArrow(run, "stack_id long, px binary")
     return rows.select("stack_id", (F.col("stack_id") % 10).cast("int").alias("t"), F.lit(24).alias("h"), F.lit(24).alias("w"), "px")
 
 
@@ -174,7 +176,14 @@ def mask_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.merged_masks(_objects(spark, sf_dir), 30).groupBy("fov", "obj").agg(F.count(F.lit(1)).alias("area"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT user_id AS img, event_id AS frame, CAST(round_even(value % 40, 0) AS INTEGER) AS y, CAST(event_id % 37 AS INTEGER) AS x FROM events),
+e AS (SELECT img, y, x, coalesce(lag(y) OVER w, y) AS y0, coalesce(lag(x) OVER w, x) AS x0 FROM t WINDOW w AS (PARTITION BY img ORDER BY frame)),
+n AS (SELECT *, greatest(abs(y - y0), abs(x - x0), 1) AS n FROM e),
+p AS (SELECT DISTINCT img, CAST(round_even(y0 + (y - y0) * k / n, 0) AS INTEGER) AS y, CAST(round_even(x0 + (x - x0) * k / n, 0) AS INTEGER) AS x FROM n, unnest(range(0, n + 1)) AS u(k)),
+d AS (SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM unnest(range(-5, 6)) AS u(a), unnest(range(-5, 6)) AS v(b) WHERE abs(a) + abs(b) <= 5)
+SELECT DISTINCT img, y + a AS y, x + b AS x FROM p, d WHERE y + a BETWEEN 0 AND 39 AND x + b BETWEEN 0 AND 39"""
+)
 def static_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
     track = table(spark, sf_dir, "events").select(F.col("user_id").alias("img"), F.col("event_id").alias("frame"), (F.col("value") % 40).alias("y"), (F.col("event_id") % 37).cast("double").alias("x"))
     return P.static_roi(track, P.scaffold(spark, 1, 40, 40).select("y", "x"))
@@ -221,4 +230,5 @@ def split_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def register_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = planes(spark, sf_dir)
     first = rows.orderBy("stack_id").first()
-    return rounded(P.drift(rows, np.frombuffer(first.px, "<f8").reshape(24, 24)))
+    # Without a plane there is nothing to move either.
+    return rounded(P.drift(rows, np.frombuffer(first.px, "<f8").reshape(24, 24) if first else np.zeros((24, 24))))

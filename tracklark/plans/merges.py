@@ -137,6 +137,25 @@ def fov_rollup_with_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rolled(tables.roll_up(both, ("fov",), F.col("o_orderstatus") == "F", "o_totalprice", "duration"))
 
 
+_STATES = "CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'P' THEN 'failed' ELSE 'running' END"
+
+
+@query(
+    f"""WITH c AS (SELECT o_orderpriority AS fov, o_orderkey AS unit, {_STATES} AS state, CAST(o_totalprice AS DOUBLE) AS price, CAST(o_orderkey % 7 AS DOUBLE) - 2 AS duration, CASE WHEN o_orderstatus = 'O' THEN '' ELSE CAST(o_orderdate AS VARCHAR) END AS finished, o_custkey % 10 = 0 AS bad FROM orders)
+SELECT fov, count(*) AS cells, count(*) FILTER (state = 'complete') AS complete, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'running') AS running, count(*) FILTER (bad) AS flagged,
+  round(coalesce(sum(price) FILTER (state = 'complete'), 0), 2) AS value_sum, coalesce(median(duration) FILTER (duration > 0), 0) AS median_duration, round(coalesce(sum(duration) FILTER (duration > 0), 0), 1) AS total_duration, coalesce(max(nullif(finished, '')), '') AS last_finished,
+  coalesce(string_agg(CAST(unit AS VARCHAR), ',' ORDER BY unit) FILTER (state = 'failed'), '') AS failed_units, md5(coalesce(string_agg(CAST(unit AS VARCHAR), ',' ORDER BY unit) FILTER (state = 'running'), '')) AS running_units FROM c GROUP BY fov"""
+)
+def fov_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    state = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "P", "failed").otherwise("running")
+    finished = F.when(F.col("o_orderstatus") == "O", "").otherwise(F.col("o_orderdate").cast("string"))
+    rows = o.select(F.col("o_orderpriority").alias("fov"), F.col("o_orderkey").alias("unit"), state.alias("state"), F.col("o_totalprice").cast("double").alias("price"), ((F.col("o_orderkey") % 7).cast("double") - 2).alias("duration"), finished.alias("finished"), (F.col("o_custkey") % 10 == 0).alias("bad"))
+    found = tables.full_roll_up(rows, ("fov",), "unit", "state", "price", "duration", "finished", F.col("bad"))
+    text = lambda c: F.array_join(F.transform(c, lambda k: k.cast("string")), ",")
+    return found.withColumns({"value_sum": F.round("value_sum", 2), "failed_units": text("failed_units"), "running_units": F.md5(text("running_units"))}).drop("counts")
+
+
 @query("SELECT o_orderpriority AS fov, string_agg(o_orderstatus || '=' || n, ',' ORDER BY o_orderstatus) AS counts FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY ALL")
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tables.status_counts(_cells(spark, sf_dir), ("fov",), "o_orderstatus")
