@@ -67,6 +67,8 @@ LEAST_BITS, MOST_BITS = 23, 27
 SHORT_LIST = 16
 #: Each round has so many times more leaders than the one before, up to a bound.
 MORE_LEADERS, MOST_LEADERS = 64, 4096
+#: Sets link if so many times their overlap is at least so many times the sum of their sizes (4 / 9: similarity 0.8).
+SHARE = 4, 9
 #: Pairs of one leader are dealt to tasks so many at a time.
 LEADER_PAIRS = 512
 
@@ -227,11 +229,12 @@ def sorted_lists(batches: Iterator[pa.RecordBatch], most: int = LIST_ROWS) -> It
         yield True, held
 
 
-def led_pairs(lists: DataFrame, leaders: int, most: int = LIST_ROWS) -> DataFrame:
+def led_pairs(lists: DataFrame, leaders: int, most: int = LIST_ROWS, share: tuple[int, int] = SHARE, ordered: bool = True, sketch: int = RANGES) -> DataFrame:
     """Pairs (kind 0, x < y) of the first `leaders` members of each list with all members behind them, of short lists
     all pairs; and the members (kind 1: token, class) that have not led yet, if a list stays open.
 
-    lists: token, cls, before, place, comp, and after the first round ranges, which pairs are tested with at once.
+    lists: token, cls, before, place, comp, and after the first round ranges (`sketch` of them), which pairs are tested
+    with at once. ordered: whether tokens in common stand only from this token's position on.
     """
     first_round = len(lists.columns) == 5
 
@@ -243,10 +246,11 @@ def led_pairs(lists: DataFrame, leaders: int, most: int = LIST_ROWS) -> DataFram
         x, y = x[ok], y[ok]
         n, m, pos_n, pos_m = place[x] >> 32, place[y] >> 32, place[x] & 0xFFFFFFFF, place[y] & 0xFFFFFFFF
         # This token, if it is the first in common, and all behind it.
-        ok = (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * np.minimum(n - pos_n, m - pos_m) >= 4 * (n + m))
+        rest = np.minimum(n - pos_n, m - pos_m) if ordered else np.minimum(n, m)
+        ok = share[1] * rest >= share[0] * (n + m)
         x, y = x[ok], y[ok]
         if ranges is not None:
-            ok = may_link(ranges, x, y)
+            ok = may_link(ranges, x, y, share)
             x, y = x[ok], y[ok]
         return np.stack([cls[x], cls[y]], axis=1)
 
@@ -258,7 +262,7 @@ def led_pairs(lists: DataFrame, leaders: int, most: int = LIST_ROWS) -> DataFram
         if not keep.any():
             return
         token, cls, before, place, comp, *more = (c[keep] for c in columns)
-        ranges = ranges_of(more[0]) if more else None
+        ranges = ranges_of(more[0], sketch) if more else None
         start = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         size = np.diff(np.append(start, len(token)))
         first, long = np.repeat(start, size), np.repeat(size > SHORT_LIST, size)
@@ -292,7 +296,7 @@ def led_pairs(lists: DataFrame, leaders: int, most: int = LIST_ROWS) -> DataFram
             lead = [np.concatenate([a, b[: max(k, 0)]]) for a, b in zip(lead, columns, strict=True)]
             both = [np.concatenate([a[:led], b]) for a, b in zip(lead, columns, strict=True)]
             token, cls, before, place, comp, *more = both
-            ranges = ranges_of(more[0]) if more else None
+            ranges = ranges_of(more[0], sketch) if more else None
             rank = np.arange(len(token))
             for r in range(len(lead[0])):
                 y = rank[max(r + 1, led) :]
@@ -326,26 +330,26 @@ def open_out(stay: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(stay.sum(), np.int8)), *(pa.array(c[stay]) for c in columns)], names=NAMES)
 
 
-def range_counts(tokens: np.ndarray) -> bytes:
-    """How many tokens lie in each of `RANGES` equal ranges of token numbers."""
-    counts = np.bincount((tokens >> U(64 - RANGES.bit_length() + 1)).astype(np.intp), minlength=RANGES)
+def range_counts(tokens: np.ndarray, ranges: int = RANGES) -> bytes:
+    """How many tokens lie in each of so many equal ranges of token numbers (a power of two)."""
+    counts = np.bincount((tokens >> U(64 - ranges.bit_length() + 1)).astype(np.intp), minlength=ranges)
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
-def ranges_of(column) -> np.ndarray:
+def ranges_of(column, ranges: int = RANGES) -> np.ndarray:
     """Counts by ranges; those of large sets take four bytes each."""
-    if all(len(b) == RANGES for b in column):
-        return np.frombuffer(b"".join(column), np.uint8).reshape(-1, RANGES)
-    return np.stack([np.frombuffer(b, np.uint8 if len(b) == RANGES else np.uint32) for b in column])
+    if all(len(b) == ranges for b in column):
+        return np.frombuffer(b"".join(column), np.uint8).reshape(-1, ranges)
+    return np.stack([np.frombuffer(b, np.uint8 if len(b) == ranges else np.uint32) for b in column])
 
 
-def may_link(ranges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def may_link(ranges: np.ndarray, x: np.ndarray, y: np.ndarray, share: tuple[int, int] = SHARE) -> np.ndarray:
     """Which pairs of rows can share enough tokens: in each range at most the smaller of both counts."""
     out = np.zeros(len(x), bool)
     size = ranges.sum(axis=1, dtype=np.int64)
     for k in range(0, len(x), 1 << 14):
         a, b = x[k : k + (1 << 14)], y[k : k + (1 << 14)]
-        out[k : k + (1 << 14)] = 9 * np.minimum(ranges[a], ranges[b]).sum(axis=1, dtype=np.int64) >= 4 * (size[a] + size[b])
+        out[k : k + (1 << 14)] = share[1] * np.minimum(ranges[a], ranges[b]).sum(axis=1, dtype=np.int64) >= share[0] * (size[a] + size[b])
     return out
 
 
@@ -470,13 +474,16 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
 class Method(NamedTuple):
     """How candidates are found, for `class_roots`: the rows of the first lists, the store of classes that are in pairs
     or open lists (cls, text, ranges and more), the pairs that pass what the store tells of them, and the exact test.
-    sketch: whether the lists need counts of tokens."""
+    sketch: whether the lists need counts of tokens. share, ordered and ranges: as `led_pairs` takes them."""
 
     postings: Callable
     stored: Callable
     candidates: Callable
     links: Callable
     sketch: bool = True
+    share: tuple[int, int] = SHARE
+    ordered: bool = True
+    ranges: int = RANGES
 
 
 PREFIXES = Method(postings, stored, candidates, links)
@@ -528,7 +535,7 @@ def class_roots(texts: DataFrame, rare: np.ndarray | None, bits: int = 64, torn:
             kept.append(path)
 
     while True:
-        led = held(led_pairs(lists, leaders))
+        led = held(led_pairs(lists, leaders, share=method.share, ordered=method.ordered, sketch=method.ranges))
         pairs = led.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         pairs = held(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         if store is None:

@@ -38,6 +38,11 @@ from tracklark.llm.shingles import STEP, U, mix, sets_of
 from tracklark.session import table
 
 BANDS, ROWS = 32, 4
+#: Ranges that token numbers are cut into for the test of counts: enough that texts of a few hundred words which miss the
+#: threshold by a little fail it.
+RANGES = 256
+#: 37 / 17 of the overlap reach the sum of both sizes at a similarity of 0.85.
+SHARE = 17, 37
 #: Tokens worked on at a time, so that all steps of the second permutation find them in the processor's cache.
 TOKENS = 1 << 14
 #: What makes the two permutations and the bands' numbers differ.
@@ -81,8 +86,9 @@ def bands_of(signatures: np.ndarray) -> np.ndarray:
 
 
 def postings(texts: DataFrame, model) -> DataFrame:
-    """token (a band's number), cls, before and place of each set, as `jaccard.led_pairs` takes them. before is the same
-    everywhere; place holds the set's size and position 0, since all of both sets may still be in common."""
+    """token (a band's number), cls, before (the number of the band before) and place (the set's size and the band's
+    place in one number) of each set, as `jaccard.led_pairs` takes them: a pair that shares the band before as well is
+    found in that band's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (_, bits, torn), seen = model.value, set()
@@ -99,8 +105,10 @@ def postings(texts: DataFrame, model) -> DataFrame:
             if held:
                 size = np.array([len(t) for t in held])
                 band = bands_of(least_values(np.concatenate(held), np.append(0, np.cumsum(size)[:-1])))
-                each = [np.repeat(np.array(x, np.int64), BANDS) for x in (names, size << 32)]
-                yield pa.RecordBatch.from_arrays([pa.array(band.view(np.int64).ravel()), pa.array(each[0]), pa.array(np.zeros(band.size, np.int64)), pa.array(each[1])], names=["token", "cls", "before", "place"])
+                band = band.view(np.int64)
+                place = (size << 32)[:, None] | np.arange(BANDS)
+                columns = band, np.repeat(np.array(names, np.int64), BANDS), np.roll(band, 1, axis=1), place
+                yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in columns], names=["token", "cls", "before", "place"])
 
     return mapped(texts, run, "token long, cls long, before long, place long")
 
@@ -119,7 +127,7 @@ def stored(texts: DataFrame, classes: DataFrame, model) -> DataFrame:
                 if len(seen) >= jaccard.REMEMBERED:
                     seen.clear()
                 seen.add(cls)
-                out.append((k, cls, jaccard.range_counts(s)))
+                out.append((k, cls, jaccard.range_counts(s, RANGES)))
             if out:
                 k, cls, ranges = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), batch.column(0).take(pa.array(k, pa.int64())), pa.array(ranges, pa.binary())], names=["cls", "text", "ranges"])
@@ -129,14 +137,14 @@ def stored(texts: DataFrame, classes: DataFrame, model) -> DataFrame:
 
 def enough(both: int, total: int) -> bool:
     """Whether two sets with `both` tokens in common and `total` tokens, counted apart, link."""
-    return 37 * both >= 17 * total
+    return SHARE[1] * both >= SHARE[0] * total
 
 
 def candidates(pairs: DataFrame, store: DataFrame, n: int) -> DataFrame:
     """The pairs whose counts by ranges leave enough room for a link."""
 
     def ready(row):
-        return jaccard.ranges_of([row[0]])[0].astype(np.int64)
+        return jaccard.ranges_of([row[0]], RANGES)[0].astype(np.int64)
 
     def test(own, row):
         others = ready(row)
@@ -152,7 +160,7 @@ def links(a: np.ndarray, b: np.ndarray) -> bool:
     return enough(int((a[at] == b).sum()), len(a) + len(b))
 
 
-CIRCULANT = jaccard.Method(postings, stored, candidates, links, sketch=False)
+CIRCULANT = jaccard.Method(postings, stored, candidates, links, sketch=False, share=SHARE, ordered=False, ranges=RANGES)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
