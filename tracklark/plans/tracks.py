@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklark.functions import expressions as E
-from tracklark.operators import features, linking, matching, steps
+from tracklark.operators import features, linking, matching, model, perceptron, steps
 from tracklark.plans.registry import ANGLES, HOURLY, POINTS, STEPS, hourly, points, query, rounded
 
 
@@ -172,6 +172,17 @@ def track_feature_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.all_features(points(spark, sf_dir)).drop(*features.FITS))
 
 
+@query()
+def perceptron_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of two features of held-out tracks, learned from three others."""
+    rows, targets = features.basic(points(spark, sf_dir)), ["path_length", "radius_of_gyration"]
+    net = perceptron.trained(rows.where("track_id % 5 <> 0"), ["n_frames", "mean_step", "x_variance"], targets, "track_id", epochs=60)
+    tested = rows.where("track_id % 5 = 0")
+    found = net.predicted(tested) if net else tested.where("false").selectExpr("*", *[f"{t} AS predicted_{t}" for t in targets])
+    one = lambda t: model.metrics(found, t, f"predicted_{t}").where("n > 0").withColumn("target", F.lit(t))
+    return rounded(one(targets[0]).unionByName(one(targets[1])))
+
+
 @query()
 def all_track_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.all_features(points(spark, sf_dir)))
