@@ -104,6 +104,16 @@ def test_rows_that_repeat_an_id_stay_if_their_texts_are_others(spark):
     assert sorted((r.doc_id, r.cls) for r in jaccard.deduplicate(plain).collect()) == [(3, "a"), (7, "c")]
 
 
+def test_many_ids_are_looked_up_in_a_table(spark, monkeypatch):
+    draw = random.Random(31)
+    base = [" ".join(f"g{g}w{draw.randrange(99)}" for _ in range(40)) for g in range(8)]
+    rows = [(k % 50 if k % 9 else None, draw.choice([*base, None, "", f"alone {k} and so on"]), "x", "y", k) for k in range(140)]
+    docs = spark.createDataFrame(rows, DOCS).withColumnsRenamed({"lang": "_marked", "source": "doc"}).repartition(3)
+    few = sorted(map(str, jaccard.deduplicate(docs).collect()))
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    assert sorted(map(str, jaccard.deduplicate(docs).collect())) == few
+
+
 def test_class_numbers_that_several_sets_share(spark):
     rows = [(k, " ".join(f"{k // 3}w{j}" for j in range(30)) + (" end" if k % 3 else "")) for k in range(40)]
     got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), bits=3)

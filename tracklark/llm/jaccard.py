@@ -49,7 +49,7 @@ from pyspark.sql.types import StructField, StructType
 from tracklark.llm.batches import mapped, slices
 from tracklark.llm.components import roots
 from tracklark.llm.shingles import U, mix, set_numbers, sets_of
-from tracklark.session import discard, materialize, table
+from tracklark.session import discard, materialize, small_enough, table
 
 #: The sketch has 2^SKETCH_BITS counters and travels in segments.
 SKETCH_BITS, SEGMENT = 22, 1 << 16
@@ -57,6 +57,8 @@ SKETCH_BITS, SEGMENT = 22, 1 << 16
 REMEMBERED = 1 << 16
 #: So many pairs at most are broadcast (24 bytes each) to meet their sets without a shuffle; more are joined.
 BROADCAST_PAIRS = 500_000
+#: So many ids of rows that may go are broadcast at most; more are looked up in a bit table in Python.
+BROADCAST_IDS = 1_000_000
 #: Rows of texts whose sets are held at a time.
 ROWS = 512
 #: Ranges that token numbers are cut into for the test of counts.
@@ -608,36 +610,47 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows, held = materialize(found.where("root IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id", "cls", "root").agg(F.count(F.lit(1)).alias("rows")))
     stays = rows.groupBy("root").agg(F.min(F.struct("doc_id", "cls")).alias("first")).select("first.doc_id", "first.cls", F.lit(True).alias("stays"))
     marked, _ = materialize(rows.join(stays, ["doc_id", "cls"], "left").select("doc_id", "cls", "rows", F.col("stays").isNull().alias("goes")).where("goes OR rows > 1"))
-    ids = marked.select(F.xxhash64("doc_id").alias("id"))
-    shared = spark.sparkContext.broadcast(bit_table(ids, fitting_bits(ids.count())))
-    place, schema = docs.columns.index(text_col), docs.schema
-    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[f"`{text_col}`"].alias("text"), docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.xxhash64(docs[f"`{id_col}`"].cast("long")).alias("id"))
+    schema, own_id = docs.schema, docs[f"`{id_col}`"].cast("long")
+    mark = "marked" + "_" * max(map(len, docs.columns))  # no column's name
+    ids = marked.select(F.col("doc_id").alias(mark)).distinct()
+    if small_enough(ids, BROADCAST_IDS):
+        # The rows of all other ids stay as they are, without a visit to Python.
+        ids = F.broadcast(ids)
+        clear, some = docs.join(ids, own_id == F.col(mark), "left_anti"), docs.join(ids, own_id == F.col(mark), "left_semi")
+    else:
+        clear, some = split_by_table(docs, own_id, ids)
     kind = StructType([StructField("row", schema), *StructType.fromDDL("doc_id long, cls long")])
+    keyed = some.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
 
-    def possible(batch: pa.RecordBatch) -> np.ndarray:
-        return in_table(shared.value, batch.column(3).to_numpy()) & batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-
-    def surely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows whose id is not in the table, and those without an id or shingles."""
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            maybe = possible(batch)
-            if maybe.any():
-                empty = [not len(s) for s in sets_of(batch.column(1).filter(pa.array(maybe)))]
-                maybe[np.flatnonzero(maybe)[empty]] = False
-            yield pa.RecordBatch.from_struct_array(batch.column(0).filter(pa.array(~maybe)))
+            cls = [class_number(s, 64, torn)[0] if len(s) else None for s in sets_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cls, pa.int64())], names=["row", "doc_id", "cls"])
 
-    def perhaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            part = batch.filter(pa.array(possible(batch)))
-            cls = [class_number(s, 64, torn)[0] if len(s) else None for s in sets_of(part.column(1))]
-            part = pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(cls, pa.int64())], names=["row", "doc_id", "cls"])
-            yield part.filter(pa.array([c is not None for c in cls], pa.bool_()))
-
-    one = mapped(keyed, perhaps, kind).groupBy("doc_id", "cls").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
-    goes = marked.where("goes").select("doc_id", "cls")
-    kept = one.join(goes, ["doc_id", "cls"], "left_anti").select("row.*")
+    found, _ = materialize(mapped(keyed, named, kind))
+    # Rows without shingles all stay; of the others one for each id and class that doesn't go.
+    one = found.where("cls IS NOT NULL").groupBy("doc_id", "cls").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    kept = one.join(marked.where("goes").select("doc_id", "cls"), ["doc_id", "cls"], "left_anti").select("row.*")
     discard(spark, held)
-    return mapped(keyed, surely, schema).unionByName(kept)
+    return clear.unionByName(kept).unionByName(found.where("cls IS NULL").select("row.*"))
+
+
+def split_by_table(docs: DataFrame, own_id, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ids are surely not among `ids`, and the others, by a bit table."""
+    spark, schema = docs.sparkSession, docs.schema
+    hashes = ids.select(F.xxhash64(ids.columns[0]).alias("id"))
+    shared = spark.sparkContext.broadcast(bit_table(hashes, fitting_bits(hashes.count())))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own_id.isNotNull().alias("known"), F.xxhash64(own_id).alias("id"))
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                held = in_table(shared.value, batch.column(2).to_numpy()) & batch.column(1).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_struct_array(batch.column(0).filter(pa.array(held == wanted)))
+
+        return mapped(keyed, run, schema)
+
+    return part(False), part(True)
 
 
 def op9_ngram_components(spark: SparkSession, sf_dir: str) -> DataFrame:
