@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklark.functions import expressions as E
 from tracklark.operators import matching, steps, tables
 from tracklark.plans.registry import HOURLY, POINTS, hourly, points, query, rounded
-from tracklark.session import table
+from tracklark.session import scratch_dir, table
 from tracklark.sources import masks, tracks
-from tracklark.streaming import events
+from tracklark.streaming import events, summary
 
 _CHANNELS = """c AS (SELECT DISTINCT event_type AS channel, upper(substr(event_type, 1, 1)) AS marker, length(event_type) AS raw_index FROM events)"""
 
@@ -82,6 +84,21 @@ def running_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.running_summary(o, ("o_custkey",), ("o_orderdate", "o_orderkey"), F.col("o_orderstatus") == "F").select("o_orderkey", "done", "failures")
 
 
+@query("SELECT o_orderstatus, count(*) AS units, CAST(max(o_orderdate) AS VARCHAR) AS latest FROM orders GROUP BY ALL")
+def streamed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The states of all orders' last completions, kept up to date by a stream over the table's files."""
+    path = f"{scratch_dir(spark)}/summary-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    # The table is a file or a folder of files.
+    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/orders.parquet*")
+    run = summary.start(stream, f"{path}/units", f"{path}/state", "o_orderkey", "o_orderdate", availableNow=True)
+    run.awaitTermination()
+    if not summary.versions(spark, f"{path}/units"):
+        summary.kept(rows.limit(0), 0, f"{path}/units", "o_orderkey", "o_orderdate")
+    units = summary.current(spark, f"{path}/units")
+    return units.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("units"), F.max("o_orderdate").cast("string").alias("latest"))
+
+
 @query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE NOT (l_quantity <= 25 AND l_discount <= 0.05) GROUP BY ALL")
 def all_null_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select("l_returnflag", F.when(F.col("l_quantity") > 25, F.col("l_quantity")).alias("q"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).otherwise(float("nan")).alias("d"))  # noqa: E741
