@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from math import pi
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from tracklark.operators import pixels as P
 from tracklark.plans.registry import query, rounded
-from tracklark.session import table
+from tracklark.session import scratch_dir, table
+from tracklark.sources import stacks
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +201,26 @@ def scaffold_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.scaffold(spark, 3, 40, 30, 1000, (8, 4))
 
 
+@query(
+    """SELECT 'stack_' || (vec_id // 10) || '.tif' AS name, count(*) AS pages, CAST(9 * sum(list_sum([trunc(least(greatest(CAST(x AS DOUBLE), 0) * 1000, 65535)) FOR x IN embedding])) AS DOUBLE) AS total
+FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0 GROUP BY vec_id // 10"""
+)
+def stack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All planes written as stacks of up to ten pages and read back page by page."""
+    stacks.register(spark)
+    path = f"{scratch_dir(spark)}/stacks-{uuid.uuid4().hex}"
+    rows = planes(spark, sf_dir).withColumn("name", F.format_string("stack_%d.tif", F.floor(F.col("stack_id") / 10)))
+    rows.repartition("name").sortWithinPartitions("name", "t").select("name", "t", "h", "w", "px").write.format("stacks").mode("append").save(path)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [float(np.frombuffer(p, "<f8").sum()) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.float64())], names=["file", "total"])
+
+    found = spark.read.format("stacks").load(path).select("file", "px").mapInArrow(total, "file string, total double")
+    return found.groupBy(F.element_at(F.split("file", "/"), -1).alias("name")).agg(F.count(F.lit(1)).alias("pages"), F.sum("total").alias("total"))
+
+
 @query()
 def stack_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = planes(spark, sf_dir).withColumn("stack_id", F.floor(F.col("stack_id") / 10))
