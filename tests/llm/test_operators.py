@@ -303,6 +303,16 @@ def test_equal_vectors_leave_few_candidates(spark, monkeypatch):
     assert sorted((r.query_id, r.rank, r.vec_id, int(r.score)) for r in got) == plain_top([r.vec_id for r in both], [r.embedding for r in both], 7)
 
 
+def test_parts_of_which_no_row_can_qualify(spark, monkeypatch):
+    """A few long vectors first, then many short ones, in parts of a few rows."""
+    monkeypatch.setattr(vectors, "ROWS_AT_ONCE", 8)
+    draw = np.random.default_rng(15)
+    rows = [(k, [float(x) for x in draw.integers(900, 1000, 4)]) for k in range(40)] + [(k, [float(x) for x in draw.integers(0, 5, 4)]) for k in range(40, 500)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = vectors.top_k(frame, frame.where("vec_id % 5 = 0"), 7).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, int(r.score)) for r in got) == plain_top([r[0] for r in rows], [r[1] for r in rows], 7)
+
+
 def test_search_query_leaves_out_vectors_that_are_not_finite(spark, tmp_path):
     draw = np.random.default_rng(7)
     rows = [(k, [float(x) for x in draw.normal(0, 1, 4)]) for k in range(60)]

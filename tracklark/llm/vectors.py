@@ -164,7 +164,9 @@ class Bounds:
 
     def raise_least(self, first: int, n: np.ndarray, low: np.ndarray) -> None:
         """Take lower bounds of queries (first + n, rising) into their k best ones."""
-        start = np.flatnonzero(np.append(True, n[1:] != n[:-1])) if len(n) else []
+        if not len(n):
+            return
+        start = np.flatnonzero(np.append(True, n[1:] != n[:-1]))
         for a, b in zip(start, [*start[1:], len(n)], strict=True):
             own = self.lows[first + n[a]]
             both = np.concatenate([own, low[a:b]])
