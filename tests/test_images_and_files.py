@@ -83,6 +83,35 @@ def test_batch_reports(spark):
     assert (b.cells, b.complete, b.value_sum, b.median_duration, b.total_duration, b.last_finished, b.failed_units, b.counts) == (1, 0, 0.0, 0.0, 0.0, "", [], {"queued": 1})
 
 
+def test_envelopes_equal_all_pairs():
+    draw = np.random.default_rng(4)
+    for _ in range(300):
+        sites = np.sort(draw.choice(60, draw.integers(1, 20), replace=False))
+        heights = draw.integers(0, draw.choice([3, 400]), len(sites)) ** 2
+        at = draw.integers(-5, 65, 30)
+        assert (pixels.least_squares_at(sites, heights, at) == ((at[:, None] - sites) ** 2 + heights).min(axis=1)).all()
+
+
+def test_distances_of_wide_masks(spark):
+    """Against all pairs on a small image with repeated pixels, and a large one for its time and known distances."""
+    draw = np.random.default_rng(6)
+    grid = draw.random((23, 31)) < 0.9
+    rows = [(1, y, x) for y in range(23) for x in range(31)]
+    frame = lambda some: spark.createDataFrame(some, "img int, y int, x int")
+    inner, outer = [r for r in rows if grid[r[1:]]], [r for r in rows if not grid[r[1:]]]
+    whole = [(2, y, x) for y in range(3) for x in range(3)]
+    got = pixels.edge_distance(frame([*inner, *inner[:9], *whole]), frame(outer)).collect()
+    by, bx = np.nonzero(~grid)
+    assert {(r.img, r.y, r.x): r.distance for r in got} == {(1, y, x): np.sqrt(((by - y) ** 2 + (bx - x) ** 2).min()) for _, y, x in inner} and len(got) == len(inner)
+    n = 800
+    large = spark.range(n * n).selectExpr("1 AS img", f"CAST(id DIV {n} AS INT) AS y", f"CAST(id % {n} AS INT) AS x")
+    edge = "y = 0 OR x = 0 OR (y = 500 AND x = 300)"
+    found = pixels.edge_distance(large.where(f"NOT ({edge})"), large.where(edge))
+    assert found.count() == n * n - 2 * n
+    some = {(r.y, r.x): r.distance for r in found.where("(y, x) IN ((503, 304), (3, 700), (500, 120))").collect()}
+    assert some == {(503, 304): 5.0, (3, 700): 3.0, (500, 120): 120.0}
+
+
 def test_merged_and_deduplicated_masks(spark):
     square = lambda obj, y0, x0, n: [(1, obj, y, x) for y in range(y0, y0 + n) for x in range(x0, x0 + n)]
     masks = spark.createDataFrame(square(1, 0, 0, 4) + square(2, 0, 5, 4) + square(3, 30, 30, 3), "fov long, obj long, y int, x int")

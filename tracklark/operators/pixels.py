@@ -117,16 +117,53 @@ def components(mask: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:
     return spread(rows, *by).groupBy(*by).applyInPandas(named, rows.selectExpr("*", "y AS cy", "x AS cx").schema)
 
 
+def least_squares_at(sites: np.ndarray, heights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For whole numbers `at`, the least of (at - site)^2 + height over the rising sites: the lower envelope of parabolas,
+    in steps in proportion to both."""
+    kept, edges = [], []  # edges[k] parts kept[k] from the next
+    place, top = sites.tolist(), (heights + sites * sites).tolist()
+    for k, x in enumerate(place):
+        while kept:
+            meets = (top[k] - top[kept[-1]]) / (2 * (x - place[kept[-1]]))
+            if not edges or meets > edges[-1]:
+                edges.append(meets)
+                break
+            kept.pop()
+            edges.pop()
+        kept.append(k)
+    own = np.array(kept)[np.searchsorted(edges, at)]
+    return (at - sites[own]) ** 2 + heights[own]
+
+
 def edge_distance(mask: DataFrame, background: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:
     """Distance of each mask pixel to the nearest background pixel, in two passes: along columns by windows, then along
-    rows, where a pixel meets its row only. Mask and background together have to cover the object's box."""
-    flat = mask.select(*by, "y", "x", F.lit(None).cast("int").alias("at")).unionByName(background.select(*by, "y", "x", F.col("y").cast("int").alias("at")))
+    rows, whose pixels go to numpy as lists and take the lower envelope of their columns' distances. Both passes take
+    steps in proportion to the pixels. Mask and background together have to cover the object's box; objects without
+    background have no distances."""
+    flat = mask.select(*by, "y", "x", F.lit(True).alias("inner")).unionByName(background.select(*by, "y", "x", F.lit(False).alias("inner")))
     column = Window.partitionBy(*by, "x").orderBy("y")
-    above = F.last("at", True).over(column.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    below = F.first("at", True).over(column.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    away = flat.select(*by, "y", F.col("x").alias("bx"), F.least(F.col("y") - above, below - F.col("y")).alias("dy")).where("dy IS NOT NULL")
-    dx = F.col("x") - F.col("bx")
-    return mask.select(*by, "y", "x").join(away, [*by, "y"]).groupBy(*by, "y", "x").agg(F.sqrt(F.min(dx * dx + F.col("dy") * F.col("dy"))).alias("distance"))
+    at = F.when(~F.col("inner"), F.col("y"))
+    above = F.last(at, True).over(column.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    below = F.first(at, True).over(column.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    away = flat.withColumn("dy", F.least(F.col("y") - above, below - F.col("y")).cast("long"))
+
+    @F.pandas_udf("array<double>")
+    def nearest(xs: pd.Series, dys: pd.Series, inners: pd.Series) -> pd.Series:
+        out = []
+        for x, dy, inner in zip(xs, dys, inners, strict=True):
+            x, dy, inner = np.asarray(x, np.int64), np.asarray(dy, float), np.asarray(inner, bool)
+            known = ~np.isnan(dy)
+            # The list is sorted, so the first of a place has its least height.
+            sites, first = np.unique(x[known], return_index=True)
+            heights = dy[known][first].astype(np.int64) ** 2
+            out.append(np.sqrt(least_squares_at(sites, heights, x[inner])) if len(sites) and inner.any() else np.zeros(0))
+        return pd.Series(out)
+
+    rows = away.groupBy(*by, "y").agg(F.array_sort(F.collect_set(F.struct("x", "dy", "inner"))).alias("row"))
+    xs = F.transform(F.filter("row", lambda p: p["inner"]), lambda p: p["x"])
+    found = rows.select(*by, "y", xs.alias("x"), nearest("row.x", "row.dy", "row.inner").alias("distance"))
+    pairs = found.where(F.size("x") == F.size("distance")).select(*by, "y", F.explode(F.arrays_zip("x", "distance")).alias("p"))
+    return pairs.select(*by, "y", "p.x", "p.distance")
 
 
 def locus_distances(loci: DataFrame, mask: DataFrame, background: DataFrame, by: tuple[str, ...] = OBJECT) -> DataFrame:
