@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklark.functions import expressions as E
-from tracklark.operators import model, quality, regression, spatial, tables
+from tracklark.operators import model, profiles, quality, regression, spatial, tables
 from tracklark.operators.graph import labels
 from tracklark.plans.registry import query, rounded
 from tracklark.session import table
@@ -439,6 +439,23 @@ def profile_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", quality.first_failure(rules).alias("failure"))
 
 
+@query(
+    """WITH c AS (SELECT p_partkey AS crop_key, p_name AS crop, p_brand AS profile, CASE WHEN p_size % 3 = 0 THEN 'TYX' ELSE 'TCYX' END AS axes, CAST(p_size % 4 + 1 AS INTEGER) AS n, string_split(p_name, ' ') AS names FROM part),
+k AS (SELECT DISTINCT p_brand AS profile FROM part WHERE p_brand NOT LIKE '%1')
+SELECT crop_key, CASE WHEN k.profile IS NULL THEN 'profile' WHEN axes <> 'TCYX' THEN 'axes' WHEN n <> 2 THEN 'channel count' WHEN NOT coalesce(contains(lower(names[1]), 'e'), false) THEN 'raw C0'
+  WHEN NOT coalesce(contains(lower(names[2]), 'a') OR contains(lower(names[2]), 'o'), false) THEN 'raw C1' WHEN NOT (contains(lower(crop), 'e') AND (contains(lower(crop), 'i') OR contains(lower(crop), 'u'))) THEN 'file tokens' END AS failure
+FROM c LEFT JOIN k USING (profile)"""
+)
+def crop_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    crops = p.select("p_partkey", F.col("p_name").alias("crop"), F.col("p_brand").alias("profile"), F.when(F.col("p_size") % 3 == 0, "TYX").otherwise("TCYX").alias("axes"), (F.col("p_size") % 4 + 1).cast("int").alias("n_channels"), F.split("p_name", " ").alias("channel_names"))
+    text = lambda *some: F.array(*map(F.lit, some))
+    channel = lambda raw, *tokens: F.struct(F.lit(raw).alias("raw"), F.lit(f"C{raw}").alias("name"), F.lit("").alias("prefix"), text(*tokens).alias("tokens"))
+    known = p.where("p_brand NOT LIKE '%1'").select(F.col("p_brand").alias("profile")).distinct()
+    known = known.withColumns({"axes": F.lit("TCYX"), "channels": F.array(channel(0, "E"), channel(1, "a", "o")), "file_all": text("e"), "file_any": text("I", "u")})
+    return profiles.validated(crops, known).select(F.col("p_partkey").alias("crop_key"), "failure")
+
+
 @query("SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders d WHERE d.o_orderkey = o.o_orderkey AND d.o_orderstatus = 'F' AND d.o_orderkey % 3 <> 0 AND d.o_custkey % 2 = 0)")
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
