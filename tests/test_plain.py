@@ -1,5 +1,6 @@
 """Queries that SQL cannot express against plain loops over the whole small tables."""
 
+import time
 from itertools import permutations
 
 import numpy as np
@@ -187,6 +188,49 @@ def test_mask_merge(spark, sf_dir):
     assert {(r.fov, r.obj, r.area) for r in run(spark, sf_dir, "mask_merge")} == want
 
 
+def test_merges_of_random_fields_equal_starting_again(spark):
+    from tracklark.operators.pixels import merged_masks, solidity
+
+    draw = np.random.default_rng(16)
+    fields = {}
+    for fov in range(12):
+        for obj in range(14):
+            y, x = draw.integers(0, 22, 2)
+            h, w = draw.integers(1, 5, 2)
+            fields.setdefault(fov, {})[int(obj * 3)] = {(int(y + a), int(x + b)) for a in range(h) for b in range(w)}
+    rows = [(f, o, y, x) for f, own in fields.items() for o, m in own.items() for y, x in m]
+    frame = spark.createDataFrame(rows, "fov int, obj int, y int, x int")
+    for square in (False, True):
+        close = (lambda dy, dx: max(abs(dy), abs(dx)) <= 2) if square else (lambda dy, dx: abs(dy) + abs(dx) <= 2)
+        want = set()
+        for fov, first in fields.items():
+            own, changed = {o: set(m) for o, m in first.items()}, True
+            while changed:
+                changed = False
+                for a, b in ((a, b) for a in sorted(own) for b in sorted(own) if a < b):
+                    union = own[a] | own[b]
+                    grid = np.zeros((30, 30), bool)
+                    grid[tuple(zip(*union))] = True
+                    if len(union) <= 40 and any(close(y - v, x - u) for y, x in own[a] for v, u in own[b]) and solidity(grid) >= 0.6:
+                        own[a], changed = union, True
+                        del own[b]
+                        break
+            want |= {(fov, o, y, x) for o, m in own.items() for y, x in m}
+        assert {tuple(r) for r in merged_masks(frame, 40, square=square).collect()} == want
+
+
+def test_many_objects_of_one_field(spark):
+    from tracklark.operators.pixels import merged_masks
+
+    # Pairs of 5 x 5 squares, one pixel apart; 5,000 objects in all.
+    rows = [(1, 100 * i + j, 14 * i + a, 6 * j + (j // 2) * 4 + b) for i in range(50) for j in range(100) for a in range(5) for b in range(5)]
+    frame = spark.createDataFrame(rows, "fov int, obj int, y int, x int").coalesce(2)
+    began = time.time()
+    got = merged_masks(frame, 60).select("obj").distinct().count()
+    assert got == 2500
+    assert time.time() - began < 120
+
+
 def planes(spark, sf_dir):
     return {r.stack_id: np.frombuffer(r.px, "<f8").reshape(24, 24) for r in I.planes(spark, sf_dir).collect()}
 

@@ -7,6 +7,7 @@ exploding offsets and joining on the place, which is an equi-join.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 from math import pi
 
 import numpy as np
@@ -282,32 +283,69 @@ def solidity(mask: np.ndarray) -> float:
     return len(y) / (hull_area(corners) or np.inf)
 
 
-def merged_masks(masks: DataFrame, most_area: int, near: int = 2, least_solidity: float = 0.6, by: tuple[str, ...] = ("fov",)) -> DataFrame:
-    """Pixels with merged objects: again and again the first two objects within `near` pixels merge if the union is not
-    too large and solid enough. One field of view at a time."""
+def adjacent(key: np.ndarray, obj: np.ndarray, steps: list[int]) -> np.ndarray:
+    """Pairs of objects (a < b) of which pixels lie a step apart. key: a number for each pixel, obj: its object."""
+    order = np.argsort(key, kind="stable")
+    at, own = key[order], obj[order]
+    found = []
+    for step in steps:
+        low, high = np.searchsorted(at, key + step, "left"), np.searchsorted(at, key + step, "right")
+        n = high - low
+        first = np.repeat(low - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())
+        pairs = np.stack([np.repeat(obj, n), own[first]], axis=1)
+        found.append(np.unique(pairs[pairs[:, 0] < pairs[:, 1]], axis=0))
+    return np.unique(np.concatenate(found), axis=0)
+
+
+def merged_masks(masks: DataFrame, most_area: int, near: int = 2, least_solidity: float = 0.6, by: tuple[str, ...] = ("fov",), square: bool = False) -> DataFrame:
+    """Pixels with merged objects: again and again the first two objects within `near` city blocks (with `square`, within
+    `near` pixels in all eight directions) merge if the union is not too large and solid enough.
+
+    One field of view at a time. Its objects are the nodes of a graph that one join of pixels gives; pairs wait in a queue
+    in order, and a merge only brings back the pairs of the two that merged, whose hulls and pixels are joined. A pair
+    that failed fails until one of its objects changes, so this is the same as starting again after each merge.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        from tracklark.operators.features import hull_area, hull_ring
+
         y0, x0 = pdf.y.min(), pdf.x.min()
-        shape = (pdf.y.max() - y0 + 1, pdf.x.max() - x0 + 1)
-        masks = {}
-        for obj, rows in pdf.groupby("obj", sort=True):
-            masks[obj] = np.zeros(shape, bool)
-            masks[obj][rows.y - y0, rows.x - x0] = True
-        merged = True
-        while merged:
-            merged = False
-            for a in list(masks):
-                wide = kernels.dilate(masks[a], near)
-                for b in list(masks):
-                    union = masks[a] | masks[b]
-                    if b > a and (wide & masks[b]).any() and union.sum() <= most_area and solidity(union) >= least_solidity:
-                        masks[a], merged = union, True
-                        del masks[b]
-                        break
-                if merged:
-                    break
-        keys = {c: pdf[c].iloc[0] for c in by}
-        return pd.concat([pd.DataFrame({"obj": o, "y": np.nonzero(m)[0] + y0, "x": np.nonzero(m)[1] + x0}) for o, m in masks.items()]).assign(**keys)[[*by, "obj", "y", "x"]]
+        width = int(pdf.x.max() - x0) + 1 + 2 * near
+        key = (pdf.y.to_numpy(np.int64) - y0) * width + pdf.x.to_numpy(np.int64) - x0
+        names, obj = np.unique(pdf.obj.to_numpy(), return_inverse=True)
+        around = [(a, b) for a in range(-near, near + 1) for b in range(-near, near + 1) if square or abs(a) + abs(b) <= near]
+        order = np.argsort(obj, kind="stable")
+        edges = np.searchsorted(obj[order], np.arange(len(names) + 1))
+        pixels = [np.unique(key[order[a:b]]) for a, b in zip(edges, edges[1:])]
+        ring = [hull_ring([(float(k % width + a), float(k // width + b)) for k in own.tolist() for a in (0, 1) for b in (0, 1)]) for own in pixels]
+        pairs = [(int(a), int(b)) for a, b in adjacent(key, obj, [a * width + b for a, b in around])]
+        beside: list[set[int]] = [set() for _ in names]
+        for a, b in pairs:
+            beside[a].add(b)
+            beside[b].add(a)
+        # Sorted pairs are a heap; the third and fourth number tell whether an object has changed since.
+        heap, changes, gone = [(a, b, 0, 0) for a, b in pairs], [0] * len(names), [False] * len(names)
+        while heap:
+            a, b, before_a, before_b = heappop(heap)
+            if gone[a] or gone[b] or changes[a] != before_a or changes[b] != before_b:
+                continue
+            if max(len(pixels[a]), len(pixels[b])) > most_area:
+                continue
+            union = np.union1d(pixels[a], pixels[b])
+            hull = hull_ring([*ring[a], *ring[b]])
+            if len(union) > most_area or len(union) / (hull_area(np.array(hull)) or np.inf) < least_solidity:
+                continue
+            pixels[a], ring[a], gone[b] = union, hull, True
+            changes[a] += 1
+            beside[a] = {c for c in beside[a] | beside[b] if c not in (a, b) and not gone[c]}
+            for c in beside[a]:
+                beside[c].discard(b)
+                beside[c].add(a)
+                heappush(heap, (min(a, c), max(a, c), changes[min(a, c)], changes[max(a, c)]))
+        left = [k for k in range(len(names)) if not gone[k]]
+        whole = np.concatenate([pixels[k] for k in left])
+        out = pd.DataFrame({"obj": np.repeat(names[left], [len(pixels[k]) for k in left]), "y": whole // width + y0, "x": whole % width + x0})
+        return out.assign(**{c: pdf[c].iloc[0] for c in by})[[*by, "obj", "y", "x"]]
 
     rows = masks.select(*by, "obj", "y", "x")
     return rows.groupBy(*by).applyInPandas(fold, rows.schema)
