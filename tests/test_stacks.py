@@ -176,3 +176,11 @@ def test_rois_and_zips_are_written_and_read(spark_with, tmp_path):
     want = sorted((r.name, r.top, r.left, r.bottom, r.right) for r in rois.collect())
     for folder in ("single", "zips"):
         assert sorted((r.name, r.top, r.left, r.bottom, r.right) for r in binary.read_rois(spark, f"{tmp_path}/{folder}").collect()) == want
+
+
+def test_folders_without_pages(spark_with, tmp_path):
+    assert read(spark_with, tmp_path).count() == 0
+    (tmp_path / "s.tif").write_bytes(binary.tiff_bytes([np.zeros((2, 2))]))
+    assert read(spark_with, tmp_path).where("t > 5").count() == 0
+    with pytest.raises(Exception, match="none.tif"):
+        read(spark_with, tmp_path / "none.tif").count()

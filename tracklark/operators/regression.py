@@ -236,7 +236,7 @@ class ElasticNet(NamedTuple):
         return rows.withColumn(name, total)
 
 
-#: The reference's grid: 20 strengths evenly in logarithm, three mixtures.
+#: The usual grid: 20 strengths evenly in logarithm, three mixtures.
 ALPHAS, RATIOS = [float(10 ** (-4 + 5 * k / 19)) for k in range(20)], [0.1, 0.5, 0.9]
 
 

@@ -209,7 +209,9 @@ class StackReader(DataSourceReader):
                     out += [Chunk(Part(f, tuple(starts[k : k + each]))) for k in range(0, len(starts), each)]
         return out
 
-    def read(self, partition: Chunk) -> Iterator[tuple]:
+    def read(self, partition: Chunk | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark reads if there is no partition
+            return
         fs, _ = opened(self.path)
         file, some = partition.value
         with fs.open_input_file(file) as handle:
