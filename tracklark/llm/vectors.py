@@ -50,7 +50,7 @@ FIRST = 2
 #: Rows whose bounds are worked out at a time.
 ROWS_AT_ONCE = 512
 #: A task holds so many candidates (32 bytes each) at most, and those of one part of a batch.
-HELD = 1 << 18
+HELD = 1 << 20
 #: Rows with equal vectors are ranked within so many parts first.
 SALTS = 32
 #: Exact in double precision while all sums stay below this.
