@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklark.operators.linking import spread
 from tracklark.operators.steps import TRACK, steps, with_angles
 
 
@@ -339,7 +340,8 @@ def all_features(points: DataFrame, frame_interval: float = 1.0, by: tuple[str,
     rate, keys = 1 / frame_interval, ", ".join(f"`{c}`" for c in by)
     ordered = f"OVER (PARTITION BY {keys} ORDER BY frame)"
     every = Window.partitionBy(*by)
-    moved = with_angles(steps(points, by), by)
+    # Few bytes, but long to compute, so the partitions of this shuffle must not be merged by their size.
+    moved = with_angles(steps(spread(points, *by), by), by)
     moved = moved.withColumns({"ux": F.when(F.col("step") > 0, F.col("dx") / F.col("step")), "uy": F.when(F.col("step") > 0, F.col("dy") / F.col("step"))})
     moved = moved.withColumns({"cs": F.col("step") - F.avg("step").over(every), "ca": F.col("angle") - F.avg("angle").over(every)})
     next_one = lambda c, k: F.col(c) * F.expr(f"lead({c}, {k}) IGNORE NULLS {ordered}")
