@@ -20,3 +20,30 @@ def test_hull_area_with_three_places_nearly_on_a_line():
     ring = [points[k] for k in (0, 3, 4, 5, 2)]
     exact = sum(Fraction(a[0]) * Fraction(b[1]) - Fraction(b[0]) * Fraction(a[1]) for a, b in zip(ring, ring[1:] + ring[:1])) / 2
     assert abs(features.hull_area(np.array(points)) - float(exact)) < 1e-9
+
+
+def test_overlap_labels_of_copies_nested_and_empty_boxes(spark):
+    from tracklark.operators.spatial import overlap_labels
+
+    rng = np.random.default_rng(3)
+    boxes = [(int(k), float(t), float(l), float(t + h), float(l + w)) for k, (t, l, h, w) in enumerate(zip(*rng.integers(0, 40, (2, 60)), *rng.integers(0, 4, (2, 60))))]
+    boxes += [(k + 100, *b) for k, *b in boxes[:30]]
+    label = {b[0]: b[0] for b in boxes}
+    for _ in boxes:
+        for a, at, al, ab, ar in boxes:
+            for b, bt, bl, bb, br in boxes:
+                if a != b and at < bb and bt < ab and al < br and bl < ar:
+                    label[a] = label[b] = min(label[a], label[b])
+    rows = spark.createDataFrame([*boxes, (900, None, 1.0, 2.0, 3.0), (901, None, 1.0, 2.0, 3.0)], "id long, top double, left double, bottom double, right double")
+    got = overlap_labels(rows, 3.0)
+    assert sorted(map(tuple, got.collect())) == sorted({**label, 900: 900, 901: 901}.items())
+
+
+def test_overlap_pairs_are_dealt_to_all_tasks(spark):
+    from tracklark.operators.spatial import overlapping
+
+    # Copies of few boxes are small in bytes, so merging by size would leave one task.
+    rows = spark.range(600).selectExpr("id", "double(id % 30) * 10 AS top", "0D AS left", "double(id % 30) * 10 + 5 AS bottom", "2D AS right")
+    found = overlapping(rows, 10.0, across=3.0)
+    assert found.count() == 30 * 190
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
