@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tracklark.functions import expressions as E
 from tracklark.operators import model, profiles, quality, regression, spatial, tables
-from tracklark.operators.graph import labels
 from tracklark.plans.registry import query, rounded
 from tracklark.session import table
 
@@ -372,8 +371,7 @@ def rect_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT p_partkey AS node, p_partkey AS label FROM part UNION SELECT e.b, r.label FROM r JOIN e ON r.node = e.a) SELECT node, min(label) AS label FROM r GROUP BY node"""
 )
 def overlap_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = _boxes(spark, sf_dir)
-    return labels(boxes.select(F.col("id").alias("node")), spatial.overlapping(boxes, 25.0))
+    return spatial.overlap_labels(_boxes(spark, sf_dir), 25.0, across=3.0)
 
 
 @query("SELECT s_suppkey, printf('cell_%03d', row_number() OVER (ORDER BY s_nationkey, s_acctbal, s_suppkey)) AS cell_id FROM supplier")
