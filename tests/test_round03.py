@@ -47,3 +47,20 @@ def test_overlap_pairs_are_dealt_to_all_tasks(spark):
     found = overlapping(rows, 10.0, across=3.0)
     assert found.count() == 30 * 190
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_spots_of_a_batch_are_fitted_side_by_side():
+    from tracklark.functions.kernels import centre, centres
+
+    gy, gx = np.mgrid[0:5, 0:5]
+    at = [(1.7, 2.3), (2.2, 1.9), (2.0, 2.4)]
+    windows = np.stack([9 + 50 * np.exp(-((gx - x) ** 2) / 2.2 - (gy - y) ** 2 / 3.1) for y, x in at] + [np.full((5, 5), 7.0)])
+    y, x, fitted = centres(windows)
+    assert np.allclose(np.stack([y, x], axis=1)[:3], at, atol=1e-4) and fitted[:3].all() and (y[3], x[3]) == (2, 2)
+    assert [centre(w)[:2] for w in windows] == [*zip(y.tolist(), x.tolist())]
+
+
+def test_planes_of_one_file_are_dealt_to_all_tasks(spark, sf_dir):
+    from tracklark.plans.images import planes
+
+    assert planes(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

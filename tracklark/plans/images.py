@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklark.operators import pixels as P
+from tracklark.operators.linking import spread
 from tracklark.plans.registry import query, rounded
 from tracklark.session import scratch_dir, table
 from tracklark.sources import stacks
@@ -34,7 +35,8 @@ def planes(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.astype("<f8").tobytes() for p in big], pa.binary())], names=["stack_id", "px"])
 
     whole = (F.size("embedding") == 64) & F.forall("embedding", lambda x: x.isNotNull())
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(whole).mapInArrow(run, "stack_id long, px binary")
+    # Dealt out while they are small: a file of vectors is one task's, but their planes take long to compute.
+    rows = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding").where(whole), "vec_id").mapInArrow(run, "stack_id long, px binary")
     return rows.select("stack_id", (F.col("stack_id") % 10).cast("int").alias("t"), F.lit(24).alias("h"), F.lit(24).alias("w"), "px")
 
 
