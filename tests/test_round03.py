@@ -64,3 +64,41 @@ def test_planes_of_one_file_are_dealt_to_all_tasks(spark, sf_dir):
     from tracklark.plans.images import planes
 
     assert planes(spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_components_of_objects_within_and_across_batches(spark):
+    from tracklark.operators.pixels import components
+
+    rng = np.random.default_rng(5)
+    rows = [(None if k == 3 else 2**60 + k, int(y), int(x)) for k in range(8) for y, x in zip(*np.nonzero(rng.random((9, 9)) < 0.55))]
+    want = []
+    for k in {r[0] for r in rows}:
+        own = {r[1:] for r in rows if r[0] == k}
+        while own:
+            first = min(own)
+            stack, found = [first], {first}
+            while stack:
+                y, x = stack.pop()
+                for p in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                    if p in own - found:
+                        found.add(p)
+                        stack.append(p)
+            own -= found
+            want += [(k, *p, *first) for p in found]
+    mask = spark.createDataFrame(rows, "img long, y int, x int")
+    for size in ("10000", "7"):
+        before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = [tuple(r) for r in components(mask).collect()]
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_first_pixels_of_many_objects_at_once():
+    from tracklark.functions.kernels import first_pixels
+
+    y, x = np.array([0, 0, 1, 0, 2**40]), np.array([0, 1, 1, 0, 2**40])
+    assert first_pixels(y[:4], x[:4], np.array([0, 0, 0, 1])).tolist() == [0, 0, 0, 3]
+    assert first_pixels(y, x, np.array([0, 0, 1, 2, 2])).tolist() == [0, 0, 2, 3, 4]
