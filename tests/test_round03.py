@@ -118,3 +118,31 @@ def test_tracks_that_share_spots_list_no_pairs(spark):
     # No pairs of tracks and spots are joined: what is dealt out is spots times walks.
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "MapInPandas" in plan and "_gx" not in plan
+
+
+def test_tied_copies_are_matched_in_one_round(spark, monkeypatch):
+    from tracklark.operators import matching
+
+    written = []
+    monkeypatch.setattr(matching, "materialize", lambda df, f=matching.materialize: (written.append(1), f(df))[1])
+    rows = [("a", r, c, float((r // 30 - c // 30) % 2)) for r in range(60) for c in range(60)] + [("a", 99, c, 7.0) for c in (3, 70)]
+    got = matching.greedy_matches(spark.createDataFrame(rows, "channel string, ref long, cand long, mean_distance double"))
+    refs, cands, want = set(), set(), []
+    for _, r, c, d in sorted(rows, key=lambda t: (t[3], t[1], t[2])):
+        if r not in refs and c not in cands:
+            want.append(("a", r, c, d))
+            refs.add(r), cands.add(c)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    # Pair by pair it takes thirty rounds.
+    assert len(written) < 20
+
+
+def test_nearest_matches_are_those_of_all_scores(spark):
+    from tracklark.operators import matching
+
+    rng = np.random.default_rng(4)
+    draw = lambda n, side: spark.createDataFrame([(str(t % 2), int(f), int(t), None if x == 3 else float(x), float(y)) for t, f, x, y in zip(rng.integers(0, n, 300), rng.integers(0, 40, 300), *rng.integers(0, 60, (2, 300)))], f"channel string, frame int, {side} long, x double, y double").dropDuplicates(["channel", "frame", side]).persist()
+    refs, cands = draw(30, "ref"), draw(60, "cand")
+    got = matching.nearest_matches(refs, cands, 2, few_pairs=0)
+    want = matching.greedy_matches(matching.shared_frame_scores(refs, cands, 2))
+    assert sorted(map(tuple, got.select("channel", "ref", "cand", "shared").collect())) == sorted(map(tuple, want.select("channel", "ref", "cand", "shared").collect()))

@@ -11,6 +11,7 @@ from tracklark.functions.assignment import assign_sparse
 from tracklark.functions.expressions import number_in
 from tracklark.operators.graph import labels
 from tracklark.operators.regions import with_inside
+from tracklark.operators.spatial import dealt, within_radius
 from tracklark.operators.steps import steps
 from tracklark.session import discard, materialize, small_enough
 
@@ -18,6 +19,8 @@ from tracklark.session import discard, materialize, small_enough
 MIN_SHARED, MAX_MEAN_NM, RED, RED_LATEST_START, MAX_SEED_UM = 5, 2000.0, "R", 3, 3.0
 #: Scores of a component that one task solves, some 200 bytes each.
 MOST_SCORES = 5_000_000
+#: Up to so many pairs of rows that share a frame are all scored.
+FEW_PAIRS = 5_000_000
 #: So many rows of a profile at most are broadcast.
 FEW_CHANNELS = 100_000
 
@@ -28,9 +31,14 @@ def shared_frame_scores(refs: DataFrame, cands: DataFrame, least: int = MIN_SHAR
     refs: channel, ref, frame, x, y; cands: channel, cand, frame, x, y. One equi-join on channel and frame, whose
     pairs are summed on the map side of the aggregation.
     """
+    return scored(refs, cands, least, ("channel", "frame"))
+
+
+def scored(refs: DataFrame, cands: DataFrame, least: int, on: tuple[str, ...]) -> DataFrame:
+    """The scores of `shared_frame_scores` for the rows that agree in `on`."""
     right = cands.select("channel", "frame", "cand", F.col("x").alias("cx"), F.col("y").alias("cy"))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    pairs = refs.join(right, ["channel", "frame"]).groupBy("channel", "ref", "cand")
+    pairs = refs.join(right, [*on]).groupBy("channel", "ref", "cand")
     return pairs.agg(F.count(F.lit(1)).alias("shared"), F.avg(F.sqrt(dx * dx + dy * dy)).alias("mean_distance")).where(F.col("shared") >= least)
 
 
@@ -38,19 +46,33 @@ def greedy_matches(scores: DataFrame) -> DataFrame:
     """One-to-one pairs of each channel, nearest first (ties by ref, then cand), as a fold over the sorted pairs has them.
 
     In each round the pairs that are first for both their sides are taken, and all other pairs of those sides go: no pair
-    before them can touch either side, so the fold takes them too. Rounds are aggregates and joins by side, so a channel
-    is spread over all tasks; usually a constant share of the pairs is decided in each. Rounds are written to the shared
-    folder. Repeated pairs of one distance count once; nulls in any column are left out.
+    before them can touch either side, so the fold takes them too. Where sides tie all with all (copies of tracks), the
+    round takes the whole block, first with first and so on. Rounds are aggregates and joins by side, so a channel is
+    spread over all tasks; usually a constant share of the pairs is decided in each. Rounds are written to the shared
+    folder. Repeated pairs count once, with their least distance; nulls in any column are left out.
     """
     spark, names = scores.sparkSession, scores.columns
-    first = F.min(F.struct("mean_distance", "ref", "cand")).alias("first")
     sides = (["channel", "ref"], ["channel", "cand"])
-    left, held = materialize(scores.dropna(subset=["channel", "ref", "cand", "mean_distance"]))
+    known = scores.dropna(subset=["channel", "ref", "cand", "mean_distance"])
+    left, held = materialize(known.groupBy("channel", "ref", "cand").agg(F.min("mean_distance").alias("mean_distance")))
     taken, done = None, []
     while True:
-        firsts = [left.groupBy(*by).agg(first).select("channel", "first.ref", "first.cand") for by in sides]
-        won, path = materialize(firsts[0].intersect(firsts[1]))
-        done.append(path)
+        near = left
+        for by, other in zip(sides, ("cand", "ref")):
+            ties = left.groupBy(*by, "mean_distance").agg(F.min(other).alias("first"), F.count(F.lit(1)).alias("n"))
+            near = near.join(ties.groupBy(*by).agg(F.min(F.struct("mean_distance", "first", "n")).alias(f"of_{by[1]}")), by)
+        near = near.where("mean_distance = of_ref.mean_distance AND mean_distance = of_cand.mean_distance")
+        near, path = materialize(near.select("channel", "ref", "cand", F.struct("mean_distance", F.col("of_ref.first").alias("c"), F.col("of_cand.first").alias("r")).alias("block"), F.col("of_ref.n").alias("of_ref"), F.col("of_cand.n").alias("of_cand")))
+        # All of a block tie with all others of it and nothing else comes as early for any.
+        size = F.count(F.lit(1))
+        whole = near.groupBy("channel", "block").agg(size.alias("n"), F.count_distinct("ref").alias("refs"), F.count_distinct("cand").alias("cands"), F.max("of_ref").alias("of_ref"), F.max("of_cand").alias("of_cand"))
+        whole = whole.where("n > 1 AND n = refs * cands AND of_ref = cands AND of_cand = refs").select("channel", "block")
+        place = lambda c: F.dense_rank().over(Window.partitionBy("channel", "block").orderBy(c))
+        paired = near.join(whole, ["channel", "block"]).withColumns({"i": place("ref"), "j": place("cand")}).where("i = j")
+        won = near.where("ref = block.r AND cand = block.c").select("channel", "ref", "cand").union(paired.select("channel", "ref", "cand")).distinct()
+        won, won_path = materialize(won)
+        discard(spark, path)
+        done.append(won_path)
         if won.isEmpty():
             break
         taken = won if taken is None else taken.unionByName(won)
@@ -70,10 +92,52 @@ def greedy_matches(scores: DataFrame) -> DataFrame:
     return out
 
 
+def nearest_matches(refs: DataFrame, cands: DataFrame, least: int = MIN_SHARED, few_pairs: int = FEW_PAIRS) -> DataFrame:
+    """`greedy_matches` of `shared_frame_scores`, without the scores of pairs that are never nearest.
+
+    Pairs that share a frame grow with the square of the tracks, but each track is matched once. A mean distance of at
+    most r has a frame with at most r, so a range join of the frames lists all pairs up to r and the fold over those is
+    final up to r. What it matches goes, and r doubles for the rest, until the rest has few pairs or r spans everything;
+    then the rest is scored whole. The first r is where a reference has about one neighbour, if places were spread evenly.
+    """
+    spark = refs.sparkSession
+    keys = {"ref": ["channel", "ref"], "cand": ["channel", "cand"]}
+    rest, held = {}, {}
+    for side, df in (("ref", refs), ("cand", cands)):
+        rest[side], held[side] = materialize(df.select("channel", "frame", side, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).dropna(subset=["channel", "frame", side]))
+    reach, taken = None, None
+    while True:
+        counts = [rest[side].groupBy("channel", "frame").agg(F.count(F.lit(1)).cast("double").alias(f"n_{side}")) for side in rest]
+        pairs = counts[0].join(counts[1], ["channel", "frame"]).agg(F.sum(F.col("n_ref") * F.col("n_cand"))).first()[0] or 0.0
+        if reach is None:
+            finite = [F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in ("x", "y")]
+            wide, high = rest["ref"].select("x", "y").union(rest["cand"].select("x", "y")).agg(*[F.coalesce(F.max(c) - F.min(c), F.lit(0.0)) for c in finite]).first()
+            number = rest["ref"].select(*keys["ref"]).distinct().count()
+            reach = (wide * high * number / pairs / 3.14) ** 0.5 if pairs else 0.0
+        if pairs <= few_pairs or not 0 < reach < wide + high:
+            break
+        placed = rest["ref"].select("channel", "frame", "ref", F.col("x").alias("rx"), F.col("y").alias("ry"))
+        # Rounding must not take a frame away; what lies beyond the reach goes by the mean.
+        near = within_radius(dealt(rest["cand"], "channel", "frame"), placed, reach * (1 + 1e-9), ("channel", "frame")).select("channel", "ref", "cand").distinct()
+        # All frames of the pairs that are near in one.
+        found = near.join(rest["ref"], keys["ref"])
+        scores, path = materialize(scored(found, rest["cand"], least, ("channel", "cand", "frame")).where(F.col("mean_distance") <= reach))
+        won = greedy_matches(scores)
+        discard(spark, path)
+        taken = won if taken is None else taken.unionByName(won)
+        for side in rest:
+            after, path = materialize(rest[side].join(won.select(*keys[side]), keys[side], "left_anti"))
+            discard(spark, held[side])
+            rest[side], held[side] = after, path
+        reach *= 2
+    last = greedy_matches(shared_frame_scores(rest["ref"], rest["cand"], least))
+    return last if taken is None else taken.unionByName(last)
+
+
 def match_decisions(refs: DataFrame, cands: DataFrame, max_mean: float = MAX_MEAN_NM, red: str = RED, latest: int = RED_LATEST_START, written: DataFrame | None = None, least: int = MIN_SHARED) -> DataFrame:
     """One row for each reference track with its match and status. A rejected pair still uses up its candidate. With
     `written` (channel, ref: what has an output file), accepted pairs without one are `accepted_missing_file`."""
-    chosen = greedy_matches(shared_frame_scores(refs, cands, least))
+    chosen = nearest_matches(refs, cands, least)
     first = cands.groupBy("channel", "cand").agg(F.min("frame").alias("cand_first"))
     rows = refs.select("channel", "ref").distinct().join(chosen, ["channel", "ref"], "left").join(first, ["channel", "cand"], "left")
     status = (
