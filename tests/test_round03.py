@@ -146,3 +146,9 @@ def test_nearest_matches_are_those_of_all_scores(spark):
     got = matching.nearest_matches(refs, cands, 2, few_pairs=0)
     want = matching.greedy_matches(matching.shared_frame_scores(refs, cands, 2))
     assert sorted(map(tuple, got.select("channel", "ref", "cand", "shared").collect())) == sorted(map(tuple, want.select("channel", "ref", "cand", "shared").collect()))
+
+
+def test_hulls_of_many_tracks_are_passed_on(spark):
+    rows = spark.range(0, 50_000, 1, 1).selectExpr("id % 25000 AS track_id", "double(id % 7) AS x", "double(id % 5) AS y")
+    # A task holds 20,000 points, so no track's second point meets its first.
+    assert features.partial_hulls(rows).count() == 50_000

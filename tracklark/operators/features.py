@@ -155,7 +155,7 @@ def hull_area(xy: np.ndarray) -> float | None:
 
 #: A track's points are cut down to their hull whenever a task holds so many, and a task passes on all hulls whenever it
 #: holds so many points.
-CUT_AT, HELD_POINTS = 256, 500_000
+CUT_AT, HELD_POINTS = 256, 20_000
 
 
 def partial_hulls(points: DataFrame, by: tuple[str, ...] = TRACK) -> DataFrame:
