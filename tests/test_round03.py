@@ -152,3 +152,12 @@ def test_hulls_of_many_tracks_are_passed_on(spark):
     rows = spark.range(0, 50_000, 1, 1).selectExpr("id % 25000 AS track_id", "double(id % 7) AS x", "double(id % 5) AS y")
     # A task holds 20,000 points, so no track's second point meets its first.
     assert features.partial_hulls(rows).count() == 50_000
+
+
+def test_series_go_to_python_as_arrays_without_nulls(spark):
+    steps = [(k, 1.0, 0.5, 1.0 + k % 3, None if k == 4 else k % 5 / 5.0) for k in range(12)]
+    rows = spark.createDataFrame([(1, steps)], "track_id long, s array<struct<frame: int, dx: double, dy: double, step: double, angle: double>>")
+    found = rows.select(features.of_series(features.FITS, features.fits_of)("s").alias("f"))
+    want = features.fits_of(*(np.array([t[k] for t in steps if t[k] is not None]) for k in (1, 2, 3, 4)))
+    assert np.allclose(np.array(found.first().f, float), np.array(want, float), equal_nan=True)
+    assert "filter(s" in found._jdf.queryExecution().executedPlan().toString()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import pi, sqrt
 
 import numpy as np
@@ -311,16 +311,15 @@ FITS = ("speed_tau", "angle_tau", "persistence")
 SPECTRA = tuple(f"{v}_{c}" for v in ("step", "angle") for c in ("total_power", "peak_frequency", "spectral_centroid", "energy_approx", "energy_detail", "energy_total"))
 
 
-def of_series(kind: tuple[str, ...], row) -> Column:
-    """A function of lists of (frame, dx, dy, step, angle) in rising order: row(dx, dy, step, angle) gives `kind`."""
+def of_series(kind: tuple[str, ...], row) -> Callable[[str], Column]:
+    """A function of lists of (frame, dx, dy, step, angle) in rising order: row(dx, dy, step, angle) gives `kind`. The
+    columns go to Python as arrays of numbers without nulls; as structs they would be a dictionary for each step."""
 
     @F.pandas_udf(", ".join(f"{c} double" for c in kind))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            get = lambda rows, k: np.array([r[k] for r in rows if r[k] is not None], float)
-            yield pd.DataFrame([row(*(get(rows, k) for k in ("dx", "dy", "step", "angle"))) for rows in batch], columns=list(kind), dtype=float)
+    def run(dx: pd.Series, dy: pd.Series, step: pd.Series, angle: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([row(*(np.asarray(v, float) for v in own)) for own in zip(dx, dy, step, angle, strict=True)], columns=list(kind), dtype=float)
 
-    return run
+    return lambda s: run(*[F.filter(F.col(f"{s}.{c}"), lambda v: v.isNotNull()) for c in ("dx", "dy", "step", "angle")])
 
 
 def decays(points: DataFrame, by: tuple[str, ...] = TRACK) -> DataFrame:
