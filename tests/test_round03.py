@@ -161,3 +161,11 @@ def test_series_go_to_python_as_arrays_without_nulls(spark):
     want = features.fits_of(*(np.array([t[k] for t in steps if t[k] is not None]) for k in (1, 2, 3, 4)))
     assert np.allclose(np.array(found.first().f, float), np.array(want, float), equal_nan=True)
     assert "filter(s" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_planes_go_to_python_in_few_bytes(spark):
+    from tracklark.operators.pixels import per_plane
+
+    rows = spark.range(0, 2000, 1, 1).selectExpr("id AS stack_id", "0 AS t", "24 AS h", "24 AS w", "cast(repeat('01234567', 576) AS binary) AS px")
+    got = per_plane(rows, lambda image: [(0,)], "batch long", finish=lambda found: [(*r[:-1], len(found)) for r in found])
+    assert got.count() == 2000 and got.agg({"batch": "max"}).first()[0] * 24 * 24 * 8 < 6 << 20

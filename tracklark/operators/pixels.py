@@ -385,9 +385,13 @@ def merged_masks(masks: DataFrame, most_area: int, near: int = 2, least_solidity
     return rows.groupBy(*by).applyInPandas(fold, rows.schema)
 
 
+#: Spark's setting for the bytes of a batch that it sends to Python, and the bound for planes: both sides hold it whole.
+SENT, MOST_SENT = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def per_plane(planes: DataFrame, kernel: Callable[..., list[tuple]], schema: str, keys: tuple[str, ...] = ("stack_id", "t"), extra: tuple[str, ...] = (), finish: Callable[[list[tuple]], list[tuple]] = list) -> DataFrame:
     """Apply a numpy kernel to each plane (keys, h, w, px: little-endian doubles) and what its columns `extra` hold;
-    planes stream through in batches. `finish` turns a batch's rows (keys, what the kernel found) into the result's."""
+    planes stream through in batches, of at most `MOST_SENT` bytes in this session from then on. `finish` turns a batch's rows (keys, what the kernel found) into the result's."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in schema.split(", ")]
@@ -395,6 +399,7 @@ def per_plane(planes: DataFrame, kernel: Callable[..., list[tuple]], schema: str
             rows = [(*(getattr(r, k) for k in keys), *found) for r in batch.itertuples() for found in kernel(np.frombuffer(r.px, "<f8").reshape(r.h, r.w), *(getattr(r, c) for c in extra))]
             yield pd.DataFrame(finish(rows), columns=[*keys, *names])
 
+    planes.sparkSession.conf.set(SENT, str(MOST_SENT))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in planes.select(*keys).schema)
     return planes.select(*keys, "h", "w", "px", *extra).mapInPandas(run, f"{kinds}, {schema}")
 
