@@ -169,3 +169,46 @@ def test_planes_go_to_python_in_few_bytes(spark):
     rows = spark.range(0, 2000, 1, 1).selectExpr("id AS stack_id", "0 AS t", "24 AS h", "24 AS w", "cast(repeat('01234567', 576) AS binary) AS px")
     got = per_plane(rows, lambda image: [(0,)], "batch long", finish=lambda found: [(*r[:-1], len(found)) for r in found])
     assert got.count() == 2000 and got.agg({"batch": "max"}).first()[0] * 24 * 24 * 8 < 6 << 20
+
+
+def test_counted_assignment_stands_for_all_copies():
+    from tracklark.functions.assignment import assign, assign_counts
+
+    draw = np.random.default_rng(21)
+    for _ in range(300):
+        n, m = draw.integers(1, 6, 2)
+        known, supply, room = draw.random((n, m)) < 0.6, draw.integers(1, 4, n), draw.integers(1, 4, m)
+        cost = np.where(known, draw.integers(0, 8, (n, m)), 0).astype(float)
+        rows, columns = np.nonzero(known)
+        alone = 5.0 if draw.random() < 0.5 else None
+        taken, price = assign_counts(rows.tolist(), columns.tolist(), cost[rows, columns].tolist(), supply.tolist(), room.tolist(), alone)
+        wide, r, c = alone or 1e4, np.repeat(np.arange(n), supply), np.repeat(np.arange(m), room)
+        full = np.hstack([np.where(known[r][:, c], cost[r][:, c], 1e6), np.full((len(r), len(r)), wide)])
+        got = sum(cost[rows[k], columns[k]] * a for k, a in taken) + wide * (len(r) - sum(a for _, a in taken))
+        assert abs(got - sum(full[i, j] for i, j in assign(full))) < 1e-6
+        assert len(price) == n and all(sum(a for k, a in taken if rows[k] == i) <= supply[i] for i in range(n))
+
+
+def test_a_frame_of_many_copies_is_linked_at_once():
+    # 3,000 tracks and 3,000 points at few places: the matrix of all pairs had 18 million costs, more than was allowed.
+    places = np.array([(0.0, 0.0), (3.0, 0.0), (30.0, 0.0)])
+    linker = linking.Linker(5.0)
+    before = linker.step(1, places.repeat(1000, axis=0))
+    after = linker.step(2, (places + [1.0, 0.0]).repeat(1000, axis=0))
+    assert (np.sort(before.reshape(3, -1)) == np.sort(after.reshape(3, -1))).all()
+
+
+def test_dense_frames_are_linked_at_the_least_cost(monkeypatch):
+    from tracklark.functions.assignment import assign
+
+    monkeypatch.setattr(linking, "FEW_PAIRS", 100)
+    draw = np.random.default_rng(22)
+    for _ in range(20):
+        old, new = draw.exponential(10, (60, 2)), draw.exponential(10, (40, 2))
+        linker = linking.Linker(8.0)
+        linker.step(1, old)
+        names = linker.step(2, new)
+        square = ((old[:, None] - new[None]) ** 2).sum(axis=2)
+        cost = np.hstack([np.where(square < 64, square, 1e6), np.full((60, 60), 64.0)])
+        got = sum(square[t, k] for k, t in enumerate(names) if t < 60) + 64.0 * (60 - sum(t < 60 for t in names))
+        assert abs(got - sum(cost[r, c] for r, c in assign(cost))) < 1e-6

@@ -93,3 +93,87 @@ def assign_sparse(rows: list[int], columns: list[int], cost: list[float]) -> lis
                 break
             last = before
     return [k for k in pair if k >= 0]
+
+
+def assign_counts(rows: list[int], columns: list[int], cost: list[float], supply: list[int], room: list[int], alone: float | None = None) -> tuple[list[tuple[int, int]], list[float]]:
+    """`assign_sparse` where row r stands for `supply[r]` equal rows and column c for `room[c]` equal columns: (place of a
+    pair, how many take it), and the price of each row: a pair that was left out changes nothing if it costs as much as
+    its row's price or more, as prices of columns are never above zero.
+
+    A row may stay alone for the cost `alone`; without it as many as possible are paired. Each row's pairs are looked at
+    from the cheapest on, only as far as they can matter.
+    """
+    n = len(supply)
+    at: list[list[int]] = [[] for _ in range(n)]
+    for k in sorted(range(len(cost)), key=cost.__getitem__):
+        at[rows[k]].append(k)
+    if alone is None:
+        alone = 1.0 + sum(abs(c) for c in cost)
+    m = len(room)
+    # Columns from m on are the rows' own places.
+    left, row_price, column_price = [*room, *supply], [0.0] * n, [0.0] * (m + n)
+    # Of each column the pairs that are taken, by row, and how many take them; a row's own place is pair -1.
+    held: list[dict[int, list[int]]] = [{} for _ in range(m + n)]
+    # A cheapest pair may cost less than nothing.
+    for r in range(n):
+        if at[r]:
+            row_price[r] = min(0.0, cost[at[r][0]])
+    for row in range(n):
+        need = supply[row]
+        while need:
+            far, via, done = {}, {}, {}
+            heap: list[tuple[float, int]] = []
+            reached, by_column, ahead, best, last = {row: 0.0}, {}, [row], float("inf"), -1
+            while True:
+                for r in ahead:
+                    base = reached[r] - row_price[r]
+                    for k in at[r]:
+                        if base + cost[k] > best:
+                            break
+                        c = columns[k]
+                        if c in done:
+                            continue
+                        through = base + cost[k] - column_price[c]
+                        if through < far.get(c, float("inf")):
+                            far[c], via[c] = through, (r, k)
+                            heappush(heap, (through, c))
+                            if left[c] and through < best:
+                                best = through
+                    c, through = m + r, base + alone - column_price[m + r]
+                    if through < far.get(c, float("inf")) and c not in done:
+                        far[c], via[c] = through, (r, -1)
+                        heappush(heap, (through, c))
+                        if left[c] and through < best:
+                            best = through
+                while True:
+                    base, last = heappop(heap)
+                    if last not in done and base == far[last]:
+                        break
+                done[last] = base
+                if left[last]:
+                    break
+                ahead = [r for r in held[last] if r not in reached]
+                for r in ahead:
+                    reached[r], by_column[r] = base, last
+            for r, d in reached.items():
+                row_price[r] += base - d
+            for c, d in done.items():
+                column_price[c] -= base - d
+            # The way back: what each row on it gives up goes to the row before.
+            way, c = [], last
+            while True:
+                r, k = via[c]
+                way.append((r, k, c))
+                if r == row:
+                    break
+                c = by_column[r]
+            amount = min(need, left[last], *[held[c][r][1] for (r, _, _), (_, _, c) in zip(way, way[1:])])
+            for (r, _, _), (_, _, c) in zip(way, way[1:]):
+                held[c][r][1] -= amount
+                if not held[c][r][1]:
+                    del held[c][r]
+            for r, k, c in way:
+                held[c].setdefault(r, [k, 0])[1] += amount
+            left[last] -= amount
+            need -= amount
+    return [(k, taken) for own in held[:m] for k, taken in own.values()], row_price
