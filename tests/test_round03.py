@@ -212,3 +212,29 @@ def test_dense_frames_are_linked_at_the_least_cost(monkeypatch):
         cost = np.hstack([np.where(square < 64, square, 1e6), np.full((60, 60), 64.0)])
         got = sum(square[t, k] for k, t in enumerate(names) if t < 60) + 64.0 * (60 - sum(t < 60 for t in names))
         assert abs(got - sum(cost[r, c] for r, c in assign(cost))) < 1e-6
+
+
+def test_scores_by_blocks_equal_the_join_and_shuffle_no_pairs(spark, monkeypatch):
+    from tracklark.operators import matching
+
+    draw = np.random.default_rng(23)
+    side = lambda n: [(str(draw.choice(["a", "b"])), f"t{draw.integers(0, n)}" if draw.random() < 0.97 else None, int(draw.integers(1, 15)), float(draw.integers(0, 9)) if draw.random() < 0.9 else None, float(draw.integers(0, 9))) for _ in range(400)]
+    refs = spark.createDataFrame([*side(12), ("only", "r", 1, 0.0, 0.0)], "channel string, ref string, frame int, x double, y double")
+    cands = spark.createDataFrame([*side(40), (None, "c", 1, 0.0, 0.0)], "channel string, cand string, frame int, x double, y double")
+    rows = lambda df: sorted(((r.channel, r.ref or "", r.cand or "", r.shared, None if r.mean_distance is None else round(r.mean_distance, 9)) for r in df.collect()), key=str)
+    want = rows(matching.scored(refs, cands, 2, ("channel", "frame")))
+    assert len(want) > 200
+    for held, pairs, fewest in ((10**6, 10**6, 10**6), (150, 100, 500), (60, 7, 40)):
+        for name, value in (("HELD_ROWS", held), ("PAIRS", pairs), ("LEAST_PAIRS", fewest)):
+            monkeypatch.setattr(matching, name, value)
+        assert rows(matching.shared_frame_scores(refs, cands, 2)) == want
+    plan = matching.shared_frame_scores(refs, cands, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    # The nearest of each reference and block.
+    near = matching.shared_frame_scores(refs, cands, 2, nearest=3).collect()
+    by = {}
+    for c, r, _, _, d in want:
+        by.setdefault((c, r), []).append(d)
+    for (c, r), all_of in by.items():
+        known = sorted(d for d in all_of if d is not None)[:3]
+        assert sorted(round(n.mean_distance, 9) for n in near if (n.channel, n.ref or "") == (c, r))[:3] == known
