@@ -238,3 +238,26 @@ def test_scores_by_blocks_equal_the_join_and_shuffle_no_pairs(spark, monkeypatch
     for (c, r), all_of in by.items():
         known = sorted(d for d in all_of if d is not None)[:3]
         assert sorted(round(n.mean_distance, 9) for n in near if (n.channel, n.ref or "") == (c, r))[:3] == known
+
+
+def test_optimal_matches_of_tracks_and_copies_over_growing_lists(spark):
+    from tracklark.operators import matching
+
+    draw = np.random.default_rng(24)
+    track = lambda k, n: [(str(k % 2), k, int(f), float(draw.integers(0, 60)), float(draw.integers(0, 60))) for f in draw.choice(9, n, replace=False)]
+    refs = [r for k in range(14) for r in track(k, 5)]
+    cands = [r for k in range(20) for r in track(k, 5)]
+    # Copies, more of the references than of the candidates, and a reference that shares no frame with any.
+    refs += [(c, k + 100 * n, *rest) for c, k, *rest in refs for n in (1, 2) if k < 8] + [("0", 999, 50, 1.0, 1.0)]
+    cands += [(c, k + 100, *rest) for c, k, *rest in cands if k < 6]
+    refs = spark.createDataFrame(refs, "channel string, ref int, frame int, x double, y double")
+    cands = spark.createDataFrame(cands, "channel string, cand int, frame int, x double, y double")
+    scores = matching.shared_frame_scores(refs, cands, 3)
+    want = matching.optimal_matches(scores, 1e9).collect()
+    got = matching.optimal_track_matches(refs, cands, 3, 1e9, nearest=1)
+    assert got.columns == scores.columns
+    got = got.collect()
+    assert len(got) == len(want) == len({(r.channel, r.ref) for r in got}) == len({(r.channel, r.cand) for r in got}) > 20
+    assert abs(sum(r.mean_distance for r in got) - sum(r.mean_distance for r in want)) < 1e-9
+    real = {(r.channel, r.ref, r.cand): (r.shared, round(r.mean_distance, 9)) for r in scores.collect()}
+    assert all(real[r.channel, r.ref, r.cand] == (r.shared, round(r.mean_distance, 9)) for r in got)

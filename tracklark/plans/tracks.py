@@ -270,7 +270,7 @@ def match_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def optimal_seed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs, cands = _sides(spark, sf_dir)
-    return rounded(matching.optimal_matches(matching.shared_frame_scores(refs, cands, 2), 200.0))
+    return rounded(matching.optimal_track_matches(refs, cands, 2, 200.0))
 
 
 @query(
