@@ -261,3 +261,27 @@ def test_optimal_matches_of_tracks_and_copies_over_growing_lists(spark):
     assert abs(sum(r.mean_distance for r in got) - sum(r.mean_distance for r in want)) < 1e-9
     real = {(r.channel, r.ref, r.cand): (r.shared, round(r.mean_distance, 9)) for r in scores.collect()}
     assert all(real[r.channel, r.ref, r.cand] == (r.shared, round(r.mean_distance, 9)) for r in got)
+
+
+def test_neighbours_look_at_each_pair_once(spark):
+    from tracklark.operators.spatial import neighbours
+
+    draw = np.random.default_rng(25)
+    places = np.round(draw.uniform(-3, 3, (250, 2)), 1)
+    rows = [(int(k), float(x), float(y)) for k, (x, y) in enumerate(places)] + [(900, 0.0, None), (901, None, 0.0)]
+    found = neighbours(spark.createDataFrame(rows, "id long, x double, y double"), 0.5)
+    got = sorted((r.a, r.b, r.distance) for r in found.collect())
+    d = np.sqrt(((places[:, None] - places[None]) ** 2).sum(axis=2))
+    assert got == sorted((a, b, float(d[a, b])) for a in range(250) for b in range(a + 1, 250) if d[a, b] <= 0.5)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_quick_round_equals_round(spark):
+    from pyspark.sql import functions as F
+
+    from tracklark.functions.expressions import quick_round
+
+    draw = np.random.default_rng(26)
+    values = [*draw.uniform(-2, 2, 3000), *(np.arange(-400, 400) / 20000), *np.nextafter(np.arange(400) / 20000, 1), 1e300, -1e7, 0.0, -0.0, -1e-9, float("nan"), float("inf"), None]
+    rows = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double").select(quick_round(F.col("v")).alias("a"), F.round("v", 4).alias("b")).collect()
+    assert [repr(r.a) for r in rows] == [repr(r.b) for r in rows]
