@@ -285,3 +285,21 @@ def test_quick_round_equals_round(spark):
     values = [*draw.uniform(-2, 2, 3000), *(np.arange(-400, 400) / 20000), *np.nextafter(np.arange(400) / 20000, 1), 1e300, -1e7, 0.0, -0.0, -1e-9, float("nan"), float("inf"), None]
     rows = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double").select(quick_round(F.col("v")).alias("a"), F.round("v", 4).alias("b")).collect()
     assert [repr(r.a) for r in rows] == [repr(r.b) for r in rows]
+
+
+def test_many_small_stacks_are_few_tasks(tmp_path, monkeypatch):
+    from tracklark.sources import stacks
+
+    for k in range(30):
+        with open(tmp_path / f"s{k:02d}.tif", "wb") as handle:
+            out = stacks.TiffOut(handle, stacks.NONE)
+            for t in range(3):
+                out.add(np.full((4, 4), 10.0 * k + t), None)
+            out.close()
+    for name, value in (("PLANNED", 10), ("TASKS", 4)):
+        monkeypatch.setattr(stacks, name, value)
+    reader = stacks.StackReader(str(tmp_path), 1 << 20)
+    parts = reader.partitions()
+    assert 4 <= len(parts) <= 8
+    rows = [(r[0].rsplit("/", 1)[-1], r[1], float(np.frombuffer(r[4], "<f8")[0])) for p in parts for r in reader.read(p)]
+    assert sorted(rows) == [(f"s{k:02d}.tif", t, 10.0 * k + t) for k in range(30) for t in range(3)]

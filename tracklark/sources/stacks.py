@@ -7,7 +7,7 @@
 
 Paths may have any scheme that Arrow's file systems know (none: a local or mounted folder). Reading plans a task for
 every `bytes` (an option, 32 MB) of decoded pages from the files' page directories, so a long stack is many tasks; more
-than `PLANNED` files are one task each. Filters on `t` leave pages out before they are read, where Spark passes filters
+than `PLANNED` files are dealt whole to `TASKS` tasks or more. Filters on `t` leave pages out before they are read, where Spark passes filters
 to Python sources (spark.sql.python.filterPushdown.enabled). Strips and tiles may be plain, PackBits, LZW or Deflate,
 with or without horizontal differences; pages of several samples are refused.
 
@@ -42,6 +42,8 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 LISTS = ("offsets", "counts", "tile_offsets", "tile_counts")
 #: So many files are planned by page.
 PLANNED = 1000
+#: More files than that are read by about so many tasks, and by more if they are large.
+TASKS = 200
 SCHEMA = "file string, t int, h int, w int, px binary, description string"
 
 
@@ -171,6 +173,13 @@ class Chunk(InputPartition):
         self.value = part
 
 
+class Files(InputPartition):
+    """All pages of some files."""
+
+    def __init__(self, files: list[str]):
+        self.value = files
+
+
 class StackReader(DataSourceReader):
     def __init__(self, path: str, most: int):
         self.path, self.most, self.tests = path, most, []
@@ -195,9 +204,18 @@ class StackReader(DataSourceReader):
         if found.type == pafs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         infos = [found] if found.is_file else fs.get_file_info(pafs.FileSelector(at, recursive=True))
-        files = sorted(f.path for f in infos if f.is_file and (found.is_file or f.path.lower().endswith((".tif", ".tiff"))) and "/_temporary/" not in f.path)
+        sizes = {f.path: f.size or 0 for f in infos if f.is_file and (found.is_file or f.path.lower().endswith((".tif", ".tiff"))) and "/_temporary/" not in f.path}
+        files = sorted(sizes)
         if len(files) > PLANNED:
-            return [Chunk(Part(f, None)) for f in files]
+            # The start of a task costs more than a small file.
+            largest, runs, held = max(1, min(self.most, sum(sizes.values()) // TASKS)), [[]], 0
+            for f in files:
+                if runs[-1] and (held + sizes[f] > largest or len(runs[-1]) >= -(-len(files) // TASKS)):
+                    runs.append([])
+                    held = 0
+                runs[-1].append(f)
+                held += sizes[f]
+            return [Files(own) for own in runs]
         out = []
         for f in files:
             with fs.open_input_file(f) as handle:
@@ -209,16 +227,16 @@ class StackReader(DataSourceReader):
                     out += [Chunk(Part(f, tuple(starts[k : k + each]))) for k in range(0, len(starts), each)]
         return out
 
-    def read(self, partition: Chunk | None) -> Iterator[tuple]:
+    def read(self, partition: Chunk | Files | None) -> Iterator[tuple]:
         if partition is None:  # what Spark reads if there is no partition
             return
         fs, _ = opened(self.path)
-        file, some = partition.value
-        with fs.open_input_file(file) as handle:
-            pages = Pages(handle)
-            for t, at in some if some is not None else ((t, s) for t, s in enumerate(pages.starts()) if self.wanted(t)):
-                p = pages.page(at)
-                yield file, t, p["height"], p["width"], pages.pixels(p).astype("<f8").tobytes(), p.get("description")
+        for file, some in [partition.value] if isinstance(partition, Chunk) else [(f, None) for f in partition.value]:
+            with fs.open_input_file(file) as handle:
+                pages = Pages(handle)
+                for t, at in some if some is not None else ((t, s) for t, s in enumerate(pages.starts()) if self.wanted(t)):
+                    p = pages.page(at)
+                    yield file, t, p["height"], p["width"], pages.pixels(p).astype("<f8").tobytes(), p.get("description")
 
 
 class Written(WriterCommitMessage):
@@ -328,15 +346,16 @@ class StackWriter(CommittedWriter):
 
     def write(self, iterator: Iterator) -> Written:
         fs, folder = self.task_folder()
-        names, out = [], None
+        names, seen, out = [], set(), None
         for row in iterator:
             name = safe(row["name"])
             if not names or names[-1] != name:
-                if name in names:
+                if name in seen:
                     raise ValueError(f"the pages of {name} don't stand together; sort by name and t")
                 if out:
                     out.close()
                 names.append(name)
+                seen.add(name)
                 out = TiffOut(fs.open_output_stream(self.place(fs, folder, name)), self.compression)
             out.add(np.frombuffer(row["px"], "<f8").reshape(row["h"], row["w"]), row["description"] if "description" in row else None)
         if out:
