@@ -303,3 +303,13 @@ def test_many_small_stacks_are_few_tasks(tmp_path, monkeypatch):
     assert 4 <= len(parts) <= 8
     rows = [(r[0].rsplit("/", 1)[-1], r[1], float(np.frombuffer(r[4], "<f8")[0])) for p in parts for r in reader.read(p)]
     assert sorted(rows) == [(f"s{k:02d}.tif", t, 10.0 * k + t) for k in range(30) for t in range(3)]
+
+
+def test_crops_are_joined_in_all_tasks(spark):
+    from tracklark.operators.regions import crops
+
+    pixels = spark.range(64 * 6).selectExpr("id div 64 AS fov", "int(id % 64 div 8) AS y", "id % 8 AS x", "double(id) AS v")
+    masks = spark.createDataFrame([(f, o, 2 + o, 2 + o) for f in range(6) for o in range(2)], "fov long, obj long, y int, x long")
+    found = crops(pixels, masks, 8, 8, 1)
+    assert found.count() == 6 * 2 * 9 and found.where("v = 0 AND NOT (y = 0 AND x = 0)").count() == 6 * 2
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

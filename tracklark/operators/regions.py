@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracklark.operators.features import hulls
 from tracklark.operators.pixels import OBJECT, boundary, components, offsets, shifted
+from tracklark.operators.spatial import dealt
 
 # The share of the upper quartile below which border pixels are fill, and the size and number of clusters.
 FILL_SHARE, LEAST_CLUSTER, MOST_CLUSTERS = 0.85, 10, 5
@@ -66,7 +67,8 @@ def crops(pixels: DataFrame, masks: DataFrame, height: int, width: int, margin:
     boxes = crop_boxes(masks, height, width, margin, by)
     rows = boxes.withColumn("y", F.explode(F.sequence("r0", F.col("r1") - 1))).withColumn("x", F.explode(F.sequence("c0", F.col("c1") - 1)))
     covered = masks.groupBy(*by, "y", "x").agg(F.min("obj").alias("low"), F.max("obj").alias("high"))
-    found = rows.select(*by, "obj", "y", "x").join(pixels, [*by, "y", "x"]).join(covered, [*by, "y", "x"], "left")
+    # Boxes make far more pixels than they have bytes, so the tasks that sort and join them must not be merged by size.
+    found = dealt(rows.select(*by, "obj", "y", "x"), *by, "y", "x").join(pixels, [*by, "y", "x"]).join(covered, [*by, "y", "x"], "left")
     other = (F.col("low") != F.col("obj")) | (F.col("high") != F.col("obj"))
     return found.select(*by, "obj", "y", "x", F.when(F.coalesce(other, F.lit(False)), 0.0).otherwise(F.col("v")).alias("v"))
 
